@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+SLICE_TEXTS = 1 << 14
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
@@ -30,7 +31,7 @@ class Slice(NamedTuple):
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Cut a string column into slices of at most ``limit`` bytes; null is empty."""
+    """Cut a string column into slices of at most ``limit`` bytes and ``SLICE_TEXTS`` texts; null is empty."""
     column = column.cast(pa.large_string()).fill_null("")
     n = len(column)
     if n == 0:
@@ -41,7 +42,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     i = 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
-        j = min(n, max(i + 1, j))
+        j = min(n, i + SLICE_TEXTS, max(i + 1, j))
         yield Slice(i, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
 
@@ -147,3 +148,21 @@ def window_owner(first: np.ndarray, size: int, count: int) -> tuple[np.ndarray,
     fits = text[at] == text[at + size - 1] if len(at) else np.zeros(0, dtype=bool)
     at = at[fits]
     return at, text[at]
+
+
+def shingles(part: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of every run of ``size`` words (ended by white
+    space, A-Z lower-cased). Fewer words than that, but not none, are one run."""
+    data = lower_ascii(part.data)
+    starts, ends, first = words(data, part.offsets, NOT_SPACE)
+    hashes = range_hash(prefix_hash(data), starts, ends)
+    runs = window_hash(hashes, size)
+    at, text = window_owner(first, size, len(hashes))
+    n = np.diff(first)
+    texts, values = [text], [runs[at]]
+    for k in range(1, size):
+        few = np.flatnonzero(n == k)
+        if len(few):
+            texts.append(few)
+            values.append(window_hash(hashes, k)[first[few]])
+    return np.concatenate(texts), np.concatenate(values)

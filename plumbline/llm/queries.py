@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, line_dedup, quality, url_filter
+from plumbline.llm import decontaminate, line_dedup, minhash, quality, suffix_dedup, url_filter
 from plumbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, _ = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"), n=10)
@@ -42,6 +47,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffix_dedup.cut_repeats(docs, length=200, keep="none")
+    digest = cut.select("row", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("lo").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return suffix_dedup.row_keys(docs).join(digest, "row").drop("row")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     spam = [url_filter.Rule("block", host, "") for host in url_filter.SPAM_HOSTS]
@@ -49,9 +61,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_minhash": op2_minhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
