@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, line_dedup, minhash, quality, suffix_dedup, url_filter
-from plumbline.llm.common import table
+from plumbline.llm import decontaminate, html_text, line_dedup, minhash, mixing, quality, sharding, suffix_dedup, token_output, url_filter
+from plumbline.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: A public byte-level vocabulary for many languages; read by the driver.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.extract_text(table(spark, sf_dir, "pages"))
+    return text.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
@@ -37,6 +45,16 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.ShardStore(spark, shared_folder(spark, "op5"))
+    store.append(table(spark, sf_dir, "documents"))
+    version = store.compact()
+    placed = store.read(version, places=True)
+    # Names of shards are unique to a run; their sizes and the places in them tell the layout.
+    live = store.manifest(version).select(F.regexp_extract("path", r"/shards/(.*)$", 1).alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
+    return placed.join(live, "shard").select("doc_id", "shard", "place", "shard_rows", "shard_bytes", F.lit(version).cast("long").alias("version"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = quality.ledger(table(spark, sf_dir, "documents"))
     return records.select(
@@ -54,6 +72,20 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.row_keys(docs).join(digest, "row").drop("row")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_order(table(spark, sf_dir, "documents"))
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sequences, total = token_output.token_sequences(docs, VOCABULARY)
+    path = shared_folder(spark, "op9")
+    token_output.write_shards(sequences, total, path)
+    rows = token_output.read_shards(sequences, path)
+    place = F.col("slot") - F.col("shard") * token_output.ROWS_PER_SHARD
+    return rows.select("slot", "shard", place.alias("place"), "index", "n_tokens", F.col("ids").alias("doc_ids"), F.sha2("tokens", 256).alias("tokens_sha256"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     spam = [url_filter.Rule("block", host, "") for host in url_filter.SPAM_HOSTS]
@@ -61,11 +93,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html_extract": op1_html_extract,
     "op2_minhash": op2_minhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
+    "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_mixing": op8_mixing,
+    "op9_token_output": op9_token_output,
     "op10_url_filter": op10_url_filter,
 }
 
