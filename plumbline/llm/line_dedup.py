@@ -7,8 +7,8 @@ in a join, and each document gets the positions it loses. Texts move once,
 when those positions join the documents.
 
 A hash that a third of all documents share is counted by partial sums. In the
-join, it is one row on the small side; Spark broadcasts that side if its
-measured size allows, and splits skewed partitions otherwise.
+join, it is one row on the small side, which is written first: Spark
+broadcasts it if its size allows, and splits skewed partitions otherwise.
 
 Nulls and odd input: a null or empty text is one empty line, whose key is too
 short to be counted. Each row is a document: a repeated row counts again, and
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER, UPPER, text_key
+from plumbline.llm.common import LOWER, UPPER, text_key, written
 
 #: The characters [\\x20\\x09-\\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -37,7 +37,7 @@ def line_hashes(lines: Column, min_chars: int) -> Column:
 
     def hashed(line: Column) -> Column:
         key = line_key(line)
-        return F.when(F.length(key) >= min_chars, F.unhex(F.md5(key)))
+        return F.when(F.length(key) >= min_chars, F.md5(key))
 
     return F.transform(lines, hashed)
 
@@ -52,8 +52,11 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     base = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), F.split(text, "\n").alias("lines"))
     hashed = base.select("id", "key", line_hashes(F.col("lines"), min_chars).alias("hashes"))
 
-    common = hashed.select(F.explode(F.array_distinct("hashes")).alias("hash")).filter("hash is not null").groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("hash")
-    lost = hashed.select("id", "key", F.posexplode("hashes").alias("at", "hash")).filter("hash is not null").join(common, "hash")
+    each = hashed.select(F.explode(F.array_distinct("hashes")).alias("hash")).filter("hash is not null").select(F.unhex("hash").alias("hash"))
+    # Written, so that the join can broadcast it if it is small, and split hot hashes if not.
+    common = written(each.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("hash"), "common")
+    lines = hashed.select("id", "key", F.posexplode("hashes").alias("at", "hash")).filter("hash is not null")
+    lost = lines.withColumn("hash", F.unhex("hash")).join(common, "hash")
     dropped = lost.groupBy("id", "key").agg(F.collect_set("at").alias("dropped"))
 
     d = dropped.select(F.col("id").alias("d_id"), F.col("key").alias("d_key"), "dropped")
