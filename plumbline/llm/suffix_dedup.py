@@ -19,8 +19,8 @@ passage in very many texts makes, would not fit a task. Its passages are
 compared by 64-bit hashes, dealt out by hash, after each task has settled
 those that it holds twice.
 
-Texts move once, keyed by their hash; contexts move only where an anchor has
-several.
+Equal texts are one text with a count. Texts move once, into a table bucketed
+by their hash; contexts move only where an anchor has several.
 
 Nulls and odd input: null is the empty text; texts shorter than ``length``
 have no passages. With ``keep="none"``, repeated rows are copies of each other
@@ -32,6 +32,7 @@ two named ones are not looked at.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +41,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import kernel as K
-from plumbline.llm.common import text_key, written
+from plumbline.llm.common import shared_folder, text_key, written
 
-GRAM = 50
+#: Bytes of an anchor: longer than most lines that are common without being passages.
+GRAM = 80
 #: Different contexts of one anchor that go to one suffix array.
 MAX_CONTEXTS = 2000
 #: Bytes of contexts in one suffix array, but for whole anchors.
@@ -314,6 +316,17 @@ def _row_and_place(docs: DataFrame, id_col: str, text_col: str, keep: str) -> tu
     return F.unhex(F.md5(place)), place
 
 
+def _distinct_texts(keyed: DataFrame) -> DataFrame:
+    """(row, place, text, copies), one for each row key, in a table bucketed by
+    the key: texts are shuffled here and nowhere else."""
+    spark = keyed.sparkSession
+    one = keyed.groupBy("row").agg(F.first("place").alias("place"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    name = f"texts_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one.write.bucketBy(buckets, "row").option("compression", "zstd").option("path", shared_folder(spark, "texts")).saveAsTable(name)
+    return spark.table(name)
+
+
 def cut_repeats(docs: DataFrame, length: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", max_contexts: int = MAX_CONTEXTS) -> DataFrame:
     """For each different text (with ``keep="first"``, id and text): its
     ``row`` key, n_bytes, the removed byte ranges ``lo`` and ``hi``, and the
@@ -323,7 +336,7 @@ def cut_repeats(docs: DataFrame, length: int = 200, keep: str = "none", id_col:
     else, ``keep="first"`` of one that also starts earlier.
     """
     row, place = _row_and_place(docs, id_col, text_col, keep)
-    keyed = docs.select(row.alias("row"), place.alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = _distinct_texts(docs.select(row.alias("row"), place.alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,48 +345,47 @@ def cut_repeats(docs: DataFrame, length: int = 200, keep: str = "none", id_col:
                 rows = pa.array(text + part.first)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(context), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32))], ["anchor", "context", "row", "place", "start", "many"])
 
-    found = keyed.mapInArrow(scan, "anchor long, context long, row binary, place string, start int, many int")
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    sites = found.join(again, "anchor").groupBy("anchor", "context", "row", "place", "start", "many").agg(F.count("*").alias("copies"))
-    sites = written(sites, "contexts")
+    found = texts.select("row", "place", "text").mapInArrow(scan, "anchor long, context long, row binary, place string, start int, many int")
+    again = written(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
+    sites = written(found.join(again, "anchor"), "contexts")
 
     spot = F.struct(F.concat_ws(":", "place", F.lpad(F.col("start").cast("string"), 10, "0")).alias("place"), "row", "start", "many")
-    groups = sites.groupBy("anchor", "context").agg(F.sum("copies").alias("copies"), F.min(spot).alias("first"))
+    groups = sites.groupBy("anchor", "context").agg(F.count("*").alias("sites"), F.min(spot).alias("first"))
     kinds = groups.groupBy("anchor").agg(F.count("*").alias("n_contexts"))
     groups = written(groups.join(kinds, "anchor"), "groups")
 
-    texts = keyed.select("row", "text").dropDuplicates(["row"])
     wanted = groups.filter("n_contexts > 1").groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("anchor", "context", "n_contexts", "first.place", "first.start", "first.many")).alias("wanted"))
-    spread = texts.join(wanted, "row").select(F.encode("text", "UTF-8").alias("raw"), F.col("wanted"))
-    one = spread.select("raw", F.explode("wanted").alias("x"))
-    contexts = one.select("x.anchor", "x.context", "x.n_contexts", "x.place", F.substring(F.col("raw"), F.col("x.start") + 1, F.col("x.many") + (length - 1)).alias("bytes"))
+    spread = texts.join(wanted, "row").select(F.encode("text", "UTF-8").alias("raw"), F.explode("wanted").alias("x"))
+    contexts = spread.select("x.anchor", "x.context", "x.n_contexts", "x.place", F.substring(F.col("raw"), F.col("x.start") + 1, F.col("x.many") + (length - 1)).alias("bytes"))
     verdicts = _by_suffix_array(contexts.filter(F.col("n_contexts") <= max_contexts), length, keep)
     if not groups.filter(F.col("n_contexts") > max_contexts).isEmpty():
         parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         verdicts = verdicts.unionByName(_by_hash(contexts.filter(F.col("n_contexts") > max_contexts), length, keep, parts))
 
     # Contexts found whole elsewhere are repeats throughout; with keep="first", but for the first of them.
-    judged = groups.select("context", "copies", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"))
+    judged = groups.select("context", F.col("sites").alias("n_sites"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"))
     judged = judged.join(verdicts, "context", "left")
     each = sites.select("context", "row", "start", "many").join(judged, "context")
-    whole = F.col("copies") > 1
+    whole = F.col("n_sites") > 1
     if keep == "first":
         whole = ~((F.col("row") == F.col("first_row")) & (F.col("start") == F.col("first_start")))
     lo = F.when(whole, F.array(F.lit(0))).otherwise(F.col("lo"))
     hi = F.when(whole, F.array(F.col("many"))).otherwise(F.col("hi"))
     ranges = each.withColumn("ranges", F.zip_with(lo, hi, lambda a, b: F.struct((F.col("start") + a).alias("lo"), (F.col("start") + b + (length - 1)).alias("hi"))))
-    removed = ranges.filter(F.size("ranges") > 0).groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    removed = written(ranges.filter(F.size("ranges") > 0).groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "removed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, lows, highs, sizes, kept = batch.column(0), [], [], [], []
-            lo_all, hi_all = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            lo_all, hi_all, copied = (batch.column(i).to_pylist() for i in (2, 3, 4))
             raw = batch.column(1)
             for i in range(batch.num_rows):
                 data = np.frombuffer(raw[i].as_buffer(), dtype=np.uint8)
                 sizes.append(len(data))
                 edge = np.zeros(len(data) + 1, dtype=np.int32)
-                if lo_all[i]:
+                if copied[i] and len(data) >= length:
+                    edge[0], edge[-1] = 1, -1
+                elif lo_all[i]:
                     np.add.at(edge, lo_all[i], 1)
                     np.add.at(edge, hi_all[i], -1)
                 gone = np.cumsum(edge[:-1]) > 0
@@ -383,7 +395,9 @@ def cut_repeats(docs: DataFrame, length: int = 200, keep: str = "none", id_col:
                 kept.append(data[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([rows, pa.array(sizes, pa.int64()), pa.array(lows, pa.list_(pa.int32())), pa.array(highs, pa.list_(pa.int32())), pa.array(kept, pa.binary())], ["row", "n_bytes", "lo", "hi", "kept"])
 
-    joined = texts.join(removed, "row", "left").select("row", "text", "ranges.lo", "ranges.hi")
+    # Without an order, all copies of a text are repeats of each other.
+    copied = (F.col("copies") > 1) if keep == "none" else F.lit(False)
+    joined = texts.join(removed, "row", "left").select("row", "text", "ranges.lo", "ranges.hi", copied.alias("copied"))
     return joined.mapInArrow(cut, "row binary, n_bytes long, lo array<int>, hi array<int>, kept binary")
 
 
