@@ -139,4 +139,8 @@ def ablation(records: DataFrame, policy: Policy = CURRENT) -> DataFrame:
 def keep_passing(docs: DataFrame, policy: Policy = CURRENT, text_col: str = "text") -> DataFrame:
     """The documents that pass a policy, with the columns they came with."""
     measured, names = measure(docs, text_col)
-    return measured.filter(passes(failure_bits(names), policy)).select(*docs.columns)
+    (failed,) = fresh(measured, "failed")
+    # Exploding an array of one keeps the filter above: pushed below, it would
+    # work out every measurement again for each use.
+    judged = measured.select(*docs.columns, F.explode(F.array(failure_bits(names))).alias(failed))
+    return judged.filter(passes(F.col(failed), policy)).select(*docs.columns)
