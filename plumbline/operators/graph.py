@@ -37,12 +37,14 @@ class OfflineExtractor:
     """A toy graph without a model, in built-in functions: the first distinct
     tokens are entities, each related to the next."""
 
+    #: Costs less than bringing equal texts together, so each row is done where it is.
+    row_local = True
+
     def extract(self, texts: DataFrame) -> DataFrame:
-        entities = F.slice(F.array_distinct(tokens(F.col("text"))), 1, MAX_ENTITIES)
-        found = texts.select("cache_key", entities.alias("entities"))
+        found = texts.withColumn("entities", F.slice(F.array_distinct(tokens(F.col("text"))), 1, MAX_ENTITIES))
         pairs = F.zip_with("entities", F.slice("entities", 2, MAX_ENTITIES), lambda a, b: F.struct(a.alias("s"), F.lit(CO_OCCURS).alias("p"), b.alias("o")))
         relations = F.slice(pairs, 1, F.greatest(F.size("entities") - 1, F.lit(0)))
-        return found.select("cache_key", "entities", relations.alias("relations"), F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("seconds"))
+        return found.withColumns({"relations": relations, "error": F.lit(None).cast("string"), "seconds": F.lit(0.0)}).drop("text")
 
 
 class BackendExtractor:
@@ -108,6 +110,10 @@ def extract(texts: DataFrame, extractor: Extractor, settings: ExtractionSettings
     settings = settings or ExtractionSettings()
     trimmed = texts.select("owner", F.regexp_replace(F.coalesce("text", F.lit("")), r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "").alias("text"))
     keyed = trimmed.withColumn("cache_key", F.when(F.col("text") != "", cache_key(F.col("text"), settings)))
+    if cache_path is None and getattr(extractor, "row_local", False):
+        done = extractor.extract(keyed)
+        log = done.filter(F.col("cache_key").isNotNull()).select("owner", "cache_key", F.lit(False).alias("cached"), "seconds")
+        return done.select("owner", "entities", "relations", "error"), log
     wanted = keyed.filter(F.col("cache_key").isNotNull()).select("cache_key", "text").dropDuplicates(["cache_key"])
     if cache_path is None:
         found = extractor.extract(wanted).withColumn("cached", F.lit(False))

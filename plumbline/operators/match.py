@@ -51,8 +51,9 @@ def match_contained(names: DataFrame, refs: DataFrame, settings: MatchSettings)
     r_head = r_short.filter(F.size("r_words") > 0).select("source_id", "ref", F.col("r_words")[0].alias("word"))
     n_each = n.select("source_id", "norm", F.explode(F.array_distinct("n_words")).alias("word"))
     r_each = r.select("source_id", "ref", F.explode(F.array_distinct("r_words")).alias("word"))
-    norm_in_ref = (F.length("norm") <= F.length("ref")) & contains_at_boundary(F.col("ref"), F.col("norm"))
-    ref_in_norm = (F.length("ref") < F.length("norm")) & contains_at_boundary(F.col("norm"), F.col("ref"))
+    # The plain search spares most pairs the pattern.
+    norm_in_ref = (F.length("norm") <= F.length("ref")) & F.contains(F.col("ref"), F.col("norm")) & contains_at_boundary(F.col("ref"), F.col("norm"))
+    ref_in_norm = (F.length("ref") < F.length("norm")) & F.contains(F.col("norm"), F.col("ref")) & contains_at_boundary(F.col("norm"), F.col("ref"))
     columns = ["source_id", "norm", "ref"]
     parts = [
         n_head.join(r_each, ["source_id", "word"]).filter(norm_in_ref),

@@ -2,96 +2,135 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import MatchSettings
 from plumbline.functions.embed import Embedder
-from plumbline.functions.text import composite, normalize, risk
-from plumbline.operators.graph import TRIPLE
-from plumbline.operators.match import align_relations, embed_names, match_entities, reference_entities, reference_relations
+from plumbline.functions.text import composite, cosine, guarded_containment, normalize, risk
+from plumbline.operators.match import reference_entities, reference_relations
 
 SIZES = ("Vc", "Ec", "Vq", "Eq", "Va", "Ea")
 
 
 def reference_graphs(source_graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Normalised entities and relations of C and Q together, from
-    (source_id, kind, entities, relations)."""
+    (source_id, kind, entities, relations), as long tables."""
     entities = source_graphs.select("source_id", F.explode("entities").alias("entity"))
     relations = source_graphs.select("source_id", F.explode("relations").alias("r")).select("source_id", "r.s", "r.p", "r.o")
     return reference_entities(entities), reference_relations(relations)
 
 
-def source_sizes(source_graphs: DataFrame, refs: DataFrame) -> DataFrame:
-    """Vc, Ec, Vq, Eq of each source, and whether no reference entity is left."""
+def references(source_graphs: DataFrame) -> DataFrame:
+    """One row per source: its graph sizes, and the distinct normalised
+    entities ``refs`` and triples ``ref_triples`` of C and Q together."""
 
-    def size(kind: str, column: str):
+    def size(kind: str, column: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.size(F.array_distinct(column)).cast("long"))), F.lit(0).cast("long"))
 
-    sizes = source_graphs.groupBy("source_id").agg(size("context", "entities").alias("Vc"), size("context", "relations").alias("Ec"), size("query", "entities").alias("Vq"), size("query", "relations").alias("Eq"))
-    some = refs.select("source_id").distinct().withColumn("some", F.lit(True))
-    return sizes.join(some, "source_id", "left").withColumn("ref_empty", F.col("some").isNull()).drop("some")
+    def normal(t: Column) -> Column:
+        return F.struct(*(normalize(t[c]).alias(f"{c}2") for c in "spo"))
+
+    ready = source_graphs.select(
+        "source_id", "kind", "entities", "relations",
+        F.filter(F.transform("entities", normalize), lambda n: n != "").alias("names"),
+        F.filter(F.transform("relations", normal), lambda t: (t["s2"] != "") & (t["p2"] != "") & (t["o2"] != "")).alias("triples"),
+    )
+    return ready.groupBy("source_id").agg(
+        size("context", "entities").alias("Vc"), size("context", "relations").alias("Ec"), size("query", "entities").alias("Vq"), size("query", "relations").alias("Eq"),
+        F.array_distinct(F.flatten(F.collect_list("names"))).alias("refs"),
+        F.array_distinct(F.flatten(F.collect_list("triples"))).alias("ref_triples"),
+    )
+
+
+def _with_vectors(rows: DataFrame, embedder: Embedder) -> DataFrame:
+    """``rows`` with ``vec``, the embeddings of all texts an answer is compared by."""
+    fields = {"names": ["norm"], "triples": ["s", "p", "o", "gs", "go"], "ref_triples": ["s2", "p2", "o2"]}
+    parts = [F.col(f"{c}.{f}") for c, own in fields.items() for f in own]
+    texts = rows.select("response_id", F.explode(F.array_distinct(F.concat("refs", *parts))).alias("text"))
+    vectors = embedder.embed(texts.select("text").distinct())
+    maps = texts.join(vectors, "text").groupBy("response_id").agg(F.map_from_entries(F.collect_list(F.struct("text", "embedding"))).alias("vec"))
+    return rows.join(maps, "response_id", "left")
 
 
 def score(answers: DataFrame, source_graphs: DataFrame, settings: MatchSettings | None = None, embedder: Embedder | None = None) -> DataFrame:
     """One row per answer of a source with a graph.
 
     ``answers`` holds (response_id, source_id, entities, relations) and
-    ``source_graphs`` (source_id, kind, entities, relations). Grounding counts
-    raw entities; lists of the explanation stand in the order of raw names and
-    show normalised ones.
+    ``source_graphs`` (source_id, kind, entities, relations). An answer's graph
+    meets its source's in one join; the rest happens inside the row, so nothing
+    else moves. Tables of one row per entity, for graphs that do not fit a row,
+    are in ``match``. Grounding counts raw entities; lists of the explanation
+    stand in the order of raw names and show normalised ones.
     """
     settings = settings or MatchSettings()
-    refs, ref_triples = reference_graphs(source_graphs)
-    sizes = source_sizes(source_graphs, refs)
-
-    each = answers.select("response_id", "source_id", F.explode(F.array_distinct("entities")).alias("raw")).withColumn("norm", normalize(F.col("raw")))
-    raw_triples = answers.select("response_id", "source_id", F.explode(F.array_distinct("relations")).alias("raw"))
-    triples = raw_triples.select("*", *(normalize(F.col(f"raw.{c}")).alias(c) for c in "spo"))
-    ends = triples.select("source_id", F.explode(F.array("s", "o")).alias("norm")).withColumn("norm", normalize(F.col("norm")))
-    names = each.select("source_id", "norm").unionByName(ends)
-    vectors = None
+    raw_triple = F.transform("relations", lambda r: F.struct(r.alias("raw"), *(normalize(r[c]).alias(c) for c in "spo")))
+    ready = answers.select(
+        "response_id", "source_id",
+        F.array_sort(F.array_distinct(F.transform("entities", lambda e: F.struct(e.alias("raw"), normalize(e).alias("norm"))))).alias("names"),
+        F.array_sort(F.array_distinct(F.transform(raw_triple, lambda t: t.withField("gs", normalize(t["s"])).withField("go", normalize(t["o"]))))).alias("triples"),
+    )
+    rows = ready.join(references(source_graphs), "source_id")
+    refs, ref_triples = F.col("refs"), F.col("ref_triples")
     if embedder is not None:
-        vectors = embed_names(embedder, (names, "norm"), (refs, "ref"), (triples, "s"), (triples, "p"), (triples, "o"), (ref_triples, "s2"), (ref_triples, "p2"), (ref_triples, "o2"))
-    matches = match_entities(names, refs, settings, vectors)
-    aligned = align_relations(triples, ref_triples, matches, settings, vectors)
-
-    matched = each.join(matches, ["source_id", "norm"], "left")
-    grounding = matched.groupBy("response_id").agg(
-        F.count("*").alias("Va"),
-        F.count("ref").alias("n_matched"),
-        F.array_sort(F.collect_list(F.when(F.col("ref").isNotNull(), F.struct("raw", F.col("norm").alias("v"), "ref", "method")))).alias("m"),
-        F.array_sort(F.collect_list(F.when(F.col("ref").isNull(), F.struct("raw", "norm")))).alias("u"),
-    )
-    supported = triples.join(aligned.select("source_id", "s", "p", "o", F.lit(True).alias("held")), ["source_id", "s", "p", "o"], "left")
-    triple = F.struct("raw", "s", "p", "o")
-    preservation = supported.groupBy("response_id").agg(
-        F.count("*").alias("Ea"),
-        F.count("held").alias("n_supported"),
-        F.array_sort(F.collect_list(F.when(F.col("held"), triple))).alias("yes"),
-        F.array_sort(F.collect_list(F.when(F.col("held").isNull(), triple))).alias("no"),
-    )
-
-    def plain(column: str):
-        return F.coalesce(F.transform(column, lambda x: F.struct(x["s"].alias("s"), x["p"].alias("p"), x["o"].alias("o"))), F.array().cast(f"array<{TRIPLE}>"))
-
-    zero = F.lit(0).cast("long")
-    out = answers.select("response_id", "source_id").join(sizes, "source_id").join(grounding, "response_id", "left").join(preservation, "response_id", "left")
-    out = out.withColumns({c: F.coalesce(c, zero) for c in ("Va", "Ea", "n_matched", "n_supported")})
-    return out.select(
-        "response_id",
-        "source_id",
-        *SIZES,
-        F.try_divide(F.col("n_matched").cast("double"), F.col("Va")).alias("EG"),
-        F.try_divide(F.col("n_supported").cast("double"), F.col("Ea")).alias("RP"),
-        (F.col("Ea") > 0).alias("RP_defined"),
-        (F.col("Va") == 0).alias("unscorable"),
-        "ref_empty",
-        F.coalesce(F.transform("m", lambda x: F.struct(x["v"].alias("v"), x["ref"].alias("ref"), x["method"].alias("method"))), F.array().cast("array<struct<v:string,ref:string,method:string>>")).alias("matched_entities"),
-        F.coalesce(F.transform("u", lambda x: x["norm"]), F.array().cast("array<string>")).alias("ungrounded_entities"),
-        plain("yes").alias("supported_relations"),
-        plain("no").alias("unsupported_relations"),
-    )
+        rows = _with_vectors(rows, embedder)
+    none = F.lit(None).cast("string")
+
+    def similarity(a: Column, b: Column) -> Column:
+        return F.coalesce(cosine(F.try_element_at("vec", a), F.try_element_at("vec", b)), F.lit(-1.0))
+
+    def contained(a: Column, b: Column) -> Column:
+        return guarded_containment(a, b, settings.min_substring_chars, settings.stopwords)
+
+    def found(n: Column) -> Column:
+        """(ref, method) of the first tier in which a name matches."""
+        tiers = F.when(n == "", F.struct(none.alias("ref"), none.alias("method")))
+        tiers = tiers.when(F.array_contains(refs, n), F.struct(n.alias("ref"), F.lit("exact").alias("method")))
+        rest = F.struct(none.alias("ref"), none.alias("method"))
+        if embedder is not None:
+            near = F.array_min(F.transform(refs, lambda w: F.struct((-similarity(n, w)).alias("d"), w.alias("ref"))))
+            rest = F.when(-near["d"] >= settings.entity_threshold, F.struct(near["ref"].alias("ref"), F.lit("embedding").alias("method"))).otherwise(rest)
+        if settings.allow_substring:
+            inside = F.array_min(F.filter(refs, lambda w: contained(n, w)))
+            rest = F.when(F.exists(refs, lambda w: contained(n, w)), F.struct(inside.alias("ref"), F.lit("substring").alias("method"))).otherwise(rest)
+        return tiers.otherwise(rest)
+
+    def same(a: Column, b: Column) -> Column:
+        out = a == b
+        if settings.allow_substring:
+            out = out | contained(a, b)
+        return out if embedder is None else out | (similarity(a, b) >= settings.entity_threshold)
+
+    def supported(t: Column) -> Column:
+        def holds(r: Column) -> Column:
+            close = t["p"] == r["p2"]
+            if embedder is not None:
+                close = close | (similarity(t["p"], r["p2"]) >= settings.relation_threshold)
+            way = same(t["s"], r["s2"]) & same(t["o"], r["o2"])
+            if settings.accepts_inverse:
+                way = way | (same(t["s"], r["o2"]) & same(t["o"], r["s2"]))
+            return close & way
+
+        ends = (t["s"] != "") & (t["o"] != "") & found(t["gs"])["method"].isNotNull() & found(t["go"])["method"].isNotNull()
+        return ends & F.exists(ref_triples, holds)
+
+    rows = rows.withColumn("m", F.transform("names", lambda x: x.withField("hit", found(x["norm"]))))
+    rows = rows.withColumn("t", F.transform("triples", lambda t: F.struct(t["s"].alias("s"), t["p"].alias("p"), t["o"].alias("o"), F.coalesce(supported(t), F.lit(False)).alias("held"))))
+    yes, no = F.filter("m", lambda x: x["hit"]["ref"].isNotNull()), F.filter("m", lambda x: x["hit"]["ref"].isNull())
+    va, ea = F.size("m").cast("long"), F.size("t").cast("long")
+
+    def plain(held: bool) -> Column:
+        return F.transform(F.filter("t", lambda x: x["held"] == held), lambda x: F.struct(x["s"].alias("s"), x["p"].alias("p"), x["o"].alias("o")))
+
+    return rows.select(
+        "response_id", "source_id", "Vc", "Ec", "Vq", "Eq", va.alias("Va"), ea.alias("Ea"),
+        F.try_divide(F.size(yes).cast("double"), va).alias("EG"),
+        F.try_divide(F.size(F.filter("t", lambda x: x["held"])).cast("double"), ea).alias("RP"),
+        (ea > 0).alias("RP_defined"), (va == 0).alias("unscorable"), (F.size("refs") == 0).alias("ref_empty"),
+        F.transform(yes, lambda x: F.struct(x["norm"].alias("v"), x["hit"]["ref"].alias("ref"), x["hit"]["method"].alias("method"))).alias("matched_entities"),
+        F.transform(no, lambda x: x["norm"]).alias("ungrounded_entities"),
+        plain(True).alias("supported_relations"), plain(False).alias("unsupported_relations"),
+    )
 
 
 def evaluation_rows(instances: DataFrame, scores: DataFrame, alpha: float) -> DataFrame:

@@ -144,13 +144,16 @@ def sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
 
 
 def bootstrap_samples(df: DataFrame, key: str, n: int, seed: int, score: str = "H", label: str = "y") -> DataFrame:
-    """(b, h, y): ``n`` resamples with replacement, the size of the defined rows.
+    """(b, h, y): ``n`` resamples with replacement, the size of the defined
+    rows; none if there are fewer than three rows or two classes.
 
     Each draw is a hash of seed, resample and position, taken modulo the number
     of rows, and joins the numbered rows: no resample depends on another.
     """
-    kept = df.filter(finite(score)).select(F.col(key).alias("k"), F.col(score).cast("double").alias("h"), F.col(label).alias("y"))
-    total = kept.agg(F.count("*").alias("total"))
+    # Read four times below, whatever plan it comes from.
+    kept = df.filter(finite(score)).select(F.col(key).alias("k"), F.col(score).cast("double").alias("h"), F.col(label).alias("y")).persist()
+    # None, if there are not three rows and two classes.
+    total = kept.agg(F.count("*").alias("total"), F.count_distinct("y").alias("classes")).filter("total >= 3 and classes = 2").select("total")
     # Numbers in the order of the key: within ranges of its hash, after what the ranges before hold.
     part = F.substring(F.md5(F.col("k").cast("string")), 1, 2)
     parts = kept.groupBy(part.alias("part")).agg(F.count("*").alias("c"))
@@ -158,7 +161,7 @@ def bootstrap_samples(df: DataFrame, key: str, n: int, seed: int, score: str = "
     within = Window.partitionBy("part").orderBy(F.md5(F.col("k").cast("string")), "k")
     numbered = kept.withColumn("part", part).withColumn("r", F.row_number().over(within) - 1).join(F.broadcast(parts), "part")
     numbered = numbered.select((F.col("offset") + F.col("r")).alias("i"), "h", "y")
-    draws = total.filter("total > 0").select("total", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b")).repartition("b")
+    draws = total.select("total", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b")).repartition("b")
     draws = draws.select("total", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("j"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "j")), 1, 8), 16, 10).cast("long") % F.col("total")
     return draws.select("b", drawn.alias("i")).join(numbered, "i").select("b", "h", "y")
@@ -169,22 +172,15 @@ def _interval(values: DataFrame, column: str, ok: Column) -> DataFrame:
     return values.agg(p.alias("p")).select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
 
 
-def _enough(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Rows, if there are three and two classes."""
-    kept = df.filter(finite(score))
-    ok = kept.agg((F.count("*") >= 3).alias("many"), (F.count_distinct(label) == 2).alias("both")).filter("many and both").select(F.lit(1).alias("ok"))
-    return kept.join(F.broadcast(ok)).drop("ok")
-
-
 def bootstrap_auc(df: DataFrame, key: str, n: int, seed: int, score: str = "H", label: str = "y") -> DataFrame:
     """(lo, hi): 95 % interval of the AUC over resamples with both classes."""
-    drawn = bootstrap_samples(_enough(df, score, label), key, n, seed, score, label)
+    drawn = bootstrap_samples(df, key, n, seed, score, label)
     return _interval(auc(drawn, "h", "y", ["b"]), "AUC", F.col("AUC").isNotNull())
 
 
 def bootstrap_f1(df: DataFrame, theta: float, key: str, n: int, seed: int, score: str = "H", label: str = "y") -> DataFrame:
     """(lo, hi): 95 % interval of F1 at ``theta`` over resamples with both classes."""
-    drawn = bootstrap_samples(_enough(df, score, label), key, n, seed, score, label)
+    drawn = bootstrap_samples(df, key, n, seed, score, label)
     classes = drawn.groupBy("b").agg(F.count_distinct("y").alias("classes"))
     values = precision_recall(drawn, theta, "h", "y", ["b"]).join(classes, "b")
     return _interval(values, "F1", F.col("classes") == 2)
