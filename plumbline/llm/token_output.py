@@ -8,14 +8,12 @@ that any task can compute, and invert, by itself. A shard holds a fixed number
 of consecutive slots, a row for each with the same number of bytes, so slot s
 is row s mod k of shard s div k, and a reader can go on anywhere.
 
-It takes two passes over the same plan: one counts each partition's sequences
-(a number per partition comes to the driver), the other writes. As with any
-such numbering, the plan of ``docs`` must give the same partitions twice, as a
-scan of files does; the second pass fails rather than write if a count
-differs. Retried tasks then write the same rows.
+The cut sequences are written first, so the text is tokenized once, and the
+numbers rest on a table that no retry can change. The driver gets a count for
+each partition. Then each sequence moves once, to its shard.
 
 Ids are those of a public tokenizer's ranks file; texts that spell special
-tokens are ordinary text. Words are encoded once per task and kept, up to a
+tokens are ordinary text. Words are encoded once per worker and kept, up to a
 bound: runs of letters and the like never span a single space.
 
 Nulls and odd input: a null or empty text is an end token alone. Null ids
@@ -26,9 +24,12 @@ they come. An empty table gives no sequences. Extra columns are not looked at.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark import Broadcast, TaskContext
@@ -37,13 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import kernel as K
+from plumbline.llm.common import written
 
 LENGTH = 1024
 ROWS_PER_SHARD = 16384
 KEY = 20240229
 ROUNDS = 6
-#: Words whose ids a task keeps.
-CACHE_WORDS = 500_000
+#: Words whose ids a Python worker keeps, at some 200 bytes each.
+CACHE_WORDS = 1_000_000
 #: Files of byte-level vocabularies split text by this pattern (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -64,12 +66,12 @@ class Words(dict):
         self.encoding = encoding
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype=np.uint16).tobytes()
+        return array("H", self.encoding.encode_ordinary(text)).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = out = self.encode(f" {word}")
+        out = self.encode(" " + word)
+        if len(self) < CACHE_WORDS:  # frequent words come early
+            self[word] = out
         return out
 
     def text(self, text: str) -> bytes:
@@ -79,6 +81,12 @@ class Words(dict):
         return self.encode(head) + b"".join(map(self.__getitem__, rest))
 
 
+@lru_cache(maxsize=1)
+def words_of(lines: bytes) -> Words:
+    """One cache for all tasks that a Python worker runs."""
+    return Words(load_encoding(lines))
+
+
 def feistel(index: np.ndarray, n: int, key: int, backwards: bool = False) -> np.ndarray:
     """The slot of each index below ``n`` (or the index of each slot).
 
@@ -103,61 +111,33 @@ def feistel(index: np.ndarray, n: int, key: int, backwards: bool = False) -> np.
     return out.astype(np.int64)
 
 
-def _stream(batches: Iterator[pa.RecordBatch], words: Words, end: bytes) -> Iterator[tuple[object, bytes]]:
-    for batch in batches:
-        ids = batch.column(0)
-        for i, text in enumerate(batch.column(1)):
-            yield ids[i], words.text(text.as_py() or "") + end
-
-
-def _counts(docs: DataFrame, ranks: Broadcast, length: int, end_token: int) -> dict[int, int]:
-    end = np.array([end_token], dtype=np.uint16).tobytes()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(load_encoding(ranks.value))
-        total = sum(len(ids) for _, ids in _stream(batches, words, end)) // 2
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([-(-total // length)], pa.int64())], ["part", "n"])
-
-    return {r.part: r.n for r in docs.mapInArrow(count, "part long, n long").collect()}
-
-
-def token_sequences(docs: DataFrame, ranks_file: str, length: int = LENGTH, rows_per_shard: int = ROWS_PER_SHARD, key: int = KEY, end_token: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """All sequences, and how many there are: slot, shard, index, ``tokens``
-    (2 * length bytes, little-endian; the last of a partition is filled up with
-    end tokens), n_tokens without filling, and the ids of the documents in it."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    with open(ranks_file, "rb") as f:  # a vocabulary has a fixed size, about a megabyte
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
-    counts = _counts(narrow, ranks, length, end_token)
-    total = sum(counts.values())
-    starts, at = {}, 0
-    for part in sorted(counts):
-        starts[part] = at
-        at += counts[part]
+def _cut(docs: DataFrame, ranks: Broadcast, length: int, end_token: int) -> DataFrame:
+    """Sequences of each partition (part, number), in the order of its rows."""
     end = np.array([end_token], dtype=np.uint16).tobytes()
     size = 2 * length
+    id_type = docs.schema["id"].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        words = Words(load_encoding(ranks.value))
-        rest, owners, made, id_type = b"", [], 0, pa.null()
+        words = words_of(ranks.value)
+        rest, owners, made, kind = b"", [], 0, pa.null()
         pending: list[tuple[bytes, int, list]] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal pending
-            index = starts[part] + made - len(pending) + np.arange(len(pending))
-            slot = feistel(index, total, key)
-            flat = [x for _, _, ids in pending for x in ids]
+            n = len(pending)
             ends = np.concatenate(([0], np.cumsum([len(ids) for _, _, ids in pending]))).astype(np.int32)
-            columns = [pa.array(slot), pa.array(slot // rows_per_shard), pa.array(index), pa.array([t for t, _, _ in pending], pa.binary()), pa.array([n for _, n, _ in pending], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, id_type))]
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array([x for _, _, own in pending for x in own], kind))
+            columns = [pa.array(np.full(n, part)), pa.array(made - n + np.arange(n)), pa.array([t for t, _, _ in pending], pa.binary()), pa.array([k for _, k, _ in pending], pa.int64()), ids]
             pending = []
-            return pa.RecordBatch.from_arrays(columns, ["slot", "shard", "index", "tokens", "n_tokens", "ids"])
+            return pa.RecordBatch.from_arrays(columns, ["part", "number", "tokens", "n_tokens", "ids"])
 
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            for own, ids in _stream(iter([batch]), words, end):
-                ids = rest + ids
-                owners.append(own.as_py())
+            kind = batch.schema.field(0).type
+            own_ids = batch.column(0).to_pylist()
+            for own, text in zip(own_ids, batch.column(1)):
+                ids = rest + words.text(text.as_py() or "") + end
+                owners.append(own)
                 at = 0
                 while len(ids) - at >= size:
                     pending.append((ids[at : at + size], length, owners))
@@ -170,14 +150,36 @@ def token_sequences(docs: DataFrame, ranks_file: str, length: int = LENGTH, rows
         if rest:
             pending.append((rest + end * ((size - len(rest)) // 2), len(rest) // 2, owners))
             made += 1
-        if made != counts.get(part):
-            raise RuntimeError(f"partition {part} gave {made} sequences after {counts.get(part)}: docs must give the same partitions twice")
         if pending:
             yield flush()
 
-    fields = [T.StructField(n, T.LongType()) for n in ("slot", "shard", "index")]
-    schema = T.StructType([*fields, T.StructField("tokens", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(narrow.schema["id"].dataType))])
-    return narrow.mapInArrow(cut, schema), total
+    fields = [("part", T.LongType()), ("number", T.LongType()), ("tokens", T.BinaryType()), ("n_tokens", T.LongType()), ("ids", T.ArrayType(id_type))]
+    return docs.mapInArrow(cut, T.StructType([T.StructField(*f) for f in fields]))
+
+
+def token_sequences(docs: DataFrame, ranks_file: str, length: int = LENGTH, rows_per_shard: int = ROWS_PER_SHARD, key: int = KEY, end_token: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """All sequences, and how many there are: slot, shard, index, ``tokens``
+    (2 * length bytes, little-endian; the last of a partition is filled up with
+    end tokens), n_tokens without filling, and the ids of the documents in it."""
+    spark = docs.sparkSession
+    with open(ranks_file, "rb") as f:  # a vocabulary has a fixed size, about a megabyte
+        ranks = spark.sparkContext.broadcast(f.read())
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    cut = written(_cut(narrow, ranks, length, end_token), "tokens")
+    counts = {r["part"]: r["n"] for r in cut.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    starts, total = [], 0
+    for part in sorted(counts):
+        starts.append((part, total))
+        total += counts[part]
+    # A row for each partition of the input, 16 bytes.
+    offsets = F.broadcast(spark.createDataFrame(starts, "part long, first long"))
+
+    @F.pandas_udf("long")
+    def slot_of(index: pd.Series) -> pd.Series:
+        return pd.Series(feistel(index.to_numpy(), total, key))
+
+    rows = cut.join(offsets, "part").withColumn("index", F.col("first") + F.col("number")).withColumn("slot", slot_of("index"))
+    return rows.select("slot", F.expr(f"slot div {rows_per_shard}").alias("shard"), "index", "tokens", "n_tokens", "ids"), total
 
 
 def write_shards(sequences: DataFrame, total: int, path: str, rows_per_shard: int = ROWS_PER_SHARD) -> None:
