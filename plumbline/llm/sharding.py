@@ -138,7 +138,8 @@ class ShardStore:
         planned = plan.select(F.col("path").alias("planned_path"), F.col("run").alias(run))
         merged = source.join(planned, F.col(path) == F.col("planned_path")).drop("planned_path")
         folder = f"{self.path}/shards/c{base + 1:08d}-{uuid.uuid4().hex}"
-        dealt = merged.repartition(n_runs, run).sortWithinPartitions(run, path, row).drop(path, row)
+        # Runs are numbered from 0: each is a partition, and so a task and a file.
+        dealt = merged.repartitionById(n_runs, F.col(run).cast("int")).sortWithinPartitions(path, row).drop(path, row)
         dealt.write.partitionBy(run).option("compression", "zstd").parquet(folder)
         kept = live.join(plan.select("path"), "path", "left_anti")
         self._commit(base, kept.unionByName(self._listed(folder, schema)), schema)
