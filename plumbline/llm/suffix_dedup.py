@@ -364,7 +364,8 @@ def cut_repeats(docs: DataFrame, length: int = 200, keep: str = "none", id_col:
 
     # Contexts found whole elsewhere are repeats throughout; with keep="first", but for the first of them.
     judged = groups.select("context", F.col("sites").alias("n_sites"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"))
-    judged = judged.join(verdicts, "context", "left")
+    # Written, so that the join can split a context that very many texts share.
+    judged = written(judged.join(verdicts, "context", "left").filter((F.col("n_sites") > 1) | (F.size("lo") > 0)), "judged")
     each = sites.select("context", "row", "start", "many").join(judged, "context")
     whole = F.col("n_sites") > 1
     if keep == "first":
