@@ -1,8 +1,11 @@
 """The corpus pipeline: from documents to shards of training text, in five stages.
 
 Each stage takes the Parquet its predecessor left and returns what it keeps.
-All but the last return the columns of ``documents``; the last adds the shard
-and the place in it.
+The first three return the columns of ``documents``. Mixing adds each row's slot
+and its place in the slot as the last two columns, since files that are read
+again have no order; the last stage puts the rows in that order, and adds the
+shard and the place in it instead. Shards by path, and rows by place, are the
+schedule.
 """
 
 from __future__ import annotations
@@ -29,15 +32,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in an order that follows the sources' target weights."""
-    return mixing.mix_documents(docs)
+    """All documents, with their slot in a schedule of the sources' target weights and the place in it."""
+    return mixing.with_slots(docs)
 
 
 def shard_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, read back from compacted shards, with their shard and place."""
+    """All documents in the order of their slots, read back from compacted shards, with their shard and place."""
     store = sharding.ShardStore(spark, shared_folder(spark, "shards"))
-    store.append(docs)
-    version = store.compact()
+    store.append(mixing.in_order(docs))
+    version = store.compact(ordered=True)
     return store.read(version, places=True)
 
 

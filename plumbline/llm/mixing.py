@@ -167,8 +167,19 @@ def mixture_order(docs: DataFrame, weights: Mapping[str | None, float] | None =
     return df.select(id_col, source_col, F.col(n["block"]).alias("block"), F.col(n["slot"]).alias("slot"), F.col(n["at"]).alias("at"))
 
 
+def with_slots(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", seed: int = 0) -> DataFrame:
+    """``docs`` with two more columns at the end, by which ``in_order`` sorts
+    them, also after they were written and read again."""
+    df, n = _scheduled(docs, weights, block_chars, source_col, text_col, id_col, seed)
+    return df.select(*docs.columns, n["slot"], n["at"])
+
+
+def in_order(slotted: DataFrame) -> DataFrame:
+    """Rows of ``with_slots`` in the order of the schedule, without its columns."""
+    *columns, slot, at = slotted.columns
+    return slotted.repartitionByRange(slot, at).sortWithinPartitions(slot, at).select(*columns)
+
+
 def mix_documents(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", seed: int = 0) -> DataFrame:
     """``docs`` in the order of the schedule: partitions are ranges of slots."""
-    df, n = _scheduled(docs, weights, block_chars, source_col, text_col, id_col, seed)
-    by = [n["slot"], n["at"], n["order"]]
-    return df.select(*docs.columns, *by).repartitionByRange(*by).sortWithinPartitions(*by).select(*docs.columns)
+    return in_order(with_slots(docs, weights, block_chars, source_col, text_col, id_col, seed))

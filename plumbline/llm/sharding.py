@@ -4,7 +4,10 @@ A store is a folder. ``append`` writes arrivals as small immutable shards, as
 the tasks hand them over. ``compact`` puts live shards of similar size (a tier
 is a range of sizes) into runs of up to the target size and writes each run as
 one new file, in the order of its shards; shards that have reached the target
-stay. Both end by committing a manifest, the list of live shards: it is
+stay. ``compact(ordered=True)`` keeps the rows in the order of the arrivals'
+tasks: only neighbours meet in a run, whatever their tiers, and all shards are
+written anew, numbered in that order, unless there is nothing to merge. So
+after one append of sorted rows, paths and places are that order. Both end by committing a manifest, the list of live shards: it is
 written aside, and its version becomes visible by creating one small file,
 which fails if another writer has committed that version. Readers follow the
 newest version, so they see all of a change or none of it; shards of older
@@ -39,6 +42,9 @@ TIER_FACTOR = 4
 #: Shards of one tier from which a run is merged.
 MIN_RUN = 2
 
+#: Runs are numbered from here, so that their paths sort as their numbers.
+FIRST_RUN = 10_000_000
+
 MANIFEST = "path string, rows long, bytes long, tier int"
 
 
@@ -108,38 +114,59 @@ class ShardStore:
             live = self.manifest(base).unionByName(live)
         return self._commit(base, live, arrivals.schema)
 
-    def compact(self) -> int:
-        """Merge runs of similar shards until no tier has one; returns the newest version."""
+    def compact(self, ordered: bool = False) -> int:
+        """Merge runs of similar shards until no tier has one; returns the newest
+        version. ``ordered`` merges runs of neighbours instead."""
         while True:
             versions = self.versions()
             if not versions:
                 return 0
             base = versions[-1]
             live = self.manifest(base)
-            # In each tier, shards in the order of arrival fill runs up to the target.
-            small = live.filter("tier >= 0")
-            order = Window.partitionBy("tier").orderBy("path")
-            run = F.floor((F.sum("bytes").over(order) - F.col("bytes")) / self.target_bytes)
-            runs = small.select("path", "tier", run.alias("part"))
-            many = runs.groupBy("tier", "part").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_RUN)
-            number = F.row_number().over(Window.orderBy("tier", "part")) - 1
-            plan = runs.join(many.select("tier", "part", number.alias("run")), ["tier", "part"]).select("path", "run")
-            n_runs = many.count()
-            if not n_runs:
+            plan = self._neighbours(live) if ordered else self._tiers(live)
+            n_runs = plan.agg(F.max("run")).first()[0]
+            if n_runs is None:
                 return base
-            self._merge(base, live, plan, n_runs)
+            self._merge(base, live, plan, n_runs + 1)
+
+    def _tiers(self, live: DataFrame) -> DataFrame:
+        """Shards to merge (path, run, turn): in each tier, shards in the order
+        of arrival fill runs up to the target."""
+        small = live.filter("tier >= 0")
+        order = Window.partitionBy("tier").orderBy("path")
+        run = F.floor((F.sum("bytes").over(order) - F.col("bytes")) / self.target_bytes)
+        runs = small.select("path", "tier", run.alias("part"))
+        many = runs.groupBy("tier", "part").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_RUN)
+        number = F.row_number().over(Window.orderBy("tier", "part")) - 1
+        return runs.join(many.select("tier", "part", number.alias("run")), ["tier", "part"]).select("path", "run", F.lit(0).alias("turn"))
+
+    def _neighbours(self, live: DataFrame) -> DataFrame:
+        """All shards (path, run, turn) in order, where small neighbours fill
+        runs up to the target; none if no two would meet."""
+        parts = [F.regexp_extract("path", pattern, 1) for pattern in (r"/shards/[ac](\d+)-", r"=(\d+)/[^/]*$", r"/part-(\d+)-", r"[.-]c(\d+)\.[^/-]*$")]
+        number = F.struct(*[F.when(x != "", x.cast("long")).alias(f"n{i}") for i, x in enumerate(parts)])
+        shards = live.select("path", "bytes", (F.col("tier") < 0).cast("long").alias("full"), number.alias("number"))
+        order = Window.orderBy("number", "path")
+        shards = shards.select("*", F.row_number().over(order).alias("turn"), F.sum("full").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
+        filled = F.sum("bytes").over(Window.partitionBy("stretch", "full").orderBy("turn")) - F.col("bytes")
+        part = F.when(F.col("full") == 1, F.lit(-1)).otherwise(F.floor(filled / self.target_bytes))
+        shards = shards.select("path", "turn", "stretch", part.alias("part"))
+        run = F.dense_rank().over(Window.orderBy("stretch", "part")) - 1
+        runs = shards.select("path", "turn", run.alias("run"))
+        merges = runs.groupBy("run").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).filter(F.col("most") >= MIN_RUN)
+        return runs.join(F.broadcast(merges)).select("path", "run", "turn")
 
     def _merge(self, base: int, live: DataFrame, plan: DataFrame, n_runs: int) -> None:
         schema = self.schema(base)
-        run, path, row = fresh(self.read(base), "run", "path", "row")
+        run, turn, path, row = fresh(self.read(base), "run", "turn", "path", "row")
         files = self._files(schema, base)
         meta = files.metadataColumn("_metadata")
         source = files.select("*", meta["file_path"].alias(path), meta["row_index"].alias(row))
-        planned = plan.select(F.col("path").alias("planned_path"), F.col("run").alias(run))
+        planned = plan.select(F.col("path").alias("planned_path"), (F.col("run") + FIRST_RUN).cast("int").alias(run), F.col("turn").alias(turn))
         merged = source.join(planned, F.col(path) == F.col("planned_path")).drop("planned_path")
         folder = f"{self.path}/shards/c{base + 1:08d}-{uuid.uuid4().hex}"
-        # Runs are numbered from 0: each is a partition, and so a task and a file.
-        dealt = merged.repartitionById(n_runs, F.col(run).cast("int")).sortWithinPartitions(path, row).drop(path, row)
+        # Each run is a partition, and so a task and a file. The run comes first, or the writer sorts again.
+        dealt = merged.repartitionById(n_runs, F.col(run) - FIRST_RUN).sortWithinPartitions(run, turn, path, row).drop(turn, path, row)
         dealt.write.partitionBy(run).option("compression", "zstd").parquet(folder)
         kept = live.join(plan.select("path"), "path", "left_anti")
         self._commit(base, kept.unionByName(self._listed(folder, schema)), schema)
