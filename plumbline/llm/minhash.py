@@ -12,9 +12,13 @@ and not w processes.
 
 Bands of the signature make buckets. A bucket's leader is the text with most
 company over all its buckets, usually what the others were copied from; every
-member is compared with the leader by exact multiset overlap. Members of other
-components get a second leader. Then links make components. Nothing emits
-pairs within a bucket: the candidates are at most two for each row of it.
+member is compared with the leader by exact multiset overlap, and links make
+components. Where a bucket's members are in several components, those outside
+its largest lead in their turn, in rounds of 1, 2, 4, ... leaders a bucket,
+each compared with all members of other components, until the members that
+have not led are of one component. So every two texts that share a bucket are
+compared or of one class; the rounds grow with the logarithm of a bucket's
+size, and pairs of one component are never emitted.
 
 Exact copies are one text from the start, whatever their number. Buckets are
 counted and led by map-side combined aggregates. Texts move once, keyed by
@@ -35,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.llm import kernel as K
 from plumbline.llm.common import fresh, text_key, written
@@ -202,6 +207,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
 def near_duplicate_links(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """Verified links (a, b, sim) between different texts, by text key."""
+    return _linked(docs, text_col, threshold, bands, rows, shingle)[0]
+
+
+def _linked(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Links, enough to make the classes, and the components (node, root) they make."""
     keyed = docs.select(text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,22 +238,36 @@ def near_duplicate_links(docs: DataFrame, text_col: str = "text", threshold: flo
     tested = written(_verified(pairs, texts, shingle), "tested")
     links = tested.filter(F.col("sim") >= threshold)
 
-    # Buckets whose members are in several components get a second leader, from outside the first one's.
+    # Members of several components: who has led is done, until the others are of one.
     roots = connected_components(links)
-    labelled = each.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    main = first.join(labelled.select("bucket", F.col("key").alias("leader"), F.col("root").alias("main")), ["bucket", "leader"])
-    outside = labelled.join(main.select("bucket", "main"), "bucket").filter("root <> main")
-    second = outside.groupBy("bucket").agg(F.max(F.struct("company", "key", "root")).alias("s")).select("bucket", F.col("s.key").alias("leader"), F.col("s.root").alias("leader_root"))
-    again = labelled.join(second, "bucket").filter("root <> leader_root").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-    more = written(_verified(again.join(tested, ["a", "b"], "left_anti"), texts, shingle), "tested")
-    return links.unionAll(more.filter(F.col("sim") >= threshold))
+    led = first.select("bucket", F.col("leader").alias("key"))
+    leaders = 1
+    while True:
+        labelled = each.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        by_root = labelled.join(led, ["bucket", "key"], "left_anti").groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        main = by_root.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("n", "root")).alias("main")).filter("n > 1").select("bucket", F.col("main.root").alias("main"))
+        mixed = written(labelled.join(main, "bucket"), "mixed")
+        if mixed.isEmpty():
+            return links, roots
+        others = mixed.filter("root <> main").join(led, ["bucket", "key"], "left_anti")
+        turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("company"), "key"))
+        chosen = written(others.withColumn("turn", turn).filter(F.col("turn") <= leaders).select("bucket", F.col("key").alias("leader"), F.col("root").alias("leader_root")), "leaders")
+        again = mixed.join(chosen, "bucket").filter("root <> leader_root").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
+        more = written(_verified(again.join(tested, ["a", "b"], "left_anti"), texts, shingle), "tested")
+        tested = tested.unionAll(more)
+        new = more.filter(F.col("sim") >= threshold)
+        if not new.isEmpty():
+            links = links.unionAll(new)
+            roots = connected_components(links)
+        led = led.unionAll(chosen.select("bucket", F.col("leader").alias("key")))
+        leaders *= 2
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """For each row: ``id_col``, ``key`` of its text, ``class_id`` (the smallest
     id in its class), ``class_size`` in rows, and ``kept``: whether it is the
     one that stands for its class, the first by id and text key."""
-    roots = connected_components(near_duplicate_links(docs, text_col, **options))
+    _, roots = _linked(docs, text_col, **options)
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"))
     rooted = rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"), F.count("*").alias("class_size"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import sharding
+from plumbline.llm import minhash, sharding
 from plumbline.llm.common import shared_folder
 
 
@@ -35,3 +35,17 @@ def test_ordered_runs_keep_the_order(spark, target):
     assert len({r.shard for r in placed}) > 2
     assert [r.doc_id for r in sorted(placed, key=lambda r: (r.shard, r.place))] == list(range(1200))
     assert store.compact(ordered=True) == version
+
+
+def test_pairs_among_a_templates_texts_are_found(spark):
+    """Texts that share most of a template, in many pairs of near copies."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    template, rows = [word() for _ in range(200)], []
+    for _ in range(40):
+        own = template + [word() for _ in range(42)]
+        rows += [" ".join(own), " ".join([*own, word(), word(), word()])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    # Two texts of different pairs share 196 of 280 and more shingles, 0.7 at most.
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
