@@ -7,8 +7,13 @@ depth is no limit. The renderer collapses white space, separates blocks by
 line breaks and paragraphs by an empty line, numbers and indents lists, keeps
 ``pre`` as it stands, and sets tables with aligned columns.
 
-Invisible are the head, comments, scripts, styles, templates and the like, and
-any element with ``hidden``, ``display:none`` or ``visibility:hidden``.
+Invisible are the head, comments, scripts, styles, templates, media with their
+fallbacks, inputs, and any element with ``hidden``, ``display:none`` or ``visibility:hidden``.
+MathML and the text of SVG are visible, without annotations and titles,
+descriptions, definitions and metadata; so are a textarea's content and the
+options a select shows: the selected ones, else the first unless it is a list
+box (``multiple`` or ``size``), which shows all. Self-closed elements of SVG
+and MathML have no content.
 
 Nulls and odd input: null gives an empty text, as does an empty page. Text
 without tags is one paragraph. Unclosed comments and raw elements run to the
@@ -29,12 +34,20 @@ from pyspark.sql import types as T
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+END_SELECT = re.compile(r"</?select(?=[\s/>])", re.I)
 SPACE = re.compile(r"[ \t\n\f\r]+")
 UNSEEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math select datalist textarea input".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist input".split())
+#: Invisible inside svg or math.
+FOREIGN = frozenset("svg math".split())
+FOREIGN_UNSEEN = frozenset("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient annotation annotation-xml".split())
+#: HTML stands inside these again.
+INTEGRATION = frozenset("foreignobject title desc annotation-xml mtext mi mo mn ms".split())
+#: These end an svg or math that they stand in.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset details menu dir".split())
 BLOCK = PARAGRAPH | frozenset("html body div section article aside header footer nav main address form li dt dd center figcaption hgroup legend summary search caption tr option optgroup listing xmp".split())
 #: A start tag closes these open elements, up to the nearest of its borders.
@@ -155,6 +168,8 @@ class Page:
     def __init__(self) -> None:
         self.sink = Sink()
         self.open: list[tuple[str, bool, object]] = []  # tag, unseen, what its end undoes
+        self.foreign: list[bool] = []  # of each open element: whether its children are SVG or MathML
+        self.options: list[tuple[int, int | None]] = []  # of each open select: options so far, and the one that shows, None for all
         self.unseen = 0
         self.tables: list[tuple[Table, Sink]] = []
         self.lists: list[int | None] = []  # next number, or None for bullets
@@ -174,7 +189,11 @@ class Page:
         else:
             self.sink.text(s)
 
-    def start(self, tag: str, attributes: str) -> None:
+    def start(self, tag: str, attributes: str) -> bool:
+        """Whether an element was opened."""
+        if tag in BREAKOUT and self.foreign and self.foreign[-1]:
+            self._close_until(next((i + 1 for i in range(len(self.open) - 1, -1, -1) if not self.foreign[i]), 0))
+        foreign = tag in FOREIGN or bool(self.foreign and self.foreign[-1])
         if tag not in HEAD_TAGS and any(t == "head" for t, _, _ in self.open[-3:]):
             self._close_until(len(self.open) - 1 - next(i for i, x in enumerate(reversed(self.open)) if x[0] == "head"))
         if tag in CLOSES:
@@ -183,7 +202,11 @@ class Page:
         if tag in BLOCK:
             self._close_within(frozenset(["p"]), frozenset("table td th caption button".split()))
         values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
-        unseen = tag in UNSEEN or "hidden" in values or bool(values.get("style") and UNSEEN_STYLE.search(values["style"]))
+        unseen = tag in UNSEEN or foreign and tag in FOREIGN_UNSEEN or "hidden" in values or bool(values.get("style") and UNSEEN_STYLE.search(values["style"]))
+        if tag == "option" and self.options:
+            n, shown = self.options[-1]
+            self.options[-1] = (n + 1, shown)
+            unseen = unseen or shown is not None and n != shown
         if not self.unseen and not unseen:
             if tag == "br":
                 self.sink.line_break()
@@ -192,13 +215,28 @@ class Page:
             elif tag in BLOCK:
                 nested = tag in ("ul", "ol", "menu", "dir") and self.lists
                 self.sink.break_lines(2 if tag in PARAGRAPH and not nested else 1)
-        if tag in VOID:
-            return
+            elif tag == "textarea" or tag == "text" and foreign:
+                self.sink.break_lines(1)
+        if tag in VOID or foreign and attributes.endswith("/"):
+            return False
         undo: object = None
         if not self.unseen and not unseen:
             undo = self._enter(tag, values)
         self.open.append((tag, unseen, undo))
+        self.foreign.append(foreign and tag not in INTEGRATION)
         self.unseen += unseen
+        return True
+
+    def select(self, attributes: str, content: str) -> None:
+        """Note which option of the select just opened shows, from the source after its tag."""
+        values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
+        if "multiple" in values or re.fullmatch(r"0*([2-9]|[1-9]\d+)", values.get("size", "")):
+            self.options.append((0, None))
+            return
+        found = [{k.lower() for k, _ in ATTRIBUTE.findall(t[3])} for t in TOKEN.finditer(content) if t[2] and not t[1] and t[2].lower() == "option"]
+        chosen = [i for i, names in enumerate(found) if "selected" in names]
+        enabled = [i for i, names in enumerate(found) if "disabled" not in names]
+        self.options.append((0, chosen[-1] if chosen else enabled[0] if enabled else -1))
 
     def _enter(self, tag: str, values: dict[str, str]) -> object:
         if tag in ("ul", "menu", "dir"):
@@ -219,7 +257,7 @@ class Page:
             before = self.sink.indent
             self.sink.indent = before + "  "
             return before
-        elif tag in ("pre", "listing", "xmp"):
+        elif tag in ("pre", "listing", "xmp", "textarea"):
             self.pre += 1
             self.fresh_pre = True
         elif tag == "table":
@@ -260,7 +298,10 @@ class Page:
     def _close_until(self, depth: int) -> None:
         while len(self.open) > depth:
             tag, unseen, undo = self.open.pop()
+            self.foreign.pop()
             self.unseen -= unseen
+            if tag == "select" and self.options:
+                self.options.pop()
             if self.unseen or unseen:
                 continue
             if tag in ("ul", "ol", "menu", "dir") and self.lists:
@@ -269,9 +310,12 @@ class Page:
             elif tag in ("li", "dd", "blockquote"):
                 self.sink.indent, self.sink.mark = undo or "", ""
                 self.sink.break_lines(2 if tag == "blockquote" else 1)
-            elif tag in ("pre", "listing", "xmp"):
+            elif tag in ("pre", "listing", "xmp", "textarea"):
                 self.pre -= 1
-                self.sink.break_lines(2)
+                self.fresh_pre = False
+                self.sink.break_lines(1 if tag == "textarea" else 2)
+            elif tag == "text":
+                self.sink.break_lines(1)
             elif tag in ("td", "th") and self.tables and undo:
                 (across, down), self.lists, self.pre = undo
                 text = self.sink.result()
@@ -304,13 +348,20 @@ def render(page: str | None) -> str:
             out.text(source[at : token.start()])
         at = token.end()
         if token[2] is None:
+            if token[0].startswith("<![CDATA[") and out.foreign and out.foreign[-1]:
+                stop = source.find("]]>", token.start())
+                at = stop + 3 if stop >= 0 else len(source)
+                out.text(html.escape(source[token.start() + 9 : stop if stop >= 0 else at]))
             continue
         tag = token[2].lower()
         if token[1]:
             out.end(tag)
             continue
-        out.start(tag, token[3])
-        if tag in RAW:
+        opened = out.start(tag, token[3])
+        if tag == "select":
+            stop = END_SELECT.search(source, at)
+            out.select(token[3], source[at : stop.start() if stop else len(source)])
+        if tag in RAW and opened:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
             out.text(source[at : stop.start()])
             at = stop.end()

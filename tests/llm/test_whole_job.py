@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import minhash, sharding
+from plumbline.llm import html_text, minhash, sharding
 from plumbline.llm.common import shared_folder
 
 
@@ -49,3 +49,22 @@ def test_pairs_among_a_templates_texts_are_found(spark):
     # Two texts of different pairs share 196 of 280 and more shingles, 0.7 at most.
     got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(docs).collect()}
     assert got == {i: i - i % 2 for i in range(80)}
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body>a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> b", "a x=1 b"),
+        ("<p>a<svg><title>no</title><defs><text>no</text></defs><g><text>one</text><text>two</text></g></svg>", "a\none\ntwo"),
+        ("<body>a<svg width='1' /> b<math/> c<svg><path d=''/><title/><text>d</text></svg>", "a b c\nd"),
+        ("<body><svg><path><p>left</p> more", "left\n\nmore"),
+        ("<svg><text><![CDATA[a &lt; b > c]]></text></svg>", "a &lt; b > c"),
+        ("<select><option>a<option selected>b<option>c</select>d", "b\nd"),
+        ("<select><option disabled>a<option>b<option>c</select>", "b"),
+        ("<select multiple><option>a<option>b</select>", "a\nb"),
+        ("<p>x <textarea>\n one\n<b>two</textarea> y", "x\n one\n<b>two\ny"),
+        ("<body>a<textarea></textarea><pre>\nb</pre>", "a\n\nb"),
+    ],
+)
+def test_formulas_drawings_and_forms_show(page, text):
+    assert html_text.render(page) == text
