@@ -5,11 +5,14 @@ i-th block of a source of weight w is released at slot floor(i / w) and due by
 slot ceil((i + 1) / w). Earliest deadline first meets all deadlines, so in any
 prefix of the schedule each source is less than one block off its weight.
 
-Weights are shares of ``PERIOD`` slots, which makes the schedule periodic: one
-period is worked out on the driver, and a block's slot follows from its number
-by arithmetic, in a join with that period's table. A source that runs out ends
-a phase; the others go on with their weights scaled up. No document is dropped
-or repeated: the weights decide the order.
+Weights are exact. When sources run out, the others go on with their weights
+scaled up: by virtual time v a source of n blocks has had min(w * v, n), and
+slot T(v) is the sum of these, so block i is released at floor(T(i / w)) and
+due by ceil(T((i + 1) / w)), in whole numbers throughout. A source is less than
+one block off its share at every slot, however long the schedule is. One task
+works it out from a row per source; it keeps a few numbers for each source, and
+hands out slots by the thousand, which are joined to the blocks. No document
+is dropped or repeated: the weights decide the order.
 
 Within a source, documents stand in the order of a hash. Their places are
 running sums of sizes, made in two levels, so that a source with a third of
@@ -25,23 +28,26 @@ empty result. Extra columns pass through ``mix_documents``.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import fresh, text_key
 
-#: Slots of a period, the unit of weights. At least four for each source.
+#: Slots of a period in ``phases``, which plans with whole shares; the operator does not.
 PERIOD = 4096
 #: Size of a block in code points.
 BLOCK_CHARS = 100_000
-#: Rows of the period table up to which it is broadcast: about 3 MB.
-BROADCAST_ROWS = 100_000
-#: Sources whose sizes may come to the driver.
-MAX_SOURCES = 1000
+#: Blocks whose slots make a row.
+PART = 1024
+#: Blocks and sources up to which their slots are broadcast: about 10 MB.
+BROADCAST_BLOCKS = 1_000_000
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -102,34 +108,86 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int
     return out
 
 
+def schedule(blocks: Sequence[int], weights: Sequence[float]) -> Iterator[tuple[int, int]]:
+    """(source, block) of each slot, by earliest deadline first with exact weights."""
+    exact = [Fraction(w) for w in weights]
+    unit = math.lcm(*(w.denominator for w in exact)) if exact else 1
+    whole = [int(w * unit) for w in exact]
+    by_end = sorted((s for s, n in enumerate(blocks) if n), key=lambda s: Fraction(blocks[s], whole[s]))
+    ends = [blocks[s] / whole[s] for s in by_end]
+    # Up to the k-th end, T(v) = over[k] + rate[k] * v; T is the least of these.
+    over, rate = [0], [sum(whole[s] for s in by_end)]
+    for s in by_end:
+        over.append(over[-1] + blocks[s])
+        rate.append(rate[-1] - whole[s])
+
+    def passed(i: int, s: int, up: bool) -> int:
+        """T(i / w) of a source, rounded."""
+        k, w = bisect.bisect_left(ends, i / whole[s]), whole[s]
+        at = over[k] * w + rate[k] * i
+        for step in (1, -1):
+            while 0 <= k + step < len(over) and (x := over[k + step] * w + rate[k + step] * i) < at:
+                k, at = k + step, x
+        return -(-at // w) if up else at // w
+
+    waiting = [(0, s, 0) for s in by_end]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int]] = []
+    for slot in range(over[-1]):
+        while waiting and waiting[0][0] <= slot:
+            _, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (passed(i + 1, s, True), s, i))
+        due, s, i = heapq.heappop(ready)
+        assert due > slot
+        yield s, i
+        if i + 1 < blocks[s]:
+            heapq.heappush(waiting, (max(slot + 1, passed(i + 1, s, False)), s, i + 1))
+
+
+def _slots(totals: DataFrame, given: Mapping[str, float] | None, block_chars: int) -> DataFrame:
+    """Rows (p_pool, p_part, p_slots) with the slots of ``PART`` blocks each, of pools (pool, total)."""
+    least = min(given.values(), default=1.0) if given is not None else 0.0
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["pool"], r["total"]) for batch in batches for r in batch.to_pylist())
+        sizes = [-(-n // block_chars) for _, n in rows]
+        weights = [float(n) ** 0.7 for _, n in rows] if given is None else [given.get(s, least) for s, _ in rows]
+        last = sum(sizes)
+        filled: list[list[int]] = [[] for _ in rows]
+        out: list[tuple[str, int, list[int]]] = []
+        for slot, (s, i) in enumerate(schedule(sizes, weights)):
+            filled[s].append(slot)
+            if (i + 1) % PART == 0 or i + 1 == sizes[s]:
+                out.append((rows[s][0], i // PART, filled[s]))
+                filled[s] = []
+            if out and (len(out) >= 1000 or slot + 1 == last):
+                pools, parts, slots = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(pools, pa.string()), pa.array(parts, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], ["p_pool", "p_part", "p_slots"])
+                out = []
+
+    return totals.repartition(1).mapInArrow(plan, "p_pool string, p_part long, p_slots array<long>")
+
+
 def tempered(sizes: Mapping[str, int], power: float = 0.7) -> dict[str, float]:
     """Target weights that flatten the sources' sizes."""
     return {s: float(n) ** power for s, n in sizes.items()}
 
 
 def _scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None, block_chars: int, source_col: str, text_col: str, id_col: str, seed: int) -> tuple[DataFrame, dict[str, str]]:
-    spark = docs.sparkSession
-    wanted = ("pool", "size", "order", "chunk", "before", "block", "slot", "at", "key", "c_pool", "c_chunk", "c_total", "c_before", "p_pool", "p_phases", "p_now")
+    wanted = ("pool", "size", "order", "chunk", "before", "block", "slot", "at", "key", "c_pool", "c_chunk", "c_total", "c_before", "p_pool", "p_part", "p_slots")
     names = dict(zip(wanted, fresh(docs, *wanted)))
-    pool, size, order, chunk, before, block, slot, at, key, c_pool, c_chunk, c_total, c_before, p_pool, p_phases, p_now = names.values()
+    pool, size, order, chunk, before, block, slot, at, key, c_pool, c_chunk, c_total, c_before, p_pool, p_part, p_slots = names.values()
     df = docs.withColumn(pool, F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null")))
     df = df.withColumn(size, F.greatest(F.coalesce(F.length(text_col), F.lit(0)), F.lit(1)).cast("long"))
     df = df.withColumn(key, text_key(F.col(text_col)))
     df = df.withColumn(order, F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(key)))
-    found = df.groupBy(pool).agg(F.sum(size).alias("total"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
-    totals = {r[0]: r["total"] for r in found}
+    totals = df.groupBy(F.col(pool).alias("pool")).agg(F.sum(size).alias("total"), F.count("*").alias("n"))
+    most, n_blocks = totals.agg(F.max("n"), F.sum(F.ceil(F.col("total") / block_chars))).first()
     # About as many chunks as documents in a chunk, for the largest source.
-    bits = max(1, math.ceil(math.log2(max([2, *(r["n"] for r in found)])) / 2))
+    bits = max(1, math.ceil(math.log2(max(2, most or 0)) / 2))
     df = df.withColumn(chunk, F.shiftrightunsigned(F.col(order), 64 - bits))
 
-    if weights is None:
-        target = tempered(totals)
-    else:
-        given = {"null" if s is None else f"s:{s}": float(w) for s, w in weights.items() if w > 0}
-        target = {s: given.get(s, min(given.values(), default=1.0)) for s in totals}
-    plan = phases({s: -(-n // block_chars) for s, n in totals.items()}, target)
+    given = None if weights is None else {"null" if s is None else f"s:{s}": float(w) for s, w in weights.items() if w > 0}
 
     chunks = df.groupBy(pool, chunk).agg(F.sum(size).alias(c_total))
     running = F.expr(f"sum(`{c_total}`) over (partition by `{pool}` order by `{chunk}`) - `{c_total}`")
@@ -139,19 +197,11 @@ def _scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None, bloc
     df = df.withColumn(before, F.col(before) + F.col(c_before))
     df = df.withColumn(block, F.expr(f"`{before}` div {block_chars}")).withColumn(at, F.pmod(F.col(before), F.lit(block_chars)))
 
-    # One row per source: its phases, the last one first, with the number of its first block there and its slots in a period.
-    rows = [(s, had.get(s, 0), start, sum(map(len, slots.values())), slots[s]) for start, had, slots in plan for s in slots]
-    table = spark.createDataFrame(rows, "pool string, first long, start long, period long, slots array<int>")
-    table = table.groupBy(F.col("pool").alias(p_pool)).agg(F.sort_array(F.collect_list(F.struct("first", "start", "period", "slots")), asc=False).alias(p_phases))
-    if sum(len(r[4]) for r in rows) <= BROADCAST_ROWS:
+    table = _slots(totals.select("pool", "total"), given, block_chars).toDF(p_pool, p_part, p_slots)
+    if (n_blocks or 0) <= BROADCAST_BLOCKS:
         table = F.broadcast(table)
-    df = df.join(table, F.col(pool) == F.col(p_pool))
-    df = df.withColumn(p_now, F.get(F.filter(p_phases, lambda p: p["first"] <= F.col(block)), F.lit(0)))
-    now = F.col(p_now)
-    turn = F.col(block) - now["first"]
-    many = F.size(now["slots"]).cast("long")
-    round_ = ((turn - F.pmod(turn, many)) / many).cast("long")
-    df = df.withColumn(slot, now["start"] + round_ * now["period"] + F.get(now["slots"], F.pmod(turn, many).cast("int")))
+    df = df.join(table, (F.col(pool) == F.col(p_pool)) & (F.expr(f"`{block}` div {PART}") == F.col(p_part)))
+    df = df.withColumn(slot, F.get(p_slots, F.pmod(F.col(block), F.lit(PART)).cast("int")))
     return df, names
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import html_text, minhash, sharding
+from plumbline.llm import html_text, minhash, mixing, sharding
 from plumbline.llm.common import shared_folder
 
 
@@ -68,3 +68,22 @@ def test_pairs_among_a_templates_texts_are_found(spark):
 )
 def test_formulas_drawings_and_forms_show(page, text):
     assert html_text.render(page) == text
+
+
+def test_schedule_keeps_the_given_weights():
+    """Over many periods, for a tiny weight too, and after sources ran out."""
+    weights = [0.5, 0.3, 0.19998765, 1e-5, 0.1]
+    blocks = [30_000, 17_000, 12_000, 3, 40]
+    had = [0] * 5
+    for t, (s, i) in enumerate(mixing.schedule(blocks, weights), 1):
+        assert i == had[s]
+        had[s] += 1
+        if had[4] < 39 and t < 400:
+            assert all(abs(n - t * w / sum(weights)) < 1 for n, w in zip(had, weights))
+        elif t % 97 == 0:
+            low, high = 0.0, 1e6  # the virtual time of slot t
+            for _ in range(80):
+                mid = (low + high) / 2
+                low, high = (mid, high) if sum(min(w * mid, n) for w, n in zip(weights, blocks)) < t else (low, mid)
+            assert all(abs(n - min(w * low, b)) < 1 + 1e-6 for n, w, b in zip(had, weights, blocks))
+    assert had == blocks
