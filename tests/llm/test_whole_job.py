@@ -87,3 +87,8 @@ def test_schedule_keeps_the_given_weights():
                 low, high = (mid, high) if sum(min(w * mid, n) for w, n in zip(weights, blocks)) < t else (low, mid)
             assert all(abs(n - min(w * low, b)) < 1 + 1e-6 for n, w, b in zip(had, weights, blocks))
     assert had == blocks
+
+
+def test_sources_have_no_limit(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "repeat('x', 50) AS text", "concat('site', id % 2500) AS source")
+    assert len({(r.slot, r["at"]) for r in mixing.mixture_order(docs, block_chars=100).collect()}) == 6000
