@@ -5,19 +5,30 @@ not cross texts.
 
 No task sees the whole corpus, so suffixes first meet by content. Of all
 ``GRAM``-byte strings in a passage, the one with the least hash is the
-passage's anchor; equal passages have equal anchors, so passages whose anchor
-occurs once in the corpus are unique and go no further. Neighbouring passages
-share anchors: a *context* is a run of passages with one anchor. Contexts that
-are equal as a whole are repeats of each other, and one of them stands for all.
-The different contexts of an anchor are laid out in one array of bytes, with
-separators, whose suffixes are sorted. Previous and next smaller positions in
-suffix order give each passage's longest earlier match (the LPF array) and,
-with positions negated, its longest later one.
+passage's anchor. Equal passages have equal anchors at the same distance from
+their start, so passages whose anchor occurs once in the corpus are unique and
+go no further. Neighbouring passages share anchors: a *context* is a run of
+passages with one anchor. Contexts that are equal as a whole are repeats of
+each other, and one of them stands for all.
+
+The different contexts of an anchor meet in one task, set against each other at
+the anchor. For each distance r, the suffixes that begin r bytes before an
+anchor are put in order: those at the anchor are sorted, and each order comes
+from the one before by a stable sort on one byte, as suffixes induce each
+other. Common prefixes of neighbours, and previous and next smaller positions
+in the order, give each passage's longest earlier match (the LPF array, here
+capped at ``length``) and, with positions negated, its longest later one. All
+of this compares bytes.
 
 An anchor with more than ``max_contexts`` different contexts, as the edge of a
-passage in very many texts makes, would not fit a task. Its passages are
-compared by 64-bit hashes, dealt out by hash, after each task has settled
-those that it holds twice.
+passage in very many texts makes, is split by longer anchors: each of its
+passages reaches half of the open bytes further on one side or the other, and
+those bytes join the anchor. What is still too large is split again; at the
+seventh step the anchor is the passage, and all its contexts are equal. So no
+task holds more than ``max_contexts`` contexts of one anchor.
+
+Anchors go by 64-bit hashes: where two collide, contexts meet that have nothing
+in common. Texts and contexts are taken for equal by 128 bits (md5, xxh3).
 
 Equal texts are one text with a count. Texts move once, into a table bucketed
 by their hash; contexts move only where an anchor has several.
@@ -33,10 +44,11 @@ two named ones are not looked at.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +57,12 @@ from plumbline.llm.common import shared_folder, text_key, written
 
 #: Bytes of an anchor: longer than most lines that are common without being passages.
 GRAM = 80
-#: Different contexts of one anchor that go to one suffix array.
+#: Different contexts of one anchor that one task compares; more are split.
 MAX_CONTEXTS = 2000
-#: Bytes of contexts in one suffix array, but for whole anchors.
-ARRAY_BYTES = 1 << 19
+#: Bytes of contexts that are put in order together, but for whole anchors.
+ARRAY_BYTES = 1 << 22
+#: Bytes of text that are hashed at a time, so that arrays stay in a core's cache.
+SCAN_BYTES = 1 << 17
 
 _U = np.uint64
 
@@ -65,8 +79,8 @@ def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def find_contexts(part: K.Slice, length: int) -> tuple[np.ndarray, ...]:
-    """Text number, anchor hash, context hash, first passage's start within its
-    text, and number of passages, of every context."""
+    """Text number, anchor hash, first passage's start in its text, the anchor's
+    distance from there, and the number of passages, of every context."""
     data, offsets = part.data, part.offsets
     long = np.flatnonzero(np.diff(offsets) >= length)
     if not len(long):
@@ -88,55 +102,24 @@ def find_contexts(part: K.Slice, length: int) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(begins)
     ends = np.flatnonzero(inside & np.append(begins[1:] | ~inside[1:], True)) + 1
     text = np.searchsorted(offsets, at, side="right") - 1
-    many = ends - at
-    context = K.range_hash(hashed, at, ends - 1 + length)
-    return text, grams[anchor[at]].view(np.int64), context.view(np.int64), at - offsets[text], many
+    return text, grams[anchor[at]].view(np.int64), at - offsets[text], anchor[at] - at, ends - at
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes in order of their first ``depth`` symbols at least, by prefix
-    doubling, and the ranks by the first 7, 14, 28, ... symbols.
+def context_digest(raw: bytes, anchor: int) -> bytes:
+    """128 bits that tell a context's bytes and anchor."""
+    return xxhash.xxh3_128_digest(raw, anchor & 0xFFFFFFFFFFFFFFFF)
 
-    Symbols are at most 511; 0 separates and ends.
-    """
-    n = len(symbols)
-    padded = np.concatenate([symbols.astype(_U), np.zeros(7, dtype=_U)])
-    packed = np.zeros(n, dtype=_U)
-    for k in range(7):
-        packed = (packed << _U(9)) | padded[k : k + n]
-    ranks, size = [], 7
-    while True:
-        order = np.argsort(packed, kind="stable")
-        new = np.zeros(n, dtype=np.int64)
-        new[1:] = packed[order[1:]] != packed[order[:-1]]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(new) + 1
-        ranks.append((size, rank))
-        if size >= depth or rank[order[-1]] == n:
-            return order, ranks
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - size] = rank[size:] if size < n else 0
-        packed = rank.astype(_U) * _U(n + 1) + after.astype(_U)
-        size *= 2
-
-
-def common_prefix(a: np.ndarray, b: np.ndarray, symbols: np.ndarray, ranks: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and b, up to twice the sorted depth."""
-    n, total = len(symbols), np.zeros(len(a), dtype=np.int64)
-    for size, rank in reversed(ranks):
-        x, y = a + total, b + total
-        ok = (x < n) & (y < n)
-        same = np.zeros(len(a), dtype=bool)
-        same[ok] = rank[x[ok]] == rank[y[ok]]
-        total += size * same
-    going = np.ones(len(a), dtype=bool)
-    for _ in range(7):
-        x, y = a + total, b + total
-        ok = going & (x < n) & (y < n)
-        ok[ok] = symbols[x[ok]] == symbols[y[ok]]
-        going = ok
-        total += going
-    return total
+
+def _neighbours_share(strings: list[bytes], order: list[int], size: int) -> np.ndarray:
+    """The length of the common prefix of each string and the one before it in order; 0 for the first."""
+    out = np.zeros(len(order), dtype=np.int64)
+    if size and len(order) > 1:
+        lengths = np.array([len(strings[i]) for i in order])
+        table = np.frombuffer(b"".join(strings[i].ljust(size, b"\0") for i in order), dtype=np.uint8).reshape(-1, size)
+        differ = table[1:] != table[:-1]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), size)
+        out[1:] = np.minimum(same, np.minimum(lengths[1:], lengths[:-1]))
+    return out
 
 
 def smaller_neighbour(value: np.ndarray, prefix: np.ndarray) -> np.ndarray:
@@ -151,7 +134,7 @@ def smaller_neighbour(value: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     shared = prefix.copy()
     if n:
         shared[0] = 0
-    todo = np.flatnonzero(before >= 0)
+    todo = np.flatnonzero((before >= 0) & (shared > 0))
     todo = todo[value[before[todo]] > value[todo]]
     while len(todo):
         j = before[todo]
@@ -163,142 +146,170 @@ def smaller_neighbour(value: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     return shared
 
 
-def longest_factors(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position, the longest match with an earlier and with a later one."""
-    order, ranks = suffix_order(symbols, depth)
-    prefix = np.zeros(len(order), dtype=np.int64)
-    prefix[1:] = common_prefix(order[:-1], order[1:], symbols, ranks)
+def longest_factors(value: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of a suffix order, the longest match with an earlier and with a later position."""
     back = np.zeros_like(prefix)
     back[1:] = prefix[:0:-1]  # for the order read backwards
-    out = []
-    for value in (order, -order):
-        best = np.maximum(smaller_neighbour(value, prefix), smaller_neighbour(value[::-1], back)[::-1])
-        at = np.empty(len(order), dtype=np.int64)
-        at[order] = best
-        out.append(at)
-    return out[0], out[1]
-
-
-def _runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
-    edges = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
-    return np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
-
-
-VERDICT = "context long, lo array<int>, hi array<int>"
-
-
-def _verdicts(rows: list[tuple[int, list[int], list[int]]]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.list_(pa.int32()))], ["context", "lo", "hi"])
+    earlier, later = (np.maximum(smaller_neighbour(v, prefix), smaller_neighbour(v[::-1], back)[::-1]) for v in (value, -value))
+    return earlier, later
 
 
-def _by_suffix_array(contexts: DataFrame, length: int, keep: str) -> DataFrame:
-    """Repeated passages of each context, as ranges of passage numbers, for
-    contexts (anchor, rank, context, bytes) of which all of an anchor fit a task."""
+def repeated_passages(raws: list[bytes], leads: list[int], length: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
+    """Which passages of some contexts are repeated, flat, and where each
+    context's passages begin (one more entry than contexts).
 
-    def bundle(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        sizes = np.array([len(b) for _, b in rows])
-        ends = np.cumsum(sizes + 1)
-        symbols = np.frombuffer(b"".join(b + b"\0" for _, b in rows), dtype=np.uint8).astype(np.int64) + 1
-        symbols[ends - 1] = 0
-        earlier, later = longest_factors(symbols, length)
-        repeat = earlier >= length if keep == "first" else np.maximum(earlier, later) >= length
-        return _verdicts([(context, *_runs(repeat[end - 1 - size : end - length])) for (context, _), size, end in zip(rows, sizes, ends)])
+    ``leads`` are the distances of the contexts' anchors from their starts. Of
+    two passages, the one in the earlier context, or further left in it, is earlier.
+    """
+    n = len(raws)
+    lead = np.array(leads, dtype=np.int64)
+    many = np.array([len(b) for b in raws], dtype=np.int64) - length + 1
+    least = lead - many + 1  # distance of the last passage's start from the anchor
+    first = np.concatenate(([0], np.cumsum(many)))
+    rights = [b[a:] for b, a in zip(raws, leads)]
+    lefts = [b[:a][::-1] for b, a in zip(raws, leads)]
+    reach = int(lead.max(initial=0))
+    # Suffixes at the anchors, and what is left of the anchors, backwards.
+    order = np.array(sorted(range(n), key=rights.__getitem__), dtype=np.int64)
+    right_share = _neighbours_share(rights, order.tolist(), length)
+    left_order = np.array(sorted(range(n), key=lefts.__getitem__), dtype=np.int64)
+    left_share = _neighbours_share(lefts, left_order.tolist(), reach)
+    right_place, left_place = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    right_place[order], left_place[left_order] = np.arange(n), np.arange(n)
+    # The byte r before the anchor, plus one; 0 is none.
+    before = np.zeros((n, reach), dtype=np.uint16)
+    if reach:
+        before[:] = np.frombuffer(b"".join(x.ljust(reach, b"\0") for x in lefts), dtype=np.uint8).reshape(n, reach)
+        before += 1
+        before[np.arange(reach) >= lead[:, None]] = 0
+
+    rows, passages, prefixes = [], [], []
+    for r in range(reach + 1):
+        if r:
+            order = order[np.argsort(before[order, r - 1], kind="stable")]
+        some = order[(least[order] <= r) & (r <= lead[order])]
+        if len(some) < 2:
+            continue
+        # Equal passages share r bytes before the anchor and length - r from it on.
+        right = np.cumsum(right_share < length - r)[right_place[some]]
+        left = np.cumsum(left_share < r)[left_place[some]]
+        same = np.zeros(len(some) + 1, dtype=bool)
+        same[1:-1] = (right[1:] == right[:-1]) & (left[1:] == left[:-1])
+        alike = np.flatnonzero(same[:-1] | same[1:])  # others match nothing as long
+        some = some[alike]
+        rows.append(some)
+        passages.append(first[some] + lead[some] - r)
+        prefixes.append(np.where(same[alike], length, 0))
+    repeated = np.zeros(first[-1], dtype=bool)
+    if rows:
+        passage = np.concatenate(passages)
+        earlier, later = longest_factors(passage, np.concatenate(prefixes))
+        repeated[passage] = earlier >= length if keep == "first" else np.maximum(earlier, later) >= length
+    return repeated, first
+
+
+RANGES = "array<struct<lo:int,hi:int>>"
+VERDICT = f"context binary, ranges {RANGES}"
+SITE = "anchor long, context binary, owner binary, place string, at int, lead int, many int, low int, high int"
+SITE_COLUMNS = [x.split()[0] for x in SITE.split(", ")]
+
+
+def _ranges(repeated: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The runs of repeated passages of each context."""
+    inner = first[1:-1]
+    begins, ends = repeated.copy(), repeated.copy()
+    begins[1:] &= ~repeated[:-1]
+    ends[:-1] &= ~repeated[1:]
+    begins[inner], ends[inner - 1] = repeated[inner], repeated[inner - 1]
+    lo, hi = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    base = first[np.searchsorted(first, lo, side="right") - 1]
+    runs = pa.StructArray.from_arrays([pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))], ["lo", "hi"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(lo, first).astype(np.int32)), runs)
+
+
+def _by_suffix_order(contexts: DataFrame, length: int, keep: str) -> DataFrame:
+    """(context, ranges): runs of repeated passages by number, of the contexts that have any."""
+
+    def bundle(rows: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
+        names, leads, raws = zip(*rows)
+        ranges = _ranges(*repeated_passages(list(raws), list(leads), length, keep))
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), ranges], ["context", "ranges"])
+        return out.filter(pa.array(np.diff(ranges.offsets.to_numpy()) > 0))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, bytes]] = []
+        rows: list[tuple[bytes, int, bytes]] = []
         size, last = 0, None
         for batch in batches:
-            for anchor, context, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))):
+            for anchor, context, lead, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if anchor != last and size >= ARRAY_BYTES:
                     yield bundle(rows)
                     rows, size = [], 0
-                rows.append((context, raw))
+                rows.append((context, lead, raw))
                 size += len(raw)
                 last = anchor
         if rows:
             yield bundle(rows)
 
     dealt = contexts.repartition("anchor").sortWithinPartitions("anchor", "place")
-    return dealt.select("anchor", "context", "bytes").mapInArrow(sort, VERDICT)
+    return dealt.select("anchor", "context", "lead", "bytes").mapInArrow(sort, VERDICT)
 
 
-def _by_hash(contexts: DataFrame, length: int, keep: str, parts: int) -> DataFrame:
-    """As ``_by_suffix_array``, for anchors with any number of contexts.
+def _split(contexts: DataFrame, length: int) -> DataFrame:
+    """Sites with longer anchors, the contexts being their owners, and their bytes.
 
-    Passages' hashes travel in arrays, one for each of ``parts`` ranges of
-    hashes and batch; a batch sends an equal passage once.
+    Passages begin ``low`` to ``high`` bytes before the anchor, so they have
+    ``low`` bytes before it and ``length - high`` from it on in common. Each half
+    of that range has more.
     """
-    first = keep == "first"
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = sorted(range(batch.num_rows), key=batch.column(0).to_pylist().__getitem__) if first else range(batch.num_rows)
-            contexts = batch.column(1).to_pylist()
-            places = batch.column(0).to_pylist()
-            hashes, owner, number = [], [], []
-            raws = batch.column(2)
-            for i in order:
-                data = np.frombuffer(raws[i].as_buffer(), dtype=np.uint8)
-                s = np.arange(len(data) - length + 1)
-                hashes.append(K.range_hash(K.prefix_hash(data), s, s + length))
-                owner.append(np.full(len(s), i))
-                number.append(s)
-            if not hashes:
-                continue
-            h, o, w = np.concatenate(hashes), np.concatenate(owner), np.concatenate(number)
-            _, at, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            settled = n[back] > 1
-            if first:
-                settled[at] = False
-            for send, mask in ((False, settled), (True, np.isin(np.arange(len(h)), at))):
-                part = (h % _U(parts)).astype(np.int64) if send else np.array(contexts, dtype=np.int64)[o] % parts
-                for p in np.unique(part[mask]).tolist():
-                    m = np.flatnonzero(mask & (part == p))
-                    yield _packed(send, p, h[m].view(np.int64), [contexts[i] for i in o[m]], w[m], n[back[m]] > 1, [places[i] if first else "" for i in o[m]])
-
-    def _packed(send, p, h, c, w, twice, place) -> pa.RecordBatch:
-        columns = [pa.array([send]), pa.array([p], pa.int64()), *(pa.array([x], pa.list_(t)) for x, t in ((h, pa.int64()), (c, pa.int64()), (w, pa.int32()), (twice, pa.bool_()), (place, pa.string())))]
-        return pa.RecordBatch.from_arrays(columns, ["send", "part", "hashes", "contexts", "numbers", "twice", "places"])
-
-    schema = "send boolean, part long, hashes array<long>, contexts array<long>, numbers array<int>, twice array<boolean>, places array<string>"
-    dealt = written(contexts.select("place", "context", "bytes").mapInArrow(deal, schema), "passages")
-
-    def flat(table: pa.Table, *names: str) -> list[np.ndarray]:
-        return [table.column(n).combine_chunks().flatten().to_numpy(zero_copy_only=False) for n in names]
-
-    def meet(table: pa.Table) -> pa.Table:
-        h, c, w, twice = flat(table, "hashes", "contexts", "numbers", "twice")
-        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        hit = n[back] > 1
-        if first:
-            place = flat(table, "places")[0]
-            order = np.lexsort((place, h))
-            lead = np.ones(len(h), dtype=bool)
-            lead[1:] = h[order[1:]] != h[order[:-1]]
-            hit[order[lead]] = False
-        else:
-            hit |= twice.astype(bool)
-        c, w = c[hit], w[hit]
-        q = c % parts
-        rows = [(p, c[q == p], w[q == p]) for p in np.unique(q).tolist()]
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "contexts": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "numbers": pa.array([r[2] for r in rows], pa.list_(pa.int32()))})
-
-    def gather(table: pa.Table) -> pa.Table:
-        c, w = flat(table, "contexts", "numbers")
-        order = np.lexsort((w, c))
-        c, w = c[order], w[order]
-        rows = []
-        for own in np.split(np.arange(len(c)), np.flatnonzero(np.diff(c)) + 1):
-            if len(own):
-                hit = np.zeros(int(w[own].max()) + 1, dtype=bool)
-                hit[w[own]] = True
-                rows.append((int(c[own[0]]), *_runs(hit)))
-        return pa.Table.from_batches([_verdicts(rows)])
-
-    met = dealt.filter("send").groupBy("part").applyInArrow(meet, "part long, contexts array<long>, numbers array<int>")
-    both = met.unionByName(dealt.filter("not send").select("part", "contexts", "numbers"))
-    return both.groupBy("part").applyInArrow(gather, VERDICT)
+            rows = []
+            for context, place, lead, many, low, high, raw in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                middle = (low + high + 1) // 2
+                for a, b in ((low, middle - 1), (middle, high)):
+                    near, far = max(a, lead - many + 1), min(b, lead)
+                    if near > far:
+                        continue
+                    start = lead - far
+                    own = raw[start : lead - near + length]
+                    anchor = xxhash.xxh3_64_intdigest(raw[lead - a : lead - b + length], b) - (1 << 63)
+                    rows.append((anchor, context_digest(own, anchor), context, f"{place}:{start:04d}", start, far, far - near + 1, a, b, own))
+            if rows:
+                types = [pa.int64(), pa.binary(), pa.binary(), pa.string(), *[pa.int32()] * 5, pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [*SITE_COLUMNS, "bytes"])
+
+    return contexts.select("context", "place", "lead", "many", "low", "high", "bytes").mapInArrow(split, f"{SITE}, bytes binary")
+
+
+def _repeats(sites: DataFrame, with_bytes: Callable[[DataFrame], DataFrame], length: int, keep: str, max_contexts: int) -> DataFrame:
+    """(owner, ranges): runs of repeated passages, by their starts in the owner.
+
+    ``with_bytes`` adds the bytes of contexts, given the sites that stand for
+    them. Tables are written before joins on them, so that Spark can split what
+    very many sites share.
+    """
+    rest = [c for c in sites.columns if c not in ("anchor", "context", "place", "at")]
+    groups = written(sites.groupBy("anchor", "context").agg(F.count("*").alias("sites"), F.min(F.struct("place", "at", *rest)).alias("first")), "groups")
+    kinds = written(groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max(F.col("first.high") - F.col("first.low")).alias("open")).filter("kinds > 1"), "kinds")
+    several = groups.join(kinds, "anchor").select("anchor", "context", "kinds", "open", "first.*")
+    too_many = (F.col("kinds") > max_contexts) & (F.col("open") > 0)
+    verdicts = _by_suffix_order(with_bytes(several.filter(~too_many)), length, keep)
+    if not kinds.filter(too_many).isEmpty():
+        longer = written(_split(with_bytes(several.filter(too_many)), length), "longer")
+        found = _repeats(longer, lambda same: same, length, keep, max_contexts)
+        verdicts = verdicts.unionByName(found.withColumnRenamed("owner", "context"))
+
+    judged = groups.join(verdicts, "context", "left").filter("sites > 1 or ranges is not null")
+    judged = written(judged.select("context", "sites", F.col("first.owner").alias("first_owner"), F.col("first.at").alias("first_at"), "ranges"), "judged")
+    each = sites.select("context", "owner", "at", "many").join(judged, "context")
+    # Contexts found whole elsewhere are repeats throughout; with keep="first", but for the first of them.
+    whole = F.col("sites") > 1
+    if keep == "first":
+        whole = ~((F.col("owner") == F.col("first_owner")) & (F.col("at") == F.col("first_at")))
+    own = F.when(whole, F.array(F.struct(F.lit(0).alias("lo"), F.col("many").alias("hi")))).otherwise(F.col("ranges"))
+    moved = F.transform(own, lambda x: F.struct((x["lo"] + F.col("at")).alias("lo"), (x["hi"] + F.col("at")).alias("hi")))
+    return each.select("owner", moved.alias("ranges")).filter("ranges is not null").groupBy("owner").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def _row_and_place(docs: DataFrame, id_col: str, text_col: str, keep: str) -> tuple[Column, Column]:
@@ -317,14 +328,17 @@ def _row_and_place(docs: DataFrame, id_col: str, text_col: str, keep: str) -> tu
 
 
 def _distinct_texts(keyed: DataFrame) -> DataFrame:
-    """(row, place, text, copies), one for each row key, in a table bucketed by
+    """(row, place, text, copies), one for each row key, in files bucketed by
     the key: texts are shuffled here and nowhere else."""
     spark = keyed.sparkSession
     one = keyed.groupBy("row").agg(F.first("place").alias("place"), F.first("text").alias("text"), F.count("*").alias("copies"))
     name = f"texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one.write.bucketBy(buckets, "row").option("compression", "zstd").option("path", shared_folder(spark, "texts")).saveAsTable(name)
-    return spark.table(name)
+    texts = spark.table(name)
+    # The plan has the files and their buckets by now: the catalogue need not keep the name.
+    spark.sql(f"DROP TABLE {name}")
+    return texts
 
 
 def cut_repeats(docs: DataFrame, length: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", max_contexts: int = MAX_CONTEXTS) -> DataFrame:
@@ -333,47 +347,43 @@ def cut_repeats(docs: DataFrame, length: int = 200, keep: str = "none", id_col:
     ``kept`` bytes, which may cut a character.
 
     ``keep="none"`` removes every byte of a passage that also starts anywhere
-    else, ``keep="first"`` of one that also starts earlier.
+    else, ``keep="first"`` of one that also starts earlier. ``length`` is at
+    least ``GRAM``.
     """
+    if length < GRAM:
+        raise ValueError(f"passages of {length} bytes are shorter than an anchor of {GRAM}")
     row, place = _row_and_place(docs, id_col, text_col, keep)
     texts = _distinct_texts(docs.select(row.alias("row"), place.alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.slices(batch.column(2)):
-                text, anchor, context, start, many = find_contexts(part, length)
+            for part in K.slices(batch.column(0), SCAN_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array(find_contexts(part, length)[1])], ["anchor"])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch.column(2), SCAN_BYTES):
+                text, anchor, start, lead, many = find_contexts(part, length)
+                at = start + part.offsets[text]
+                raw = part.data.tobytes()
+                digests = [context_digest(raw[a:b], own) for a, b, own in zip(at.tolist(), (at + many + length - 1).tolist(), anchor.tolist())]
                 rows = pa.array(text + part.first)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(context), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32))], ["anchor", "context", "row", "place", "start", "many"])
+                small = [pa.array(x.astype(np.int32)) for x in (start, lead, many, np.zeros(len(at)), np.full(len(at), length - GRAM))]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(digests, pa.binary()), batch.column(0).take(rows), batch.column(1).take(rows), *small], SITE_COLUMNS)
 
-    found = texts.select("row", "place", "text").mapInArrow(scan, "anchor long, context long, row binary, place string, start int, many int")
-    again = written(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
+    counted = texts.select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
+    again = written(counted.filter("n > 1").select("anchor"), "anchors")
+    found = texts.select("row", "place", "text").mapInArrow(contexts, SITE)
     sites = written(found.join(again, "anchor"), "contexts")
 
-    spot = F.struct(F.concat_ws(":", "place", F.lpad(F.col("start").cast("string"), 10, "0")).alias("place"), "row", "start", "many")
-    groups = sites.groupBy("anchor", "context").agg(F.count("*").alias("sites"), F.min(spot).alias("first"))
-    kinds = groups.groupBy("anchor").agg(F.count("*").alias("n_contexts"))
-    groups = written(groups.join(kinds, "anchor"), "groups")
-
-    wanted = groups.filter("n_contexts > 1").groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("anchor", "context", "n_contexts", "first.place", "first.start", "first.many")).alias("wanted"))
-    spread = texts.join(wanted, "row").select(F.encode("text", "UTF-8").alias("raw"), F.explode("wanted").alias("x"))
-    contexts = spread.select("x.anchor", "x.context", "x.n_contexts", "x.place", F.substring(F.col("raw"), F.col("x.start") + 1, F.col("x.many") + (length - 1)).alias("bytes"))
-    verdicts = _by_suffix_array(contexts.filter(F.col("n_contexts") <= max_contexts), length, keep)
-    if not groups.filter(F.col("n_contexts") > max_contexts).isEmpty():
-        parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        verdicts = verdicts.unionByName(_by_hash(contexts.filter(F.col("n_contexts") > max_contexts), length, keep, parts))
+    def with_bytes(several: DataFrame) -> DataFrame:
+        wanted = several.groupBy("owner").agg(F.collect_list(F.struct("anchor", "context", "place", "at", "lead", "many", "low", "high")).alias("wanted"))
+        spread = texts.join(wanted, texts["row"] == wanted["owner"]).select(F.encode("text", "UTF-8").alias("raw"), F.explode("wanted").alias("x"))
+        where = F.concat_ws(":", "x.place", F.lpad(F.col("x.at").cast("string"), 10, "0"))
+        return spread.select("x.anchor", "x.context", where.alias("place"), "x.lead", "x.many", "x.low", "x.high", F.substring(F.col("raw"), F.col("x.at") + 1, F.col("x.many") + (length - 1)).alias("bytes"))
 
-    # Contexts found whole elsewhere are repeats throughout; with keep="first", but for the first of them.
-    judged = groups.select("context", F.col("sites").alias("n_sites"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"))
-    # Written, so that the join can split a context that very many texts share.
-    judged = written(judged.join(verdicts, "context", "left").filter((F.col("n_sites") > 1) | (F.size("lo") > 0)), "judged")
-    each = sites.select("context", "row", "start", "many").join(judged, "context")
-    whole = F.col("n_sites") > 1
-    if keep == "first":
-        whole = ~((F.col("row") == F.col("first_row")) & (F.col("start") == F.col("first_start")))
-    lo = F.when(whole, F.array(F.lit(0))).otherwise(F.col("lo"))
-    hi = F.when(whole, F.array(F.col("many"))).otherwise(F.col("hi"))
-    ranges = each.withColumn("ranges", F.zip_with(lo, hi, lambda a, b: F.struct((F.col("start") + a).alias("lo"), (F.col("start") + b + (length - 1)).alias("hi"))))
-    removed = written(ranges.filter(F.size("ranges") > 0).groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "removed")
+    found_runs = _repeats(sites, with_bytes, length, keep, max_contexts)
+    removed = written(found_runs.withColumnRenamed("owner", "row"), "removed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,11 +398,11 @@ def cut_repeats(docs: DataFrame, length: int = 200, keep: str = "none", id_col:
                     edge[0], edge[-1] = 1, -1
                 elif lo_all[i]:
                     np.add.at(edge, lo_all[i], 1)
-                    np.add.at(edge, hi_all[i], -1)
+                    np.add.at(edge, np.add(hi_all[i], length - 1), -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                a, b = _runs(gone)
-                lows.append(a)
-                highs.append(b)
+                turns = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
+                lows.append(np.flatnonzero(turns == 1).tolist())
+                highs.append(np.flatnonzero(turns == -1).tolist())
                 kept.append(data[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([rows, pa.array(sizes, pa.int64()), pa.array(lows, pa.list_(pa.int32())), pa.array(highs, pa.list_(pa.int32())), pa.array(kept, pa.binary())], ["row", "n_bytes", "lo", "hi", "kept"])
 

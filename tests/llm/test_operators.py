@@ -276,9 +276,8 @@ def test_measures_are_those_of_brute_force(docs, texts, empty):
 
 def test_factor_arrays_are_those_of_brute_force():
     rng = random.Random(4)
-    for alphabet in (2, 5):
-        s = np.array([rng.randint(1, alphabet) for _ in range(150)] + [0])
-        earlier, later = suffix_dedup.longest_factors(s, 200)
+    for alphabet in ("ab", "abcde"):
+        s = "".join(rng.choice(alphabet) for _ in range(150))
 
         def lcp(i, j):
             n = 0
@@ -286,33 +285,82 @@ def test_factor_arrays_are_those_of_brute_force():
                 n += 1
             return n
 
-        for i in range(len(s)):
-            assert earlier[i] == max((lcp(i, j) for j in range(i)), default=0)
-            assert later[i] == max((lcp(i, j) for j in range(i + 1, len(s))), default=0)
+        order = sorted(range(len(s)), key=lambda i: s[i:])
+        prefix = np.array([0, *(lcp(i, j) for i, j in zip(order, order[1:]))])
+        earlier, later = suffix_dedup.longest_factors(np.array(order), prefix)
+        for place, i in enumerate(order):
+            assert earlier[place] == max((lcp(i, j) for j in range(i)), default=0)
+            assert later[place] == max((lcp(i, j) for j in range(i + 1, len(s))), default=0)
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("max_contexts", [2000, 1])
-def test_passages_are_those_of_brute_force(spark, texts, keep, max_contexts):
-    rows = list(dict.fromkeys((i, t) for i, t in texts if i is not None)) if keep == "first" else texts
-    # Places of all texts in order, to tell earlier from later.
-    raw = [((i, ""), (t or "").encode()) for i, t in rows]
+def test_passages_of_contexts_are_those_of_brute_force(keep):
+    """Contexts of any left and right reach around their anchors, with zero bytes."""
+    rng, length = random.Random(5), 12
+    for _ in range(60):
+        raws, leads, seen, expected = [], [], defaultdict(list), []
+        for _ in range(rng.randint(1, 25)):
+            lead = rng.randint(0, length - 4)
+            right = rng.randint(1, lead + 1) + length - lead - 5
+            raws.append(bytes(rng.choices(b"ab\0", k=lead)) + b"ANCH" + bytes(rng.choices(b"ab\0", k=right)))
+            leads.append(lead)
+        places = [(i, k) for i, b in enumerate(raws) for k in range(len(b) - length + 1)]
+        for i, k in places:
+            seen[raws[i][k : k + length]].append((i, k))
+        for i, k in places:
+            same = seen[raws[i][k : k + length]]
+            expected.append(len(same) > 1 if keep == "none" else (i, k) > min(same))
+        got, first = suffix_dedup.repeated_passages(raws, leads, length, keep)
+        assert got.tolist() == expected
+        for i, runs in enumerate(suffix_dedup._ranges(got, first).to_pylist()):
+            assert sorted(first[i] + x for r in runs for x in range(r["lo"], r["hi"])) == [x for x in range(first[i], first[i + 1]) if expected[x]]
+
+
+def brute_passages(rows, keep="none", length=200):
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of (id, text) rows."""
+    raw = [(i, (t or "").encode()) for i, t in rows]
     seen = defaultdict(list)
     for n, (who, t) in enumerate(raw):
-        for s in range(len(t) - 199):
-            seen[t[s : s + 200]].append((who[0] if keep == "first" else n, s))
-    expected = []
+        for s in range(len(t) - length + 1):
+            seen[t[s : s + length]].append((who if keep == "first" else n, s))
+    out = []
     for n, (who, t) in enumerate(raw):
         gone = bytearray(len(t))
-        for s in range(len(t) - 199):
-            places = seen[t[s : s + 200]]
-            if len(places) > 1 if keep == "none" else (who[0], s) > min(places):
-                gone[s : s + 200] = b"\1" * 200
-        expected.append((who[0], len(t), hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
+        for s in range(len(t) - length + 1):
+            places = seen[t[s : s + length]]
+            if len(places) > 1 if keep == "none" else (who, s) > min(places):
+                gone[s : s + length] = b"\1" * length
+        spans = sum(g > p for p, g in zip(b"\0" + gone, gone))
+        out.append((who, len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def spark_passages(docs, keep="none", **options):
+    cut = suffix_dedup.cut_repeats(docs, 200, keep, **options)
+    removed = F.col("n_bytes") - F.length("kept")
+    found = suffix_dedup.row_keys(docs, keep).join(cut, "row").select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("lo").alias("n_spans"), F.sha2("kept", 256).alias("sha"))
+    return sorted(map(tuple, found.collect()), key=repr)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("max_contexts", [2000, 1])
+def test_passages_are_those_of_brute_force(spark, texts, keep, max_contexts):
+    rows = list(dict.fromkeys((i, t) for i, t in texts if i is not None)) if keep == "first" else texts
     docs = spark.createDataFrame([(i, t, "k", 7) for i, t in rows], SCHEMA).repartition(3)
-    cut = suffix_dedup.cut_repeats(docs, 200, keep, max_contexts=max_contexts).select("row", "n_bytes", F.sha2("kept", 256).alias("sha"))
-    got = [(r.doc_id, r.n_bytes, r.sha) for r in suffix_dedup.row_keys(docs, keep).join(cut, "row").collect()]
-    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert spark_passages(docs, keep, max_contexts=max_contexts) == brute_passages(rows, keep)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_hot_anchors_are_split(spark, keep):
+    """A line in every text, with few continuations on either side, is in very many different contexts."""
+    rng = random.Random(8)
+    line = " ".join(words(rng, 14, 9) for _ in range(2))[:100]
+    sides = [words(rng, 40) for _ in range(12)]
+    rows = [(i, f"{rng.choice(sides)[-rng.randrange(20, 180):]} {line} {rng.choice(sides)[: rng.randrange(20, 180)]}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.catalog.listTables()
+    assert spark_passages(docs, keep, max_contexts=3) == brute_passages(rows, keep)
+    assert spark.catalog.listTables() == before
 
 
 # -- 8 mixing -----------------------------------------------------------------
