@@ -59,7 +59,7 @@ class Windows:
     def _hash(key: bytes, size: int) -> np.uint64:
         data = np.frombuffer(key, dtype=np.uint8)
         starts, ends, _ = K.words(data, np.array([0, len(data)]), K.ALNUM)
-        return K.window_hash(K.range_hash(K.prefix_hash(data), starts, ends), size)[0]
+        return K.window_hash(K.word_hash(data, starts, ends), size)[0]
 
     def scan(self, column: pa.Array) -> tuple[list[int], list[list[int]], list[list[int]], list[list[str]]]:
         """Words, maximal hit runs as word ranges, and items, of each text."""
@@ -70,7 +70,7 @@ class Windows:
             texts = len(part.offsets) - 1
             found: list[set[str]] = [set() for _ in range(texts)]
             edge = np.zeros(len(starts) + 1, dtype=np.int64)
-            hashes = K.range_hash(K.prefix_hash(data), starts, ends)
+            hashes = K.word_hash(data, starts, ends)
             for size, (known, keys, owners, maybe) in self.by_size.items():
                 windows = K.window_hash(hashes, size)
                 at = np.flatnonzero(maybe[(windows >> np.uint64(44)).astype(np.int64)]) if len(windows) else np.zeros(0, np.int64)

@@ -15,7 +15,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+#: Small enough that a slice's arrays stay in a core's cache.
+SLICE_BYTES = 1 << 18
 SLICE_TEXTS = 1 << 14
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -85,11 +86,45 @@ def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def range_hash(hashed: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end): equal bytes, equal hashes."""
+    """64-bit hashes of the byte ranges [start, end), which may overlap: equal
+    bytes, equal hashes. Being polynomials, they collide on texts made for it,
+    so they only bring together what is compared later."""
     sums, down = hashed
     return mix((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(_U))
 
 
+#: Places in a word that have a table of their own.
+_PLACES = 64
+
+
+@lru_cache(maxsize=1)
+def _place_values() -> np.ndarray:
+    """A random value for each byte at each of the first places of a word."""
+    return mix(np.arange(1, _PLACES * 256 + 1, dtype=_U) * _U(_BASE))
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges that do not overlap and stand in order.
+
+    Each byte at each place adds a value of its own, so that no structure of
+    the words makes hashes collide.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=_U)
+    place = np.zeros(len(data), dtype=np.int64)
+    place[starts] = starts
+    place = np.arange(len(data)) - np.maximum.accumulate(place)
+    spot = (place << 8) | data
+    values = np.zeros(len(data) + 1, dtype=_U)
+    values[:-1] = _place_values()[np.minimum(spot, _PLACES * 256 - 1)]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        values[far] = mix((spot[far] + 1).astype(_U) * _U(_BASE))
+    edges = np.empty(2 * len(starts), dtype=np.int64)
+    edges[::2], edges[1::2] = starts, ends
+    return mix(np.add.reduceat(values, edges)[::2] ^ (ends - starts).astype(_U))
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     for lo, hi in ranges:
@@ -155,7 +190,7 @@ def shingles(part: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
     space, A-Z lower-cased). Fewer words than that, but not none, are one run."""
     data = lower_ascii(part.data)
     starts, ends, first = words(data, part.offsets, NOT_SPACE)
-    hashes = range_hash(prefix_hash(data), starts, ends)
+    hashes = word_hash(data, starts, ends)
     runs = window_hash(hashes, size)
     at, text = window_owner(first, size, len(hashes))
     n = np.diff(first)

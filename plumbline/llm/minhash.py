@@ -14,11 +14,16 @@ Bands of the signature make buckets. A bucket's leader is the text with most
 company over all its buckets, usually what the others were copied from; every
 member is compared with the leader by exact multiset overlap, and links make
 components. Where a bucket's members are in several components, those outside
-its largest lead in their turn, in rounds of 1, 2, 4, ... leaders a bucket,
+its largest lead in their turn, in rounds of 4, 16, 64, ... leaders a bucket,
 each compared with all members of other components, until the members that
 have not led are of one component. So every two texts that share a bucket are
 compared or of one class; the rounds grow with the logarithm of a bucket's
-size, and pairs of one component are never emitted.
+size, and pairs of one component are never emitted, nor those whose bags
+differ so much in size that they cannot be similar.
+
+Shingles are compared by 64-bit hashes in which each byte of a word has a
+random value of its own place, so only chance makes two of them equal, about
+once in 10**19 pairs.
 
 Exact copies are one text from the start, whatever their number. Buckets are
 counted and led by map-side combined aggregates. Texts move once, keyed by
@@ -47,6 +52,8 @@ from plumbline.llm.components import connected_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Each round has so many times the leaders of the one before.
+MORE_LEADERS = 4
 #: A pair at the threshold shares a bucket with probability 1 - (1 - 0.8**5)**25 = 0.99995.
 BANDS, ROWS = 25, 5
 
@@ -153,9 +160,9 @@ def _running(start: np.ndarray, waits: np.ndarray, many: np.ndarray) -> np.ndarr
     return times
 
 
-def sign(column: pa.Array, bands: int, rows: int, shingle: int) -> Iterator[np.ndarray]:
-    """Band hashes (texts x bands) of each slice of a string column; 0 where
-    there are no words."""
+def sign(column: pa.Array, bands: int, rows: int, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Band hashes (texts x bands), 0 where there are no words, and the sizes
+    of the bags, of each slice of a string column."""
     for part in K.slices(column):
         n = len(part.offsets) - 1
         text, value, weight = weighted(*K.shingles(part, shingle))
@@ -166,28 +173,36 @@ def sign(column: pa.Array, bands: int, rows: int, shingle: int) -> Iterator[np.n
             hashes = K.mix(hashes * _STEP + points[:, :, r])
         hashes ^= K.mix(np.arange(1, bands + 1, dtype=_U))
         hashes[np.isinf(best).all(axis=1)] = 0
-        yield hashes
+        yield hashes, np.bincount(text, weights=weight, minlength=n).astype(np.int64)
 
 
 def overlap(a: pa.Array, b: pa.Array, shingle: int) -> np.ndarray:
     """Weighted Jaccard similarity of the shingle bags of each row's two texts."""
-    bags = []
-    for column in (a, b):
-        texts, values = [], []
+    size = np.cumsum([len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(a, b)])
+    out, i = [], 0
+    while i < len(a):  # as many rows at a time as make a slice
+        reach = (size[i - 1] if i else 0) + K.SLICE_BYTES
+        j = max(i + 1, int(np.searchsorted(size, reach, side="right")))
+        out.append(_overlap(a.slice(i, j - i), b.slice(i, j - i), shingle))
+        i = j
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _overlap(a: pa.Array, b: pa.Array, shingle: int) -> np.ndarray:
+    texts, values, n = [], [], len(a)
+    for column, base in ((a, 0), (b, n)):
         for part in K.slices(column):
             text, value = K.shingles(part, shingle)
-            texts.append(text + part.first)
+            texts.append(text + part.first + base)
             values.append(value)
-        none = np.zeros(0, dtype=np.int64)
-        bags.append(weighted(np.concatenate([none, *texts]).astype(np.int64), np.concatenate([none.astype(_U), *values])))
-    (ta, va, wa), (tb, vb, wb) = bags
-    text, value, weight = np.concatenate([ta, tb]), np.concatenate([va, vb]), np.concatenate([wa, wb])
-    order = np.lexsort((value, text))
+    text, value, weight = weighted(np.concatenate(texts), np.concatenate(values))
+    total = np.bincount(text, weights=weight, minlength=2 * n)
+    text = text % n
+    order = np.lexsort((text, value))
     text, value, weight = text[order], value[order], weight[order]
     twin = np.flatnonzero((text[1:] == text[:-1]) & (value[1:] == value[:-1]))
-    n = len(a)
     common = np.bincount(text[twin], weights=np.minimum(weight[twin], weight[twin + 1]), minlength=n)
-    both = np.bincount(text, weights=weight, minlength=n) - common
+    both = total[:n] + total[n:] - common
     return np.where(both > 0, common / np.maximum(both, 1), 0.0)
 
 
@@ -217,31 +232,34 @@ def _linked(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOL
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for hashes in sign(batch.column(1), bands, rows, shingle):
+            for hashes, sizes in sign(batch.column(1), bands, rows, shingle):
                 n = len(hashes)
                 flat = pa.array(np.ascontiguousarray(hashes).view(np.int64).reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), lists], ["key", "buckets"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), lists, pa.array(sizes)], ["key", "buckets", "size"])
                 at += n
 
-    signatures = keyed.mapInArrow(signed, "key binary, buckets array<long>").dropDuplicates(["key"])
+    signatures = keyed.mapInArrow(signed, "key binary, buckets array<long>, size long").dropDuplicates(["key"])
     signatures = written(signatures, "signatures")
-    in_bucket = signatures.select("key", F.explode("buckets").alias("bucket")).filter("bucket <> 0")
-    shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    in_bucket = signatures.select("key", "size", F.explode("buckets").alias("bucket")).filter("bucket <> 0")
+    # Written, as are the leaders, so that the joins can split a bucket with very many members.
+    shared = written(in_bucket.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     # Texts with company, their shared buckets, and how much company they have.
-    members = written(in_bucket.join(shared, "bucket").groupBy("key").agg(F.collect_list("bucket").alias("buckets"), F.sum("n").alias("company")), "members")
-    each = members.select("key", "company", F.explode("buckets").alias("bucket"))
+    members = written(in_bucket.join(shared, "bucket").groupBy("key", "size").agg(F.collect_list("bucket").alias("buckets"), F.sum("n").alias("company")), "members")
+    each = members.select("key", "size", "company", F.explode("buckets").alias("bucket"))
     texts = written(keyed.dropDuplicates(["key"]).join(members.select("key"), "key", "left_semi"), "texts")
 
-    first = each.groupBy("bucket").agg(F.max(F.struct("company", "key")).alias("leader")).select("bucket", F.col("leader.key").alias("leader"))
-    pairs = each.join(first, "bucket").filter("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
+    first = written(each.groupBy("bucket").agg(F.max(F.struct("company", "key", "size")).alias("leader")).select("bucket", F.col("leader.key").alias("leader"), F.col("leader.size").alias("leader_size")), "leaders")
+    # A bag that is too small or too large cannot be similar.
+    fits = F.least("size", "leader_size") >= threshold * F.greatest("size", "leader_size") - 1e-6
+    pairs = each.join(first, "bucket").filter("key <> leader").filter(fits).select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
     tested = written(_verified(pairs, texts, shingle), "tested")
     links = tested.filter(F.col("sim") >= threshold)
 
     # Members of several components: who has led is done, until the others are of one.
     roots = connected_components(links)
     led = first.select("bucket", F.col("leader").alias("key"))
-    leaders = 1
+    leaders = MORE_LEADERS
     while True:
         labelled = each.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         by_root = labelled.join(led, ["bucket", "key"], "left_anti").groupBy("bucket", "root").agg(F.count("*").alias("n"))
@@ -251,8 +269,8 @@ def _linked(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOL
             return links, roots
         others = mixed.filter("root <> main").join(led, ["bucket", "key"], "left_anti")
         turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("company"), "key"))
-        chosen = written(others.withColumn("turn", turn).filter(F.col("turn") <= leaders).select("bucket", F.col("key").alias("leader"), F.col("root").alias("leader_root")), "leaders")
-        again = mixed.join(chosen, "bucket").filter("root <> leader_root").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
+        chosen = written(others.withColumn("turn", turn).filter(F.col("turn") <= leaders).select("bucket", F.col("key").alias("leader"), F.col("size").alias("leader_size"), F.col("root").alias("leader_root")), "leaders")
+        again = mixed.join(chosen, "bucket").filter("root <> leader_root").filter(fits).select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
         more = written(_verified(again.join(tested, ["a", "b"], "left_anti"), texts, shingle), "tested")
         tested = tested.unionAll(more)
         new = more.filter(F.col("sim") >= threshold)
@@ -260,7 +278,7 @@ def _linked(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOL
             links = links.unionAll(new)
             roots = connected_components(links)
         led = led.unionAll(chosen.select("bucket", F.col("leader").alias("key")))
-        leaders *= 2
+        leaders *= MORE_LEADERS
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

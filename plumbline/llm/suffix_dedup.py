@@ -61,8 +61,6 @@ GRAM = 80
 MAX_CONTEXTS = 2000
 #: Bytes of contexts that are put in order together, but for whole anchors.
 ARRAY_BYTES = 1 << 22
-#: Bytes of text that are hashed at a time, so that arrays stay in a core's cache.
-SCAN_BYTES = 1 << 17
 
 _U = np.uint64
 
@@ -357,12 +355,12 @@ def cut_repeats(docs: DataFrame, length: int = 200, keep: str = "none", id_col:
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.slices(batch.column(0), SCAN_BYTES):
+            for part in K.slices(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(find_contexts(part, length)[1])], ["anchor"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.slices(batch.column(2), SCAN_BYTES):
+            for part in K.slices(batch.column(2)):
                 text, anchor, start, lead, many = find_contexts(part, length)
                 at = start + part.offsets[text]
                 raw = part.data.tobytes()

@@ -163,6 +163,21 @@ def test_large_family_of_near_copies_loses_no_link(spark):
     assert sorted((r.class_id, r.class_size, r.doc_id) for r in got) == brute_classes(rows)
 
 
+def test_near_duplicates_of_the_given_table(spark, data):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    got = minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.class_id, r.class_size, r.doc_id) for r in got) == brute_classes(rows)
+
+
+def test_words_of_two_letters_do_not_collide():
+    """Words that any polynomial modulo a power of two takes for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = ("".join("xy"[x ^ flip] for x in bits) for flip in (0, 1))
+    tail = " one two three four five"
+    assert minhash.overlap(pa.array([a + tail, a]), pa.array([b + tail, a]), 5).tolist() == [1 / 3, 1.0]
+    assert minhash.overlap(pa.array([], pa.string()), pa.array([], pa.string()), 5).tolist() == []
+
+
 def test_near_dedup_of_nothing(empty):
     assert minhash.near_duplicate_classes(empty).count() == 0
 
