@@ -2,19 +2,29 @@
 
 A store is a folder. ``append`` writes arrivals as small immutable shards, as
 the tasks hand them over. ``compact`` puts live shards of similar size (a tier
-is a range of sizes) into runs of up to the target size and writes each run as
-one new file, in the order of its shards; shards that have reached the target
-stay. ``compact(ordered=True)`` keeps the rows in the order of the arrivals'
-tasks: only neighbours meet in a run, whatever their tiers, and all shards are
-written anew, numbered in that order, unless there is nothing to merge. So
-after one append of sorted rows, paths and places are that order. Both end by committing a manifest, the list of live shards: it is
-written aside, and its version becomes visible by creating one small file,
-which fails if another writer has committed that version. Readers follow the
-newest version, so they see all of a change or none of it; shards of older
-versions stay until ``vacuum``.
-
-Manifests are Parquet tables made from the shards' own footers by Spark; the
-driver reads only the commit files, one for each version.
+is a range of sizes) into runs of up to the target size, in the order in which
+they arrived, and writes each run as one new file; shards that have reached the
+target stay. ``compact(ordered=True)`` keeps the rows in the order of the
+arrivals' tasks: only neighbours meet in a run, whatever their tiers, and all
+shards are written anew, numbered in that order, unless there is nothing to
+merge. So after one append of sorted rows, paths and places are that order.
+
+Each change ends by committing a manifest, the list of live shards. Its record
+is written aside in full and then renamed to the number of the new version,
+which fails if another writer has taken that number: a version is there as a
+whole or not at all. A writer that comes second starts again from the newest
+version: an append adds its shards to that one, and so does a merge if all that
+it merged is still live; otherwise it drops its work. Readers follow the newest
+version; shards of older ones stay until ``vacuum``, which spares folders that
+a writer has announced and not committed yet.
+
+Manifests are Parquet tables made from the shards' own footers by Spark, of any
+size; running sums over them are made in two levels, by blocks of arrivals. The
+driver reads commit files, one for each version, and names of folders, one for
+each change.
+
+The rename is exclusive where the store's is (HDFS); on a local disk, two
+writers within the same instant could both succeed.
 
 Nulls and odd input: rows are stored as they are, with all columns, repeated
 ones as often as they come. An empty table adds no shard. Columns may have any
@@ -24,9 +34,11 @@ names. A row larger than the target makes a shard of its own size.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -42,6 +54,8 @@ TIER_FACTOR = 4
 #: Shards of one tier from which a run is merged.
 MIN_RUN = 2
 
+#: Tasks of an arrival whose shards are summed together.
+BLOCK_TASKS = 256
 #: Runs are numbered from here, so that their paths sort as their numbers.
 FIRST_RUN = 10_000_000
 
@@ -65,6 +79,9 @@ class ShardStore:
             return []
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(at) if s.getPath().getName().isdigit())
 
+    def _newest(self) -> int:
+        return max(self.versions(), default=0)
+
     def _commit_record(self, version: int) -> dict:
         fs, at = self._at(f"{self.path}/commits/{version}")
         stream = fs.open(at)
@@ -81,15 +98,35 @@ class ShardStore:
         record = self._commit_record(versions[-1] if version is None else version)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{record['manifest']}")
 
-    def _commit(self, base: int, live: DataFrame, schema: T.StructType) -> int:
-        """Make ``live`` version ``base + 1``; fails if that exists."""
+    def _commit(self, base: int, live: DataFrame, schema: T.StructType) -> bool:
+        """Make ``live`` version ``base + 1``, unless another writer has made one."""
         name = uuid.uuid4().hex
-        live.select("path", "rows", "bytes", "tier").coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
-        fs, at = self._at(f"{self.path}/commits/{base + 1}")
-        stream = fs.create(at, False)
+        live.select("path", "rows", "bytes", "tier").write.parquet(f"{self.path}/manifests/{name}")
+        fs, aside = self._at(f"{self.path}/commits/_{name}")
+        stream = fs.create(aside, False)
         stream.write(bytearray(json.dumps({"manifest": name, "schema": schema.jsonValue()}).encode()))
         stream.close()
-        return base + 1
+        _, at = self._at(f"{self.path}/commits/{base + 1}")
+        jvm = self.spark._jvm
+        never_over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, at, never_over)
+        except Py4JJavaError:
+            fs.delete(aside, False)
+            if fs.exists(at):
+                return False
+            raise
+        return True
+
+    def _announce(self, folder: str) -> str:
+        """Note that a folder of shards is being written, for ``vacuum``."""
+        fs, at = self._at(f"{self.path}/intents/{folder.rpartition('/')[2]}")
+        fs.create(at, True).close()
+        return folder
+
+    def _settled(self, folder: str) -> None:
+        fs, at = self._at(f"{self.path}/intents/{folder.rpartition('/')[2]}")
+        fs.delete(at, False)
 
     def _listed(self, folder: str, schema: T.StructType) -> DataFrame:
         """Shards in a folder with their rows and bytes, from the files' footers."""
@@ -105,71 +142,95 @@ class ShardStore:
     # -- changes --------------------------------------------------------------
     def append(self, arrivals: DataFrame, rows: int = ARRIVAL_ROWS) -> int:
         """Add arrivals as shards of at most ``rows`` rows; returns the new version."""
-        versions = self.versions()
-        base = versions[-1] if versions else 0
-        folder = f"{self.path}/shards/a{base + 1:08d}-{uuid.uuid4().hex}"
+        base = self._newest()
+        folder = self._announce(f"{self.path}/shards/a{base + 1:08d}-{uuid.uuid4().hex}")
         arrivals.write.option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(folder)
-        live = self._listed(folder, arrivals.schema)
-        if base:
-            live = self.manifest(base).unionByName(live)
-        return self._commit(base, live, arrivals.schema)
+        new = self._listed(folder, arrivals.schema)
+        while not self._commit(base, self.manifest(base).unionByName(new) if base else new, arrivals.schema):
+            base = self._newest()
+        self._settled(folder)
+        return base + 1
 
     def compact(self, ordered: bool = False) -> int:
         """Merge runs of similar shards until no tier has one; returns the newest
         version. ``ordered`` merges runs of neighbours instead."""
-        while True:
-            versions = self.versions()
-            if not versions:
-                return 0
-            base = versions[-1]
+        while base := self._newest():
             live = self.manifest(base)
-            plan = self._neighbours(live) if ordered else self._tiers(live)
-            n_runs = plan.agg(F.max("run")).first()[0]
-            if n_runs is None:
-                return base
-            self._merge(base, live, plan, n_runs + 1)
+            plan = (self._neighbours(live) if ordered else self._tiers(live)).persist()
+            try:
+                n_runs = plan.agg(F.max("run")).first()[0]
+                if n_runs is None:
+                    break
+                self._merge(base, plan, n_runs + 1)
+            finally:
+                plan.unpersist()
+        return base
+
+    def _numbered(self, live: DataFrame) -> DataFrame:
+        """Shards with the order of their arrival: version, task or run, and file of the task."""
+        parts = {"arrival": r"/shards/[ac](\d+)-", "run": r"=(\d+)/[^/]*$", "task": r"/part-(\d+)-", "file": r"[.-]c(\d+)\.[^/-]*$"}
+        n = {k: F.when(x != "", x.cast("long")) for k, x in ((k, F.regexp_extract("path", p, 1)) for k, p in parts.items())}
+        return live.select("path", "bytes", "tier", n["arrival"].alias("n0"), F.coalesce(n["run"], n["task"]).alias("n1"), F.coalesce(n["file"], F.lit(0)).alias("n2"))
+
+    @staticmethod
+    def _before(shards: DataFrame, value: Column, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+        """``shards`` with the sum of ``value`` over those before each, in two
+        levels: within blocks of tasks, and over the blocks."""
+        block = F.expr(f"n1 div {BLOCK_TASKS}")
+        keyed = shards.withColumns({"value": value, "block": block})
+        sums = keyed.groupBy(*by, "n0", "block").agg(F.sum("value").alias("total"))
+        sums = sums.select(*by, "n0", "block", (F.sum("total").over(Window.partitionBy(*by).orderBy("n0", "block")) - F.col("total")).alias("offset"))
+        within = F.sum("value").over(Window.partitionBy(*by, "n0", "block").orderBy("n1", "n2", "path")) - F.col("value")
+        return keyed.withColumn("within", within).join(sums, [*by, "n0", "block"]).withColumn(name, F.col("offset") + F.col("within")).drop("value", "block", "within", "offset")
+
+    def _plan(self, runs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        """Shards with their runs numbered from 0, in the order of each run's first shard."""
+        firsts = runs.groupBy(*keys).agg(F.min(F.struct("n0", "n1", "n2", "path")).alias("first")).select(*keys, "first.*")
+        numbers = self._before(firsts, F.lit(1), "run").select(*keys, F.col("run").cast("int").alias("run"))
+        return runs.join(numbers, list(keys)).select("path", "run", "n0", "n1", "n2")
 
     def _tiers(self, live: DataFrame) -> DataFrame:
-        """Shards to merge (path, run, turn): in each tier, shards in the order
-        of arrival fill runs up to the target."""
-        small = live.filter("tier >= 0")
-        order = Window.partitionBy("tier").orderBy("path")
-        run = F.floor((F.sum("bytes").over(order) - F.col("bytes")) / self.target_bytes)
-        runs = small.select("path", "tier", run.alias("part"))
-        many = runs.groupBy("tier", "part").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_RUN)
-        number = F.row_number().over(Window.orderBy("tier", "part")) - 1
-        return runs.join(many.select("tier", "part", number.alias("run")), ["tier", "part"]).select("path", "run", F.lit(0).alias("turn"))
+        """Shards to merge: in each tier, shards in the order of arrival fill runs up to the target."""
+        small = self._before(self._numbered(live.filter("tier >= 0")), F.col("bytes"), "filled", ("tier",))
+        runs = small.withColumn("part", F.floor(F.col("filled") / self.target_bytes))
+        many = runs.groupBy("tier", "part").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_RUN).select("tier", "part")
+        return self._plan(runs.join(many, ["tier", "part"]), ("tier", "part"))
 
     def _neighbours(self, live: DataFrame) -> DataFrame:
-        """All shards (path, run, turn) in order, where small neighbours fill
-        runs up to the target; none if no two would meet."""
-        parts = [F.regexp_extract("path", pattern, 1) for pattern in (r"/shards/[ac](\d+)-", r"=(\d+)/[^/]*$", r"/part-(\d+)-", r"[.-]c(\d+)\.[^/-]*$")]
-        number = F.struct(*[F.when(x != "", x.cast("long")).alias(f"n{i}") for i, x in enumerate(parts)])
-        shards = live.select("path", "bytes", (F.col("tier") < 0).cast("long").alias("full"), number.alias("number"))
-        order = Window.orderBy("number", "path")
-        shards = shards.select("*", F.row_number().over(order).alias("turn"), F.sum("full").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
-        filled = F.sum("bytes").over(Window.partitionBy("stretch", "full").orderBy("turn")) - F.col("bytes")
-        part = F.when(F.col("full") == 1, F.lit(-1)).otherwise(F.floor(filled / self.target_bytes))
-        shards = shards.select("path", "turn", "stretch", part.alias("part"))
-        run = F.dense_rank().over(Window.orderBy("stretch", "part")) - 1
-        runs = shards.select("path", "turn", run.alias("run"))
-        merges = runs.groupBy("run").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).filter(F.col("most") >= MIN_RUN)
-        return runs.join(F.broadcast(merges)).select("path", "run", "turn")
-
-    def _merge(self, base: int, live: DataFrame, plan: DataFrame, n_runs: int) -> None:
+        """All shards, where small neighbours fill runs up to the target and full
+        ones stand alone; none if no two would meet."""
+        full = F.col("tier") < 0
+        shards = self._before(self._numbered(live), full.cast("long"), "stretch")
+        shards = self._before(shards, F.when(full, 0).otherwise(F.col("bytes")), "filled")
+        starts = shards.groupBy("stretch").agg(F.min("filled").alias("start"))
+        shards = shards.join(starts, "stretch").withColumn("part", F.when(full, -1).otherwise(F.floor((F.col("filled") - F.col("start")) / self.target_bytes)))
+        merges = shards.groupBy("stretch", "part").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).filter(F.col("most") >= MIN_RUN)
+        return self._plan(shards, ("stretch", "part")).join(F.broadcast(merges)).drop("most")
+
+    def _merge(self, base: int, plan: DataFrame, n_runs: int) -> None:
+        """Write the planned runs and commit them in place of their shards; no
+        change if another writer has merged some of these meanwhile."""
         schema = self.schema(base)
-        run, turn, path, row = fresh(self.read(base), "run", "turn", "path", "row")
+        run, n0, n1, n2, path, row = fresh(self.read(base), "run", "n0", "n1", "n2", "path", "row")
         files = self._files(schema, base)
         meta = files.metadataColumn("_metadata")
         source = files.select("*", meta["file_path"].alias(path), meta["row_index"].alias(row))
-        planned = plan.select(F.col("path").alias("planned_path"), (F.col("run") + FIRST_RUN).cast("int").alias(run), F.col("turn").alias(turn))
+        planned = plan.select(F.col("path").alias("planned_path"), (F.col("run") + FIRST_RUN).cast("int").alias(run), *(F.col(a).alias(b) for a, b in zip(("n0", "n1", "n2"), (n0, n1, n2))))
         merged = source.join(planned, F.col(path) == F.col("planned_path")).drop("planned_path")
-        folder = f"{self.path}/shards/c{base + 1:08d}-{uuid.uuid4().hex}"
+        folder = self._announce(f"{self.path}/shards/c{base + 1:08d}-{uuid.uuid4().hex}")
         # Each run is a partition, and so a task and a file. The run comes first, or the writer sorts again.
-        dealt = merged.repartitionById(n_runs, F.col(run) - FIRST_RUN).sortWithinPartitions(run, turn, path, row).drop(turn, path, row)
+        order = (n0, n1, n2, path, row)
+        dealt = merged.repartitionById(n_runs, F.col(run) - FIRST_RUN).sortWithinPartitions(run, *order).drop(*order)
         dealt.write.partitionBy(run).option("compression", "zstd").parquet(folder)
-        kept = live.join(plan.select("path"), "path", "left_anti")
-        self._commit(base, kept.unionByName(self._listed(folder, schema)), schema)
+        new = self._listed(folder, schema)
+        while True:
+            live = self.manifest(base)
+            if self._commit(base, live.join(plan.select("path"), "path", "left_anti").unionByName(new), schema):
+                break
+            base = self._newest()
+            if not plan.select("path").join(self.manifest(base), "path", "left_anti").isEmpty():
+                break
+        self._settled(folder)
 
     # -- reading --------------------------------------------------------------
     def schema(self, version: int | None = None) -> T.StructType:
@@ -199,10 +260,20 @@ class ShardStore:
         df = df.join(self.manifest(version).select(F.col("path").alias(live)), F.col(shard) == F.col(live), "left_semi")
         return df.withColumn(shard, F.regexp_extract(shard, r"/shards/(.*)$", 1)) if places else df.select(*schema.names)
 
-    def vacuum(self) -> None:
-        """Delete shard folders that the newest version has no shard of."""
-        fs, at = self._at(f"{self.path}/shards")
+    def vacuum(self, abandoned_after: float = 7 * 86400.0) -> None:
+        """Delete folders that the newest version has no shard of, but for those
+        that a writer announced in the last ``abandoned_after`` seconds and has
+        not committed."""
+
+        def listed(name: str) -> dict:
+            fs, at = self._at(f"{self.path}/{name}")
+            return {s.getPath().getName(): s for s in fs.listStatus(at)} if fs.exists(at) else {}
+
+        # In this order: what is neither announced nor live now was not about to be.
+        folders, intents = listed("shards"), listed("intents")
         live = {f.rpartition("/")[2] for f in self._folders()}
-        for status in fs.listStatus(at):
-            if status.getPath().getName() not in live:
-                fs.delete(status.getPath(), True)
+        young = (time.time() - abandoned_after) * 1000
+        for name, status in folders.items():
+            if name not in live and not (name in intents and intents[name].getModificationTime() > young):
+                status.getPath().getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(status.getPath(), True)
+                self._settled(name)

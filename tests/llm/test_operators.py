@@ -256,12 +256,91 @@ def test_store_keeps_every_row_and_versions(spark, docs, empty):
     assert placed.select("shard", "place").distinct().count() == len(rows)
     assert store.compact() == version
     store.append(empty)
-    with pytest.raises(Exception, match="exist"):
-        store._commit(version, store.manifest(), docs.schema)
+    assert not store._commit(version, store.manifest(), docs.schema)
     store.vacuum()
     assert sorted(map(repr, store.read().collect())) == rows
 
 
+@pytest.fixture
+def numbers(spark):
+    return lambda a, b: spark.range(a, b).selectExpr("id AS doc_id", "id AS run", "repeat('x', 10) AS path", "id AS row", "id AS n0")
+
+
+def ids(df):
+    return sorted(r.doc_id for r in df.collect())
+
+
+def test_tiers_over_generations(spark, numbers):
+    """Small arrivals become larger shards, and these larger ones, until they are full; clashing names are kept."""
+    store = sharding.ShardStore(spark, shared_folder(spark, "tiers"), target_bytes=40_000)
+    total, tiers = 0, set()
+    for size in [50] * 4 + [600] * 3 + [3000] * 3:
+        store.append(numbers(total, total + size).repartition(2), rows=10_000)
+        total += size
+        store.compact()
+        tiers |= {r.tier for r in store.manifest().collect()}
+        small = [r.n for r in store.manifest().filter("tier >= 0").groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).filter("b < 40000").collect()]
+        assert set(small) <= {1}
+    assert len(tiers) >= 3
+    assert ids(store.read()) == list(range(total)) and store.read().columns == ["doc_id", "run", "path", "row", "n0"]
+    assert ids(store.read(1)) == list(range(50))
+
+
+def test_a_crash_within_a_commit_leaves_the_store_whole(spark, numbers, monkeypatch):
+    store = sharding.ShardStore(spark, shared_folder(spark, "crash"))
+    store.append(numbers(0, 0).select("*"))
+    store.append(numbers(0, 5))
+    rename = sharding.ShardStore._at
+
+    def crash(self, path):
+        if path.endswith("/commits/3"):
+            raise KeyboardInterrupt
+        return rename(self, path)
+
+    monkeypatch.setattr(sharding.ShardStore, "_at", crash)
+    with pytest.raises(KeyboardInterrupt):
+        store.append(numbers(5, 9))
+    monkeypatch.undo()
+    assert store.versions() == [1, 2] and ids(store.read()) == list(range(5))
+    assert store.append(numbers(5, 7)) == 3 and ids(store.read()) == list(range(7))
+
+
+def test_writers_that_come_second_start_again(spark, numbers, monkeypatch):
+    path = shared_folder(spark, "writers")
+    store, other = (sharding.ShardStore(spark, path, target_bytes=1 << 20) for _ in range(2))
+    store.append(numbers(0, 10).repartition(3))
+    listed, before = sharding.ShardStore._listed, []
+
+    def then(act):
+        """Another writer commits while ours has written its shards."""
+
+        def late(self, *args):
+            out = listed(self, *args)
+            if self is store and not before:
+                before.append(True)
+                act()
+            return out
+
+        before.clear()
+        monkeypatch.setattr(sharding.ShardStore, "_listed", late)
+
+    then(lambda: other.append(numbers(10, 15)))
+    assert store.append(numbers(15, 20)) == 3 and ids(store.read()) == list(range(20))
+    then(lambda: other.append(numbers(20, 25)))
+    store.compact()
+    assert ids(store.read()) == list(range(25))
+    store.append(numbers(25, 30).repartition(3))
+    then(lambda: other.compact())  # merges what ours was about to replace
+    store.compact()
+    assert ids(store.read()) == list(range(30))
+    then(lambda: other.vacuum())  # while an append is under way
+    store.append(numbers(30, 33))
+    assert ids(store.read()) == list(range(33))
+    monkeypatch.undo()
+    store.vacuum()
+    assert ids(store.read()) == list(range(33))
+
+
 # -- 6 quality ----------------------------------------------------------------
 
 
