@@ -77,13 +77,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    sequences, total = token_output.token_sequences(docs, VOCABULARY)
-    path = shared_folder(spark, "op9")
-    token_output.write_shards(sequences, total, path)
-    rows = token_output.read_shards(sequences, path)
-    place = F.col("slot") - F.col("shard") * token_output.ROWS_PER_SHARD
-    return rows.select("slot", "shard", place.alias("place"), "index", "n_tokens", F.col("ids").alias("doc_ids"), F.sha2("tokens", 256).alias("tokens_sha256"))
+    shards = token_output.write_shards(table(spark, sf_dir, "documents"), shared_folder(spark, "op9"), VOCABULARY)
+    rows = shards.slots().select("slot", "shard", "place", "index", F.sha2("tokens", 256).alias("tokens_sha256"))
+    return rows.join(shards.owners(), "index").select("slot", "shard", "place", "index", "n_tokens", F.col("ids").alias("doc_ids"), "tokens_sha256")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +101,23 @@ QUERIES: dict[str, Query] = {
     "op10_url_filter": op10_url_filter,
 }
 
+#: Of every passage, a hash of its bytes as hexadecimal digits; texts are cut into pieces first, for speed.
+_OP7 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT r, j, substr(h, 2000 * j + 1, 2398) AS piece FROM (SELECT r, h, unnest(generate_series(0, (len(h) - 400) // 2000)) AS j FROM d WHERE len(h) >= 400)),
+p AS (SELECT r, 1000 * j + k AS i, md5(substr(piece, 2 * k + 1, 400)) AS s FROM (SELECT r, j, piece, unnest(generate_series(0, (len(piece) - 400) // 2)) AS k FROM pieces)),
+again AS (SELECT s FROM p GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT r, i FROM p SEMI JOIN again USING (s)),
+marks AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM hit),
+runs AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS n FROM marks),
+spans AS (SELECT r, n, min(i) AS lo, max(i) + 200 AS hi FROM runs GROUP BY r, n),
+gaps AS (SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS a, lo AS b, lo, hi FROM spans),
+cut AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS tail, list(struct_pack(a := a, b := b) ORDER BY a) AS kept FROM gaps GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN tail IS NULL THEN h ELSE array_to_string(list_transform(kept, lambda x: substr(h, 2 * x.a + 1, 2 * (x.b - x.a))), '') || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
@@ -150,6 +163,7 @@ f AS (SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100
              + (CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f
 """,
+    "op7_suffix_dedup": _OP7,
     "op10_url_filter": r"""
 WITH r AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),

@@ -1,16 +1,23 @@
 """Token output in training order: fixed-stride shards behind a keyed permutation.
 
 Documents are tokenized, each followed by an end token, and the stream of each
-input partition is cut into sequences of ``length`` ids, two bytes each. Every
-sequence has an index, counted through the partitions. A keyed Feistel network
-with cycle-walking maps the index to a global slot: a permutation of 0 .. n-1
-that any task can compute, and invert, by itself. A shard holds a fixed number
-of consecutive slots, a row for each with the same number of bytes, so slot s
-is row s mod k of shard s div k, and a reader can go on anywhere.
+input partition is cut into sequences of ``length`` ids, two bytes each, or
+four where the vocabulary needs them, little-endian. Every sequence has an
+index, counted through the partitions. A keyed Feistel network with
+cycle-walking maps the index to a global slot: a permutation of 0 .. n-1 that
+any task can compute, and invert, by itself.
+
+A shard is one plain file of a fixed number of consecutive slots, in order, with
+a newline after each: so slot s is at byte (s mod k) * stride of shard s div k,
+and a reader of any kind can seek to it, map the file, or go on anywhere. What
+a slot's index is follows from the permutation; whose documents are in it is
+kept beside the shards, by index.
 
 The cut sequences are written first, so the text is tokenized once, and the
 numbers rest on a table that no retry can change. The driver gets a count for
-each partition. Then each sequence moves once, to its shard.
+each partition. Then each sequence moves once, to its shard, in a few waves of
+shards. A wave leaves a mark when it is whole; writing to the same path again
+goes on with what has no mark, the cut sequences first.
 
 Ids are those of a public tokenizer's ranks file; texts that spell special
 tokens are ordinary text. Words are encoded once per worker and kept, up to a
@@ -24,8 +31,10 @@ they come. An empty table gives no sequences. Extra columns are not looked at.
 from __future__ import annotations
 
 import base64
+import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,16 +42,17 @@ import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import kernel as K
-from plumbline.llm.common import written
 
 LENGTH = 1024
 ROWS_PER_SHARD = 16384
 KEY = 20240229
+#: Parts in which shards are written; the files behind an exchange are dropped after each.
+WAVES = 4
 ROUNDS = 6
 #: Words whose ids a Python worker keeps, at some 200 bytes each.
 CACHE_WORDS = 1_000_000
@@ -61,12 +71,15 @@ def load_encoding(lines: bytes) -> tiktoken.Encoding:
 class Words(dict):
     """Bytes of the ids of a space and a word, encoded when first asked for."""
 
-    def __init__(self, encoding: tiktoken.Encoding):
+    def __init__(self, encoding: tiktoken.Encoding, width: int = 2):
         super().__init__()
-        self.encoding = encoding
+        self.encoding, self.kind = encoding, {2: "H", 4: "I"}[width]
 
     def encode(self, text: str) -> bytes:
-        return array("H", self.encoding.encode_ordinary(text)).tobytes()
+        ids = array(self.kind, self.encoding.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __missing__(self, word: str) -> bytes:
         out = self.encode(" " + word)
@@ -82,9 +95,14 @@ class Words(dict):
 
 
 @lru_cache(maxsize=1)
-def words_of(lines: bytes) -> Words:
+def words_of(lines: bytes, width: int) -> Words:
     """One cache for all tasks that a Python worker runs."""
-    return Words(load_encoding(lines))
+    return Words(load_encoding(lines), width)
+
+
+def id_width(lines: bytes, end_token: int) -> int:
+    """Bytes that hold each id of a ranks file and the end token."""
+    return 2 if max(end_token, *(int(x.split()[1]) for x in lines.splitlines())) < 1 << 16 else 4
 
 
 def feistel(index: np.ndarray, n: int, key: int, backwards: bool = False) -> np.ndarray:
@@ -111,15 +129,16 @@ def feistel(index: np.ndarray, n: int, key: int, backwards: bool = False) -> np.
     return out.astype(np.int64)
 
 
-def _cut(docs: DataFrame, ranks: Broadcast, length: int, end_token: int) -> DataFrame:
-    """Sequences of each partition (part, number), in the order of its rows."""
-    end = np.array([end_token], dtype=np.uint16).tobytes()
-    size = 2 * length
+def _cut(docs: DataFrame, ranks: Broadcast, length: int, end_token: int, width: int) -> DataFrame:
+    """Sequences of each partition (part, number), in the order of its rows; the
+    last of a partition is filled up with end tokens, which n_tokens does not count."""
+    end = end_token.to_bytes(width, "little")
+    size = width * length
     id_type = docs.schema["id"].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        words = words_of(ranks.value)
+        words = words_of(ranks.value, width)
         rest, owners, made, kind = b"", [], 0, pa.null()
         pending: list[tuple[bytes, int, list]] = []
 
@@ -148,7 +167,7 @@ def _cut(docs: DataFrame, ranks: Broadcast, length: int, end_token: int) -> Data
                         yield flush()
                 rest = ids[at:]
         if rest:
-            pending.append((rest + end * ((size - len(rest)) // 2), len(rest) // 2, owners))
+            pending.append((rest + end * ((size - len(rest)) // width), len(rest) // width, owners))
             made += 1
         if pending:
             yield flush()
@@ -157,15 +176,58 @@ def _cut(docs: DataFrame, ranks: Broadcast, length: int, end_token: int) -> Data
     return docs.mapInArrow(cut, T.StructType([T.StructField(*f) for f in fields]))
 
 
-def token_sequences(docs: DataFrame, ranks_file: str, length: int = LENGTH, rows_per_shard: int = ROWS_PER_SHARD, key: int = KEY, end_token: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """All sequences, and how many there are: slot, shard, index, ``tokens``
-    (2 * length bytes, little-endian; the last of a partition is filled up with
-    end tokens), n_tokens without filling, and the ids of the documents in it."""
-    spark = docs.sparkSession
-    with open(ranks_file, "rb") as f:  # a vocabulary has a fixed size, about a megabyte
-        ranks = spark.sparkContext.broadcast(f.read())
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    cut = written(_cut(narrow, ranks, length, end_token), "tokens")
+@dataclass(frozen=True)
+class Shards:
+    """Written shards: where they are, and what is in them."""
+
+    spark: SparkSession
+    path: str
+    total: int
+    length: int
+    width: int
+    rows_per_shard: int
+    key: int
+
+    @property
+    def stride(self) -> int:
+        return self.width * self.length + 1
+
+    def owners(self) -> DataFrame:
+        """(index, n_tokens, ids): of each sequence, the tokens without filling, and the documents in it."""
+        return _indexed(self.spark, self.path)[0].select("index", "n_tokens", "ids")
+
+    def slots(self, start: int = 0, stop: int | None = None) -> DataFrame:
+        """(slot, shard, place, index, tokens) of slots start .. stop - 1, cut
+        from their shards' files only. ``place`` is the row's in its file."""
+        stop = self.total if stop is None else min(stop, self.total)
+        if start >= stop:
+            return self.spark.createDataFrame([], "slot long, shard long, place long, index long, tokens binary")
+        files = self.spark.read.format("binaryFile").load(f"{self.path}/shards")
+        files = files.filter(F.col("shard").between(start // self.rows_per_shard, (stop - 1) // self.rows_per_shard))
+        each = files.select(F.col("shard").cast("long").alias("shard"), "content", F.explode(F.expr(f"sequence(0L, length div {self.stride} - 1)")).alias("place"))
+        slot = F.col("shard") * self.rows_per_shard + F.col("place")
+        rows = each.filter(slot.between(start, stop - 1))
+        tokens = F.substring(F.col("content"), (F.col("place") * self.stride + 1).cast("int"), F.lit(self.stride - 1))
+        return rows.select(slot.alias("slot"), "shard", "place", _permuted(self.total, self.key, True)(slot).alias("index"), tokens.alias("tokens"))
+
+
+def _permuted(total: int, key: int, backwards: bool = False) -> Callable[[Column], Column]:
+    @F.pandas_udf("long")
+    def permuted(x: pd.Series) -> pd.Series:
+        return pd.Series(feistel(x.to_numpy(), total, key, backwards))
+
+    return permuted
+
+
+def _whole(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has left its mark."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _indexed(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The cut sequences with their index, and how many there are."""
+    cut = spark.read.parquet(f"{path}/sequences")
     counts = {r["part"]: r["n"] for r in cut.groupBy("part").agg(F.count("*").alias("n")).collect()}
     starts, total = [], 0
     for part in sorted(counts):
@@ -173,32 +235,43 @@ def token_sequences(docs: DataFrame, ranks_file: str, length: int = LENGTH, rows
         total += counts[part]
     # A row for each partition of the input, 16 bytes.
     offsets = F.broadcast(spark.createDataFrame(starts, "part long, first long"))
-
-    @F.pandas_udf("long")
-    def slot_of(index: pd.Series) -> pd.Series:
-        return pd.Series(feistel(index.to_numpy(), total, key))
-
-    rows = cut.join(offsets, "part").withColumn("index", F.col("first") + F.col("number")).withColumn("slot", slot_of("index"))
-    return rows.select("slot", F.expr(f"slot div {rows_per_shard}").alias("shard"), "index", "tokens", "n_tokens", "ids"), total
+    return cut.join(offsets, "part").withColumn("index", F.col("first") + F.col("number")), total
 
 
-def write_shards(sequences: DataFrame, total: int, path: str, rows_per_shard: int = ROWS_PER_SHARD) -> None:
-    """One file per shard, rows in the order of their slots.
+def write_shards(docs: DataFrame, path: str, ranks_file: str, length: int = LENGTH, rows_per_shard: int = ROWS_PER_SHARD, key: int = KEY, end_token: int = 50256, id_col: str = "doc_id", text_col: str = "text", waves: int = WAVES) -> Shards:
+    """Write all sequences of ``docs`` under ``path``, or go on with it.
 
-    A shard is a range of slots and a partition of its own: the exchange is
-    addressed by its number, which needs no sampling.
+    ``shards/wave=W/shard=K`` has the one file of shard K, ``sequences`` the cut
+    sequences by index. A shard is a range of slots and a partition of its own:
+    the exchange is addressed by its number, which needs no sampling.
     """
-    shards = max(1, -(-total // rows_per_shard))
-    dealt = sequences.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
-    dealt.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-
-
-def read_shards(like: DataFrame, path: str) -> DataFrame:
-    """The sequences of all shards, with the columns of ``like``."""
-    return like.sparkSession.read.schema(like.schema).parquet(path)
-
-
-def read_slots(like: DataFrame, path: str, start: int, stop: int, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
-    """Sequences of slots start .. stop - 1 in order, reading their shards only."""
-    shards = F.col("shard").between(start // rows_per_shard, (stop - 1) // rows_per_shard)
-    return read_shards(like, path).filter(shards & F.col("slot").between(start, stop - 1)).orderBy("slot")
+    spark = docs.sparkSession
+    with open(ranks_file, "rb") as f:  # a vocabulary has a fixed size, about a megabyte
+        lines = f.read()
+    width = id_width(lines, end_token)
+    if not _whole(spark, f"{path}/sequences"):
+        narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        cut = _cut(narrow, spark.sparkContext.broadcast(lines), length, end_token, width)
+        cut.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/sequences")
+    rows, total = _indexed(spark, path)
+    out = Shards(spark, path, total, length, width, rows_per_shard, key)
+    shards = -(-total // rows_per_shard)
+    placed = rows.withColumn("slot", _permuted(total, key)(F.col("index"))).withColumn("shard", F.expr(f"slot div {rows_per_shard}"))
+    for wave in range(min(waves, shards)):
+        first, last = (shards * w // min(waves, shards) for w in (wave, wave + 1))
+        target = f"{path}/shards/wave={wave}"
+        if _whole(spark, target):
+            continue
+        own = placed.filter(F.col("shard").between(first, last - 1)).select("slot", "shard", "tokens")
+        # The shard comes first, or the writer sorts again. As text, bytes are written as they are, with a newline.
+        dealt = own.repartitionById(last - first, (F.col("shard") - first).cast("int")).sortWithinPartitions("shard", "slot")
+        dealt.select("shard", F.col("tokens").cast("string").alias("value")).write.mode("overwrite").partitionBy("shard").text(target)
+        # Spark drops the exchange's files when the driver collects the plan as garbage.
+        spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def map_shard(file: str, length: int = LENGTH, width: int = 2) -> np.ndarray:
+    """A read-only map of one shard's file: ids by slot and position."""
+    row = np.dtype([("ids", f"<u{width}", (length,)), ("end", "u1")])
+    return np.memmap(file, dtype=row, mode="r")["ids"]

@@ -520,27 +520,68 @@ def test_words_encode_as_texts_do():
         assert w.text(text) == w.encode(text)
 
 
-def test_round_trip(spark, docs, texts, empty):
-    sequences, total = token_output.token_sequences(docs, VOCABULARY, length=64, rows_per_shard=10)
-    path = shared_folder(spark, "tokens")
-    token_output.write_shards(sequences, total, path, rows_per_shard=10)
-    rows = sorted(token_output.read_shards(sequences, path).collect(), key=lambda r: r["index"])
-    assert sorted(r.slot for r in rows) == list(range(total)) and all(len(r.tokens) == 128 and r.shard == r.slot // 10 for r in rows)
-    stream = [t for r in rows for t in np.frombuffer(r.tokens, dtype=np.uint16)[: r.n_tokens].tolist()]
-    with open(VOCABULARY, "rb") as f:
+def decoded(rows, width=2, end=50256, vocabulary=VOCABULARY):
+    """The texts behind sequences (index, n_tokens, tokens)."""
+    stream = [t for r in sorted(rows, key=lambda r: r["index"]) for t in np.frombuffer(r.tokens, dtype=f"<u{width}")[: r.n_tokens].tolist()]
+    with open(vocabulary, "rb") as f:
         encoding = token_output.load_encoding(f.read())
-    decoded, now = [], []
+    out, now = [], []
     for t in stream:
-        if t == 50256:
-            decoded.append(encoding.decode(now))
+        if t == end:
+            out.append(encoding.decode(now))
             now = []
         else:
             now.append(t)
-    assert sorted(decoded) == sorted(t or "" for _, t in texts) and not now
-    some = token_output.read_slots(sequences, path, 5, 12, rows_per_shard=10).collect()
-    assert [r.slot for r in some] == list(range(5, min(12, total)))
-    nothing, n = token_output.token_sequences(empty, VOCABULARY)
-    assert n == 0 and nothing.count() == 0
+    assert not now
+    return sorted(out)
+
+
+def test_round_trip(spark, docs, texts, empty, tmp_path):
+    path = f"{tmp_path}/tokens"
+    shards = token_output.write_shards(docs, path, VOCABULARY, length=64, rows_per_shard=10)
+    n = shards.total
+    rows = shards.slots().join(shards.owners(), "index").collect()
+    assert decoded(rows) == sorted(t or "" for _, t in texts)
+    assert sorted(r.slot for r in rows) == list(range(n)) and n > 40
+    by_index = token_output.feistel(np.arange(n), n, token_output.KEY)
+    # The files themselves, read by seeking: row s mod k of shard s div k is what the permutation put there.
+    cut = {r["index"]: r.tokens for r in rows}
+    at = {int(by_index[i]): i for i in cut}
+    files = {int(f.parent.name.partition("=")[2]): f for f in (tmp_path / "tokens/shards").glob("wave=*/shard=*/part-*")}
+    assert sorted(files) == list(range(-(-n // 10)))
+    for s in range(n):
+        ids = token_output.map_shard(files[s // 10], length=64)[s % 10]
+        assert ids.tobytes() == cut[at[s]] and len(cut[at[s]]) == 128
+    assert all(by_index[r["index"]] == r.slot and (r.shard, r.place) == divmod(r.slot, 10) for r in rows)
+    # A stretch over two shards, from their files only.
+    some = shards.slots(5, 12)
+    assert sorted(r.slot for r in some.collect()) == list(range(5, 12)) and shards.slots(n, n + 5).count() == 0
+    assert sorted(i for i in {i for r in rows for i in r.ids} if i is not None) == sorted({i for i, _ in texts if i is not None})
+    nothing = token_output.write_shards(empty, f"{tmp_path}/nothing", VOCABULARY)
+    assert nothing.total == 0 and nothing.slots().count() == 0 and nothing.owners().count() == 0
+
+
+def test_writing_goes_on_after_a_failure(spark, docs, texts, tmp_path):
+    def write():
+        return token_output.write_shards(docs, f"{tmp_path}/tokens", VOCABULARY, length=64, rows_per_shard=10)
+
+    write()
+    files = {w: {f.name: f.stat().st_mtime_ns for f in (tmp_path / f"tokens/shards/wave={w}").rglob("part-*")} for w in range(4)}
+    (tmp_path / "tokens/shards/wave=2/_SUCCESS").unlink()
+    shards = write()
+    again = {w: {f.name: f.stat().st_mtime_ns for f in (tmp_path / f"tokens/shards/wave={w}").rglob("part-*")} for w in range(4)}
+    assert [files[w] == again[w] for w in range(4)] == [True, True, False, True]
+    assert decoded(shards.slots().join(shards.owners(), "index").collect()) == sorted(t or "" for _, t in texts)
+
+
+def test_wide_ids(spark, docs, texts, tmp_path):
+    """A vocabulary of single bytes, numbered beyond two bytes."""
+    ranks = tmp_path / "wide.tiktoken"
+    ranks.write_bytes(b"\n".join(b"%s %d" % (token_output.base64.b64encode(bytes([i])), 70_000 + i) for i in range(256)))
+    shards = token_output.write_shards(docs, f"{tmp_path}/tokens", str(ranks), length=32, end_token=80_000)
+    assert shards.width == 4
+    rows = shards.slots().join(shards.owners(), "index").collect()
+    assert decoded(rows, 4, 80_000, ranks) == sorted(t or "" for _, t in texts)
 
 
 # -- 10 urls ------------------------------------------------------------------
