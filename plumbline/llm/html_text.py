@@ -1,42 +1,62 @@
 """HTML extraction: all visible text, laid out as a browser would stack it.
 
 A page goes through a tokenizer, a tree builder and a renderer in one pass.
-The builder keeps the stack of open elements, closes elements whose end tags
-are implied, and ignores end tags that match nothing; it never nests calls, so
-depth is no limit. The renderer collapses white space, separates blocks by
-line breaks and paragraphs by an empty line, numbers and indents lists, keeps
-``pre`` as it stands, and sets tables with aligned columns.
+The tokenizer ends tags where browsers do, and never reads a place twice. The
+builder keeps the stack of open elements, and for each tag where it is open, so
+that closing what an end tag or a new block implies needs no walk; end tags
+that match nothing are ignored. It never nests calls, so depth is no limit. The
+renderer collapses white space, separates blocks by line breaks and paragraphs
+by an empty line, numbers and indents lists, keeps ``pre`` as it stands, and
+sets tables with columns aligned by the width that characters take.
+
+Time and output grow with the page and not with its square, whatever the page:
+indents end at ``MAX_INDENT``, padding in a table's line at ``MAX_PADDING``, a
+column's width at ``MAX_WIDTH`` (longer cells push the rest of their line), and
+tables within ``MAX_TABLES`` others are shown as blocks. No text is lost by it.
 
 Invisible are the head, comments, scripts, styles, templates, media with their
-fallbacks, inputs, and any element with ``hidden``, ``display:none`` or ``visibility:hidden``.
-MathML and the text of SVG are visible, without annotations and titles,
-descriptions, definitions and metadata; so are a textarea's content and the
-options a select shows: the selected ones, else the first unless it is a list
-box (``multiple`` or ``size``), which shows all. Self-closed elements of SVG
-and MathML have no content.
+fallbacks, inputs, any element with ``hidden`` or ``display:none``, and what has
+``visibility:hidden``, but for parts of it made visible again. MathML and the
+text of SVG are visible, without annotations and titles, descriptions,
+definitions and metadata; so are a textarea's content and the options a select
+shows: the selected ones, else the first unless it is a list box (``multiple``
+or ``size``), which shows all. Self-closed elements of SVG and MathML have no
+content. What a closed ``details`` holds is shown: a click away, it is on the page.
 
 Nulls and odd input: null gives an empty text, as does an empty page. Text
 without tags is one paragraph. Unclosed comments and raw elements run to the
-end. Each row gets a row; repeated rows get the same text. An empty table
-gives an empty result. Other columns are not looked at.
+end; a tag that never ends takes the rest of the page. Each row gets a row;
+repeated rows get the same text. An empty table gives an empty result. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import unicodedata
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: A whole tag as most are, from its name on; others go attribute by attribute.
+TAG = re.compile(r"([a-zA-Z][^\s/>]*+)((?:\s++[^\s\"'>/=]++(?:=(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>=<`]++))?)*+)\s*+(/?)>")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"\s+([^\s\"'>/=]+)(?:=(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+BETWEEN = re.compile(r"[\s/]*")
+KEY = re.compile(r"=?[^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+BARE = re.compile(r"[^\s>]*")
 END_SELECT = re.compile(r"</?select(?=[\s/>])", re.I)
 SPACE = re.compile(r"[ \t\n\f\r]+")
-UNSEEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+GONE_STYLE = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)\s*(?:!important\s*)?(?:;|$)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -65,9 +85,89 @@ CLOSES: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "tfoot": (frozenset("tbody thead tfoot tr td th caption colgroup".split()), frozenset(["table"])),
     "body": (frozenset(["head"]), frozenset()),
 }
+ONLY_P = frozenset(["p"])
+P_BORDERS = frozenset("table td th caption button".split())
+ONLY_TABLE = frozenset(["table"])
+CELLS = frozenset("td th table caption".split())
 #: Start tags that may stand in a head; any other ends it.
 HEAD_TAGS = frozenset("html head title base link meta style script template noscript noframes".split())
 LIMIT_SPAN = 1000
+MAX_INDENT = 40
+MAX_PADDING = 1000
+MAX_WIDTH = 120
+MAX_TABLES = 16
+
+
+def width(s: str) -> int:
+    """Columns that a string takes on a terminal."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def read_tag(source: str, at: int) -> tuple[str, dict[str, str], bool, int]:
+    """Name, attributes (the first of each name), whether it is self-closed, and
+    the end of the tag whose name begins at ``at``. The end is -1 if it has none."""
+    tag = TAG.match(source, at)
+    if tag:
+        values: dict[str, str] = {}
+        if tag[2]:
+            for k, v in ATTRIBUTE.findall(tag[2]):
+                values.setdefault(k.lower(), v[1:-1] if v[:1] in ("'", '"') and v else v)
+        return tag[1].lower(), values, bool(tag[3]), tag.end()
+    name = NAME.match(source, at)
+    values, at = {}, name.end()
+    while True:
+        last, at = at, BETWEEN.match(source, at).end()
+        if at == len(source):
+            return name[0].lower(), values, False, -1
+        if source[at] == ">":
+            return name[0].lower(), values, source[at - 1] == "/" and at > last, at + 1
+        key = KEY.match(source, at)
+        at, value = key.end(), ""
+        equals = EQUALS.match(source, at)
+        if equals:
+            at = equals.end()
+            quote = source[at : at + 1]
+            if quote in ('"', "'") and quote:
+                end = source.find(quote, at + 1)
+                if end < 0:
+                    return name[0].lower(), values, False, -1
+                value, at = source[at + 1 : end], end + 1
+            else:
+                bare = BARE.match(source, at)
+                value, at = bare[0], bare.end()
+        values.setdefault(key[0].lower(), value)
+
+
+def tags(source: str, at: int, end: int) -> Iterator[tuple[str, int, bool, str, dict[str, str], bool, int]]:
+    """Of each tag and other markup between two places: its kind (tag, or text
+    that only looks like one, or what shows nothing), start, whether it is an
+    end tag, name, attributes, whether it is self-closed, and end."""
+    while 0 <= (at := source.find("<", at)) < end:
+        follows = source[at + 1 : at + 2]
+        stop, found = -1, ("skip", at, False, "", {}, False)
+        if source.startswith("<!--", at):
+            stop = source.find("-->", at + 2) + 3 or -1
+            stop = stop if stop > 2 else -1
+        elif source.startswith("<![CDATA[", at):
+            found = ("cdata", at, False, "", {}, False)
+            stop = source.find(">", at) + 1 or -1
+        elif follows in ("!", "?") and follows:
+            stop = source.find(">", at) + 1 or -1
+        else:
+            closing = follows == "/"
+            first = source[at + 1 + closing : at + 2 + closing]
+            if first.isascii() and first.isalpha():
+                name, values, closed, stop = read_tag(source, at + 1 + closing)
+                if stop >= 0:
+                    found = ("tag", at, closing, name, values, closed)
+            else:
+                at += 1
+                continue
+        stop = stop if stop >= 0 else len(source)
+        jump = yield (*found, stop)
+        at = stop if jump is None else jump
 
 
 class Sink:
@@ -129,36 +229,48 @@ class Sink:
 class Table:
     def __init__(self) -> None:
         self.rows: list[dict[int, list[str]]] = []
-        self.taken: dict[int, int] = {}  # column -> rows below that a cell reaches into
+        self.taken: dict[int, int] = {}  # column -> the last row that a cell above reaches into
         self.column = 0
 
     def row(self) -> None:
         self.rows.append({})
         self.column = 0
-        self.taken = {c: n - 1 for c, n in self.taken.items() if n > 1} if len(self.rows) > 1 else {}
 
     def cell(self, text: str, across: int, down: int) -> None:
         if not self.rows:
             self.row()
-        while self.taken.get(self.column):
+        at = len(self.rows) - 1
+        while self.taken.get(self.column, -1) >= at:
             self.column += 1
         self.rows[-1][self.column] = text.split("\n")
-        for _ in range(across):
-            if down > 1:
-                self.taken[self.column] = down
-            self.column += 1
+        if self.column + across > LIMIT_SPAN:
+            across, down = 1, 1
+        if down > 1:
+            self.taken.update((c, at + down - 1) for c in range(self.column, self.column + across))
+        self.column += across
 
     def lines(self) -> list[str]:
         widths: dict[int, int] = {}
         for row in self.rows:
             for c, lines in row.items():
-                widths[c] = max(widths.get(c, 0), *map(len, lines))
-        columns = sorted(widths)
+                widths[c] = max(widths.get(c, 0), min(MAX_WIDTH, max(map(width, lines))))
+        starts, at = {}, 0
+        for c in sorted(widths):
+            starts[c] = at
+            at += widths[c] + 2
         out = []
         for row in self.rows:
-            for k in range(max(map(len, row.values()), default=0)):
-                cells = ((row.get(c) or [""])[k : k + 1] or [""] for c in columns)
-                out.append("  ".join(x[0].ljust(widths[c]) for x, c in zip(cells, columns)).rstrip())
+            cells = sorted(row.items())
+            for k in range(max((len(x) for _, x in cells), default=0)):
+                parts, used = [], 0
+                for c, lines in cells:
+                    text = lines[k] if k < len(lines) else ""
+                    if text:
+                        gap = min(starts[c], MAX_PADDING) - used if starts[c] > used else 0
+                        gap = max(gap, 2 if used else 0)
+                        parts.append(" " * gap + text)
+                        used += gap + width(text)
+                out.append("".join(parts).rstrip())
         return out
 
 
@@ -167,17 +279,20 @@ class Page:
 
     def __init__(self) -> None:
         self.sink = Sink()
-        self.open: list[tuple[str, bool, object]] = []  # tag, unseen, what its end undoes
+        self.open: list[tuple[str, bool, object, bool]] = []  # tag, whether it is gone, what its end undoes, hidden around it
+        self.at: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open
         self.foreign: list[bool] = []  # of each open element: whether its children are SVG or MathML
         self.options: list[tuple[int, int | None]] = []  # of each open select: options so far, and the one that shows, None for all
-        self.unseen = 0
+        self.gone = 0
+        self.hidden = False
         self.tables: list[tuple[Table, Sink]] = []
-        self.lists: list[int | None] = []  # next number, or None for bullets
+        self.lists: list[tuple[int, int] | None] = []  # next number and step, or None for bullets
+        self.counts: Iterator[int] = iter(())  # items of each list that counts down
         self.pre = 0
         self.fresh_pre = False
 
     def text(self, s: str) -> None:
-        if self.unseen or not s:
+        if self.gone or self.hidden or not s:
             return
         if "&" in s:
             s = html.unescape(s)
@@ -189,25 +304,25 @@ class Page:
         else:
             self.sink.text(s)
 
-    def start(self, tag: str, attributes: str) -> bool:
+    def start(self, tag: str, values: dict[str, str], closed: bool) -> bool:
         """Whether an element was opened."""
         if tag in BREAKOUT and self.foreign and self.foreign[-1]:
             self._close_until(next((i + 1 for i in range(len(self.open) - 1, -1, -1) if not self.foreign[i]), 0))
         foreign = tag in FOREIGN or bool(self.foreign and self.foreign[-1])
-        if tag not in HEAD_TAGS and any(t == "head" for t, _, _ in self.open[-3:]):
-            self._close_until(len(self.open) - 1 - next(i for i, x in enumerate(reversed(self.open)) if x[0] == "head"))
+        if tag not in HEAD_TAGS and self.at["head"] and self.at["head"][-1] >= len(self.open) - 3:
+            self._close_until(self.at["head"][-1])
         if tag in CLOSES:
-            shut, border = CLOSES[tag]
-            self._close_within(shut, border)
+            self._close_within(*CLOSES[tag])
         if tag in BLOCK:
-            self._close_within(frozenset(["p"]), frozenset("table td th caption button".split()))
-        values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
-        unseen = tag in UNSEEN or foreign and tag in FOREIGN_UNSEEN or "hidden" in values or bool(values.get("style") and UNSEEN_STYLE.search(values["style"]))
+            self._close_within(ONLY_P, P_BORDERS)
+        style = values.get("style")
+        gone = tag in UNSEEN or foreign and tag in FOREIGN_UNSEEN or "hidden" in values or bool(style and GONE_STYLE.search(style))
         if tag == "option" and self.options:
             n, shown = self.options[-1]
             self.options[-1] = (n + 1, shown)
-            unseen = unseen or shown is not None and n != shown
-        if not self.unseen and not unseen:
+            gone = gone or shown is not None and n != shown
+        shows = not self.gone and not gone
+        if shows:
             if tag == "br":
                 self.sink.line_break()
             elif tag == "hr":
@@ -217,51 +332,64 @@ class Page:
                 self.sink.break_lines(2 if tag in PARAGRAPH and not nested else 1)
             elif tag == "textarea" or tag == "text" and foreign:
                 self.sink.break_lines(1)
-        if tag in VOID or foreign and attributes.endswith("/"):
+        count = next(self.counts, 0) if tag == "ol" and "reversed" in values else 0
+        if tag in VOID or foreign and closed:
             return False
-        undo: object = None
-        if not self.unseen and not unseen:
-            undo = self._enter(tag, values)
-        self.open.append((tag, unseen, undo))
+        around = self.hidden
+        if style and (v := VISIBILITY.search(style)):
+            self.hidden = v[1].lower() in ("hidden", "collapse")
+        undo = self._enter(tag, values, count) if shows else None
+        self.at[tag].append(len(self.open))
+        self.open.append((tag, gone, undo, around))
         self.foreign.append(foreign and tag not in INTEGRATION)
-        self.unseen += unseen
+        self.gone += gone
         return True
 
-    def select(self, attributes: str, content: str) -> None:
+    def select(self, values: dict[str, str], source: str, at: int, end: int) -> None:
         """Note which option of the select just opened shows, from the source after its tag."""
-        values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
         if "multiple" in values or re.fullmatch(r"0*([2-9]|[1-9]\d+)", values.get("size", "")):
             self.options.append((0, None))
             return
-        found = [{k.lower() for k, _ in ATTRIBUTE.findall(t[3])} for t in TOKEN.finditer(content) if t[2] and not t[1] and t[2].lower() == "option"]
-        chosen = [i for i, names in enumerate(found) if "selected" in names]
-        enabled = [i for i, names in enumerate(found) if "disabled" not in names]
+        found = [own for _, _, closing, name, own, _, _ in tags(source, at, end) if name == "option" and not closing]
+        chosen = [i for i, own in enumerate(found) if "selected" in own]
+        enabled = [i for i, own in enumerate(found) if "disabled" not in own]
         self.options.append((0, chosen[-1] if chosen else enabled[0] if enabled else -1))
 
-    def _enter(self, tag: str, values: dict[str, str]) -> object:
+    def _indent(self, more: int) -> str:
+        """Indent further, and return what it was."""
+        before = self.sink.indent
+        if len(before) + more <= MAX_INDENT:
+            self.sink.indent = before + " " * more
+        return before
+
+    def _enter(self, tag: str, values: dict[str, str], count: int) -> object:
         if tag in ("ul", "menu", "dir"):
             self.lists.append(None)
         elif tag == "ol":
-            start = values.get("start", "1")
-            self.lists.append(int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
+            down = "reversed" in values
+            start = values.get("start", "")
+            self.lists.append((int(start) if re.fullmatch(r"-?\d{1,9}", start) else count if down else 1, -1 if down else 1))
         elif tag == "li":
             mark = "- "
             if self.lists and self.lists[-1] is not None:
-                mark = f"{self.lists[-1]}. "
-                self.lists[-1] += 1
-            before = self.sink.indent
-            self.sink.indent = before + " " * len(mark)
+                number, step = self.lists[-1]
+                if re.fullmatch(r"-?\d{1,9}", values.get("value", "")):
+                    number = int(values["value"])
+                mark = f"{number}. "
+                self.lists[-1] = (number + step, step)
+            before = self._indent(len(mark))
             self.sink.mark = mark
             return before
         elif tag in ("dd", "blockquote"):
-            before = self.sink.indent
-            self.sink.indent = before + "  "
-            return before
+            return self._indent(2)
         elif tag in ("pre", "listing", "xmp", "textarea"):
             self.pre += 1
             self.fresh_pre = True
         elif tag == "table":
-            self.tables.append((Table(), self.sink))
+            # One too deep is there, but not laid out.
+            self.tables.append((Table() if len(self.tables) < MAX_TABLES else None, self.sink))
+        elif tag in ("tr", "td", "th") and self.tables and self.tables[-1][0] is None:
+            self.sink.text(" ")
         elif tag == "tr" and self.tables:
             self.tables[-1][0].row()
         elif tag in ("td", "th") and self.tables:
@@ -269,40 +397,40 @@ class Page:
             spans = [values.get(k, "1") for k in ("colspan", "rowspan")]
             return tuple(min(LIMIT_SPAN, max(1, int(s))) if re.fullmatch(r"\d{1,9}", s) else 1 for s in spans), self.lists, self.pre
         elif tag == "q":
-            self.sink.text('"')
+            self.text('"')
         return None
 
     def end(self, tag: str) -> None:
-        border = frozenset() if tag in ("table", "body", "html") else frozenset(["table"]) if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else frozenset("td th table caption".split())
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._close_until(i)
-                return
-            if self.open[i][0] in border:
-                return
+        border = frozenset() if tag in ("table", "body", "html") else ONLY_TABLE if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else CELLS
+        at = self.at[tag][-1] if self.at[tag] else -1
+        if at >= 0 and at >= self._nearest(border):
+            self._close_until(at)
+
+    def _nearest(self, border: frozenset[str]) -> int:
+        """Where in the stack the innermost of some tags is, or -1."""
+        return max((self.at[t][-1] for t in border if self.at[t]), default=-1)
 
     def _close_within(self, shut: frozenset[str], border: frozenset[str]) -> None:
         """Close the outermost element of ``shut`` above the nearest of ``border``."""
-        outermost = None
-        for i in range(len(self.open) - 1, -1, -1):
-            tag = self.open[i][0]
-            if tag in border:
-                break
-            if tag in shut:
-                outermost = i
-                if tag == "p":
-                    break
-        if outermost is not None:
-            self._close_until(outermost)
+        some = [self.at[t] for t in shut if self.at[t]]
+        if some:
+            nearest = self._nearest(border)
+            inside = [own[i] for own in some if (i := bisect_right(own, nearest)) < len(own)]
+            if inside:
+                self._close_until(min(inside))
 
     def _close_until(self, depth: int) -> None:
         while len(self.open) > depth:
-            tag, unseen, undo = self.open.pop()
+            tag, gone, undo, around = self.open.pop()
+            self.at[tag].pop()
             self.foreign.pop()
-            self.unseen -= unseen
+            self.gone -= gone
             if tag == "select" and self.options:
                 self.options.pop()
-            if self.unseen or unseen:
+            if tag == "q" and not self.gone and not gone:
+                self.text('"')
+            self.hidden = around
+            if self.gone or gone:
                 continue
             if tag in ("ul", "ol", "menu", "dir") and self.lists:
                 self.lists.pop()
@@ -323,53 +451,81 @@ class Page:
                 self.sink = self.tables[-1][1]
             elif tag == "table" and self.tables:
                 table, self.sink = self.tables.pop()
-                lines = table.lines()
+                lines = table.lines() if table else []
                 if any(lines):
                     self.sink.break_lines(2)
                     self.sink.lines(lines)
                 self.sink.break_lines(2)
-            elif tag == "q":
-                self.sink.text('"')
             elif tag in BLOCK:
                 self.sink.break_lines(2 if tag in PARAGRAPH else 1)
 
 
+def _items_of_reversed(source: str) -> Iterator[int]:
+    """Items of each list that counts down, in the order of their start tags."""
+    counts: list[list[int]] = []
+    inside: list[list[int]] = []  # of each open list, where its items are counted
+    for kind, _, closing, name, values, _, _ in tags(source, 0, len(source)):
+        if kind != "tag" or name not in ("ol", "ul", "li"):
+            continue
+        if name == "li":
+            if inside and not closing:
+                inside[-1][0] += 1
+        elif closing:
+            if inside:
+                inside.pop()
+        else:
+            inside.append([0])
+            if name == "ol" and "reversed" in values:
+                counts.append(inside[-1])
+    return (n for (n,) in counts)
+
+
 def render(page: str | None) -> str:
     """All visible text of a page."""
     out = Page()
     source = page or ""
-    at = 0
-    while at < len(source):
-        token = TOKEN.search(source, at)
-        if token is None:
-            out.text(source[at:])
+    if "reversed" in source:
+        out.counts = _items_of_reversed(source)
+    done = 0
+    found = tags(source, 0, len(source))
+    jump = None
+    while True:
+        try:
+            kind, at, closing, tag, values, closed, stop = found.send(jump)
+        except StopIteration:
             break
-        if token.start() > at:
-            out.text(source[at : token.start()])
-        at = token.end()
-        if token[2] is None:
-            if token[0].startswith("<![CDATA[") and out.foreign and out.foreign[-1]:
-                stop = source.find("]]>", token.start())
-                at = stop + 3 if stop >= 0 else len(source)
-                out.text(html.escape(source[token.start() + 9 : stop if stop >= 0 else at]))
-            continue
-        tag = token[2].lower()
-        if token[1]:
-            out.end(tag)
-            continue
-        opened = out.start(tag, token[3])
-        if tag == "select":
-            stop = END_SELECT.search(source, at)
-            out.select(token[3], source[at : stop.start() if stop else len(source)])
-        if tag in RAW and opened:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
-            out.text(source[at : stop.start()])
-            at = stop.end()
+        jump = None
+        out.text(source[done:at])
+        done = stop
+        if kind == "cdata" and out.foreign and out.foreign[-1]:
+            end = source.find("]]>", at)
+            done = jump = end + 3 if end >= 0 else len(source)
+            out.text(html.escape(source[at + 9 : end if end >= 0 else done]))
+        elif kind == "tag" and closing:
             out.end(tag)
+        elif kind == "tag":
+            opened = out.start(tag, values, closed)
+            if tag == "select":
+                end = END_SELECT.search(source, stop)
+                out.select(values, source, stop, end.start() if end else len(source))
+            if tag in RAW and opened:
+                end = _end_of(tag).search(source, stop)
+                out.text(source[stop : end.start() if end else len(source)])
+                done = len(source)
+                if end and (close := source.find(">", end.end())) >= 0:
+                    done = close + 1
+                jump = done
+                out.end(tag)
+    out.text(source[done:])
     out._close_until(0)
     return out.sink.result()
 
 
+@lru_cache(maxsize=None)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])", re.I)
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``id_col`` and ``text``, what is visible of each page."""
     narrow = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
