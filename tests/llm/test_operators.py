@@ -98,7 +98,7 @@ def test_rendering(page, text):
         ("<ol reversed><li>a<ol><li>in<li>in</ol><li>b<li>c</ol>", "3. a\n   1. in\n   2. in\n2. b\n1. c"),
         ("<ol reversed start=10><li>a<li>b</ol>", "10. a\n9. b"),
         ("<table><tr><td>漢字<td>a<tr><td>abcde<td>b<tr><td>e\u0301e<td>c</table>", "漢字   a\nabcde  b\ne\u0301e     c"),
-        ("<table><tr><td>a<td><td>c<tr><td colspan=2>wide cell<td>d</table>", "a          c\nwide cell  d"),
+        ("<table><tr><td>a<td><td>c<tr><td colspan=2>wide cell<td>d</table>", "a            c\nwide cell    d"),
         ("<details><summary>s</summary>body</details>", "s\nbody"),
     ],
 )
