@@ -13,13 +13,13 @@ and not w processes.
 Bands of the signature make buckets. A bucket's leader is the text with most
 company over all its buckets, usually what the others were copied from; every
 member is compared with the leader by exact multiset overlap, and links make
-components. Where a bucket's members are in several components, those outside
-its largest lead in their turn, in rounds of 4, 16, 64, ... leaders a bucket,
-each compared with all members of other components, until the members that
-have not led are of one component. So every two texts that share a bucket are
-compared or of one class; the rounds grow with the logarithm of a bucket's
-size, and pairs of one component are never emitted, nor those whose bags
-differ so much in size that they cannot be similar.
+components. Buckets whose members are still in several components go on by
+family, that is by leader: the family's members outside its largest component
+are set against all of its members, in tiles of two blocks of bounded size. A
+task counts the common shingles of a tile by products of matrices, and emits
+the links that join its components and no other pair. So every two texts that
+share a bucket are compared or of one class, and bags that differ so much in
+size that they cannot be similar are not compared with a leader.
 
 Shingles are compared by 64-bit hashes in which each byte of a word has a
 random value of its own place, so only chance makes two of them equal, about
@@ -42,9 +42,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.llm import kernel as K
 from plumbline.llm.common import fresh, text_key, written
@@ -52,8 +51,10 @@ from plumbline.llm.components import connected_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Each round has so many times the leaders of the one before.
-MORE_LEADERS = 4
+#: Texts, and shingles in them, of a block of a family; a text larger than that is a block's worth alone.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Shingles that are counted in one product.
+PRODUCT_COLUMNS = 4096
 #: A pair at the threshold shares a bucket with probability 1 - (1 - 0.8**5)**25 = 0.99995.
 BANDS, ROWS = 25, 5
 
@@ -256,29 +257,86 @@ def _linked(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOL
     tested = written(_verified(pairs, texts, shingle), "tested")
     links = tested.filter(F.col("sim") >= threshold)
 
-    # Members of several components: who has led is done, until the others are of one.
     roots = connected_components(links)
-    led = first.select("bucket", F.col("leader").alias("key"))
-    leaders = MORE_LEADERS
-    while True:
-        labelled = each.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        by_root = labelled.join(led, ["bucket", "key"], "left_anti").groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        main = by_root.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("n", "root")).alias("main")).filter("n > 1").select("bucket", F.col("main.root").alias("main"))
-        mixed = written(labelled.join(main, "bucket"), "mixed")
-        if mixed.isEmpty():
-            return links, roots
-        others = mixed.filter("root <> main").join(led, ["bucket", "key"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("company"), "key"))
-        chosen = written(others.withColumn("turn", turn).filter(F.col("turn") <= leaders).select("bucket", F.col("key").alias("leader"), F.col("size").alias("leader_size"), F.col("root").alias("leader_root")), "leaders")
-        again = mixed.join(chosen, "bucket").filter("root <> leader_root").filter(fits).select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-        more = written(_verified(again.join(tested, ["a", "b"], "left_anti"), texts, shingle), "tested")
-        tested = tested.unionAll(more)
-        new = more.filter(F.col("sim") >= threshold)
-        if not new.isEmpty():
-            links = links.unionAll(new)
-            roots = connected_components(links)
-        led = led.unionAll(chosen.select("bucket", F.col("leader").alias("key")))
-        leaders *= MORE_LEADERS
+    labelled = each.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
+    family = labelled.join(written(mixed, "mixed"), "bucket").join(first.select("bucket", "leader"), "bucket")
+    family = written(family.select("leader", "key", "size", "root").distinct(), "family")
+    if family.isEmpty():
+        return links, roots
+    joined = written(_in_tiles(family, texts, threshold, shingle), "tested")
+    if joined.isEmpty():
+        return links, roots
+    links = links.unionAll(joined)
+    return links, connected_components(links)
+
+
+def _in_tiles(family: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """Links (a, b, sim) between members (leader, key, size, root) of a family
+    that are not of one root: enough to join the components that any link joins."""
+    by_root = family.groupBy("leader", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    main = by_root.groupBy("leader").agg(F.max(F.struct("n", "root", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("total"))
+
+    def blocks(n: str, size: str) -> Column:
+        return F.expr(f"cast(1 + ({n}) div {BLOCK_TEXTS} + ({size}) div {BLOCK_SHINGLES} as int)")
+
+    main = written(main.select("leader", F.col("main.root").alias("main"), blocks("n", "total").alias("across"), blocks("n - main.n", "total - main.size").alias("down")), "families")
+    spread = family.join(main, "leader").withColumn("rest", F.col("root") != F.col("main"))
+    number = F.xxhash64("key")
+    # Everyone stands in one block of columns, in each row of tiles; the rest also in one row, in each block of columns.
+    members = spread.select("leader", "key", "root", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), F.pmod(number, F.col("across")).cast("int").alias("j"))
+    asking = spread.filter("rest").select("leader", "key", "root", F.lit(True).alias("asks"), F.pmod(number, F.col("down")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"))
+    placed = members.unionByName(asking).join(texts, "key").select("leader", "i", "j", "key", "root", "asks", "text")
+    return placed.groupBy("leader", "i", "j").applyInArrow(lambda tile: _tile_links(tile, threshold, shingle), "a binary, b binary, sim double")
+
+
+def _tile_links(tile: pa.Table, threshold: float, shingle: int) -> pa.Table:
+    asks = tile.column("asks").to_numpy(zero_copy_only=False)
+    keys, roots = tile.column("key").to_pylist(), tile.column("root").to_pylist()
+    texts, values, base = [np.zeros(0, np.int64)], [np.zeros(0, _U)], 0
+    for chunk in tile.column("text").chunks:
+        for part in K.slices(chunk):
+            text, value = K.shingles(part, shingle)
+            texts.append(text + part.first + base)
+            values.append(value)
+        base += len(chunk)
+    text, value, weight = weighted(np.concatenate(texts), np.concatenate(values))
+    total = np.bincount(text, weights=weight, minlength=len(keys))
+    # A shingle that occurs w times is w elements: bags become sets.
+    nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    text, value = np.repeat(text, weight), K.mix(np.repeat(value, weight) + nth.astype(_U) * _STEP)
+    _, column = np.unique(value, return_inverse=True)
+    both = np.bincount(column[asks[text]], minlength=column.max(initial=-1) + 1) > 0
+    both &= np.bincount(column[~asks[text]], minlength=len(both)) > 0
+    some = both[column]
+    text, column = text[some], (np.cumsum(both) - 1)[column[some]]
+    order = np.argsort(column, kind="stable")
+    text, column = text[order], column[order]
+    ask, member = np.flatnonzero(asks), np.flatnonzero(~asks)
+    place = np.empty(len(keys), dtype=np.int64)
+    place[ask], place[member] = np.arange(len(ask)), np.arange(len(member))
+    common = np.zeros((len(ask), len(member)), dtype=np.float32)
+    for lo in range(0, int(both.sum()), PRODUCT_COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + PRODUCT_COLUMNS))
+        t, c, asking = text[a:b], column[a:b] - lo, asks[text[a:b]]
+        left, right = (np.zeros((n, PRODUCT_COLUMNS), dtype=np.float32) for n in common.shape)
+        left[place[t[asking]], c[asking]] = 1
+        right[place[t[~asking]], c[~asking]] = 1
+        common += left @ right.T
+    sim = common / np.maximum(total[ask][:, None] + total[member] - common, 1)
+    # Labels of components; a link between two of them makes one, others add nothing.
+    known: dict[bytes, int] = {}
+    label = np.array([known.setdefault(r, len(known)) for r in roots], dtype=np.int64)
+    rows = []
+    for i, own in enumerate(ask):
+        near = member[sim[i] >= threshold]
+        for other in np.unique(label[near]):
+            if other != label[own]:
+                at = near[label[near] == other][0]
+                rows.append((*sorted((keys[own], keys[at])), float(sim[i, place[at]])))
+                label[label == other] = label[own]
+    columns = list(zip(*rows)) or [(), (), ()]
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("a", "b", "sim"), columns, (pa.binary(), pa.binary(), pa.float64()))})
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -51,6 +51,27 @@ def test_pairs_among_a_templates_texts_are_found(spark):
     assert got == {i: i - i % 2 for i in range(80)}
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_families_in_tiles_lose_no_link(spark, monkeypatch, block):
+    """Copies of one text with many edits each, of which some share edits; repeated words count."""
+    from test_operators import brute_classes
+
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", block)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(60)}" for _ in range(120)]
+    rows, versions = [], [base]
+    for i in range(120):
+        copy = list(rng.choice(versions[-12:]))
+        for _ in range(rng.choice((1, 2, 4, 5))):
+            copy[rng.randrange(120)] = f"edit{rng.randrange(400)}"
+        if i % 3 == 0:
+            versions.append(copy)
+        rows.append((i, " ".join(copy)))
+    got = minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.class_id, r.class_size, r.doc_id) for r in got) == brute_classes(rows)
+    assert 5 < len({r.class_id for r in got}) < 100
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
