@@ -5,9 +5,10 @@ form a set that is broadcast. Tasks scan all n-gram windows of the documents
 against it, with array operations on the bytes, and confirm each hit on the
 words themselves.
 
-What is broadcast has a checked size: a block of items has at most
-``block_bytes`` bytes of text. A larger benchmark makes several blocks, each
-of them scanned against all documents, and the hits are united by document.
+What is broadcast has a checked size: a block of items has about
+``block_bytes`` bytes of text at most. A larger benchmark makes several blocks:
+each in its turn is collected, scanned against all documents, its hits written,
+and dropped, so that the driver holds one; then hits are united by document.
 
 Nulls and odd input: a null text has no words and is clean. An item without
 words has no windows; an item shorter than n is one window. Null item ids are
@@ -24,11 +25,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import kernel as K
-from plumbline.llm.common import fresh, text_key
+from plumbline.llm.common import fresh, text_key, written
 
 #: Bytes of item texts in one broadcast block.
 BLOCK_BYTES = 16 << 20
@@ -98,27 +100,22 @@ class Windows:
         return n_words, froms, tos, items
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items, collected block by block; an item's block is a hash of it."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """How many blocks, and their items, each collected when it is asked for; an item's block is a hash of it."""
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = 1 + size // max(1, block_bytes // 2)  # half as large on average: blocks are uneven
-    if count == 1:
-        yield [tuple(r) for r in items.collect()]
-        return
-    for b in range(count):
-        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == b).collect()]
+    parts = [items] if count == 1 else [items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == b) for b in range(count)]
+    return count, ([tuple(r) for r in part.collect()] for part in parts)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[str]]:
     """``docs`` with the words each text has, the maximal hit runs as half-open
     word ranges, and the items that occur. Returns the frame and the names of
     the four new columns."""
-    blocks = [Windows(b, n) for b in _blocks(benchmark, item_id, item_text, block_bytes)]
     names = fresh(docs, "n_words", "hit_from", "hit_to", "items")
 
-    def scanned(block: Windows) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    def scanned(sent: Broadcast) -> DataFrame:
         at = docs.columns.index(text_col)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,18 +127,26 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str
         schema = docs.limit(0).select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in zip(names, ("long", "array<int>", "array<int>", "array<string>")))).schema
         return docs.mapInArrow(scan, schema)
 
-    if len(blocks) == 1:
-        return scanned(blocks[0]), names
+    context = docs.sparkSession.sparkContext
+    count, blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    if count == 1:
+        return scanned(context.broadcast(Windows(next(blocks), n))), names
     # Each block adds its hits; they are united by text, and joined with the documents again.
     n_words, lo, hi, items = names
     (key,) = fresh(docs.select("*", *(F.lit(0).alias(c) for c in names)), "key")
     runs = F.arrays_zip(F.col(lo).alias("lo"), F.col(hi).alias("hi"))
-    some = reduce(DataFrame.unionAll, (scanned(b).filter(F.size(items) > 0).select(text_key(F.col(text_col)).alias(key), runs.alias("runs"), F.col(items).alias("found")) for b in blocks))
+    parts = []
+    for block in blocks:
+        sent = context.broadcast(Windows(block, n))
+        hits = scanned(sent).filter(F.size(items) > 0)
+        parts.append(written(hits.select(text_key(F.col(text_col)).alias(key), runs.alias("runs"), F.col(items).alias("found")), "hits"))
+        sent.destroy()
+    some = reduce(DataFrame.unionAll, parts)
     merged = some.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias(items))
     # Overlapping and adjacent runs become one.
     step = "aggregate(runs, cast(array() as array<struct<lo:int,hi:int>>), (a, r) -> if(size(a) > 0 and element_at(a, -1).hi >= r.lo, concat(slice(a, 1, size(a) - 1), array(named_struct('lo', element_at(a, -1).lo, 'hi', greatest(element_at(a, -1).hi, r.hi)))), concat(a, array(r))))"
     merged = merged.withColumn("runs", F.expr(step))
-    base = scanned(Windows([], n)).drop(lo, hi, items).withColumn(key, text_key(F.col(text_col)))
+    base = scanned(context.broadcast(Windows([], n))).drop(lo, hi, items).withColumn(key, text_key(F.col(text_col)))
     none = F.array().cast("array<int>")
     joined = base.join(merged, key, "left").drop(key)
     out = joined.withColumns({lo: F.coalesce("runs.lo", none), hi: F.coalesce("runs.hi", none), items: F.coalesce(items, F.array().cast("array<string>"))}).drop("runs")

@@ -3,7 +3,9 @@
 DataFrame operations only, and no shuffle. Every rule is evaluated once per
 document. The ledger holds what was measured and one bit for each rule that
 fails; a policy is a version with a mask of the rules it applies, so changing
-the policy, or asking what a rule costs, reads the ledger and not the texts.
+the policy, or asking what a rule costs, reads the ledger and not the texts. A
+stored ledger names the version of the rules that filled it, and is refused
+when these have changed; each judgement names its policy.
 
 Nulls and odd input: a null text has no words and fails the rule on length.
 Each row is judged by itself: repeated rows get the same result. An empty
@@ -16,7 +18,7 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import UPPER, fresh
@@ -35,6 +37,8 @@ RULES: tuple[tuple[str, str], ...] = (
     ("repeated_lines", "100 * n_dup_lines > 60 * n_lines"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
 )
+#: Changes with ``RULES`` or with how a measurement is made.
+RULES_VERSION = 1
 BASE = ("few_words", "repeated_words")
 
 
@@ -119,6 +123,16 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured.select(F.col("ledger_id").alias(id_col), *MEASURES, failure_bits(names).alias("failed"))
 
 
+def write_ledger(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Store the ledger of ``docs``, with the version of the rules."""
+    ledger(docs, id_col, text_col).withColumn("rules_version", F.lit(RULES_VERSION)).write.parquet(f"{path}/rules={RULES_VERSION}")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A stored ledger; an error if it was filled by other rules than these."""
+    return spark.read.parquet(f"{path}/rules={RULES_VERSION}")
+
+
 def passes(failed: Column, policy: Policy = CURRENT) -> Column:
     return failed.bitwiseAND(F.lit(policy.mask).cast("long")) == 0
 
@@ -129,8 +143,8 @@ def ablation(records: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     mask = F.lit(policy.mask).cast("long")
     sets = records.groupBy(F.col("failed").bitwiseAND(mask).alias("bits")).agg(F.count("*").alias("n"))
     rules = F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(1 << i).cast("long").alias("bit")) for i, (name, _) in enumerate(RULES) if name in policy.rules))
-    each = sets.select("bits", "n", F.explode(rules).alias("r")).select("bits", "n", "r.rule", "r.bit")
-    return each.groupBy("rule").agg(
+    each = sets.select("bits", "n", F.explode(rules).alias("r")).select(F.lit(policy.version).alias("policy"), "bits", "n", "r.rule", "r.bit")
+    return each.groupBy("policy", "rule").agg(
         F.sum(F.when(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.col("n")).otherwise(0)).alias("n_fail"),
         F.sum(F.when(F.col("bits") == F.col("bit"), F.col("n")).otherwise(0)).alias("n_only"),
     )

@@ -65,6 +65,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule costs, from a stored ledger: the texts are read once, to write it."""
+    store = shared_folder(spark, "ledger")
+    quality.write_ledger(table(spark, sf_dir, "documents"), store)
+    return quality.ablation(quality.read_ledger(spark, store))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = suffix_dedup.cut_repeats(docs, length=200, keep="none")
@@ -84,8 +91,8 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    spam = [url_filter.Rule("block", host, "") for host in url_filter.SPAM_HOSTS]
-    return url_filter.apply_rules(pages, url_filter.CONTRACT_RULES, url_filter.block_list(spam))
+    # Urls that no rule fits are allowed.
+    return url_filter.apply_rules(pages, url_filter.CONTRACT_RULES)
 
 
 QUERIES: dict[str, Query] = {
@@ -95,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
+    "quality_ablation": quality_ablation,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
@@ -120,6 +128,24 @@ FROM d LEFT JOIN cut USING (r)
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Failure bits of each document, as f.
+_OP6_FAILED = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS wl FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, g FROM grams GROUP BY doc_id, g HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM grams JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(wl) - len(list_distinct(wl)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(wl) AS n_lines,
+             length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_letters
+      FROM d LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
+             + (CASE WHEN 100 * n_symbols > 5 * word_chars THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_upper > 30 * n_letters THEN 8 ELSE 0 END)
+             + (CASE WHEN 100 * n_dup_lines > 60 * n_lines THEN 16 ELSE 0 END)
+             + (CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS failed_bits FROM m)
+"""
+
 SQL: dict[str, str] = {
     "op3_decontaminate": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -146,32 +172,20 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t
 SELECT d.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(kept.n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """,
-    "op6_quality_rules": r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS wl FROM documents),
-grams AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
-twice AS (SELECT doc_id, g FROM grams GROUP BY doc_id, g HAVING count(*) > 1),
-rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM grams JOIN twice USING (doc_id, g)) GROUP BY doc_id),
-m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
-             CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-             CAST(len(wl) - len(list_distinct(wl)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(wl) AS n_lines,
-             length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_letters
-      FROM d LEFT JOIN rep USING (doc_id)),
-f AS (SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
-             + (CASE WHEN 100 * n_symbols > 5 * word_chars THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_upper > 30 * n_letters THEN 8 ELSE 0 END)
-             + (CASE WHEN 100 * n_dup_lines > 60 * n_lines THEN 16 ELSE 0 END)
-             + (CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS failed_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f
+    "op6_quality_rules": _OP6_FAILED
+    + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f",
+    "quality_ablation": _OP6_FAILED
+    + """
+SELECT 2 AS policy, rule, CAST(count_if((failed_bits & bit) <> 0) AS BIGINT) AS n_fail, CAST(count_if(failed_bits = bit) AS BIGINT) AS n_only
+FROM f, (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('shouting', 8), ('repeated_lines', 16), ('word_length', 32)) AS rules(rule, bit) GROUP BY rule
 """,
     "op7_suffix_dedup": _OP7,
     "op10_url_filter": r"""
 WITH r AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-rules(verdict, h, p, base) AS (VALUES ('block', 'net', '/', true), ('allow', 'example.net', '/en/', true), ('block', 'example.com', '/de/', true), ('allow', 'org', '/fr/', true),
-  ('block', 'ads-track.example.org', '', false), ('block', 'casino-win.example.org', '', false), ('block', 'cheap-pills.example.com', '', false),
-  ('block', 'free-bets.example.com', '', false), ('block', 'spam-farm.example.org', '', false)),
-fit AS (SELECT page_id, h || rules.p AS rule, verdict, base FROM p, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p) AND host <> ''),
-best AS (SELECT page_id, max_by(rule, CAST(base AS INTEGER) * 1000000 + length(rule)) AS rule, max_by(verdict, CAST(base AS INTEGER) * 1000000 + length(rule)) AS verdict, bool_or(base) AS base FROM fit GROUP BY page_id)
-SELECT page_id, host, path, CASE WHEN base THEN rule END AS rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)
+rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+best AS (SELECT page_id, max_by(h || rules.p, length(h || rules.p)) AS rule, max_by(verdict, length(h || rules.p)) AS verdict
+         FROM p, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p) AND host <> '' GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)
 """,
 }

@@ -7,9 +7,10 @@ keys are its host and all parent domains, each with the prefixes of its path
 that have a length some rule has. They are hashed and sought in the digests
 for a whole batch at once; each hit is confirmed on the stored string.
 
-The index is built on the driver from a list whose length is checked against
-``MAX_RULES``; ``join_rules`` is the way for more: the same candidate keys as
-an equi-join with a table of rules, of any size.
+The index is built on the driver from a list whose size is checked against
+``MAX_RULES`` and ``MAX_BYTES``; ``join_rules`` is the way for more: the same
+candidate keys as an equi-join with a table of rules, of any size.
+``apply_rule_table`` takes a table of rules and goes the way that its size allows.
 
 Nulls and odd input: a null url or one without ``://`` has empty host and
 path, fits no rule and is allowed. Repeated rows each get a result row. An
@@ -34,6 +35,8 @@ from plumbline.llm.common import LOWER, UPPER
 
 #: Entries an index may have: 8 bytes of digest and the string for each, on the driver and on disk.
 MAX_RULES = 5_000_000
+#: Bytes that the strings of an index may have.
+MAX_BYTES = 256 << 20
 
 
 class Rule(NamedTuple):
@@ -53,8 +56,6 @@ class Rule(NamedTuple):
 
 #: What the contract's query applies.
 CONTRACT_RULES = tuple(Rule.parse(*x) for x in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
-#: Hosts of advertising and spam, blocked with their subdomains.
-SPAM_HOSTS = ("ads-track.example.org", "casino-win.example.org", "cheap-pills.example.com", "free-bets.example.com", "spam-farm.example.org")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -71,6 +72,8 @@ def build_index(rules: Iterable[Rule]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; an index takes {MAX_RULES}: use join_rules")
     keys = [r.text.encode() for r in rules]
+    if sum(map(len, keys)) > MAX_BYTES:
+        raise ValueError(f"rules of more than {MAX_BYTES} bytes: use join_rules")
     digests = np.array([xxhash.xxh64_intdigest(k) for k in keys], dtype=np.uint64)
     order = np.argsort(digests, kind="stable")
     ends = np.cumsum([len(keys[i]) for i in order], dtype=np.int64)
@@ -190,3 +193,14 @@ def join_rules(urls: DataFrame, rules: DataFrame, default: str = "allow", id_col
     best = hit.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "rule_verdict")).alias("best"))
     out = parsed.join(best, ["host", "path"], "left")
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+
+
+def apply_rule_table(urls: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """As ``apply_rules``, for rules in a table (verdict, host, path): by an index
+    if the table is within its bounds, else by ``join_rules``. Rules without a
+    host are skipped, and a null path is none."""
+    known = rules.select("verdict", "host", F.coalesce("path", F.lit("")).alias("path")).filter("host <> '' and verdict is not null")
+    n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0))).first()
+    if n > MAX_RULES or size > MAX_BYTES:
+        return join_rules(urls, known, default, id_col, url_col)
+    return apply_rules(urls, (Rule(*r) for r in known.collect()), default=default, id_col=id_col, url_col=url_col)

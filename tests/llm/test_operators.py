@@ -656,6 +656,25 @@ def test_verdicts_are_those_of_brute_force(spark):
     assert url_filter.apply_rules(df.limit(0), rules).count() == 0
 
 
+def test_rule_tables_of_any_size(spark, monkeypatch):
+    """An index of 200,000 rules, and the join that takes over beyond the bounds."""
+    urls = [(i, f"http://www.h{i * 977 % 400_000}.net/p{i % 3}/x") for i in range(500)] + [(500, None), (500, "http://h1.net/p1/")]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    rules = spark.range(200_000).selectExpr("if(id % 3 = 0, 'allow', 'block') AS verdict", "concat('h', id, '.net') AS host", "if(id % 2 = 0, '/p1/', null) AS path")
+    rules = rules.unionAll(spark.createDataFrame([("block", None, "/"), ("block", "", "")], "verdict string, host string, path string"))
+
+    def expected(i, url):
+        _, host, path, _, _ = (i, *brute_verdict(url, []))
+        n = int(re.search(r"h(\d+)\.net$", host)[1]) if host else 400_000
+        fits = n < 200_000 and (n % 2 or path.startswith("/p1/"))
+        return (i, host, path, f"h{n}.net" + ("" if n % 2 else "/p1/"), "allow" if n % 3 == 0 else "block") if fits else (i, host, path, None, "allow")
+
+    wanted = sorted((expected(*u) for u in urls), key=repr)
+    assert sorted(map(tuple, url_filter.apply_rule_table(df, rules).collect()), key=repr) == wanted
+    monkeypatch.setattr(url_filter, "MAX_RULES", 1000)
+    assert sorted(map(tuple, url_filter.apply_rule_table(df, rules).collect()), key=repr) == wanted
+
+
 def test_equal_digests_are_told_apart(monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda k: len(k))
     index = url_filter.Index(url_filter.build_index([url_filter.Rule.parse("block", x) for x in ("ab/", "cd/", "efg/")]))
