@@ -54,8 +54,8 @@ KEY = 20240229
 #: Parts in which shards are written; the files behind an exchange are dropped after each.
 WAVES = 4
 ROUNDS = 6
-#: Words whose ids a Python worker keeps, at some 200 bytes each.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a Python worker keeps, at some 300 bytes each.
+CACHE_WORDS = 250_000
 #: Files of byte-level vocabularies split text by this pattern (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -207,6 +207,7 @@ class Shards:
         total, key, k, stride = self.total, self.key, self.rows_per_shard, self.stride
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words_of.cache_clear()  # of a worker that tokenized before
             for batch in batches:
                 for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                     rows = np.frombuffer(content.as_buffer(), dtype=np.uint8).reshape(-1, stride)[:, :-1]
