@@ -85,8 +85,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_output.write_shards(table(spark, sf_dir, "documents"), shared_folder(spark, "op9"), VOCABULARY)
-    rows = shards.slots().select("slot", "shard", "place", "index", F.sha2("tokens", 256).alias("tokens_sha256"))
-    return rows.join(shards.owners(), "index").select("slot", "shard", "place", "index", "n_tokens", F.col("ids").alias("doc_ids"), "tokens_sha256")
+    rows = shards.slots().select("slot", "shard", "place", F.sha2("tokens", 256).alias("tokens_sha256"))
+    return rows.join(shards.owners(), "slot").select("slot", "shard", "place", "index", "n_tokens", F.col("ids").alias("doc_ids"), "tokens_sha256")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

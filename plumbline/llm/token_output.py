@@ -193,34 +193,35 @@ class Shards:
         return self.width * self.length + 1
 
     def owners(self) -> DataFrame:
-        """(index, n_tokens, ids): of each sequence, the tokens without filling, and the documents in it."""
-        return _indexed(self.spark, self.path)[0].select("index", "n_tokens", "ids")
+        """(slot, index, n_tokens, ids): of each sequence, its index, the tokens without filling, and the documents in it."""
+        rows = _indexed(self.spark, self.path)[0]
+        return rows.select(_slot_of(self.total, self.key)(F.col("index")).alias("slot"), "index", "n_tokens", "ids")
 
     def slots(self, start: int = 0, stop: int | None = None) -> DataFrame:
-        """(slot, shard, place, index, tokens) of slots start .. stop - 1, cut
-        from their shards' files only. ``place`` is the row's in its file."""
+        """(slot, shard, place, tokens) of slots start .. stop - 1, cut from
+        their shards' files only. ``place`` is the row's in its file.
+
+        Built-in functions cut a file where it is read; Python functions over
+        this frame should follow a write or an exchange, or each row takes its
+        file along.
+        """
         stop = self.total if stop is None else min(stop, self.total)
         if start >= stop:
-            return self.spark.createDataFrame([], "slot long, shard long, place long, index long, tokens binary")
+            return self.spark.createDataFrame([], "slot long, shard long, place long, tokens binary")
         files = self.spark.read.format("binaryFile").load(f"{self.path}/shards")
         files = files.filter(F.col("shard").between(start // self.rows_per_shard, (stop - 1) // self.rows_per_shard))
-        total, key, k, stride = self.total, self.key, self.rows_per_shard, self.stride
+        each = files.select(F.col("shard").cast("long").alias("shard"), "content", F.explode(F.expr(f"sequence(0L, length div {self.stride} - 1)")).alias("place"))
+        slot = F.col("shard") * self.rows_per_shard + F.col("place")
+        tokens = F.substring(F.col("content"), (F.col("place") * self.stride + 1).cast("int"), F.lit(self.stride - 1))
+        return each.filter(slot.between(start, stop - 1)).select(slot.alias("slot"), "shard", "place", tokens.alias("tokens"))
+
 
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words_of.cache_clear()  # of a worker that tokenized before
-            for batch in batches:
-                for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    rows = np.frombuffer(content.as_buffer(), dtype=np.uint8).reshape(-1, stride)[:, :-1]
-                    first, last = max(0, start - shard * k), min(len(rows), stop - shard * k)
-                    for lo in range(first, last, 1024):
-                        place = np.arange(lo, min(lo + 1024, last))
-                        some = np.ascontiguousarray(rows[place])
-                        ends = pa.py_buffer(np.arange(len(place) + 1, dtype=np.int32) * (stride - 1))
-                        tokens = pa.Array.from_buffers(pa.binary(), len(place), [None, ends, pa.py_buffer(some)])
-                        slot = shard * k + place
-                        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.full(len(place), shard)), pa.array(place), pa.array(feistel(slot, total, key, backwards=True)), tokens], ["slot", "shard", "place", "index", "tokens"])
+def _slot_of(total: int, key: int) -> Callable[[Column], Column]:
+    @F.pandas_udf("long")
+    def slot_of(index: pd.Series) -> pd.Series:
+        return pd.Series(feistel(index.to_numpy(), total, key))
 
-        return files.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(cut, "slot long, shard long, place long, index long, tokens binary")
+    return slot_of
 
 
 def _whole(spark: SparkSession, path: str) -> bool:
@@ -260,12 +261,7 @@ def write_shards(docs: DataFrame, path: str, ranks_file: str, length: int = LENG
     rows, total = _indexed(spark, path)
     out = Shards(spark, path, total, length, width, rows_per_shard, key)
     shards = -(-total // rows_per_shard)
-
-    @F.pandas_udf("long")
-    def slot_of(index: pd.Series) -> pd.Series:
-        return pd.Series(feistel(index.to_numpy(), total, key))
-
-    placed = rows.withColumn("slot", slot_of("index")).withColumn("shard", F.expr(f"slot div {rows_per_shard}"))
+    placed = rows.withColumn("slot", _slot_of(total, key)(F.col("index"))).withColumn("shard", F.expr(f"slot div {rows_per_shard}"))
     for wave in range(min(waves, shards)):
         first, last = (shards * w // min(waves, shards) for w in (wave, wave + 1))
         target = f"{path}/shards/wave={wave}"

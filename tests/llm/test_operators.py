@@ -583,7 +583,7 @@ def test_round_trip(spark, docs, texts, empty, tmp_path):
     path = f"{tmp_path}/tokens"
     shards = token_output.write_shards(docs, path, VOCABULARY, length=64, rows_per_shard=10)
     n = shards.total
-    rows = shards.slots().join(shards.owners(), "index").collect()
+    rows = shards.slots().join(shards.owners(), "slot").collect()
     assert decoded(rows) == sorted(t or "" for _, t in texts)
     assert sorted(r.slot for r in rows) == list(range(n)) and n > 40
     by_index = token_output.feistel(np.arange(n), n, token_output.KEY)
@@ -614,7 +614,7 @@ def test_writing_goes_on_after_a_failure(spark, docs, texts, tmp_path):
     shards = write()
     again = {w: {f.name: f.stat().st_mtime_ns for f in (tmp_path / f"tokens/shards/wave={w}").rglob("part-*")} for w in range(4)}
     assert [files[w] == again[w] for w in range(4)] == [True, True, False, True]
-    assert decoded(shards.slots().join(shards.owners(), "index").collect()) == sorted(t or "" for _, t in texts)
+    assert decoded(shards.slots().join(shards.owners(), "slot").collect()) == sorted(t or "" for _, t in texts)
 
 
 def test_wide_ids(spark, docs, texts, tmp_path):
@@ -623,7 +623,7 @@ def test_wide_ids(spark, docs, texts, tmp_path):
     ranks.write_bytes(b"\n".join(b"%s %d" % (token_output.base64.b64encode(bytes([i])), 70_000 + i) for i in range(256)))
     shards = token_output.write_shards(docs, f"{tmp_path}/tokens", str(ranks), length=32, end_token=80_000)
     assert shards.width == 4
-    rows = shards.slots().join(shards.owners(), "index").collect()
+    rows = shards.slots().join(shards.owners(), "slot").collect()
     assert decoded(rows, 4, 80_000, ranks) == sorted(t or "" for _, t in texts)
 
 
