@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import SparkSession
 
 from plumbline import config
 from plumbline.functions.embed import HashEmbedder
-from plumbline.plans import pipeline
+from plumbline.plans import evaluate, pipeline
 from plumbline.sources import records
 
 
@@ -18,16 +19,17 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("out", help="folder for the results")
     p.add_argument("--config", help="YAML file with settings")
     p.add_argument("--cache", help="folder of the extraction cache")
-    p.add_argument("--limit", type=int, help="only so many answers, in the order of their ids")
+    p.add_argument("--limit", type=int, help="only so many answers, the first in the order of the file")
+    p.add_argument("--stage", choices=[*pipeline.STAGES, "all"], default="all", help="one stage, after those before it; default: all")
     p.add_argument("--embed", action="store_true", help="use the offline embedder")
     p.add_argument("--no-audit", action="store_true")
     a = p.parse_args(args)
     settings = config.load(a.config) if a.config else config.Settings()
     spark = SparkSession.builder.appName("plumbline").getOrCreate()
-    instances = records.load_instances(spark, a.data, exclude_implicit_true=settings.exclude_implicit_true)
-    if a.limit:
-        instances = instances.orderBy("response_id").limit(a.limit)
-    pipeline.run(instances, a.out, settings, embedder=HashEmbedder() if a.embed else None, cache_path=a.cache, audit=not a.no_audit)
+    instances = records.load_instances(spark, a.data, exclude_implicit_true=settings.exclude_implicit_true, limit=a.limit)
+    result = pipeline.run(instances, a.out, settings, embedder=HashEmbedder() if a.embed else None, cache_path=a.cache, audit=not a.no_audit, stage=a.stage)
+    if result is not None:
+        print(json.dumps(evaluate.short(result.summary).first().asDict(), indent=2))
 
 
 if __name__ == "__main__":

@@ -21,7 +21,9 @@ from plumbline.functions.text import cache_key, tokens
 
 TRIPLE = "struct<s:string,p:string,o:string>"
 GRAPH = f"entities array<string>, relations array<{TRIPLE}>"
-CACHE = f"cache_key string, {GRAPH}, error string, seconds double"
+#: What calls used: null or nothing where a backend doesn't tell.
+USED = {"prompt_tokens": "bigint", "completion_tokens": "bigint", "cost_usd": "double"}
+CACHE = f"cache_key string, {GRAPH}, error string, seconds double, " + ", ".join(f"{c} {t}" for c, t in USED.items())
 
 #: Distinct tokens that the offline extractor takes as entities (a fixed value).
 MAX_ENTITIES = 12
@@ -30,7 +32,7 @@ CO_OCCURS = "co_occurs_with"
 
 class Extractor(Protocol):
     def extract(self, texts: DataFrame) -> DataFrame:
-        """From (cache_key, text) to (cache_key, entities, relations, error, seconds)."""
+        """From (cache_key, text) to (cache_key, entities, relations, error, seconds) and the columns of ``USED``."""
 
 
 class OfflineExtractor:
@@ -44,14 +46,15 @@ class OfflineExtractor:
         found = texts.withColumn("entities", F.slice(F.array_distinct(tokens(F.col("text"))), 1, MAX_ENTITIES))
         pairs = F.zip_with("entities", F.slice("entities", 2, MAX_ENTITIES), lambda a, b: F.struct(a.alias("s"), F.lit(CO_OCCURS).alias("p"), b.alias("o")))
         relations = F.slice(pairs, 1, F.greatest(F.size("entities") - 1, F.lit(0)))
-        return found.withColumns({"relations": relations, "error": F.lit(None).cast("string"), "seconds": F.lit(0.0)}).drop("text")
+        return found.withColumns({"relations": relations, "error": F.lit(None).cast("string"), "seconds": F.lit(0.0), **{c: F.lit(0).cast(t) for c, t in USED.items()}}).drop("text")
 
 
 class BackendExtractor:
     """A user's backend: ``load()`` runs once in each Python worker and returns
     an object with ``generate(input_data=, cluster=[, chunk_size=])`` whose
-    result has ``entities`` and ``relations``. Calls are retried with growing
-    waits; what still fails is reported in ``error``."""
+    result has ``entities`` and ``relations``, and may have ``usage`` with
+    ``prompt_tokens``, ``completion_tokens`` and ``cost_usd``. Calls are retried
+    with growing waits; what still fails is reported in ``error``."""
 
     def __init__(self, load: Callable[[], Any], settings: ExtractionSettings | None = None):
         self.load, self.settings = load, settings or ExtractionSettings()
@@ -59,7 +62,7 @@ class BackendExtractor:
     def extract(self, texts: DataFrame) -> DataFrame:
         load, settings = self.load, self.settings
 
-        def call(backend: Any, text: str) -> tuple[list, list, str | None]:
+        def call(backend: Any, text: str) -> tuple[list, list, str | None, list]:
             options = {"chunk_size": settings.chunk_chars} if len(text) > settings.chunk_chars else {}
             problem = None
             for attempt in range(settings.max_retries):
@@ -68,10 +71,12 @@ class BackendExtractor:
                 try:
                     graph = backend.generate(input_data=text, cluster=settings.cluster, **options)
                     triples = {tuple(map(str, r)) for r in getattr(graph, "relations", ()) if isinstance(r, (list, tuple)) and len(r) == 3}
-                    return sorted({str(e) for e in getattr(graph, "entities", ())}), sorted(triples), None
+                    usage = getattr(graph, "usage", None)
+                    used = [getattr(usage, c, None) or 0 for c in USED]
+                    return sorted({str(e) for e in getattr(graph, "entities", ())}), sorted(triples), None, used
                 except Exception as e:  # noqa: BLE001  any failure of a backend is retried and then recorded
                     problem = f"{type(e).__name__}: {e}"
-            return [], [], problem
+            return [], [], problem, [0 for _ in USED]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             backend = load()
@@ -79,9 +84,9 @@ class BackendExtractor:
                 rows = []
                 for key, text in zip(batch["cache_key"], batch["text"]):
                     began = time.monotonic()
-                    entities, triples, problem = call(backend, text)
-                    rows.append((key, entities, [dict(zip("spo", t)) for t in triples], problem, time.monotonic() - began))
-                yield pd.DataFrame(rows, columns=["cache_key", "entities", "relations", "error", "seconds"])
+                    entities, triples, problem, used = call(backend, text)
+                    rows.append((key, entities, [dict(zip("spo", t)) for t in triples], problem, time.monotonic() - began, *used))
+                yield pd.DataFrame(rows, columns=["cache_key", "entities", "relations", "error", "seconds", *USED])
 
         return texts.select("cache_key", "text").mapInPandas(run, CACHE)
 
@@ -104,15 +109,16 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def extract(texts: DataFrame, extractor: Extractor, settings: ExtractionSettings | None = None, cache_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Graphs of (owner, text): (owner, entities, relations, error), and the
-    log (owner, cache_key, cached, seconds). Blank texts have empty graphs and
-    cost no call; equal texts cost one. With a cache path, what is new is
-    appended there."""
+    log (owner, cache_key, cached, seconds, and the columns of ``USED``). Blank
+    texts have empty graphs and cost no call; equal texts cost one, which the
+    log gives to the first owner. With a cache path, what is new is appended
+    there."""
     settings = settings or ExtractionSettings()
     trimmed = texts.select("owner", F.regexp_replace(F.coalesce("text", F.lit("")), r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "").alias("text"))
     keyed = trimmed.withColumn("cache_key", F.when(F.col("text") != "", cache_key(F.col("text"), settings)))
     if cache_path is None and getattr(extractor, "row_local", False):
         done = extractor.extract(keyed)
-        log = done.filter(F.col("cache_key").isNotNull()).select("owner", "cache_key", F.lit(False).alias("cached"), "seconds")
+        log = done.filter(F.col("cache_key").isNotNull()).select("owner", "cache_key", F.lit(False).alias("cached"), "seconds", *USED)
         return done.select("owner", "entities", "relations", "error"), log
     wanted = keyed.filter(F.col("cache_key").isNotNull()).select("cache_key", "text").dropDuplicates(["cache_key"])
     if cache_path is None:
@@ -125,7 +131,7 @@ def extract(texts: DataFrame, extractor: Extractor, settings: ExtractionSettings
         fresh.write.mode("append").parquet(cache_path)
         # Read back: the backend is called once, whatever is done with the result.
         everything = spark.read.schema(CACHE).parquet(cache_path).join(wanted.select("cache_key"), "cache_key", "left_semi")
-        ok = everything.withColumn("bad", F.col("error").isNotNull()).groupBy("cache_key").agg(F.min_by(F.struct("entities", "relations", "error", "seconds"), "bad").alias("x")).select("cache_key", "x.*")
+        ok = everything.withColumn("bad", F.col("error").isNotNull()).groupBy("cache_key").agg(F.min_by(F.struct("entities", "relations", "error", "seconds", *USED), "bad").alias("x")).select("cache_key", "x.*")
         found = ok.join(known.withColumn("hit", F.lit(True)), "cache_key", "left").withColumn("cached", F.coalesce("hit", F.lit(False))).drop("hit")
     joined = keyed.select("owner", "cache_key").join(found, "cache_key", "left")
     graphs = joined.select(
@@ -134,7 +140,11 @@ def extract(texts: DataFrame, extractor: Extractor, settings: ExtractionSettings
         F.coalesce("relations", F.array().cast(f"array<{TRIPLE}>")).alias("relations"),
         "error",
     )
-    log = joined.filter(F.col("cache_key").isNotNull()).select("owner", "cache_key", F.coalesce("cached", F.lit(False)).alias("cached"), F.when(F.col("cached"), F.lit(0.0)).otherwise(F.col("seconds")).alias("seconds"))
+    payers = keyed.filter(F.col("cache_key").isNotNull()).groupBy("cache_key").agg(F.min("owner").alias("payer"))
+    paid = joined.filter(F.col("cache_key").isNotNull()).join(payers, "cache_key")
+    paid = paid.withColumn("cached", F.coalesce("cached", F.lit(False)) | (F.col("owner") != F.col("payer")))
+    cost = (F.when(F.col("cached"), 0).otherwise(F.coalesce(c, F.lit(0))).cast(t).alias(c) for c, t in {"seconds": "double", **USED}.items())
+    log = paid.select("owner", "cache_key", "cached", *cost)
     return graphs, log
 
 
@@ -154,5 +164,6 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def usage(log: DataFrame) -> DataFrame:
-    """Calls, cache hits and seconds of an extraction log, in one row."""
-    return log.agg(F.count_if(~F.col("cached")).alias("calls"), F.count_if("cached").alias("cache_hits"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"))
+    """Calls, cache hits, seconds, tokens and cost of an extraction log, in one row."""
+    sums = (F.coalesce(F.sum(c), F.lit(0)).cast(t).alias(c) for c, t in {"seconds": "double", **USED}.items())
+    return log.agg(F.count_if(~F.col("cached")).alias("calls"), F.count_if("cached").alias("cache_hits"), *sums)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +55,13 @@ def _with_vectors(rows: DataFrame, embedder: Embedder) -> DataFrame:
     return rows.join(maps, "response_id", "left")
 
 
-def score(answers: DataFrame, source_graphs: DataFrame, settings: MatchSettings | None = None, embedder: Embedder | None = None) -> DataFrame:
+def score(answers: DataFrame, source_graphs: DataFrame, settings: MatchSettings | None = None, embedder: Embedder | None = None, thresholds: Sequence[tuple[float, float]] = ()) -> DataFrame:
     """One row per answer of a source with a graph.
 
+    With ``thresholds``, pairs for entities and relations, there is one row per
+    answer and pair instead, with tau_e and tau_r: texts are embedded, and
+    graphs brought together, once for all pairs.
+
     ``answers`` holds (response_id, source_id, entities, relations) and
     ``source_graphs`` (source_id, kind, entities, relations). An answer's graph
     meets its source's in one join; the rest happens inside the row, so nothing
@@ -74,6 +80,10 @@ def score(answers: DataFrame, source_graphs: DataFrame, settings: MatchSettings
     refs, ref_triples = F.col("refs"), F.col("ref_triples")
     if embedder is not None:
         rows = _with_vectors(rows, embedder)
+    tau_e, tau_r, tried = F.lit(settings.entity_threshold), F.lit(settings.relation_threshold), []
+    if thresholds:
+        rows = rows.withColumn("tau", F.explode(F.array(*(F.struct(F.lit(float(e)).alias("tau_e"), F.lit(float(r)).alias("tau_r")) for e, r in thresholds))))
+        tau_e, tau_r, tried = F.col("tau.tau_e"), F.col("tau.tau_r"), ["tau.tau_e", "tau.tau_r"]
     none = F.lit(None).cast("string")
 
     def similarity(a: Column, b: Column) -> Column:
@@ -89,7 +99,7 @@ def score(answers: DataFrame, source_graphs: DataFrame, settings: MatchSettings
         rest = F.struct(none.alias("ref"), none.alias("method"))
         if embedder is not None:
             near = F.array_min(F.transform(refs, lambda w: F.struct((-similarity(n, w)).alias("d"), w.alias("ref"))))
-            rest = F.when(-near["d"] >= settings.entity_threshold, F.struct(near["ref"].alias("ref"), F.lit("embedding").alias("method"))).otherwise(rest)
+            rest = F.when(-near["d"] >= tau_e, F.struct(near["ref"].alias("ref"), F.lit("embedding").alias("method"))).otherwise(rest)
         if settings.allow_substring:
             inside = F.array_min(F.filter(refs, lambda w: contained(n, w)))
             rest = F.when(F.exists(refs, lambda w: contained(n, w)), F.struct(inside.alias("ref"), F.lit("substring").alias("method"))).otherwise(rest)
@@ -99,13 +109,13 @@ def score(answers: DataFrame, source_graphs: DataFrame, settings: MatchSettings
         out = a == b
         if settings.allow_substring:
             out = out | contained(a, b)
-        return out if embedder is None else out | (similarity(a, b) >= settings.entity_threshold)
+        return out if embedder is None else out | (similarity(a, b) >= tau_e)
 
     def supported(t: Column) -> Column:
         def holds(r: Column) -> Column:
             close = t["p"] == r["p2"]
             if embedder is not None:
-                close = close | (similarity(t["p"], r["p2"]) >= settings.relation_threshold)
+                close = close | (similarity(t["p"], r["p2"]) >= tau_r)
             way = same(t["s"], r["s2"]) & same(t["o"], r["o2"])
             if settings.accepts_inverse:
                 way = way | (same(t["s"], r["o2"]) & same(t["o"], r["s2"]))
@@ -123,7 +133,7 @@ def score(answers: DataFrame, source_graphs: DataFrame, settings: MatchSettings
         return F.transform(F.filter("t", lambda x: x["held"] == held), lambda x: F.struct(x["s"].alias("s"), x["p"].alias("p"), x["o"].alias("o")))
 
     return rows.select(
-        "response_id", "source_id", "Vc", "Ec", "Vq", "Eq", va.alias("Va"), ea.alias("Ea"),
+        "response_id", "source_id", *tried, "Vc", "Ec", "Vq", "Eq", va.alias("Va"), ea.alias("Ea"),
         F.try_divide(F.size(yes).cast("double"), va).alias("EG"),
         F.try_divide(F.size(F.filter("t", lambda x: x["held"])).cast("double"), ea).alias("RP"),
         (ea > 0).alias("RP_defined"), (va == 0).alias("unscorable"), (F.size("refs") == 0).alias("ref_empty"),

@@ -24,28 +24,30 @@ def finite(score: str) -> Column:
 
 
 def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by.., h, pos, neg): how many of each class have each score."""
-    kept = df.filter(finite(score)).select(*by, F.col(score).cast("double").alias("h"), (F.col(label) == 1).alias("is_pos"))
-    return kept.groupBy(*by, "h").agg(F.count_if("is_pos").alias("pos"), F.count_if(~F.col("is_pos")).alias("neg"))
+    """(by.., h, pos, neg): how many of each class have each score. Rows whose
+    score does not count keep their group, under a null h with no counts."""
+    kept = df.select(*by, F.when(finite(score), F.col(score).cast("double")).alias("h"), (F.col(label) == 1).alias("is_pos"))
+    some = F.col("h").isNotNull()
+    return kept.groupBy(*by, "h").agg(F.count_if(some & F.col("is_pos")).alias("pos"), F.count_if(some & ~F.col("is_pos")).alias("neg"))
 
 
-def auc(df: DataFrame, score: str = "H", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
-    """(by.., n, n_pos, U, AUC): the chance that a positive scores above a
-    negative, ties counting half. Without ``by`` there is always one row."""
-    counts = score_counts(df, score, label, by)
+def auc_of_counts(counts: DataFrame, by: Sequence[str] = (), *more: Column) -> DataFrame:
+    """What ``auc`` returns, from (by.., h, pos, neg) with each h once, and more aggregates."""
     below = Window.partitionBy(*by).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
     u = F.sum(F.col("pos") * (F.col("below") + F.col("neg") * 0.5))
-    out = ranked.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), u.alias("u"))
-    both = (F.col("p") > 0) & (F.col("q") > 0)
     zero = F.lit(0).cast("long")
-    return out.select(
-        *by,
-        (F.coalesce("p", zero) + F.coalesce("q", zero)).alias("n"),
-        F.coalesce("p", zero).alias("n_pos"),
-        F.when(both, F.col("u")).alias("U"),
-        F.when(both, F.col("u") / (F.col("p") * F.col("q"))).alias("AUC"),
-    )
+    out = ranked.groupBy(*by).agg(F.coalesce(F.sum("pos"), zero).alias("p"), F.coalesce(F.sum("neg"), zero).alias("q"), u.alias("u"), *more)
+    both = (F.col("p") > 0) & (F.col("q") > 0)
+    extra = out.columns[len(by) + 3 :]
+    return out.select(*by, (F.col("p") + F.col("q")).alias("n"), F.col("p").alias("n_pos"), F.when(both, F.col("u")).alias("U"), F.when(both, F.col("u") / (F.col("p") * F.col("q"))).alias("AUC"), *extra)
+
+
+def auc(df: DataFrame, score: str = "H", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """(by.., n, n_pos, U, AUC): the chance that a positive scores above a
+    negative, ties counting half. Each group of ``df`` has a row, with counts of
+    0 if no score counts. Without ``by`` there is always one row."""
+    return auc_of_counts(score_counts(df, score, label, by), by)
 
 
 def with_overall(df: DataFrame, group: str) -> DataFrame:
@@ -55,10 +57,7 @@ def with_overall(df: DataFrame, group: str) -> DataFrame:
 
 def auc_breakdown(df: DataFrame, group: str, score: str = "H", label: str = "y") -> DataFrame:
     """(group, n, n_pos, AUC) for each value and OVERALL; values without a score stay."""
-    both = with_overall(df, group)
-    found = auc(both, score, label, [group])
-    zero = F.lit(0).cast("long")
-    return both.select(group).distinct().join(found, group, "left").select(group, F.coalesce("n", zero).alias("n"), F.coalesce("n_pos", zero).alias("n_pos"), "AUC")
+    return auc(with_overall(df, group), score, label, [group]).drop("U")
 
 
 def precision_recall(df: DataFrame, theta: float, score: str = "H", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
@@ -82,9 +81,7 @@ def prf_breakdown(df: DataFrame, theta: float, group: str, score: str = "H", lab
 def ablation(df: DataFrame, columns: dict[str, str], label: str = "y") -> DataFrame:
     """(score, n, AUC) of several score columns, each on its own defined rows."""
     stacked = df.select(F.col(label).alias("y"), F.explode(F.array(*(F.struct(F.lit(name).alias("score"), F.col(c).cast("double").alias("value")) for name, c in columns.items()))).alias("x"))
-    rows = stacked.select("y", "x.score", "x.value")
-    found = auc(rows, "value", "y", ["score"])
-    return rows.select("score").distinct().join(found, "score", "left").select("score", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "AUC")
+    return auc(stacked.select("y", "x.score", "x.value"), "value", "y", ["score"]).select("score", "n", "AUC")
 
 
 def length_buckets(df: DataFrame, edges: Sequence[int], length: str = "context_len", score: str = "H", label: str = "y") -> DataFrame:
@@ -96,10 +93,11 @@ def length_buckets(df: DataFrame, edges: Sequence[int], length: str = "context_l
         inside = (F.col(length) >= a) & (F.col(length) < b)
         name, low = F.when(inside, F.lit(f"[{a},{b})")).otherwise(name), F.when(inside, F.lit(a).cast("long")).otherwise(low)
     rows = df.withColumn("bucket", name).withColumn("low", low).filter("bucket is not null")
-    found = auc(rows, score, label, ["bucket"])
-    zero = F.lit(0).cast("long")
-    means = rows.groupBy("bucket", "low").agg(F.avg(length).alias("mean_len"))
-    return means.join(found, "bucket", "left").select("bucket", "low", "mean_len", F.coalesce("n", zero).alias("n"), F.coalesce("n_pos", zero).alias("n_pos"), "AUC")
+    kept = rows.select("bucket", "low", length, F.when(finite(score), F.col(score).cast("double")).alias("h"), (F.col(label) == 1).alias("is_pos"))
+    some = F.col("h").isNotNull()
+    counts = kept.groupBy("bucket", "low", "h").agg(F.count_if(some & F.col("is_pos")).alias("pos"), F.count_if(some & ~F.col("is_pos")).alias("neg"), F.sum(length).alias("total"), F.count(length).alias("rows"))
+    mean = F.try_divide(F.sum("total").cast("double"), F.sum("rows"))
+    return auc_of_counts(counts, ["bucket", "low"], mean.alias("mean_len")).select("bucket", "low", "mean_len", "n", "n_pos", "AUC")
 
 
 def best_threshold(df: DataFrame, score: str = "H", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
@@ -116,15 +114,11 @@ def best_threshold(df: DataFrame, score: str = "H", label: str = "y", by: Sequen
     theta = F.when(before.isNull(), F.col("h") - 1e-9).otherwise((before + F.col("h")) / 2)
     tp, fp = F.sum("pos").over(down), F.sum("neg").over(down)
     p, q = F.sum("pos").over(every), F.sum("neg").over(every)
-    rows = counts.select(*by, theta.alias("theta"), tp.alias("tp"), fp.alias("fp"), p.alias("p"), q.alias("q"))
+    rows = counts.select(*by, "h", theta.alias("theta"), tp.alias("tp"), fp.alias("fp"), p.alias("p"), q.alias("q"))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p")), F.lit(0.0))
-    rows = rows.filter("p > 0 and q > 0").withColumn("f", f1)
-    best = rows.groupBy(*by).agg(F.min(F.struct((-F.col("f")).alias("f"), "theta")).alias("b"))
-    found = best.select(*by, F.col("b.theta").alias("theta"), (-F.col("b.f")).alias("F1"))
-    if not by:
-        return found.select(F.coalesce("theta", F.lit(0.5)).alias("theta"), "F1")
-    groups = df.select(*by).distinct()
-    return groups.join(found, list(by), "left").select(*by, F.coalesce("theta", F.lit(0.5)).alias("theta"), "F1")
+    judged = F.when(F.col("h").isNotNull() & (F.col("p") > 0) & (F.col("q") > 0), F.struct((-f1).alias("f"), "theta"))
+    best = rows.groupBy(*by).agg(F.min(judged).alias("b"))
+    return best.select(*by, F.coalesce("b.theta", F.lit(0.5)).alias("theta"), (-F.col("b.f")).alias("F1"))
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -132,10 +126,26 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def numbered(df: DataFrame, key: str, seed: int, by: str) -> DataFrame:
+    """``df`` with ``r``, from 0 in the order of a hash within each value of
+    ``by``, and ``least``, how many rows the value with the fewest has.
+
+    Rows are numbered within ranges of the hash, after what the ranges before
+    hold, so that a value is never one task.
+    """
+    order = hash_order(F.col(key), seed)
+    ranged = df.withColumn("part", F.coalesce(F.substring(order, 1, 3), F.lit("")))
+    held = ranged.groupBy(by, "part").agg(F.count("*").alias("c"))  # 4,096 rows for each value
+    ahead = F.sum("c").over(Window.partitionBy(by).orderBy("part")) - F.col("c")
+    parts = held.select(F.col(by).alias("v"), F.col("part").alias("in"), ahead.alias("ahead"), F.sum("c").over(Window.partitionBy(by)).alias("of"))
+    parts = parts.withColumn("least", F.min("of").over(Window.partitionBy()))
+    within = F.row_number().over(Window.partitionBy(by, "part").orderBy(order, key)) - 1
+    return ranged.withColumn("own", within).join(F.broadcast(parts), F.col(by).eqNullSafe(F.col("v")) & (F.col("part") == F.col("in"))).select(*df.columns, (F.col("ahead") + F.col("own")).alias("r"), "least")
+
+
 def stratified_folds(df: DataFrame, key: str, folds: int, seed: int, label: str = "y") -> DataFrame:
     """``df`` with ``fold``: the classes are dealt round in the order of a hash."""
-    order = Window.partitionBy(label).orderBy(hash_order(F.col(key), seed), key)
-    return df.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
+    return numbered(df, key, seed, label).withColumn("fold", (F.col("r") % folds).cast("int")).drop("r", "least")
 
 
 def sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
@@ -143,47 +153,48 @@ def sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
     return df.orderBy(hash_order(F.col(key), seed), key).limit(size)
 
 
-def bootstrap_samples(df: DataFrame, key: str, n: int, seed: int, score: str = "H", label: str = "y") -> DataFrame:
-    """(b, h, y): ``n`` resamples with replacement, the size of the defined
-    rows; none if there are fewer than three rows or two classes.
+#: Of a count that is 0, 1, 2.. with a mean of 1: the chances of at most so many, in units of 2^-32 (rounded).
+POISSON = tuple(round(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12))
+
+
+def bootstrap_counts(df: DataFrame, key: str, n: int, seed: int, score: str = "H", label: str = "y") -> DataFrame:
+    """(b, h, pos, neg): score counts of ``n`` resamples b = 0.., and under
+    b = -1 of the rows themselves.
 
-    Each draw is a hash of seed, resample and position, taken modulo the number
-    of rows, and joins the numbered rows: no resample depends on another.
+    A Poisson bootstrap: how often a row is in a resample is a Poisson number of
+    mean 1, from a hash of seed, resample and key. Rows are thus counted where
+    they are, and what moves is one count for each resample and distinct score.
     """
-    # Read four times below, whatever plan it comes from.
-    kept = df.filter(finite(score)).select(F.col(key).alias("k"), F.col(score).cast("double").alias("h"), F.col(label).alias("y")).persist()
-    # None, if there are not three rows and two classes.
-    total = kept.agg(F.count("*").alias("total"), F.count_distinct("y").alias("classes")).filter("total >= 3 and classes = 2").select("total")
-    # Numbers in the order of the key: within ranges of its hash, after what the ranges before hold.
-    part = F.substring(F.md5(F.col("k").cast("string")), 1, 2)
-    parts = kept.groupBy(part.alias("part")).agg(F.count("*").alias("c"))
-    parts = parts.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("offset"))
-    within = Window.partitionBy("part").orderBy(F.md5(F.col("k").cast("string")), "k")
-    numbered = kept.withColumn("part", part).withColumn("r", F.row_number().over(within) - 1).join(F.broadcast(parts), "part")
-    numbered = numbered.select((F.col("offset") + F.col("r")).alias("i"), "h", "y")
-    draws = total.select("total", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b")).repartition("b")
-    draws = draws.select("total", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("j"))
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "j")), 1, 8), 16, 10).cast("long") % F.col("total")
-    return draws.select("b", drawn.alias("i")).join(numbered, "i").select("b", "h", "y")
-
-
-def _interval(values: DataFrame, column: str, ok: Column) -> DataFrame:
-    p = F.percentile(F.when(ok, F.col(column)), F.array(F.lit(0.025), F.lit(0.975)))
-    return values.agg(p.alias("p")).select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    kept = df.filter(finite(score)).select(F.col(key).cast("string").alias("k"), F.col(score).cast("double").alias("h"), (F.col(label) == 1).alias("is_pos"))
+    # One row at a time makes n, so the resamples go row by row over all tasks.
+    each = kept.select("k", "h", "is_pos", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("b"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "k")), 1, 8), 16, 10).cast("long")
+    times = sum((F.when(u >= limit, 1).otherwise(0) for limit in POISSON), F.lit(0))
+    drawn = each.withColumn("w", F.when(F.col("b") < 0, F.lit(1)).otherwise(times).cast("long")).filter("w > 0")
+    return drawn.groupBy("b", "h").agg(F.coalesce(F.sum(F.when(F.col("is_pos"), F.col("w"))), F.lit(0)).alias("pos"), F.coalesce(F.sum(F.when(~F.col("is_pos"), F.col("w"))), F.lit(0)).alias("neg"))
+
+
+def _interval(values: DataFrame, column: str) -> DataFrame:
+    """From (b, n, both, column); none without three rows and two classes."""
+    own, drawn = F.col("b") < 0, F.col("b") >= 0
+    p = F.percentile(F.when(drawn & F.col("both"), F.col(column)), F.array(F.lit(0.025), F.lit(0.975)))
+    out = values.agg(F.when(F.coalesce(F.max(F.when(own, F.col("both") & (F.col("n") >= 3))), F.lit(False)), p).alias("p"))
+    return out.select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
 
 
 def bootstrap_auc(df: DataFrame, key: str, n: int, seed: int, score: str = "H", label: str = "y") -> DataFrame:
     """(lo, hi): 95 % interval of the AUC over resamples with both classes."""
-    drawn = bootstrap_samples(df, key, n, seed, score, label)
-    return _interval(auc(drawn, "h", "y", ["b"]), "AUC", F.col("AUC").isNotNull())
+    found = auc_of_counts(bootstrap_counts(df, key, n, seed, score, label), ["b"])
+    return _interval(found.withColumn("both", F.col("AUC").isNotNull()), "AUC")
 
 
 def bootstrap_f1(df: DataFrame, theta: float, key: str, n: int, seed: int, score: str = "H", label: str = "y") -> DataFrame:
     """(lo, hi): 95 % interval of F1 at ``theta`` over resamples with both classes."""
-    drawn = bootstrap_samples(df, key, n, seed, score, label)
-    classes = drawn.groupBy("b").agg(F.count_distinct("y").alias("classes"))
-    values = precision_recall(drawn, theta, "h", "y", ["b"]).join(classes, "b")
-    return _interval(values, "F1", F.col("classes") == 2)
+    counts = bootstrap_counts(df, key, n, seed, score, label)
+    said = F.when(F.col("h") >= theta, 1).otherwise(0)
+    sums = counts.groupBy("b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(F.col("pos") * said).alias("tp"), F.sum(F.col("neg") * said).alias("fp"))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p")), F.lit(0.0))
+    return _interval(sums.select("b", (F.col("p") + F.col("q")).alias("n"), ((F.col("p") > 0) & (F.col("q") > 0)).alias("both"), f1.alias("F1")), "F1")
 
 
 def histogram(df: DataFrame, by: Sequence[str], bins: int = 20, score: str = "H") -> DataFrame:
@@ -201,16 +212,28 @@ def histogram(df: DataFrame, by: Sequence[str], bins: int = 20, score: str = "H"
 
 def rank_sum(df: DataFrame, score: str = "H", label: str = "y") -> DataFrame:
     """One row for the one-sided Mann-Whitney test that positives score higher:
-    U, medians, counts, and ``ties``, the sum of t^3 - t over tied scores."""
+    U, medians, counts, and ``ties``, the sum of t^3 - t over tied scores. All
+    of it comes from the score counts, in one pass over the rows."""
     counts = score_counts(df, score, label)
-    ties = counts.agg(F.coalesce(F.sum(F.pow(F.col("pos") + F.col("neg"), 3) - (F.col("pos") + F.col("neg"))), F.lit(0.0)).alias("ties"))
-    kept = df.filter(finite(score))
-    medians = kept.agg(F.median(F.when(F.col(label) == 1, F.col(score))).alias("median_pos"), F.median(F.when(F.col(label) != 1, F.col(score))).alias("median_neg"))
+    up, every = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    middles = []
+    for c in ("pos", "neg"):
+        counts = counts.withColumns({f"{c}_up": F.sum(c).over(up), f"{c}_all": F.sum(c).over(every)})
+        lower, upper = (F.min(F.when((F.col(c) > 0) & (F.col(f"{c}_up") >= F.floor((F.col(f"{c}_all") + more) / 2)), F.col("h"))) for more in (1, 2))
+        middles.append((lower * 0.5 + upper * 0.5).alias(f"median_{c}"))
+    tied = F.col("pos") + F.col("neg")
+    ties = F.coalesce(F.sum(F.pow(tied, 3) - tied), F.lit(0.0)).alias("ties")
+    out = auc_of_counts(counts, (), *middles, ties)
     both = F.col("U").isNotNull()
-    out = auc(df, score, label).join(medians).join(ties)
     return out.select("n", "n_pos", "U", F.when(both, F.col("median_pos")).alias("median_pos"), F.when(both, F.col("median_neg")).alias("median_neg"), "ties")
 
 
+def with_p(tests: DataFrame) -> DataFrame:
+    """``tests``, rows of ``rank_sum``, with ``p_value``."""
+    p = F.udf(lambda u, n, n_pos, ties: rank_sum_p(u, n_pos, n - n_pos, ties), "double")  # a row for each test
+    return tests.withColumn("p_value", p("U", "n", "n_pos", "ties"))
+
+
 #: Up to this size of the smaller class, scores without ties get an exact p-value.
 EXACT_ROWS = 8
 

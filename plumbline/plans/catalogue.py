@@ -81,18 +81,26 @@ held AS (SELECT response_id, norm, ref FROM pairs WHERE contains(long, short) AN
 )
 
 
-def _graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, pipeline.Graphs]:
-    instances = split_documents(spark, sf_dir)
+def _unlabelled(sql: str) -> str:
+    """The same over all documents: y is null where there is no label."""
+    return sql.replace("FROM documents d JOIN labels", "FROM documents d LEFT JOIN labels")
+
+
+_ALL_GRAPH, _ALL_SCORES, _PHRASES = _unlabelled(_GRAPH), _unlabelled(_SCORES), _unlabelled(_PHRASES)
+
+
+def _graphs(spark: SparkSession, sf_dir: str, labelled: bool = False) -> tuple[DataFrame, pipeline.Graphs]:
+    instances = split_documents(spark, sf_dir, labelled)
     return instances, pipeline.extract_graphs(instances)
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    instances, graphs = _graphs(spark, sf_dir)
+def _scores(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    instances, graphs = _graphs(spark, sf_dir, labelled)
     return pipeline.scores(instances, graphs)
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    instances, graphs = _graphs(spark, sf_dir)
+    instances, graphs = _graphs(spark, sf_dir, labelled=True)
     return score.evaluation_rows(instances, score.score(graphs.answers, graphs.sources), ALPHA)
 
 
@@ -102,7 +110,7 @@ def _test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _phrases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Names of answers and references of sources: texts cut at punctuation."""
-    instances = split_documents(spark, sf_dir)
+    instances = split_documents(spark, sf_dir, labelled=False)
 
     def parts(column: str) -> DataFrame:
         return instances.select("source_id", F.explode(F.split(column, r"[.,|\n]")).alias("entity"))
@@ -177,14 +185,14 @@ def label_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- graphs -------------------------------------------------------------------
 
 
-@query(f"WITH {_GRAPH} SELECT response_id, kind, entity FROM ent")
+@query(f"WITH {_ALL_GRAPH} SELECT response_id, kind, entity FROM ent")
 def graph_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, g = _graphs(spark, sf_dir)
     both = g.sources.filter("kind = 'context'").select(F.col("source_id").alias("response_id"), "kind", "entities").unionByName(g.answers.select("response_id", F.lit("answer").alias("kind"), "entities"))
     return both.select("response_id", "kind", F.explode("entities").alias("entity"))
 
 
-@query(f"WITH {_GRAPH} SELECT response_id, kind, s, 'co_occurs_with' AS p, o FROM rel")
+@query(f"WITH {_ALL_GRAPH} SELECT response_id, kind, s, 'co_occurs_with' AS p, o FROM rel")
 def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, g = _graphs(spark, sf_dir)
     both = g.sources.filter("kind = 'context'").select(F.col("source_id").alias("response_id"), "kind", "relations").unionByName(g.answers.select("response_id", F.lit("answer").alias("kind"), "relations"))
@@ -256,7 +264,7 @@ def _aligned(spark: SparkSession, sf_dir: str, settings: MatchSettings) -> DataF
 
 
 @query(f"""
-WITH {_GRAPH} SELECT a.response_id, a.s, 'co_occurs_with' AS p, a.o, 'forward' AS method
+WITH {_ALL_GRAPH} SELECT a.response_id, a.s, 'co_occurs_with' AS p, a.o, 'forward' AS method
 FROM rel a JOIN rel c ON c.response_id = a.response_id AND c.kind = 'context' AND c.s = a.s AND c.o = a.o WHERE a.kind = 'answer'
 """)
 def align_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +272,7 @@ def align_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_GRAPH}, h AS (SELECT a.response_id, a.s, a.o, min(struct_pack(s2 := c.s, o2 := c.o, way := CASE WHEN c.s = a.s AND c.o = a.o THEN 0 ELSE 1 END)) AS b
+WITH {_ALL_GRAPH}, h AS (SELECT a.response_id, a.s, a.o, min(struct_pack(s2 := c.s, o2 := c.o, way := CASE WHEN c.s = a.s AND c.o = a.o THEN 0 ELSE 1 END)) AS b
 FROM rel a JOIN rel c ON c.response_id = a.response_id AND c.kind = 'context' AND (c.s = a.s AND c.o = a.o OR c.s = a.o AND c.o = a.s) WHERE a.kind = 'answer' GROUP BY a.response_id, a.s, a.o)
 SELECT response_id, s, 'co_occurs_with' AS p, o, CASE WHEN b.way = 0 THEN 'forward' ELSE 'inverse' END AS method FROM h
 """)
@@ -299,14 +307,14 @@ def embedding_match_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- scores -------------------------------------------------------------------
 
 
-@query(f'WITH {_SCORES} SELECT response_id, "Va", "EG" FROM sc')
+@query(f'WITH {_ALL_SCORES} SELECT response_id, "Va", "EG" FROM sc')
 def entity_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).select("response_id", "Va", "EG")
+    return _scores(spark, sf_dir, labelled=False).select("response_id", "Va", "EG")
 
 
-@query(f'WITH {_SCORES} SELECT response_id, "Ea", "RP" FROM sc')
+@query(f'WITH {_ALL_SCORES} SELECT response_id, "Ea", "RP" FROM sc')
 def relation_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).select("response_id", "Ea", "RP")
+    return _scores(spark, sf_dir, labelled=False).select("response_id", "Ea", "RP")
 
 
 @query(f'WITH {_SCORES} SELECT response_id, y, 1 - "H" AS "CFI", "H", "H_eg", "H_rp" FROM ev')
@@ -315,7 +323,7 @@ def score_cfi_h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_SCORES}, u AS (SELECT response_id, string_agg(entity, ',' ORDER BY entity) AS ungrounded FROM (SELECT * FROM ent WHERE kind = 'answer') a
+WITH {_ALL_SCORES}, u AS (SELECT response_id, string_agg(entity, ',' ORDER BY entity) AS ungrounded FROM (SELECT * FROM ent WHERE kind = 'answer') a
   ANTI JOIN (SELECT response_id, entity FROM ent WHERE kind = 'context') c USING (response_id, entity) GROUP BY response_id)
 SELECT response_id, coalesce(ungrounded, '') AS ungrounded FROM resp LEFT JOIN u USING (response_id)
 """)
@@ -325,14 +333,44 @@ def audit_ungrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.select("response_id", F.array_join("ungrounded_entities", ",").alias("ungrounded"))
 
 
-@query()
+def _embedded(sql: str, thresholds: str) -> str:
+    """``sc`` after the graphs of ``sql``, for each of the ``thresholds`` of
+    similarity: names are single words and predicates all equal, so containment
+    decides nothing, and the relations' threshold neither."""
+    return f"""{sql},
+vec AS (SELECT entity, list_transform(raw, lambda x: CAST(x / sqrt(list_sum(list_transform(raw, lambda z: z * z))) AS FLOAT)) AS v FROM (
+  SELECT entity, list_transform(range(16), lambda j: CAST(CAST('0x' || substr(md5('0:' || entity), CAST(2 * j + 1 AS INTEGER), 2) AS INTEGER) AS DOUBLE) - CAST(127.5 AS DOUBLE)) AS raw FROM (SELECT DISTINCT entity FROM ent))),
+sims AS (SELECT a.response_id, a.entity AS a, c.entity AS c, CASE WHEN a.entity = c.entity THEN 1 ELSE list_sum(list_transform(list_zip(x.v, z.v), lambda p: CAST(p[1] AS DOUBLE) * p[2])) END AS sim
+  FROM ent a JOIN ent c ON c.response_id = a.response_id AND c.kind = 'context' JOIN vec x ON x.entity = a.entity JOIN vec z ON z.entity = c.entity WHERE a.kind = 'answer'),
+tau AS (SELECT unnest({thresholds}) AS tau_e), near AS (SELECT tau_e, sims.* FROM sims JOIN tau ON sim >= tau_e OR a = c),
+names AS (SELECT DISTINCT tau_e, response_id, a FROM near), pairs AS (SELECT DISTINCT n.tau_e, n.response_id, n.a AS s, m.a AS o FROM near n JOIN near m USING (tau_e, response_id) JOIN rel c ON c.response_id = n.response_id AND c.kind = 'context' AND c.s = n.c AND c.o = m.c),
+eg AS (SELECT t.tau_e, e.response_id, count(*) AS "Va", CAST(count(n.a) AS DOUBLE) / count(*) AS "EG" FROM ent e CROSS JOIN tau t LEFT JOIN names n ON n.tau_e = t.tau_e AND n.response_id = e.response_id AND n.a = e.entity WHERE e.kind = 'answer' GROUP BY t.tau_e, e.response_id),
+rp AS (SELECT t.tau_e, r.response_id, count(*) AS "Ea", CAST(count(p.s) AS DOUBLE) / count(*) AS "RP" FROM rel r CROSS JOIN tau t LEFT JOIN pairs p ON p.tau_e = t.tau_e AND p.response_id = r.response_id AND p.s = r.s AND p.o = r.o WHERE r.kind = 'answer' GROUP BY t.tau_e, r.response_id),
+sc AS (SELECT t.tau_e, resp.*, coalesce("Va", 0) AS "Va", coalesce("Ea", 0) AS "Ea", "EG", "RP" FROM resp CROSS JOIN tau t LEFT JOIN eg ON eg.tau_e = t.tau_e AND eg.response_id = resp.response_id LEFT JOIN rp ON rp.tau_e = t.tau_e AND rp.response_id = resp.response_id)"""
+
+
+@query(f'WITH {_embedded(_ALL_GRAPH, "[0.6]::DOUBLE[]")} SELECT response_id, "Va", "Ea", "EG", "RP" FROM sc')
 def score_with_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole cascade with hashed vectors, whose similarities SQL has no hash for."""
+    """The whole cascade with vectors from digests of the names."""
     _, g = _graphs(spark, sf_dir)
     scored = score.score(g.answers, g.sources, MatchSettings(entity_threshold=0.6, relation_threshold=0.6), HashEmbedder())
     return scored.select("response_id", "Va", "Ea", "EG", "RP")
 
 
+@query(f"""
+WITH {_ALL_GRAPH}, c AS (SELECT response_id, w FROM words WHERE kind = 'context')
+SELECT a.response_id, count(*) AS n, avg(CAST(coalesce(list_contains(w, s) AND list_contains(w, o), false) AS INTEGER)) AS "RP" FROM rel a LEFT JOIN c USING (response_id) WHERE a.kind = 'answer' GROUP BY a.response_id
+""")
+def text_supported_rp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations judged by the source's text, which has both ends as words or not."""
+    instances, g = _graphs(spark, sf_dir)
+    relations = graph.relations_of(g.answers.select(F.col("response_id").alias("owner"), "relations")).withColumnRenamed("owner", "response_id")
+    said = instances.select("response_id", text.tokens(F.col("context")).alias("w"))
+    held = F.array_contains("w", F.col("s")) & F.array_contains("w", F.col("o"))
+    verdicts = relations.join(said, "response_id").select("response_id", "s", "p", "o", F.when(held, "entailed").otherwise("unsupported").alias("verdict"))
+    return stats.supported_share(relations, verdicts, ["response_id", "s", "p", "o"])
+
+
 _HISTOGRAM = "SELECT {by}, \"H\" AS h, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg FROM {rows} WHERE \"H\" IS NOT NULL GROUP BY {by}, \"H\""
 
 
@@ -440,6 +478,12 @@ def mann_whitney_u(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.rank_sum(_test(spark, sf_dir))
 
 
+@query()
+def mann_whitney_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the p-value, which needs functions that SQL does not have."""
+    return stats.with_p(stats.rank_sum(_test(spark, sf_dir)))
+
+
 @query(f"""
 WITH {_SCORES}, t AS (SELECT task, y, "H" AS h FROM ev WHERE split = 'test' AND NOT unscorable AND "H" IS NOT NULL),
 e AS (SELECT task, y, CASE WHEN min(h) = max(h) THEN min(h) - 0.5 ELSE min(h) END AS a, CASE WHEN min(h) = max(h) THEN max(h) + 0.5 ELSE max(h) END AS b, count(*) AS total FROM t GROUP BY task, y),
@@ -495,20 +539,23 @@ def sample_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.sample(split_documents(spark, sf_dir), "response_id", 300, 42).select("response_id")
 
 
-@query()
+@query(f"""
+WITH {_embedded(_GRAPH, "[0.5, 0.7]::DOUBLE[]")}, ids AS (SELECT response_id FROM resp WHERE split = 'train' ORDER BY md5('42:' || response_id), response_id LIMIT 300),
+h AS (SELECT tau_e, y, 1 - (CASE WHEN "RP" IS NULL THEN "EG" ELSE CAST(0.7 AS DOUBLE) * "EG" + (1 - CAST(0.7 AS DOUBLE)) * "RP" END) AS "H" FROM sc JOIN ids USING (response_id))
+SELECT tau_e, tau_r, n, round(auc, 9) AS "AUC" FROM {_auc_sql("h", "tau_e")} CROSS JOIN (SELECT unnest([0.65, 0.85]::DOUBLE[]) AS tau_r)
+""")
 def tau_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over hashed vectors, whose similarities SQL has no hash for."""
-    instances, g = _graphs(spark, sf_dir)
+    instances, g = _graphs(spark, sf_dir, labelled=True)
     settings = Settings(eval=EvalSettings(tau_e_sweep=(0.5, 0.7), tau_r_sweep=(0.65, 0.85)))
-    return pipeline.sweep(instances, g, ALPHA, settings, HashEmbedder())
+    return pipeline.sweep(instances, g, ALPHA, settings, HashEmbedder()).withColumn("AUC", F.round("AUC", 9))
 
 
 def _bootstrap_sql(metric: str) -> str:
+    times = " + ".join(f"CAST(u >= {limit} AS INTEGER)" for limit in stats.POISSON)
     return f"""
-WITH {_SCORES}, t AS (SELECT row_number() OVER (ORDER BY md5(response_id), response_id) - 1 AS i, "H", y FROM ev WHERE split = 'test' AND NOT unscorable AND "H" IS NOT NULL),
-n AS (SELECT count(*) AS total FROM t),
-d AS (SELECT b, CAST('0x' || substr(md5('42:' || b || ':' || j), 1, 8) AS BIGINT) % total AS i FROM n, (SELECT unnest(generate_series(0, 999)) AS b), (SELECT unnest(generate_series(0, (SELECT total FROM n) - 1)) AS j)),
-s AS (SELECT b, "H", y FROM d JOIN t USING (i)), m AS ({metric})
+WITH {_SCORES}, t AS (SELECT response_id, "H", y FROM ev WHERE split = 'test' AND NOT unscorable AND "H" IS NOT NULL),
+d AS (SELECT b, "H", y, CAST('0x' || substr(md5('42:' || b || ':' || response_id), 1, 8) AS BIGINT) AS u FROM t, (SELECT unnest(generate_series(0, 999)) AS b)),
+s AS (SELECT b, "H", y FROM (SELECT b, "H", y, unnest(range({times})) FROM d)), m AS ({metric})
 SELECT round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi FROM m"""
 
 
@@ -526,7 +573,7 @@ def bootstrap_f1_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_GRAPH}, g AS (SELECT response_id, entity, 1 AS a FROM ent WHERE kind = 'context'), s AS (SELECT response_id, entity, 1 AS b FROM ent WHERE kind = 'answer'),
+WITH {_ALL_GRAPH}, g AS (SELECT response_id, entity, 1 AS a FROM ent WHERE kind = 'context'), s AS (SELECT response_id, entity, 1 AS b FROM ent WHERE kind = 'answer'),
 n AS (SELECT count(a) AS n_gold, count(b) AS n_said, count(*) FILTER (a = 1 AND b = 1) AS n_both FROM g FULL JOIN s USING (response_id, entity))
 SELECT *, CAST(n_both AS DOUBLE) / n_said AS precision, CAST(n_both AS DOUBLE) / n_gold AS recall, CAST(2 * n_both AS DOUBLE) / (n_gold + n_said) AS "F1" FROM n
 """)
@@ -536,7 +583,7 @@ def set_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_GRAPH}, g AS (SELECT DISTINCT response_id, s, o FROM rel WHERE kind = 'context'), a AS (SELECT DISTINCT response_id, s, o FROM rel WHERE kind = 'answer'),
+WITH {_ALL_GRAPH}, g AS (SELECT DISTINCT response_id, s, o FROM rel WHERE kind = 'context'), a AS (SELECT DISTINCT response_id, s, o FROM rel WHERE kind = 'answer'),
 k AS (SELECT * FROM a SEMI JOIN (SELECT DISTINCT response_id, s FROM g) USING (response_id, s))
 SELECT count(*) AS n_pairs, count(g.o) AS n_agree, CAST(count(g.o) AS DOUBLE) / nullif(count(*), 0) AS agreement FROM k LEFT JOIN g USING (response_id, s, o)
 """)
@@ -546,7 +593,7 @@ def conditional_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_SCORES}, c AS (SELECT a.response_id, CASE WHEN c.s IS NOT NULL THEN CAST(0 AS DOUBLE) ELSE 1 END AS w, row_number() OVER (PARTITION BY a.response_id ORDER BY (c.s IS NOT NULL)) AS r
+WITH {_ALL_SCORES}, c AS (SELECT a.response_id, CASE WHEN c.s IS NOT NULL THEN CAST(0 AS DOUBLE) ELSE 1 END AS w, row_number() OVER (PARTITION BY a.response_id ORDER BY (c.s IS NOT NULL)) AS r
   FROM rel a LEFT JOIN rel c ON c.response_id = a.response_id AND c.kind = 'context' AND c.s = a.s AND c.o = a.o WHERE a.kind = 'answer'),
 k AS (SELECT response_id, avg(w) AS risk FROM c WHERE r <= 3 GROUP BY response_id)
 SELECT response_id, round(CAST(0.5 AS DOUBLE) * (1 - "EG") + CAST(0.5 AS DOUBLE) * risk, 9) AS "H" FROM sc LEFT JOIN k USING (response_id)
@@ -561,15 +608,15 @@ def claim_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_GRAPH}, n AS (SELECT response_id || ':' || kind AS owner, row_number() OVER (ORDER BY sha256('{{"chunk_chars": 6000, "cluster": true, "model": "offline", "temperature": 0.0, "v": 1}}' || chr(0) || t), response_id || ':' || kind) AS cum_calls
+WITH {_ALL_GRAPH}, n AS (SELECT response_id || ':' || kind AS owner, row_number() OVER (ORDER BY sha256('{{"chunk_chars": 6000, "cluster": true, "model": "offline", "temperature": 0.0, "v": 1}}' || chr(0) || t), response_id || ':' || kind) AS cum_calls
   FROM (SELECT response_id, kind, regexp_replace(text, '^[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g') AS t FROM kinds) WHERE t <> '')
-SELECT owner, cum_calls FROM n
+SELECT owner, cum_calls, CAST(0 AS BIGINT) AS cum_prompt_tokens FROM n
 """)
 def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    instances = split_documents(spark, sf_dir)
+    instances = split_documents(spark, sf_dir, labelled=False)
     texts = instances.select(F.explode(F.array(*(F.struct(F.concat(F.col("response_id"), F.lit(f":{k}")).alias("owner"), F.col(c).alias("text")) for k, c in (("context", "context"), ("answer", "response"))))).alias("x")).select("x.*")
     _, log = graph.extract(texts, graph.OfflineExtractor())
-    return sinks.running_calls(log).select("owner", F.col("cum_calls").cast("long").alias("cum_calls"))
+    return sinks.running_calls(log).select("owner", F.col("cum_calls").cast("long").alias("cum_calls"), "cum_prompt_tokens")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,15 @@ def imputed(rows: DataFrame, h: float) -> DataFrame:
     return rows.withColumn("H", F.when(F.col("unscorable"), F.lit(float(h))).otherwise(F.col("H")))
 
 
+#: The run's figures in short, under the names that users of the job know.
+SHORT = {"alpha": "alpha", "theta": "theta", "tau_e": "tau_e", "tau_r": "tau_r", "overall_AUC": "overall_AUC_exclude_unscorable", "overall_F1": "overall_F1", "imputed_AUC": "overall_AUC_impute"}
+
+
+def short(summary: DataFrame) -> DataFrame:
+    """The seven figures of a summary that are shown at the end of a run."""
+    return summary.select(*(F.col(c).alias(name) for c, name in SHORT.items()))
+
+
 @dataclass(frozen=True)
 class Evaluation:
     """The tables of one evaluation, each a lazy DataFrame."""
@@ -66,7 +75,7 @@ def evaluate(rows: DataFrame, alpha: float, theta: float, settings: Settings | N
         ablation=stats.ablation(kept, {"EG-only": "H_eg", "RP-only": "H_rp", "CFI (H)": "H"}),
         by_length=stats.length_buckets(kept, e.length_edges),
         graph_stats=stats.graph_stats(test),
-        rank_sum=stats.rank_sum(kept),
+        rank_sum=stats.with_p(stats.rank_sum(kept)),
         degenerate=degenerate,
         summary=summary,
         histogram=stats.histogram(kept, ["task", "y"], e.histogram_bins),

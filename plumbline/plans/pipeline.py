@@ -55,44 +55,68 @@ def sweep(instances: DataFrame, graphs: Graphs, alpha: float, settings: Settings
     """The threshold sweep over train answers that have both graphs."""
     ids = tune.train_only(instances).join(graphs.answers, "response_id", "left_semi").join(graphs.sources, "source_id", "left_semi").select("response_id", "source_id", "y")
 
-    def rescore(some: DataFrame, tau_e: float, tau_r: float) -> DataFrame:
-        m = settings.matching
-        changed = MatchSettings(tau_e, tau_r, m.allow_substring, m.direction_sensitive, m.inverse_edges, m.min_substring_chars, m.stopwords)
+    def rescore(some: DataFrame, pairs: list[tuple[float, float]]) -> DataFrame:
         answers = graphs.answers.join(some.select("response_id"), "response_id", "left_semi")
         sources = graphs.sources.join(some.select("source_id"), "source_id", "left_semi")
-        return score.score(answers, sources, changed, embedder).select("response_id", "EG", "RP")
+        return score.score(answers, sources, settings.matching, embedder, pairs).select("response_id", "tau_e", "tau_r", "EG", "RP")
 
     return tune.tau_sweep(ids, rescore, alpha, settings.eval)
 
 
-def run(instances: DataFrame, out: str, settings: Settings | None = None, extractor: graph.Extractor | None = None, embedder: Embedder | None = None, cache_path: str | None = None, audit: bool = True, with_sweep: bool = True) -> evaluate.Evaluation:
-    """All stages, their results under ``out``. Scores are written and read
-    again; from there on, graphs are not needed."""
+#: In their order; each takes what those before it left under ``out``.
+STAGES = ("extract", "score", "tune", "evaluate")
+
+
+def run(
+    instances: DataFrame, out: str, settings: Settings | None = None, extractor: graph.Extractor | None = None, embedder: Embedder | None = None,
+    cache_path: str | None = None, audit: bool = True, with_sweep: bool = True, stage: str = "all",
+) -> evaluate.Evaluation | None:
+    """All stages, or one of ``STAGES``, their results under ``out``.
+
+    Scores and tuning are written and read again, so that ``tune`` and
+    ``evaluate`` go on from an earlier run; they fail if it left none. Graphs
+    are kept in the cache, by default ``out``/cache if a single stage runs: the
+    stages that need them (all but ``evaluate``) call the backend for new texts
+    only. The result is that of ``evaluate``, if it runs.
+    """
     from plumbline.sources import sinks
 
+    if stage not in (*STAGES, "all"):
+        raise ValueError(f"unknown stage: {stage}")
     settings = settings or Settings()
     spark = instances.sparkSession
-    graphs = extract_graphs(instances, extractor, settings, cache_path)
-    sinks.write_failures(graphs.failures, f"{out}/failures")
-    sinks.write_usage(graphs.log, f"{out}/usage")
-    sinks.write_scored(instances, score.score(graphs.answers, graphs.sources, settings.matching, embedder), f"{out}/scored")
-    scored = sinks.read_scored(spark, f"{out}/scored")
-
-    grid = tune.alpha_grid(scored, settings.eval)
-    alpha = settings.metrics.alpha if settings.metrics.alpha is not None else tune.best_alpha(grid, settings.eval).first()["alpha"]
-    best = tune.theta(scored, alpha).first()
-    tuning = {"alpha": grid.select("alpha", "AUC").orderBy("alpha")}
-    if with_sweep:
-        tuning["thresholds"] = sweep(instances, graphs, alpha, settings, embedder).orderBy("tau_e", "tau_r")
-    spark.createDataFrame([(float(alpha), float(best["theta"]), best["F1"])], "alpha double, theta double, train_f1 double").write.mode("overwrite").json(f"{out}/tuning")
-
-    rows = score.evaluation_rows(instances, scored.drop("task", "gen_model", "split", "y", "context_len", "gt_span_types"), alpha)
+    todo = STAGES if stage == "all" else (stage,)
+    graphs, n_failed, calls = None, 0, None
+    if todo != ("evaluate",):
+        graphs = extract_graphs(instances, extractor, settings, cache_path or (None if stage == "all" else f"{out}/cache"))
+    if "extract" in todo:
+        sinks.write_failures(graphs.failures, f"{out}/failures")
+        sinks.write_usage(graphs.log, f"{out}/usage")
+    if "score" in todo:
+        sinks.write_scored(instances, score.score(graphs.answers, graphs.sources, settings.matching, embedder), f"{out}/scored")
+    if "tune" in todo:
+        scored = sinks.read_scored(spark, f"{out}/scored")
+        grid = tune.alpha_grid(scored, settings.eval)
+        fixed = settings.metrics.alpha
+        if fixed is not None:
+            grid = grid.withColumn("AUC", F.lit(None).cast("double"))  # nothing was searched
+        alpha = fixed if fixed is not None else tune.best_alpha(grid, settings.eval).first()["alpha"]
+        swept = sweep(instances, graphs, alpha, settings, embedder) if with_sweep else None
+        sinks.write_tuning(alpha, tune.theta(scored, alpha).first().asDict(), grid, swept, f"{out}/tuning")
+    if "evaluate" not in todo:
+        return None
+    if graphs is not None:
+        n_failed, calls = graphs.failures.count(), graph.usage(graphs.log)
+    scored, tuning = sinks.read_scored(spark, f"{out}/scored"), sinks.read_tuning(spark, f"{out}/tuning")
+    chosen = tuning.first()
+    scores_only = scored.drop("task", "gen_model", "split", "y", "context_len", "gt_span_types")
+    rows = score.evaluation_rows(instances, scores_only, chosen["alpha"])
     sinks.write_csv(rows, f"{out}/metrics")
-    result = evaluate.evaluate(rows, alpha, best["theta"], settings, graphs.failures.count())
+    result = evaluate.evaluate(rows, chosen["alpha"], chosen["theta"], settings, n_failed)
     sinks.write_csv(result.summary, f"{out}/summary")
     sinks.write_csv(result.histogram, f"{out}/histogram")
-    sinks.write_report(sinks.report(result, settings, tuning, graph.usage(graphs.log)), f"{out}/report.md")
+    traces = {"alpha": tuning.select(F.inline("alpha_cv")), "thresholds": tuning.select(F.inline("tau_sweep"))}
+    sinks.write_report(sinks.report(result, settings, traces, calls), f"{out}/report.md")
     if audit:
-        scores_only = scored.drop("task", "gen_model", "split", "y", "context_len", "gt_span_types")
-        sinks.write_audit(score.audit_records(instances, scores_only, alpha, settings.metrics.impute_h), f"{out}/audit")
+        sinks.write_audit(score.audit_records(instances, scores_only, chosen["alpha"], settings.metrics.impute_h), f"{out}/audit")
     return result

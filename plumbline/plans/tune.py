@@ -28,10 +28,8 @@ def alpha_grid(scored: DataFrame, settings: EvalSettings | None = None, key: str
     the AUC over all rows; undefined folds are left out."""
     settings = settings or EvalSettings()
     rows = train_only(scored).filter("not unscorable").select(key, "y", "EG", "RP")
-    classes = rows.groupBy("y").agg(F.count("*").alias("n"))
-    least = classes.agg(F.least(F.min("n"), F.lit(settings.alpha_folds).cast("long")).alias("folds"))
-    order = stats.Window.partitionBy("y").orderBy(stats.hash_order(F.col(key), settings.seed), key)
-    dealt = rows.withColumn("r", F.row_number().over(order) - 1).join(F.broadcast(least))
+    folds = F.least("least", F.lit(settings.alpha_folds).cast("long"))
+    dealt = stats.numbered(rows, key, settings.seed, "y").withColumn("folds", folds)
     dealt = dealt.withColumn("fold", F.when(F.col("folds") >= 2, F.col("r") % F.col("folds")).otherwise(F.lit(0).cast("long")))
     grid = F.array(*(F.struct(F.lit(i).alias("grid_pos"), F.lit(float(a)).alias("alpha")) for i, a in enumerate(settings.alpha_grid)))
     each = dealt.select("y", "EG", "RP", "fold", F.explode(grid).alias("g")).select("y", "fold", "g.grid_pos", "g.alpha", "EG", "RP")
@@ -57,17 +55,15 @@ def theta(scored: DataFrame, alpha: float) -> DataFrame:
     return stats.best_threshold(rows)
 
 
-def tau_sweep(train_ids: DataFrame, rescore: Callable[[DataFrame, float, float], DataFrame], alpha: float, settings: EvalSettings | None = None, key: str = "response_id") -> DataFrame:
+def tau_sweep(train_ids: DataFrame, rescore: Callable[[DataFrame, list[tuple[float, float]]], DataFrame], alpha: float, settings: EvalSettings | None = None, key: str = "response_id") -> DataFrame:
     """(tau_e, tau_r, n, AUC) for each pair of thresholds, over a sample of the
-    train answers (key, y). ``rescore(ids, tau_e, tau_r)`` returns their
-    scores. For the report only: it never changes the thresholds."""
+    train answers (key, y). ``rescore(ids, pairs)`` returns their scores (key,
+    tau_e, tau_r, EG, RP), all in one plan. For the report only: it never
+    changes the thresholds."""
     settings = settings or EvalSettings()
+    pairs = [(float(te), float(tr)) for te in settings.tau_e_sweep for tr in settings.tau_r_sweep]
     ids = stats.sample(train_ids, key, settings.sweep_limit, settings.seed)
-    out = None
-    for te in settings.tau_e_sweep:
-        for tr in settings.tau_r_sweep:
-            scored = rescore(ids, te, tr).join(ids.select(key, "y"), key)
-            rows = scored.withColumn("H", risk(F.col("EG"), F.col("RP"), alpha))
-            one = stats.auc(rows).select(F.lit(float(te)).alias("tau_e"), F.lit(float(tr)).alias("tau_r"), "n", "AUC")
-            out = one if out is None else out.unionByName(one)
-    return out
+    rows = rescore(ids, pairs).join(ids.select(key, "y"), key).withColumn("H", risk(F.col("EG"), F.col("RP"), alpha))
+    found = stats.auc(rows, by=["tau_e", "tau_r"])
+    every = train_ids.sparkSession.createDataFrame(pairs, "tau_e double, tau_r double")
+    return every.join(F.broadcast(found), ["tau_e", "tau_r"], "left").select("tau_e", "tau_r", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "AUC")

@@ -27,13 +27,16 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, _BLANK, "")
 
 
+def with_place(raw: DataFrame) -> DataFrame:
+    """Rows of files with ``place``, by which they stand in the order of the
+    files: lines follow their file's blocks, and within a block the scan."""
+    meta = raw.metadataColumn("_metadata")
+    return raw.withColumn("place", F.struct(meta["file_path"], meta["file_block_start"], F.monotonically_increasing_id()))
+
+
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """Source records; of those with one id, the last in file order."""
-    raw = spark.read.schema(SOURCE).json(path)
-    meta = raw.metadataColumn("_metadata")
-    # Lines of a file follow its blocks, and within a block the scan's order.
-    place = F.struct(meta["file_path"], meta["file_block_start"], F.monotonically_increasing_id())
-    latest = raw.withColumn("place", place)
+    latest = with_place(spark.read.schema(SOURCE).json(path))
     last = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("place")))
     return latest.withColumn("last", last).filter("last = 1").drop("last", "place")
 
@@ -83,9 +86,16 @@ def build_instances(responses: DataFrame, sources: DataFrame, splits: Iterable[s
     )
 
 
-def load_instances(spark: SparkSession, folder: str, splits: Iterable[str] | None = None, exclude_implicit_true: bool = False) -> DataFrame:
-    """Instances of ``source_info.jsonl`` and ``response.jsonl`` in a folder."""
-    return build_instances(read_responses(spark, f"{folder}/response.jsonl"), read_sources(spark, f"{folder}/source_info.jsonl"), splits, exclude_implicit_true)
+def load_instances(spark: SparkSession, folder: str, splits: Iterable[str] | None = None, exclude_implicit_true: bool = False, limit: int | None = None) -> DataFrame:
+    """Instances of ``source_info.jsonl`` and ``response.jsonl`` in a folder;
+    with ``limit``, of the first so many answers that have a source."""
+    responses, sources = read_responses(spark, f"{folder}/response.jsonl"), read_sources(spark, f"{folder}/source_info.jsonl")
+    if limit:
+        known = with_place(responses).join(sources.select("source_id"), "source_id", "left_semi")
+        if splits is not None:
+            known = known.filter(F.coalesce("split", F.lit("")).isin(*splits))
+        responses = known.orderBy("place").limit(limit).drop("place")
+    return build_instances(responses, sources, splits, exclude_implicit_true)
 
 
 def split_counts(instances: DataFrame) -> DataFrame:

@@ -15,12 +15,12 @@ from pyspark.sql.window import Window
 from plumbline.config import Settings
 from plumbline.operators.graph import TRIPLE
 from plumbline.operators.score import SIZES
-from plumbline.operators.stats import rank_sum_p
 
 SCORE = ", ".join(f"{s}:bigint" for s in SIZES) + (
     ", EG:double, RP:double, RP_defined:boolean, unscorable:boolean, ref_empty:boolean, matched_entities:array<struct<v:string,ref:string,method:string>>, "
     f"ungrounded_entities:array<string>, supported_relations:array<{TRIPLE}>, unsupported_relations:array<{TRIPLE}>"
 )
+SWEPT = "array<struct<tau_e:double,tau_r:double,n:bigint,AUC:double>>"
 SCORED = f"response_id string, source_id string, task string, gen_model string, split string, y int, context_len int, gt_span_types array<string>, score struct<{SCORE}>"
 
 
@@ -31,6 +31,21 @@ def write_scored(instances: DataFrame, scores: DataFrame, path: str) -> None:
     facts.join(scores.select("response_id", F.struct(*fields).alias("score")), "response_id").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_tuning(alpha: float, best: dict[str, Any], grid: DataFrame, thresholds: DataFrame | None, path: str) -> None:
+    """One record: alpha, theta, train_f1, and the traces of both searches."""
+    trace = grid.agg(F.transform(F.array_sort(F.collect_list(F.struct("grid_pos", "alpha", "AUC"))), lambda g: F.struct(g["alpha"].alias("alpha"), g["AUC"].alias("AUC"))).alias("alpha_cv"))
+    if thresholds is None:
+        swept = grid.sparkSession.range(1).select(F.array().cast(SWEPT).alias("tau_sweep"))
+    else:
+        swept = thresholds.agg(F.array_sort(F.collect_list(F.struct("tau_e", "tau_r", "n", "AUC"))).alias("tau_sweep"))
+    chosen = (F.lit(v).cast("double").alias(k) for k, v in (("alpha", alpha), ("theta", best["theta"]), ("train_f1", best["F1"])))
+    trace.join(swept).select(*chosen, "alpha_cv", "tau_sweep").coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_tuning(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"alpha double, theta double, train_f1 double, alpha_cv array<struct<alpha:double,AUC:double>>, tau_sweep {SWEPT}").json(path)
+
+
 def read_scored(spark: SparkSession, path: str) -> DataFrame:
     """Scored records, flat; missing lists are empty."""
     raw = spark.read.schema(SCORED).json(path)
@@ -45,14 +60,15 @@ def write_failures(failures: DataFrame, path: str) -> None:
 
 
 def running_calls(log: DataFrame) -> DataFrame:
-    """The extraction log with the running number of calls, in order of its
-    keys: summed within ranges of keys, after what the ranges before hold."""
-    ranged = log.withColumn("part", F.substring("cache_key", 1, 2)).withColumn("call", (~F.col("cached")).cast("long"))
-    parts = ranged.groupBy("part").agg(F.sum("call").alias("c"))
-    parts = parts.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))  # 256 rows at most
+    """The extraction log with running sums of calls, tokens and cost, in order
+    of its keys: summed within ranges of keys, after what the ranges before hold."""
+    sums = {"cum_calls": (~F.col("cached")).cast("long"), "cum_prompt_tokens": F.col("prompt_tokens"), "cum_completion_tokens": F.col("completion_tokens"), "cum_cost_usd": F.col("cost_usd")}
+    ranged = log.withColumn("part", F.substring("cache_key", 1, 2))
+    parts = ranged.groupBy("part").agg(*(F.sum(x).alias(c) for c, x in sums.items()))
+    parts = parts.select("part", *((F.sum(c).over(Window.orderBy("part")) - F.col(c)).alias(f"{c}_before") for c in sums))  # 256 rows at most
     order = Window.partitionBy("part").orderBy("cache_key", "owner").rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.withColumn("own", F.sum("call").over(order)).join(F.broadcast(parts), "part")
-    return summed.select(*log.columns, (F.col("before") + F.col("own")).alias("cum_calls"))
+    summed = ranged.withColumns({c: F.sum(x).over(order) for c, x in sums.items()}).join(F.broadcast(parts), "part")
+    return summed.select(*log.columns, *((F.col(f"{c}_before") + F.col(c)).alias(c) for c in sums))
 
 
 def write_usage(log: DataFrame, path: str) -> None:
@@ -93,7 +109,6 @@ def report(evaluation, settings: Settings, tuning: dict[str, DataFrame] | None =
     """The report's text, from small tables that come to the driver."""
     s = evaluation.summary.first()
     test = evaluation.rank_sum.first()
-    p = rank_sum_p(test["U"], test["n_pos"], test["n"] - test["n_pos"], test["ties"])
 
     def sections() -> Iterator[str]:
         yield "# Grounding report"
@@ -114,7 +129,7 @@ def report(evaluation, settings: Settings, tuning: dict[str, DataFrame] | None =
             yield f"## {title}"
             yield markdown(df.orderBy(last, order).toPandas())
         yield "## Rank-sum test (one-sided)"
-        yield f"U = {number(test['U'], '.1f')}, p = {number(p, '.3e')}; median H {number(test['median_pos'])} of positives, {number(test['median_neg'])} of negatives."
+        yield f"U = {number(test['U'], '.1f')}, p = {number(test['p_value'], '.3e')}; median H {number(test['median_pos'])} of positives, {number(test['median_neg'])} of negatives."
         yield "## Degenerate cases and failures"
         yield markdown(evaluation.degenerate.toPandas())
         for title, df in (tuning or {}).items():

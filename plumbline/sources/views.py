@@ -10,12 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as instances: the first half of a text is the
-    context, the rest the answer, and low quality the label to predict."""
-    d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+def split_documents(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    """Documents as instances: the first half of a text is the context, the rest
+    the answer, and low quality the label to predict. Those with a label only,
+    or all of them, without one."""
+    d = table(spark, sf_dir, "documents")
+    d = d.join(table(spark, sf_dir, "labels"), "doc_id") if labelled else d.withColumn("quality", F.lit(None).cast("int"))
     half = F.floor(F.length("text") / 2).cast("int")
-    return d.join(q, "doc_id").select(
+    return d.select(
         F.col("doc_id").cast("string").alias("response_id"), F.col("doc_id").cast("string").alias("source_id"), F.col("lang").alias("task"), F.col("source").alias("gen_model"),
         F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"),
         F.substring("text", F.lit(1), half).alias("context"), F.lit(None).cast("string").alias("query"), F.substring(F.col("text"), half + 1, F.length("text")).alias("response"),

@@ -1,12 +1,13 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from plumbline.config import EvalSettings, MatchSettings, Settings
+from plumbline.config import EvalSettings, MatchSettings, MetricSettings, Settings
 from plumbline.functions.embed import HashEmbedder
 from plumbline.operators import graph, match, score
-from plumbline.plans import pipeline
+from plumbline.plans import evaluate, pipeline
 from plumbline.sources import records, sinks
 from plumbline.streaming.score import score_stream
 
@@ -105,6 +106,68 @@ def test_whole_job(spark, folder, tmp_path):
     assert spark.read.json(f"{out}/audit").filter("H > 0.9").count() == 6
 
 
+def test_stages_one_by_one_are_the_whole_job(spark, folder, tmp_path):
+    instances = records.load_instances(spark, str(folder))
+    settings = Settings(eval=EvalSettings(n_bootstrap=20, tau_e_sweep=(0.8, 0.9), tau_r_sweep=(0.75,)))
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    expected = pipeline.run(instances, whole, settings)
+    with pytest.raises(AnalysisException):
+        pipeline.run(instances, parts, settings, stage="evaluate")
+    for stage in pipeline.STAGES[:3]:
+        assert pipeline.run(instances, parts, settings, stage=stage) is None
+    found = pipeline.run(instances, parts, settings, stage="evaluate")
+    assert evaluate.short(found.summary).collect() == evaluate.short(expected.summary).collect()
+    assert set(evaluate.short(found.summary).columns) >= {"alpha", "theta", "overall_AUC_exclude_unscorable", "overall_AUC_impute"}
+    a, b = (sinks.read_tuning(spark, f"{x}/tuning").first() for x in (whole, parts))
+    assert a == b and len(a.alpha_cv) == 11 and [(t.tau_e, t.tau_r) for t in a.tau_sweep] == [(0.8, 0.75), (0.9, 0.75)]
+    fixed = Settings(metrics=MetricSettings(alpha=0.3), eval=settings.eval)
+    pipeline.run(instances, parts, fixed, stage="tune", with_sweep=False)
+    again = sinks.read_tuning(spark, f"{parts}/tuning").first()
+    assert again.alpha == 0.3 and {t.AUC for t in again.alpha_cv} == {None} and again.tau_sweep == []
+    with pytest.raises(ValueError):
+        pipeline.run(instances, parts, settings, stage="other")
+
+
+def test_limit_takes_the_first_in_the_file(spark, tmp_path):
+    with open(tmp_path / "source_info.jsonl", "w") as f:
+        f.write(json.dumps({"source_id": "s", "task_type": "Summary", "source_info": "text"}) + "\n")
+    with open(tmp_path / "response.jsonl", "w") as f:
+        for i in ("9", "x", "1", "5", "0"):
+            f.write(json.dumps({"id": i, "source_id": "none" if i == "x" else "s", "split": "test" if i == "1" else "train", "response": "r"}) + "\n")
+
+    def first(n, **more):
+        return {r.response_id for r in records.load_instances(spark, str(tmp_path), limit=n, **more).collect()}
+
+    assert first(2) == {"9", "1"} and first(2, splits=["train"]) == {"9", "5"} and first(99) == {"9", "1", "5", "0"}
+
+
+def test_thresholds_as_rows_are_scores_one_by_one(spark):
+    words = [f"word{i}" for i in range(12)]
+    answers = spark.createDataFrame([("r", "s", words[:6], [(a, "p", b) for a, b in zip(words[:6], words[1:6])])], f"response_id string, source_id string, entities array<string>, relations {T}")
+    sources = spark.createDataFrame([("s", "context", words[5:], [(a, "q", b) for a, b in zip(words[5:], words[6:])])], f"source_id string, kind string, entities array<string>, relations {T}")
+    pairs = [(e, r) for e in (0.1, 0.4) for r in (-1.0, 0.9)]
+    got = {(r.tau_e, r.tau_r): (r.EG, r.RP) for r in score.score(answers, sources, None, HashEmbedder(), pairs).collect()}
+    assert got == {(e, r): tuple(score.score(answers, sources, MatchSettings(entity_threshold=e, relation_threshold=r), HashEmbedder()).select("EG", "RP").first()) for e, r in pairs}
+    assert len(set(got.values())) > 1
+
+
+def test_tokens_and_cost_run_up(spark, tmp_path):
+    class Backend:
+        def generate(self, input_data, cluster):
+            usage = type("U", (), {"prompt_tokens": len(input_data), "completion_tokens": 2, "cost_usd": 0.5})
+            return type("G", (), {"entities": {input_data}, "relations": (), "usage": usage})
+
+    texts = spark.createDataFrame([("1", "one"), ("2", " one "), ("3", "three"), ("4", " ")], "owner string, text string")
+    path = str(tmp_path / "cache")
+    _, log = graph.extract(texts, graph.BackendExtractor(Backend), None, path)
+    total = graph.usage(log).first()
+    assert (total.calls, total.cache_hits, total.prompt_tokens, total.completion_tokens, total.cost_usd) == (2, 1, 8, 4, 1.0)
+    rows = sinks.running_calls(log).orderBy("cum_calls", "owner").collect()
+    assert [r.cum_calls for r in rows][-1] == 2 and max(r.cum_prompt_tokens for r in rows) == 8 and max(r.cum_cost_usd for r in rows) == 1.0
+    _, log = graph.extract(texts, graph.BackendExtractor(Backend), None, path)
+    assert tuple(graph.usage(log).first()) == (0, 3, 0.0, 0, 0, 0.0)
+
+
 def test_cache_is_used_and_failures_are_listed(spark, tmp_path):
     class Backend:
         def generate(self, input_data, cluster):

@@ -1,7 +1,11 @@
+import itertools
 import math
 import random
+import statistics
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.operators import stats
 from plumbline.plans import tune
@@ -76,6 +80,57 @@ def test_rank_sum_p_values():
     assert stats.rank_sum_p(None, 0, 3, 0) is None
 
 
+def test_rank_sum_is_one_pass_over_counts(spark, rows):
+    got = stats.with_p(stats.rank_sum(frame(spark, rows))).first()
+    pos, neg = ([h for _, _, h, y in rows if h is not None and y == c] for c in (1, 0))
+    assert (got.n, got.n_pos) == (len(pos) + len(neg), len(pos))
+    assert (got.median_pos, got.median_neg) == (pytest.approx(statistics.median(pos)), pytest.approx(statistics.median(neg)))
+    sizes = [(pos + neg).count(h) for h in set(pos + neg)]
+    assert got.ties == sum(t**3 - t for t in sizes)
+    assert got.U == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg))
+    assert got.p_value == pytest.approx(stats.rank_sum_p(got.U, len(pos), len(neg), got.ties))
+    none = stats.with_p(stats.rank_sum(frame(spark, [("g", "1", 0.5, 1)]))).first()
+    assert none.U is None and none.p_value is None and none.median_pos is None
+
+
+def test_p_value_is_the_share_of_arrangements(spark):
+    scores = [0.9, 0.1, 0.7, 0.3, 0.5, 0.8]
+    df = frame(spark, [("g", str(i), h, int(i < 3)) for i, h in enumerate(scores)])
+    u = [sum(scores[i] > scores[j] for i in c for j in range(6) if j not in c) for c in itertools.combinations(range(6), 3)]
+    assert stats.with_p(stats.rank_sum(df)).first().p_value == pytest.approx(sum(x >= u[0] for x in u) / len(u))
+
+
+def test_lengths_and_breakdowns_keep_groups_without_a_score(spark):
+    df = spark.createDataFrame([(5, 0.5, 1), (6, 0.1, 0), (15, None, 1), (99, 0.5, 0)], "context_len int, H double, y int")
+    got = {r.bucket: (r.mean_len, r.n, r.n_pos, r.AUC) for r in stats.length_buckets(df, (0, 10, 20, 30)).collect()}
+    assert got == {"[0,10)": (5.5, 2, 1, 1.0), "[10,20)": (15.0, 0, 0, None)}
+    found = {r.score: (r.n, r.AUC) for r in stats.ablation(df.withColumn("none", F.lit(None).cast("double")), {"H": "H", "none": "none"}).collect()}
+    assert found["none"] == (0, None) and found["H"][0] == 3
+
+
+def test_numbers_are_those_of_one_window(spark, rows):
+    df = frame(spark, rows)
+    order = Window.partitionBy("y").orderBy(stats.hash_order(F.col("k"), 7), "k")
+    plain = {r.k: r.r for r in df.withColumn("r", F.row_number().over(order) - 1).collect()}
+    got = stats.numbered(df, "k", 7, "y").collect()
+    assert {r.k: r.r for r in got} == plain and len(got) == len(rows)
+    assert {r.least for r in got} == {min(sum(y == c for *_, y in rows) for c in (0, 1))}
+    assert stats.numbered(df.limit(0), "k", 7, "y").count() == 0
+
+
+def test_resamples_are_poisson(spark, rows):
+    df = frame(spark, rows)
+    sums = stats.bootstrap_counts(df, "k", 200, 1).groupBy("b").agg(F.sum(F.col("pos") + F.col("neg")).alias("n")).collect()
+    real = sum(h is not None for _, _, h, _ in rows)
+    drawn = [r.n for r in sums if r.b >= 0]
+    assert len(drawn) == 200 and [r.n for r in sums if r.b < 0] == [real]
+    assert abs(statistics.mean(drawn) - real) < 4 * math.sqrt(real / 200) and 0.7 * real < statistics.variance(drawn) < 1.35 * real
+    lo, hi = stats.bootstrap_f1(df, 0.5, "k", 100, 42).first()
+    assert lo < stats.precision_recall(df, 0.5).first().F1 < hi
+    assert stats.bootstrap_auc(df.filter("y = 1"), "k", 20, 1).first().lo is None
+    assert stats.bootstrap_auc(df.filter("H is not null").limit(2), "k", 20, 1).first().lo is None
+
+
 def test_folds_are_stratified_and_sample_is_exact(spark, rows):
     df = frame(spark, rows)
     sizes = [r["count"] for r in stats.stratified_folds(df, "k", 4, 7).groupBy("y", "fold").count().collect()]
