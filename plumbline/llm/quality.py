@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import UPPER, fresh
+from plumbline.llm.common import fresh
 
 WINDOW = 8
 
@@ -67,41 +67,52 @@ def _pairs(array: Column, by: int) -> Column:
     return F.slice(both, 1, F.greatest(F.size(array) - by, F.lit(0)))
 
 
-def _covered(hashes: Column) -> Column:
-    """Words inside windows whose hash occurs twice or more."""
-    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _places(ordered: Column) -> Column:
+    """In order, the windows whose hash occurs twice or more, from sorted (hash, place)."""
     twins = F.zip_with(ordered, _shifted(ordered, 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    places = F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
+    return F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
+
+
+def _covered(places: Column) -> Column:
+    """Words inside windows at these places."""
     gaps = F.zip_with(places, _shifted(places, 1), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
     return F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with a column for each of ``MEASURES``; returns their names too."""
-    names = dict(zip((*MEASURES, "text0", "w", "wl", "h2", "h4", "h8"), fresh(docs, *MEASURES, "text0", "words", "lines_with_words", "hash2", "hash4", "hash8")))
+    """``docs`` with a column for each of ``MEASURES``; returns their names too.
+
+    What is used more than once has a column of its own, as arguments of
+    higher-order functions are worked out again for each use.
+    """
+    steps = ("text0", "words", "lines_with_words", "hash1", "hash2", "hash4", "hash8", "ordered", "places", "bare", "rest")
+    names = dict(zip((*MEASURES, *steps), fresh(docs, *MEASURES, *steps)))
     n = names.__getitem__
+    c = lambda name: F.col(n(name))
     df = docs.withColumn(n("text0"), F.coalesce(F.col(text_col), F.lit("")))
-    text = F.col(n("text0"))
-    df = df.withColumn(n("w"), F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""))
-    df = df.withColumn(n("wl"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    df = df.withColumn(n("h2"), _pairs(F.transform(F.col(n("w")), lambda x: F.xxhash64(x)), 1))
-    df = df.withColumn(n("h4"), _pairs(F.col(n("h2")), 2))
-    df = df.withColumn(n("h8"), _pairs(F.col(n("h4")), 4))
-    hashes = F.col(n("h8"))
-    # Cheap test first: most texts repeat nothing.
-    repeats = F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_covered(hashes))
-    chars = F.length(text)
-    bare = F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
+    df = df.withColumn(n("words"), F.filter(F.split(c("text0"), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
+    df = df.withColumn(n("lines_with_words"), F.filter(F.split(c("text0"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn(n("hash1"), F.transform(c("words"), lambda x: F.xxhash64(x)))
+    df = df.withColumn(n("hash2"), _pairs(c("hash1"), 1))
+    df = df.withColumn(n("hash4"), _pairs(c("hash2"), 2))
+    df = df.withColumn(n("hash8"), _pairs(c("hash4"), 4))
+    # Sorted only if needed: most texts repeat nothing.
+    repeats = F.size(F.array_distinct(c("hash8"))) < F.size(c("hash8"))
+    placed = F.transform(c("hash8"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    df = df.withColumn(n("ordered"), F.when(repeats, F.sort_array(placed)))
+    df = df.withColumn(n("places"), _places(c("ordered")))
+    df = df.withColumn(n("bare"), F.array_join(c("words"), ""))
+    df = df.withColumn(n("rest"), F.regexp_replace(c("bare"), "[A-Za-z]+", ""))
     df = df.withColumns(
         {
-            n("n_words"): F.size(n("w")).cast("long"),
-            n("word_chars"): F.length(bare).cast("long"),
-            n("n_symbols"): (chars - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long"),
-            n("n_dup_lines"): (F.size(n("wl")) - F.size(F.array_distinct(n("wl")))).cast("long"),
-            n("n_repeat_words"): repeats.cast("long"),
-            n("n_lines"): F.size(n("wl")).cast("long"),
-            n("n_upper"): (chars - F.length(F.regexp_replace(text, "[A-Z]+", ""))).cast("long"),
-            n("n_letters"): (chars - F.length(F.regexp_replace(text, "[A-Za-z]+", ""))).cast("long"),
+            n("n_words"): F.size(c("words")).cast("long"),
+            n("word_chars"): F.length(c("bare")).cast("long"),
+            n("n_symbols"): (F.length(c("rest")) - F.length(F.regexp_replace(c("rest"), r"[#*$%&|<>]+", ""))).cast("long"),
+            n("n_dup_lines"): (F.size(c("lines_with_words")) - F.size(F.array_distinct(c("lines_with_words")))).cast("long"),
+            n("n_repeat_words"): F.coalesce(_covered(c("places")), F.lit(0)).cast("long"),
+            n("n_lines"): F.size(c("lines_with_words")).cast("long"),
+            n("n_upper"): (F.length(c("bare")) - F.length(F.regexp_replace(c("bare"), "[A-Z]+", ""))).cast("long"),
+            n("n_letters"): (F.length(c("bare")) - F.length(c("rest"))).cast("long"),
         }
     )
     return df.select(*docs.columns, *(n(m) for m in MEASURES)), {m: n(m) for m in MEASURES}
