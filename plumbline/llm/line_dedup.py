@@ -27,19 +27,23 @@ from plumbline.llm.common import LOWER, UPPER, text_key, written
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def line_key(line: Column) -> Column:
-    """A line without white space at its ends, A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
+def line_keys(lines: Column) -> Column:
+    """Lines without white space at their ends, A-Z lower-cased and no other letters.
 
+    ``translate`` goes by characters and is slow; lines of ASCII alone do
+    without. Each step is an array, as what a lambda is given as an expression
+    is worked out again for each use.
+    """
 
-def line_hashes(lines: Column, min_chars: int) -> Column:
-    """A hash for each line, null where its key is shorter than ``min_chars``."""
+    def lowered(line: Column) -> Column:
+        return F.when(F.length(line) == F.octet_length(line), F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
 
-    def hashed(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.length(key) >= min_chars, F.md5(key))
+    return F.transform(F.transform(lines, lambda line: F.btrim(line, F.lit(SPACES))), lowered)
 
-    return F.transform(lines, hashed)
+
+def line_hashes(lines: Column, min_chars: int) -> Column:
+    """A hash for each line, null where its key is shorter than ``min_chars``."""
+    return F.transform(line_keys(lines), lambda key: F.when(F.length(key) >= min_chars, F.md5(key)))
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
