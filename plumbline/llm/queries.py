@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, html_text, line_dedup, minhash, mixing, quality, sharding, suffix_dedup, token_output, url_filter
+from plumbline.llm import centroids, decontaminate, html_text, line_dedup, minhash, mixing, quality, sharding, suffix_dedup, token_output, url_filter
 from plumbline.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.apply_rules(pages, url_filter.CONTRACT_RULES)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, final = centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64)
+    return centroids.with_inertia(rows, final).select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extract": op1_html_extract,
     "op2_minhash": op2_minhash,
@@ -107,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
     "op10_url_filter": op10_url_filter,
+    "op11_centroids": op11_centroids,
 }
 
 #: Of every passage, a hash of its bytes as hexadecimal digits; texts are cut into pieces first, for speed.
@@ -146,6 +152,24 @@ f AS (SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100
              + (CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS failed_bits FROM m)
 """
 
+#: Vectors as whole numbers, and the centroids of each round; a round follows by name.
+_OP11 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS j, v AS c FROM (SELECT v, sha256('1:' || CAST(vec_id AS VARCHAR)) AS h FROM v) ORDER BY h NULLS LAST, v LIMIT 16)"""
+for _t in range(4):
+    _OP11 += f""",
+a{_t} AS (SELECT r, vec_id, v, j, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, j) AS best FROM
+         (SELECT r, vec_id, v, j, list_sum(list_transform(generate_series(1, 64), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS d FROM v, c{_t})) WHERE best = 1),
+m{_t} AS (SELECT j, list(m ORDER BY i) AS c FROM (SELECT j, i, (s - ((s % n) + n) % n) // n AS m FROM
+         (SELECT j, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT j, v, unnest(generate_series(1, 64)) AS i FROM a{_t}) GROUP BY j, i)) GROUP BY j),
+c{_t + 1} AS (SELECT j, coalesce(m{_t}.c, c{_t}.c) AS c FROM c{_t} LEFT JOIN m{_t} USING (j))"""
+_OP11 += """
+SELECT vec_id, CAST(a3.j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a3.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (j)
+"""
+
 SQL: dict[str, str] = {
     "op3_decontaminate": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -180,6 +204,7 @@ SELECT 2 AS policy, rule, CAST(count_if((failed_bits & bit) <> 0) AS BIGINT) AS
 FROM f, (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('shouting', 8), ('repeated_lines', 16), ('word_length', 32)) AS rules(rule, bit) GROUP BY rule
 """,
     "op7_suffix_dedup": _OP7,
+    "op11_centroids": _OP11,
     "op10_url_filter": r"""
 WITH r AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
