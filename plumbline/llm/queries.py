@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import centroids, decontaminate, html_text, line_dedup, minhash, mixing, quality, sharding, suffix_dedup, token_output, url_filter
+from plumbline.llm import centroids, decontaminate, hard_negatives, html_text, line_dedup, minhash, mixing, quality, sharding, suffix_dedup, token_output, url_filter
 from plumbline.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.with_inertia(rows, final).select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    relabelled = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchor=vec_id % 100 == 0, label=relabelled, n_positives=5, n_negatives=10, low=30, high=90, scale=256)
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extract": op1_html_extract,
     "op2_minhash": op2_minhash,
@@ -113,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_output": op9_token_output,
     "op10_url_filter": op10_url_filter,
     "op11_centroids": op11_centroids,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: Of every passage, a hash of its bytes as hexadecimal digits; texts are cut into pieces first, for speed.
@@ -205,6 +212,16 @@ FROM f, (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('shout
 """,
     "op7_suffix_dedup": _OP7,
     "op11_centroids": _OP11,
+    "op13_hard_negatives": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.id AS anchor_id, a.label, b.r AS o, b.id, b.label AS other, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.r <> b.r),
+pos AS (SELECT r, anchor_id, id AS positive_id, o AS p, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, id, o) AS n FROM s WHERE label = other) WHERE n <= 5),
+neg AS (SELECT pos.anchor_id, positive_id, positive_score, s.id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY r, p ORDER BY score DESC, s.id, o) AS rank
+        FROM pos JOIN s USING (r) WHERE label <> other AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10
+""",
     "op10_url_filter": r"""
 WITH r AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
