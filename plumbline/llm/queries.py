@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import centroids, decontaminate, hard_negatives, html_text, line_dedup, minhash, mixing, quality, sharding, suffix_dedup, token_output, url_filter
+from plumbline.llm import centroids, decontaminate, hard_negatives, html_text, line_dedup, minhash, mixing, quality, sharding, suffix_dedup, token_output, url_filter, warc
 from plumbline.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,13 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.with_inertia(rows, final).select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "op12")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, min_bytes=1000)
+    records = warc.read_archives(spark, path, payloads=False).filter("fault IS NULL")
+    return records.select(warc.row_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.row_id("refers_to").alias("refers_to"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id, label = F.col("vec_id"), F.col("label")
     relabelled = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
@@ -119,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_output": op9_token_output,
     "op10_url_filter": op10_url_filter,
     "op11_centroids": op11_centroids,
+    "op12_warc": op12_warc,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -212,6 +220,12 @@ FROM f, (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('shout
 """,
     "op7_suffix_dedup": _OP7,
     "op11_centroids": _OP11,
+    "op12_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+m AS (SELECT *, strlen(html) AS n, CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS keeper FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to FROM m
+""",
     "op13_hard_negatives": """
 WITH v AS (SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
