@@ -9,7 +9,8 @@ Level by level a node's members are dealt to centres that are further than the
 level's radius from each other; the node's own centre is the first of them, and
 each member goes to the first centre within the radius. Radii halve at each
 level. A node stores how far its members really reach, which is never more.
-Members without company are the node's own points, and few members a leaf's.
+Groups of a few members, most of them without company, are points of their
+parent: a node for them would cost more than it spares.
 
 The search takes windows of inner products, and for each the first ``k`` points
 by falling product, then by id. It goes best first by the bounds from above,
@@ -25,8 +26,10 @@ from typing import NamedTuple
 
 import numpy as np
 
-#: A node of so few members is a leaf.
+#: A node of so few members is a leaf, and a group of so few is no node of its own.
 LEAF = 24
+#: Points that are dealt at once.
+BLOCK = 256
 #: Id of points that have none; sorts last.
 NO_ID = np.iinfo(np.int64).max
 
@@ -72,49 +75,57 @@ def distances(points: np.ndarray, center: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", d, d))
 
 
+def deal(sphere: np.ndarray, members: np.ndarray, radius: float, top: float) -> list[np.ndarray]:
+    """Members by centres that are further than ``radius`` from each other, each group's centre first."""
+    points = sphere[members]
+    left = np.ones(len(members), dtype=bool)
+    groups = []
+    for start in range(0, len(members), BLOCK):
+        # On the sphere, squared distances are what products lack to twice its squared radius.
+        some = start + np.flatnonzero(left[start : start + BLOCK])
+        near = 2 * top - 2 * (points[some] @ points[start:].T) <= radius * radius
+        for c, close in zip(some, near):
+            if left[c]:
+                close[c - start] = True
+                group = start + np.flatnonzero(close & left[start:])
+                left[group] = False
+                groups.append(members[group])
+    return groups
+
+
 def build(points: np.ndarray, ids: np.ndarray, rows: np.ndarray, labels: np.ndarray, top: float) -> Tree:
     n = len(points)
     sphere = lift(points, top)
     root = int(distances(sphere, sphere.mean(axis=0)).argmin())
-    far = distances(sphere, sphere[root])
-    order = np.argsort(far, kind="stable")
-    level = int(np.ceil(np.log2(max(far.max(), 1e-6))))
-    # Members of a node are in the order of their distance from its centre, which comes first.
-    queue = [(order, far[order], level)]
+
+    def from_center(members: np.ndarray, center: int) -> tuple[np.ndarray, float]:
+        away = distances(sphere[members], sphere[center])
+        away[members == center] = -1  # comes first, even among equals
+        order = np.argsort(away, kind="stable")
+        return members[order], max(0.0, away[order[-1]])
+
+    members, reach = from_center(np.arange(n), root)
+    queue = [(members, reach, int(np.ceil(np.log2(max(reach, 1e-6)))))]
     nodes, place, at = [], [], 0
-    next_node = 1
     for members, reach, level in queue:  # grows as nodes get children
-        own, children = members, []
-        if len(members) > LEAF and reach[-1] > 0:
-            while 2.0**level >= reach[-1]:
+        own, children = [members], []
+        if len(members) > LEAF and reach > 0:
+            while 2.0**level >= reach:
                 level -= 1
-            own = []
-            rest, first = members, members[0]
-            away = reach
-            while len(rest):
-                near = away <= 2.0**level
-                group = rest[near]
-                if len(group) == 1:
-                    own.append(group)
-                else:
-                    inside = np.argsort(away[near], kind="stable")
-                    children.append((group[inside], away[near][inside], level - 1))
-                rest = rest[~near]
-                if len(rest):
-                    first = rest[0]
-                    away = distances(sphere[rest], sphere[first])
-            own = np.concatenate(own) if own else members[:0]
-        nodes.append((members[0], reach[-1], level, at, at + len(own), next_node, next_node + len(children), labels[members].min(), labels[members].max()))
-        place.append(own)
-        at += len(own)
-        next_node += len(children)
+            groups = deal(sphere, members, 2.0**level, top)
+            own = [g for g in groups if len(g) <= LEAF]
+            children = [(*from_center(g, g[0]), level - 1) for g in groups if len(g) > LEAF]
+        held = np.concatenate(own) if own else members[:0]
+        nodes.append((members[0], level, at, at + len(held), len(queue), len(queue) + len(children), labels[members].min(), labels[members].max(), reach))
+        place.append(held)
+        at += len(held)
         queue += children
-    table = np.array([x[:1] + x[2:] for x in nodes], dtype=np.int64)
+    table = np.array([x[:-1] for x in nodes], dtype=np.int64)
     order = np.concatenate(place)
     new = np.empty(n, dtype=np.int64)
     new[order] = np.arange(n)
     return Tree(
-        points[order], ids[order], rows[order], labels[order], new[table[:, 0]], np.array([x[1] for x in nodes]), table[:, 1],
+        points[order], ids[order], rows[order], labels[order], new[table[:, 0]], np.array([x[-1] for x in nodes]), table[:, 1],
         table[:, 2:4], table[:, 4:6], table[:, 6:8], top,
     )
 
@@ -148,37 +159,51 @@ def bounds(products: np.ndarray, radius: np.ndarray, query_norm2: float, top: fl
     return (query_norm2 + top - far * far) / 2 - room, (query_norm2 + top - near * near) / 2 + room
 
 
-def search(tree: Tree, query: np.ndarray, label: int, same: bool, windows: list[Window], skip_row: int) -> int:
-    """Fill the windows with points of the query's label, or of others; the number of products worked out."""
+def search(tree: Tree, query: np.ndarray, label: int, same: bool, windows: list[Window], skip_row: int, at_root: np.ndarray | None = None) -> int:
+    """Fill the windows with points of the query's label, or of others; the number of products worked out.
+
+    ``at_root`` may hold the products of the root's own points, if they are known.
+    """
     query = query.astype(tree.points.dtype)
     norm2 = float(query.astype(np.float64) @ query.astype(np.float64))
-    wanted = (tree.labels == label if same else tree.labels != label) & (tree.rows != skip_row)
     ranges = tree.label_range
     may = (ranges[:, 0] <= label) & (label <= ranges[:, 1]) if same else (ranges[:, 0] != label) | (ranges[:, 1] != label)
-
-    def useful(low: float, high: float) -> bool:
-        return any(high >= w.least and low <= w.high and w.least <= w.high for w in windows)
-
     low, high = bounds(tree.points[tree.center[:1]] @ query, tree.radius[:1], norm2, tree.top)
     heap, used = [(-high[0], low[0], 0)] if may[0] else [], 1
     while heap:
         high, low, node = heapq.heappop(heap)
-        if not useful(low, -high):
+        if not any(-high >= w.least and low <= w.high and w.least <= w.high for w in windows):
             continue
         a, b = tree.own[node]
         if b > a:
-            products = tree.points[a:b] @ query
+            products = at_root if node == 0 and at_root is not None else tree.points[a:b] @ query
             used += b - a
-            take = wanted[a:b]
-            products, ids, rows = products[take], tree.ids[a:b][take], tree.rows[a:b][take]
-            for w in windows:
-                w.offer(products, ids, rows)
+            least, most = min(w.least for w in windows), max(w.high for w in windows)
+            fit = np.flatnonzero((products >= least) & (products <= most))
+            fit = fit[(tree.labels[a:b][fit] == label if same else tree.labels[a:b][fit] != label) & (tree.rows[a:b][fit] != skip_row)]
+            if len(fit):
+                products, ids, rows = products[fit], tree.ids[a:b][fit], tree.rows[a:b][fit]
+                for w in windows:
+                    w.offer(products, ids, rows)
         a, b = tree.below[node]
         if b > a:
             products = tree.points[tree.center[a:b]] @ query
             used += b - a
             lows, highs = bounds(products, tree.radius[a:b], norm2, tree.top)
-            for i in np.flatnonzero(may[a:b]):
-                if useful(lows[i], highs[i]):
-                    heapq.heappush(heap, (-highs[i], lows[i], int(a + i)))
+            good = np.zeros(b - a, dtype=bool)
+            for w in windows:
+                if w.least <= w.high:
+                    good |= (highs >= w.least) & (lows <= w.high)
+            for i in np.flatnonzero(good & may[a:b]):
+                heapq.heappush(heap, (-highs[i], lows[i], int(a + i)))
     return used
+
+
+def search_all(tree: Tree, queries: np.ndarray, labels: list[int], same: bool, windows: list[list[Window]], skip_rows: list[int]) -> None:
+    """``search`` for many queries; what all of them meet first, the root's own points, at once."""
+    a, b = tree.own[0]
+    for start in range(0, len(queries), 64):
+        part = queries[start : start + 64].astype(tree.points.dtype)
+        at_root = part @ tree.points[a:b].T
+        for i, query in enumerate(part):
+            search(tree, query, labels[start + i], same, windows[start + i], skip_rows[start + i], at_root[i])

@@ -177,11 +177,11 @@ def visit(index: Index, requests: DataFrame, same: bool, k: int, route: str) ->
         out: list[tuple[int, int, int, int, int]] = []
         if asked.num_rows and held.num_rows:
             tree = cover_tree.Tree.load(held.column("tree")[0].as_py())
-            vecs = matrix(asked.column("vec"), dim)
-            for i, (row, label, low, high) in enumerate(zip(*(asked.column(c).to_pylist() for c in ("row", "label", "low", "high")))):
-                windows = [cover_tree.Window(a, b, k) for a, b in zip(low, high)]
-                cover_tree.search(tree, vecs[i], label, same, windows, row)
-                out += [(row, place, -score, None if at == cover_tree.NO_ID else at, other) for place, w in enumerate(windows) for score, at, other in w.found]
+            rows, labels, lows, highs = (asked.column(c).to_pylist() for c in ("row", "label", "low", "high"))
+            windows = [[cover_tree.Window(*ends, k) for ends in zip(*both)] for both in zip(lows, highs)]
+            cover_tree.search_all(tree, matrix(asked.column("vec"), dim), labels, same, windows, rows)
+            for row, own in zip(rows, windows):
+                out += [(row, place, -score, None if at == cover_tree.NO_ID else at, other) for place, w in enumerate(own) for score, at, other in w.found]
         columns = list(zip(*out)) or [()] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["row", "place", "score", "id", "other"])
 
