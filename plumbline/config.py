@@ -22,6 +22,11 @@ class ExtractionSettings:
     chunk_chars: int = 6000
     max_retries: int = 5
     backoff_base_s: float = 2.0
+    #: Calls in flight in each worker, and finished calls that are made durable at once.
+    concurrency: int = 4
+    portion_calls: int = 1
+    #: Tasks that the calls are dealt to; as many as there are cores if not set.
+    partitions: int | None = None
 
 
 @dataclass(frozen=True)
