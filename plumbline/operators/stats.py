@@ -3,14 +3,21 @@
 Every function takes the columns to group by; rows whose score is null or not
 finite do not count. Undefined results are null. Rows are first reduced to
 distinct scores per group, with map-side combination, so what a window sorts
-is the number of distinct scores and not of rows.
+is the number of distinct scores and not of rows. Distinct scores are then cut
+into ``BUCKETS`` ranges of about as many: windows run inside of a range, and sums
+over the ranges before it, a few rows a group, carry them on. No task thus sorts
+more than its share of the largest group, OVERALL or ungrouped.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,10 +38,41 @@ def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ())
     return kept.groupBy(*by, "h").agg(F.count_if(some & F.col("is_pos")).alias("pos"), F.count_if(some & ~F.col("is_pos")).alias("neg"))
 
 
+#: Ranges that distinct scores are cut into.
+BUCKETS = 128
+
+
+def ranged(counts: DataFrame, by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+    """``counts`` (by.., h, pos, neg, ..) with ``score_range``, the range of each score, and of the
+    group: ``pos_before`` and ``neg_before`` in lower ranges, ``h_before``, the last score of
+    those, and ``pos_all`` and ``neg_all``."""
+    used = F.when(F.col("pos") + F.col("neg") > 0, F.col("h"))
+    edges = counts.agg(F.percentile_approx(used, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 100 * buckets).alias("edges"))
+    # One row: the ranges of all groups have the same ends.
+    placed = counts.join(edges).withColumn("score_range", F.coalesce(F.size(F.filter("edges", lambda e: e < F.col("h"))), F.lit(-1))).drop("edges")
+    held = placed.groupBy(*by, "score_range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.max("h").alias("h_last"))  # BUCKETS rows a group
+    group = Window.partitionBy(*by)
+    lower = group.orderBy("score_range").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [f"_{i}" for i in range(len(by) + 1)]
+    sums = held.select(
+        *(F.col(c).alias(k) for c, k in zip([*by, "score_range"], keys)),
+        F.coalesce(F.sum("p").over(lower), F.lit(0)).alias("pos_before"), F.coalesce(F.sum("q").over(lower), F.lit(0)).alias("neg_before"),
+        F.last("h_last", ignorenulls=True).over(lower).alias("h_before"), F.sum("p").over(group).alias("pos_all"), F.sum("q").over(group).alias("neg_all"),
+    )
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)]
+    return placed.join(sums, [*same, F.col("score_range") == F.col(keys[-1])]).drop(*keys)
+
+
+def inside(by: Sequence[str], descending: bool = False):
+    """The window of a score's range."""
+    return Window.partitionBy(*by, "score_range").orderBy(F.desc("h") if descending else F.asc("h"))
+
+
 def auc_of_counts(counts: DataFrame, by: Sequence[str] = (), *more: Column) -> DataFrame:
-    """What ``auc`` returns, from (by.., h, pos, neg) with each h once, and more aggregates."""
-    below = Window.partitionBy(*by).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    """What ``auc`` returns, from (by.., h, pos, neg) with each h once, and more
+    aggregates, for which scores have what ``ranged`` gives them."""
+    below = inside(by).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (counts if "neg_before" in counts.columns else ranged(counts, by)).withColumn("below", F.col("neg_before") + F.coalesce(F.sum("neg").over(below), F.lit(0)))
     u = F.sum(F.col("pos") * (F.col("below") + F.col("neg") * 0.5))
     zero = F.lit(0).cast("long")
     out = ranked.groupBy(*by).agg(F.coalesce(F.sum("pos"), zero).alias("p"), F.coalesce(F.sum("neg"), zero).alias("q"), u.alias("u"), *more)
@@ -105,16 +143,13 @@ def best_threshold(df: DataFrame, score: str = "H", label: str = "y", by: Sequen
     below the least score, all scores and the midpoints between them. Groups
     with one class have theta 0.5 and no F1; without ``by`` there is always
     one row."""
-    counts = score_counts(df, score, label, by)
-    up = Window.partitionBy(*by).orderBy("h")
-    down = Window.partitionBy(*by).orderBy(F.desc("h")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
+    counts = ranged(score_counts(df, score, label, by), by)
+    below = inside(by).rowsBetween(Window.unboundedPreceding, -1)
     # Predicting from score h upwards is first reached at the midpoint below it.
-    before = F.lag("h").over(up)
+    before = F.coalesce(F.lag("h").over(inside(by)), "h_before")
     theta = F.when(before.isNull(), F.col("h") - 1e-9).otherwise((before + F.col("h")) / 2)
-    tp, fp = F.sum("pos").over(down), F.sum("neg").over(down)
-    p, q = F.sum("pos").over(every), F.sum("neg").over(every)
-    rows = counts.select(*by, "h", theta.alias("theta"), tp.alias("tp"), fp.alias("fp"), p.alias("p"), q.alias("q"))
+    tp, fp = (F.col(f"{c}_all") - F.col(f"{c}_before") - F.coalesce(F.sum(c).over(below), F.lit(0)) for c in ("pos", "neg"))
+    rows = counts.select(*by, "h", theta.alias("theta"), tp.alias("tp"), fp.alias("fp"), F.col("pos_all").alias("p"), F.col("neg_all").alias("q"))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p")), F.lit(0.0))
     judged = F.when(F.col("h").isNotNull() & (F.col("p") > 0) & (F.col("q") > 0), F.struct((-f1).alias("f"), "theta"))
     best = rows.groupBy(*by).agg(F.min(judged).alias("b"))
@@ -153,48 +188,81 @@ def sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
     return df.orderBy(hash_order(F.col(key), seed), key).limit(size)
 
 
-#: Of a count that is 0, 1, 2.. with a mean of 1: the chances of at most so many, in units of 2^-32 (rounded).
-POISSON = tuple(round(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12))
+def poisson_limits(mean: int) -> tuple[int, np.ndarray]:
+    """Chances of a Poisson number of being ``first`` at most, and one more, and so on, in
+    units of 2^-32 (rounded). What lies further off has no chance in these units."""
+    spread = int(12 * math.sqrt(mean)) + 40
+    first = max(0, mean - spread)
+    k = np.arange(first, mean + spread + 1, dtype=np.float64)
+    steps = np.log(mean / np.maximum(k, 1))
+    logs = np.cumsum(steps) - steps[0]  # up to a factor
+    chances = np.exp(logs - logs.max())
+    return first, np.round(np.cumsum(chances / chances.sum()) * 2.0**32).astype(np.uint64)
+
+
+def poisson_draws(seed: int, n: int, label: str, h: float, mean: int, limits: Callable[[int], tuple[int, np.ndarray]] = poisson_limits) -> np.ndarray:
+    """``n`` Poisson numbers of a mean, by inverse distribution: each md5 has the chances of four."""
+    if not mean:
+        return np.zeros(n, dtype=np.int64)
+    name = f"{label}:{h:.17g}"
+    digests = b"".join(hashlib.md5(f"{seed}:{i}:{name}".encode()).digest() for i in range(-(-n // 4)))
+    first, table = limits(mean)
+    return first + np.searchsorted(table, np.frombuffer(digests, dtype=">u4")[:n].astype(np.uint64), side="right")
+
+
+RESAMPLED = "score_range int, p array<bigint>, q array<bigint>, u array<double>, tp array<bigint>, fp array<bigint>"
 
 
-def bootstrap_counts(df: DataFrame, key: str, n: int, seed: int, score: str = "H", label: str = "y") -> DataFrame:
-    """(b, h, pos, neg): score counts of ``n`` resamples b = 0.., and under
-    b = -1 of the rows themselves.
+def bootstrap(df: DataFrame, n: int, seed: int, score: str = "H", label: str = "y", theta: float = 0.0) -> DataFrame:
+    """(b, p, q, U, tp, fp) of ``n`` resamples b = 0.., and under b = -1 of the rows
+    themselves: both classes, the rank sum, and what is at ``theta`` or above.
 
-    A Poisson bootstrap: how often a row is in a resample is a Poisson number of
-    mean 1, from a hash of seed, resample and key. Rows are thus counted where
-    they are, and what moves is one count for each resample and distinct score.
+    A Poisson bootstrap by counts: rows of one class and score are in a resample a
+    Poisson number of times, whose mean is their number. So the work is resamples
+    times distinct scores, however many rows have them, and what moves is a few
+    numbers for each resample and range of scores.
     """
-    kept = df.filter(finite(score)).select(F.col(key).cast("string").alias("k"), F.col(score).cast("double").alias("h"), (F.col(label) == 1).alias("is_pos"))
-    # One row at a time makes n, so the resamples go row by row over all tasks.
-    each = kept.select("k", "h", "is_pos", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("b"))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "k")), 1, 8), 16, 10).cast("long")
-    times = sum((F.when(u >= limit, 1).otherwise(0) for limit in POISSON), F.lit(0))
-    drawn = each.withColumn("w", F.when(F.col("b") < 0, F.lit(1)).otherwise(times).cast("long")).filter("w > 0")
-    return drawn.groupBy("b", "h").agg(F.coalesce(F.sum(F.when(F.col("is_pos"), F.col("w"))), F.lit(0)).alias("pos"), F.coalesce(F.sum(F.when(~F.col("is_pos"), F.col("w"))), F.lit(0)).alias("neg"))
-
-
-def _interval(values: DataFrame, column: str) -> DataFrame:
-    """From (b, n, both, column); none without three rows and two classes."""
-    own, drawn = F.col("b") < 0, F.col("b") >= 0
-    p = F.percentile(F.when(drawn & F.col("both"), F.col(column)), F.array(F.lit(0.025), F.lit(0.975)))
-    out = values.agg(F.when(F.coalesce(F.max(F.when(own, F.col("both") & (F.col("n") >= 3))), F.lit(False)), p).alias("p"))
+    counts = ranged(score_counts(df, score, label).filter("pos + neg > 0"))
+
+    def draw(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+        limits = lru_cache(maxsize=1024)(poisson_limits)
+        block = block.sort_by("h")
+        p, q, tp, fp = (np.zeros(n + 1, dtype=np.int64) for _ in range(4))
+        u = np.zeros(n + 1)
+        for h, pos, neg in zip(*(block.column(c).to_pylist() for c in ("h", "pos", "neg"))):
+            a, b = (np.concatenate([[m], poisson_draws(seed, n, name, h, m, limits)]) for name, m in (("pos", pos), ("neg", neg)))
+            u += a * (q + b * 0.5)
+            p += a
+            q += b
+            if h >= theta:
+                tp += a
+                fp += b
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.tolist()]) for x in (p, q, u, tp, fp))], ["score_range", "p", "q", "u", "tp", "fp"])
+
+    ranges = counts.select("score_range", "h", "pos", "neg").groupBy("score_range").applyInArrow(draw, RESAMPLED)
+    each = ranges.select("score_range", F.posexplode(F.arrays_zip("p", "q", "u", "tp", "fp")).alias("at", "x")).select("score_range", (F.col("at") - 1).alias("b"), "x.*")
+    lower = Window.partitionBy("b").orderBy("score_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = each.withColumn("u", F.col("u") + F.col("p") * F.coalesce(F.sum("q").over(lower), F.lit(0)))
+    return whole.groupBy("b").agg(*(F.sum(c).alias(c) for c in ("p", "q")), F.sum("u").alias("U"), *(F.sum(c).alias(c) for c in ("tp", "fp")))
+
+
+def _interval(values: DataFrame, value: Column) -> DataFrame:
+    """From resamples; none without three rows and two classes."""
+    own, drawn, both = F.col("b") < 0, F.col("b") >= 0, (F.col("p") > 0) & (F.col("q") > 0)
+    p = F.percentile(F.when(drawn & both, value), F.array(F.lit(0.025), F.lit(0.975)))
+    out = values.agg(F.when(F.coalesce(F.max(F.when(own, both & (F.col("p") + F.col("q") >= 3))), F.lit(False)), p).alias("p"))
     return out.select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
 
 
-def bootstrap_auc(df: DataFrame, key: str, n: int, seed: int, score: str = "H", label: str = "y") -> DataFrame:
+def bootstrap_auc(df: DataFrame, n: int, seed: int, score: str = "H", label: str = "y") -> DataFrame:
     """(lo, hi): 95 % interval of the AUC over resamples with both classes."""
-    found = auc_of_counts(bootstrap_counts(df, key, n, seed, score, label), ["b"])
-    return _interval(found.withColumn("both", F.col("AUC").isNotNull()), "AUC")
+    return _interval(bootstrap(df, n, seed, score, label), F.try_divide(F.col("U"), F.col("p") * F.col("q")))
 
 
-def bootstrap_f1(df: DataFrame, theta: float, key: str, n: int, seed: int, score: str = "H", label: str = "y") -> DataFrame:
+def bootstrap_f1(df: DataFrame, theta: float, n: int, seed: int, score: str = "H", label: str = "y") -> DataFrame:
     """(lo, hi): 95 % interval of F1 at ``theta`` over resamples with both classes."""
-    counts = bootstrap_counts(df, key, n, seed, score, label)
-    said = F.when(F.col("h") >= theta, 1).otherwise(0)
-    sums = counts.groupBy("b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(F.col("pos") * said).alias("tp"), F.sum(F.col("neg") * said).alias("fp"))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p")), F.lit(0.0))
-    return _interval(sums.select("b", (F.col("p") + F.col("q")).alias("n"), ((F.col("p") > 0) & (F.col("q") > 0)).alias("both"), f1.alias("F1")), "F1")
+    return _interval(bootstrap(df, n, seed, score, label, theta), f1)
 
 
 def histogram(df: DataFrame, by: Sequence[str], bins: int = 20, score: str = "H") -> DataFrame:
@@ -214,11 +282,11 @@ def rank_sum(df: DataFrame, score: str = "H", label: str = "y") -> DataFrame:
     """One row for the one-sided Mann-Whitney test that positives score higher:
     U, medians, counts, and ``ties``, the sum of t^3 - t over tied scores. All
     of it comes from the score counts, in one pass over the rows."""
-    counts = score_counts(df, score, label)
-    up, every = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    counts = ranged(score_counts(df, score, label))
+    up = inside(()).rowsBetween(Window.unboundedPreceding, 0)
     middles = []
     for c in ("pos", "neg"):
-        counts = counts.withColumns({f"{c}_up": F.sum(c).over(up), f"{c}_all": F.sum(c).over(every)})
+        counts = counts.withColumn(f"{c}_up", F.col(f"{c}_before") + F.sum(c).over(up))
         lower, upper = (F.min(F.when((F.col(c) > 0) & (F.col(f"{c}_up") >= F.floor((F.col(f"{c}_all") + more) / 2)), F.col("h"))) for more in (1, 2))
         middles.append((lower * 0.5 + upper * 0.5).alias(f"median_{c}"))
     tied = F.col("pos") + F.col("neg")
@@ -243,7 +311,7 @@ def rank_sum_p(u: float | None, n_pos: int, n_neg: int, ties: float) -> float |
     else normal with corrections for ties and continuity."""
     if u is None or not n_pos or not n_neg:
         return None
-    if min(n_pos, n_neg) <= EXACT_ROWS and not ties and n_pos * n_neg <= 10_000:
+    if min(n_pos, n_neg) <= EXACT_ROWS and not ties:
         # ways[k][v]: subsets of size k of the ranks so far that beat v negatives in all
         ways = [[1] + [0] * (n_pos * n_neg)] + [[0] * (n_pos * n_neg + 1) for _ in range(n_pos)]
         for rank in range(n_pos + n_neg):

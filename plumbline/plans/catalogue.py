@@ -551,22 +551,29 @@ def tau_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bootstrap_sql(metric: str) -> str:
-    times = " + ".join(f"CAST(u >= {limit} AS INTEGER)" for limit in stats.POISSON)
+    """Counts of each score and class, drawn anew: ``s`` has (b, h, c, n, times)."""
     return f"""
-WITH {_SCORES}, t AS (SELECT response_id, "H", y FROM ev WHERE split = 'test' AND NOT unscorable AND "H" IS NOT NULL),
-d AS (SELECT b, "H", y, CAST('0x' || substr(md5('42:' || b || ':' || response_id), 1, 8) AS BIGINT) AS u FROM t, (SELECT unnest(generate_series(0, 999)) AS b)),
-s AS (SELECT b, "H", y FROM (SELECT b, "H", y, unnest(range({times})) FROM d)), m AS ({metric})
+WITH {_SCORES}, t AS (SELECT "H" AS h, CASE WHEN y = 1 THEN 'pos' ELSE 'neg' END AS c, count(*) AS n FROM ev WHERE split = 'test' AND NOT unscorable AND "H" IS NOT NULL GROUP BY ALL),
+k AS (SELECT n, unnest(generate_series(0, CAST(n + 12 * sqrt(n) + 40 AS BIGINT))) AS k FROM (SELECT DISTINCT n FROM t)),
+lim AS (SELECT n, list(x ORDER BY x) AS x FROM (SELECT n, CAST(round(4294967296 * sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k)) AS BIGINT) AS x FROM k) GROUP BY n),
+d AS (SELECT b, h, c, n, CAST('0x' || substr(md5('42:' || (b // 4) || ':' || c || ':' || printf('%.17g', h)), CAST(8 * (b % 4) + 1 AS INTEGER), 8) AS BIGINT) AS u FROM t, (SELECT unnest(generate_series(0, 999)) AS b)),
+s AS (SELECT b, h, c, n, len(list_filter(x, lambda z: z <= u)) AS times FROM d JOIN lim USING (n)), m AS ({metric})
 SELECT round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi FROM m"""
 
 
-@query(_bootstrap_sql(f"SELECT auc AS v FROM {_auc_sql('s', 'b')} WHERE auc IS NOT NULL"))
+@query(_bootstrap_sql("""
+SELECT u / (p * q) AS v FROM (SELECT b, sum(pos) AS p, sum(neg) AS q, sum(pos * (below + neg * CAST(0.5 AS DOUBLE))) AS u FROM (
+  SELECT *, coalesce(sum(neg) OVER (PARTITION BY b ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
+    SELECT b, h, coalesce(sum(times) FILTER (c = 'pos'), 0) AS pos, coalesce(sum(times) FILTER (c = 'neg'), 0) AS neg FROM s GROUP BY b, h)) GROUP BY b) WHERE p > 0 AND q > 0"""))
 def bootstrap_auc_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.bootstrap_auc(_test(spark, sf_dir), "response_id", 1000, 42).select(*(F.round(c, 9).alias(c) for c in ("lo", "hi")))
+    return stats.bootstrap_auc(_test(spark, sf_dir), 1000, 42).select(*(F.round(c, 9).alias(c) for c in ("lo", "hi")))
 
 
-@query(_bootstrap_sql(f"""SELECT "F1" AS v FROM (SELECT classes, {_PRF} FROM (SELECT b, count(DISTINCT y) AS classes, {_counts_sql("CAST(0.8 AS DOUBLE)")} FROM s GROUP BY b)) WHERE classes = 2"""))
+@query(_bootstrap_sql("""
+SELECT coalesce(CAST(2 * tp AS DOUBLE) / nullif(tp + fp + p, 0), 0) AS v FROM (SELECT b, coalesce(sum(times) FILTER (c = 'pos'), 0) AS p, coalesce(sum(times) FILTER (c = 'neg'), 0) AS q,
+  coalesce(sum(times) FILTER (c = 'pos' AND h >= CAST(0.8 AS DOUBLE)), 0) AS tp, coalesce(sum(times) FILTER (c = 'neg' AND h >= CAST(0.8 AS DOUBLE)), 0) AS fp FROM s GROUP BY b) WHERE p > 0 AND q > 0"""))
 def bootstrap_f1_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.bootstrap_f1(_test(spark, sf_dir), THETA, "response_id", 1000, 42).select(*(F.round(c, 9).alias(c) for c in ("lo", "hi")))
+    return stats.bootstrap_f1(_test(spark, sf_dir), THETA, 1000, 42).select(*(F.round(c, 9).alias(c) for c in ("lo", "hi")))
 
 
 # -- set comparisons and documented-only scores -------------------------------

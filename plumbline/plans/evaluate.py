@@ -57,9 +57,9 @@ def evaluate(rows: DataFrame, alpha: float, theta: float, settings: Settings | N
 
     parts = [
         named(stats.auc(kept), AUC="overall_AUC"),
-        named(stats.bootstrap_auc(kept, "response_id", e.n_bootstrap, e.seed), lo="overall_AUC_lo", hi="overall_AUC_hi"),
+        named(stats.bootstrap_auc(kept, e.n_bootstrap, e.seed), lo="overall_AUC_lo", hi="overall_AUC_hi"),
         named(stats.precision_recall(kept, theta), P="overall_P", R="overall_R", F1="overall_F1"),
-        named(stats.bootstrap_f1(kept, theta, "response_id", e.n_bootstrap, e.seed), lo="overall_F1_lo", hi="overall_F1_hi"),
+        named(stats.bootstrap_f1(kept, theta, e.n_bootstrap, e.seed), lo="overall_F1_lo", hi="overall_F1_hi"),
         named(stats.auc(filled), AUC="imputed_AUC"),
         named(stats.precision_recall(filled, theta), P="imputed_P", R="imputed_R", F1="imputed_F1"),
         degenerate,

@@ -2,7 +2,9 @@ import itertools
 import math
 import random
 import statistics
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,7 +69,7 @@ def test_empty_and_undefined_columns(spark):
         assert stats.best_threshold(df).count() in (0, 1)
         prf = stats.precision_recall(df, 0.5).first()
         assert prf.n == 0 and prf.F1 is None
-        assert stats.bootstrap_auc(df, "k", 5, 1).first().lo is None
+        assert stats.bootstrap_auc(df, 5, 1).first().lo is None
 
 
 def test_rank_sum_p_values():
@@ -120,15 +122,71 @@ def test_numbers_are_those_of_one_window(spark, rows):
 
 def test_resamples_are_poisson(spark, rows):
     df = frame(spark, rows)
-    sums = stats.bootstrap_counts(df, "k", 200, 1).groupBy("b").agg(F.sum(F.col("pos") + F.col("neg")).alias("n")).collect()
+    sums = stats.bootstrap(df, 200, 1, theta=0.5).withColumn("n", F.col("p") + F.col("q")).collect()
     real = sum(h is not None for _, _, h, _ in rows)
     drawn = [r.n for r in sums if r.b >= 0]
     assert len(drawn) == 200 and [r.n for r in sums if r.b < 0] == [real]
     assert abs(statistics.mean(drawn) - real) < 4 * math.sqrt(real / 200) and 0.7 * real < statistics.variance(drawn) < 1.35 * real
-    lo, hi = stats.bootstrap_f1(df, 0.5, "k", 100, 42).first()
+    lo, hi = stats.bootstrap_f1(df, 0.5, 100, 42).first()
     assert lo < stats.precision_recall(df, 0.5).first().F1 < hi
-    assert stats.bootstrap_auc(df.filter("y = 1"), "k", 20, 1).first().lo is None
-    assert stats.bootstrap_auc(df.filter("H is not null").limit(2), "k", 20, 1).first().lo is None
+    assert stats.bootstrap_auc(df.filter("y = 1"), 20, 1).first().lo is None
+    assert stats.bootstrap_auc(df.filter("H is not null").limit(2), 20, 1).first().lo is None
+
+
+def test_draws_are_by_inverse_distribution():
+    for mean in (1, 2, 9, 300, 100_000):
+        first, limits = stats.poisson_limits(mean)
+        chances = np.diff(np.concatenate([[0], limits.astype(float)])) / 2**32
+        k = first + np.arange(len(chances))
+        assert (chances * k).sum() == pytest.approx(mean, rel=1e-6) and (chances * (k - mean) ** 2).sum() == pytest.approx(mean, rel=1e-5)
+        exact = [math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in (mean, mean + 1)]
+        assert [chances[i - first] for i in (mean, mean + 1)] == pytest.approx(exact, abs=1e-9)
+        drawn = stats.poisson_draws(1, 2000, "pos", 0.25, mean)
+        assert abs(drawn.mean() - mean) < 5 * math.sqrt(mean / 2000)
+    assert stats.poisson_draws(1, 5, "pos", 0.5, 0).tolist() == [0] * 5
+
+
+def test_resampled_ranks_are_those_of_the_drawn_counts(spark):
+    rng = random.Random(5)
+    rows = [("g", str(i), rng.randint(0, 400) / 7, int(rng.random() < 0.4)) for i in range(900)]
+    counts = {}
+    for _, _, h, y in rows:
+        counts.setdefault(h, [0, 0])[y] += 1
+    drawn = {h: [stats.poisson_draws(3, 6, name, h, n) for n, name in zip(both, ("neg", "pos"))] for h, both in counts.items()}
+    got = {r.b: r for r in stats.bootstrap(frame(spark, rows), 6, 3, theta=30.0).collect()}
+    for b in range(-1, 6):
+        each = {h: [n if b < 0 else int(d[b]) for n, d in zip(both, drawn[h])] for h, both in counts.items()}
+        u = sum(each[h][1] * (sum(each[x][0] for x in each if x < h) + each[h][0] / 2) for h in each)
+        expected = (sum(e[1] for e in each.values()), sum(e[0] for e in each.values()), u, sum(each[h][1] for h in each if h >= 30), sum(each[h][0] for h in each if h >= 30))
+        assert (got[b].p, got[b].q, got[b].U, got[b].tp, got[b].fp) == pytest.approx(expected)
+
+
+def test_work_of_resamples_does_not_follow_the_rows(spark):
+    few = frame(spark, [("g", str(i), i % 20 / 20, i % 2) for i in range(400)])
+    many = spark.range(2_000_000).selectExpr("'g' AS g", "'' AS k", "(id % 20) / 20 AS H", "cast((id % 40) >= 20 AS int) AS y")
+    took = {}
+    for name, df in (("few", few), ("few", few), ("many", many)):
+        began = time.monotonic()
+        lo, hi = stats.bootstrap_auc(df, 300, 1).first()
+        took[name] = time.monotonic() - began
+    assert lo < stats.auc(many).first().AUC < hi and hi - lo < 0.01
+    assert took["many"] < 3 * took["few"] + 3
+
+
+def test_continuous_scores_are_no_single_task(spark):
+    """Scores that are all different, one group with nearly all of them, and one without any."""
+    df = spark.range(300_000).selectExpr("CASE WHEN id % 100 = 0 THEN 'rare' WHEN id % 100 = 1 THEN 'none' ELSE 'hot' END AS g", "CASE WHEN id % 100 <> 1 THEN sin(id) END AS H", "cast(cos(id * 7) + sin(id) / 3 > 0.2 AS int) AS y")
+    ranges = stats.ranged(stats.score_counts(df, "H", "y", ["g"]), ["g"]).groupBy("g", "score_range").count().collect()
+    assert max(r["count"] for r in ranges if r.score_range >= 0) < 300_000 / 50
+    got = {r.g: r.AUC for r in stats.auc_breakdown(df, "g").collect()}
+    table = df.toPandas()
+    for g in ("hot", "rare", "OVERALL"):
+        own = table if g == "OVERALL" else table[table.g == g]
+        own = own[own.H.notna()]
+        ranks = own.H.rank()
+        p = int(own.y.sum())
+        assert got[g] == pytest.approx((ranks[own.y == 1].sum() - p * (p + 1) / 2) / (p * (len(own) - p)))
+    assert got["none"] is None
 
 
 def test_folds_are_stratified_and_sample_is_exact(spark, rows):
@@ -140,7 +198,7 @@ def test_folds_are_stratified_and_sample_is_exact(spark, rows):
 
 def test_bootstrap_interval_holds_the_estimate(spark, rows):
     df = frame(spark, rows)
-    lo, hi = stats.bootstrap_auc(df, "k", 100, 42).first()
+    lo, hi = stats.bootstrap_auc(df, 100, 42).first()
     assert lo < stats.auc(df).first().AUC < hi
 
 
