@@ -24,11 +24,20 @@ driver reads commit files, one for each version, and names of folders, one for
 each change.
 
 The rename is exclusive where the store's is (HDFS); on a local disk, two
-writers within the same instant could both succeed.
+writers within the same instant could both succeed, and so they could on an
+object store, where a rename is a copy: there, changes need one writer at a time.
+
+A version's schema has the columns of all arrivals so far, those of the first
+one first, told by name without regard to case. A column that an arrival lacks
+is null in its rows, and stays so through merges. A column may come with a
+wider or narrower type of the same kind of number (``WIDER``): the version has
+the wider one, and values are exact. Any other change of type is refused before
+anything is written.
 
 Nulls and odd input: rows are stored as they are, with all columns, repeated
-ones as often as they come. An empty table adds no shard. Columns may have any
-names. A row larger than the target makes a shard of its own size.
+ones as often as they come. An empty table adds no shard, but its columns.
+Columns may have any names. A row larger than the target makes a shard of its
+own size.
 """
 
 from __future__ import annotations
@@ -59,9 +68,41 @@ BLOCK_TASKS = 256
 #: Runs are numbered from here, so that their paths sort as their numbers.
 FIRST_RUN = 10_000_000
 
+#: Types by what holds all their values and is read from their files as well.
+WIDER: dict[str, tuple[str, ...]] = {
+    "tinyint": ("smallint", "int", "bigint", "double"),
+    "smallint": ("int", "bigint", "double"),
+    "int": ("bigint", "double"),
+    "float": ("double",),
+}
+
 MANIFEST = "path string, rows long, bytes long, tier int"
 
 
+def _shape(kind: T.DataType) -> T.DataType:
+    """A type with everything in it nullable, as it is read from files."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _shape(f.dataType), True) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_shape(kind.elementType), True)
+    return T.MapType(_shape(kind.keyType), _shape(kind.valueType), True) if isinstance(kind, T.MapType) else kind
+
+
+def merged_schema(old: T.StructType, new: T.StructType) -> T.StructType:
+    """Columns of both; a ``TypeError`` where a column has types that don't go together."""
+    fields = {f.name.lower(): T.StructField(f.name, _shape(f.dataType), True) for f in old.fields}
+    for f in new.fields:
+        here, kind = fields.get(f.name.lower()), _shape(f.dataType)
+        if here is None:
+            fields[f.name.lower()] = T.StructField(f.name, kind, True)
+        elif here.dataType != kind:
+            a, b = here.dataType.simpleString(), kind.simpleString()
+            if b not in WIDER.get(a, ()) and a not in WIDER.get(b, ()):
+                raise TypeError(f"column {f.name}: the store has {a}, the arrivals {b}")
+            fields[f.name.lower()] = T.StructField(here.name, kind if b in WIDER.get(a, ()) else here.dataType, True)
+    return T.StructType(list(fields.values()))
+
+
 class ShardStore:
     """Shards and manifests under ``path``."""
 
@@ -143,10 +184,12 @@ class ShardStore:
     def append(self, arrivals: DataFrame, rows: int = ARRIVAL_ROWS) -> int:
         """Add arrivals as shards of at most ``rows`` rows; returns the new version."""
         base = self._newest()
+        merged_schema(self.schema(base), arrivals.schema)
         folder = self._announce(f"{self.path}/shards/a{base + 1:08d}-{uuid.uuid4().hex}")
         arrivals.write.option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(folder)
         new = self._listed(folder, arrivals.schema)
-        while not self._commit(base, self.manifest(base).unionByName(new) if base else new, arrivals.schema):
+        # Another writer may have brought columns meanwhile: those of the version this one follows count.
+        while not self._commit(base, self.manifest(base).unionByName(new) if base else new, merged_schema(self.schema(base), arrivals.schema)):
             base = self._newest()
         self._settled(folder)
         return base + 1
@@ -225,7 +268,7 @@ class ShardStore:
         new = self._listed(folder, schema)
         while True:
             live = self.manifest(base)
-            if self._commit(base, live.join(plan.select("path"), "path", "left_anti").unionByName(new), schema):
+            if self._commit(base, live.join(plan.select("path"), "path", "left_anti").unionByName(new), self.schema(base)):
                 break
             base = self._newest()
             if not plan.select("path").join(self.manifest(base), "path", "left_anti").isEmpty():
@@ -234,7 +277,10 @@ class ShardStore:
 
     # -- reading --------------------------------------------------------------
     def schema(self, version: int | None = None) -> T.StructType:
+        """Columns of a version; none before the first."""
         versions = self.versions()
+        if not versions or version == 0:
+            return T.StructType()
         return T.StructType.fromJson(self._commit_record(versions[-1] if version is None else version)["schema"])
 
     def _folders(self, version: int | None = None) -> list[str]:
