@@ -1,16 +1,23 @@
 """URL filter: rules in a sorted digest array, probed by binary search.
 
 An index holds one entry for each rule ``host/path``: its 64-bit xxhash,
-sorted, and the full string. Spark broadcasts it; each Python worker writes
-it to an unlinked file of its own and memory-maps that. A url's candidate
-keys are its host and all parent domains, each with the prefixes of its path
-that have a length some rule has. They are hashed and sought in the digests
-for a whole batch at once; each hit is confirmed on the stored string.
+sorted, and the full string. Spark broadcasts it; each Python worker writes it
+once to an unlinked file of its own, memory-maps that, and keeps the map for its
+tasks. A rule's *shape* is how many labels its host and how many characters its
+path has. A url's candidate keys are one for each shape that some rule has: so
+many of the last labels of its host, with so much of its path. They are hashed
+and sought in the digests for a whole batch at once; each hit is confirmed on
+the stored string. Long hosts and paths thus cost no more than the rules' shapes.
+
+Of the rules that fit, the one with the most characters ``host/path`` wins, of
+two as long the greater string (by code points, as Spark compares them), and of
+a rule that is given with both verdicts, ``block``.
 
 The index is built on the driver from a list whose size is checked against
 ``MAX_RULES`` and ``MAX_BYTES``; ``join_rules`` is the way for more: the same
-candidate keys as an equi-join with a table of rules, of any size.
-``apply_rule_table`` takes a table of rules and goes the way that its size allows.
+candidate keys as an equi-join with a table of rules, of any size, with the same
+result. ``apply_rule_table`` takes a table of rules and goes the way that its
+size allows.
 
 Nulls and odd input: a null url or one without ``://`` has empty host and
 path, fits no rule and is allowed. Repeated rows each get a result row. An
@@ -21,12 +28,14 @@ not looked at.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,8 +76,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def build_index(rules: Iterable[Rule]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted digests; string start, string end, path length and verdict of each; the strings."""
-    rules = list({r.text: r for r in rules}.values())
+    """Sorted digests; string start, string end, shape (two numbers) and verdict of each; the strings."""
+    by_text: dict[str, Rule] = {}
+    for r in rules:
+        if r.text not in by_text or r.verdict == "block":
+            by_text[r.text] = r
+    rules = list(by_text.values())
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; an index takes {MAX_RULES}: use join_rules")
     keys = [r.text.encode() for r in rules]
@@ -77,8 +90,8 @@ def build_index(rules: Iterable[Rule]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     digests = np.array([xxhash.xxh64_intdigest(k) for k in keys], dtype=np.uint64)
     order = np.argsort(digests, kind="stable")
     ends = np.cumsum([len(keys[i]) for i in order], dtype=np.int64)
-    spans = np.array([(end - len(keys[i]), end, len(rules[i].path), rules[i].verdict == "block") for i, end in zip(order, ends)], dtype=np.int64)
-    return digests[order], spans.reshape(-1, 4), np.frombuffer(b"".join(keys[i] for i in order), dtype=np.uint8)
+    spans = np.array([(end - len(keys[i]), end, rules[i].host.count(".") + 1, len(rules[i].path), rules[i].verdict == "block") for i, end in zip(order, ends)], dtype=np.int64)
+    return digests[order], spans.reshape(-1, 5), np.frombuffer(b"".join(keys[i] for i in order), dtype=np.uint8)
 
 
 def _mapped(array: np.ndarray) -> np.ndarray:
@@ -97,7 +110,7 @@ class Index:
 
     def __init__(self, arrays: tuple[np.ndarray, np.ndarray, np.ndarray]):
         self.digests, self.spans, self.strings = map(_mapped, arrays)
-        self.path_lengths = sorted(set(self.spans[:, 2].tolist()))
+        self.shapes = sorted(set(map(tuple, self.spans[:, 2:4].tolist())))
 
     def probe(self, keys: list[bytes]) -> np.ndarray:
         """Row of the entry equal to each key, or -1."""
@@ -118,13 +131,29 @@ class Index:
         return found
 
 
-def candidate_keys(host: str, path: str, path_lengths: list[int]) -> list[bytes]:
-    """Rule strings that would fit, longest first within a domain."""
-    if not host:
+#: Maps that a worker keeps.
+KEPT_MAPS = 4
+_maps: dict[str, Index] = {}
+
+
+def _index(name: str, sent: Broadcast) -> Index:
+    """The index of a name, mapped once in each worker."""
+    if name not in _maps:
+        while len(_maps) >= KEPT_MAPS:
+            _maps.pop(next(iter(_maps)))
+        _maps[name] = Index(sent.value)
+    return _maps[name]
+
+
+def candidate_keys(host: str, path: str, shapes: list[tuple[int, int]]) -> list[str]:
+    """Rule strings that would fit, one for each shape that some rule has and the url is long enough for."""
+    if not host or not shapes:
         return []
-    labels = host.split(".")
-    prefixes = [path[:n] for n in path_lengths if n <= len(path)]
-    return [(".".join(labels[i:]) + p).encode() for i in range(len(labels)) for p in prefixes]
+    most = shapes[-1][0]
+    tail = host.rsplit(".", most)  # its first part is what no rule's host can reach
+    n = len(tail) - (len(tail) > most)
+    tail = tail[len(tail) - n :]
+    return [".".join(tail[n - labels :]) + path[:size] for labels, size in shapes if labels <= n and size <= len(path)]
 
 
 def block_list(rules: Iterable[Rule]) -> tuple[Rule, ...]:
@@ -135,42 +164,40 @@ def block_list(rules: Iterable[Rule]) -> tuple[Rule, ...]:
 def apply_rules(urls: DataFrame, rules: Iterable[Rule], otherwise: Iterable[Rule] = (), default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``id_col``, host, path, the longest fitting rule (or null) and the verdict of each url.
 
-    The longest rule is the one with the longest string ``host/path``; of two
-    as long, the greater string. A url that no rule fits is judged by
+    A url that no rule fits is judged by
     ``otherwise``, lists of the filter's own, in the same way but with a null
     rule; one that those don't fit either gets ``default``.
     """
     spark = urls.sparkSession
-    lists = [spark.sparkContext.broadcast(build_index(own)) for own in (rules, otherwise)]
+    lists = [(uuid.uuid4().hex, spark.sparkContext.broadcast(build_index(own))) for own in (rules, otherwise)]
     host, path = host_and_path(F.col(url_col))
     parsed = urls.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
 
-    def longest(index: Index, hosts: list[str], texts: list[str]) -> tuple[list[bytes | None], list[str | None]]:
-        keys: list[bytes] = []
+    def longest(index: Index, hosts: list[str], texts: list[str]) -> tuple[list[str | None], list[str | None]]:
+        keys: list[str] = []
         owner: list[int] = []
         for i, (h, p) in enumerate(zip(hosts, texts)):
-            own = candidate_keys(h, p, index.path_lengths)
+            own = candidate_keys(h, p, index.shapes)
             keys += own
             owner += [i] * len(own)
-        best: list[bytes | None] = [None] * len(hosts)
+        best: list[str | None] = [None] * len(hosts)
         verdict: list[str | None] = [None] * len(hosts)
-        found = index.probe(keys)
+        found = index.probe([k.encode() for k in keys])
         for k in np.flatnonzero(found >= 0):
             i = owner[k]
             if best[i] is None or (len(keys[k]), keys[k]) > (len(best[i]), best[i]):
                 best[i] = keys[k]
-                verdict[i] = "block" if index.spans[found[k], 3] else "allow"
+                verdict[i] = "block" if index.spans[found[k], 4] else "allow"
         return best, verdict
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = (Index(sent.value) for sent in lists)
+        first, second = (_index(*x) for x in lists)
         for batch in batches:
             hosts, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             best, verdict = longest(first, hosts, texts)
             _, own = longest(second, hosts, texts)
-            rule = pa.array([b.decode() if b is not None else None for b in best], pa.string())
             final = pa.array([v or o or default for v, o in zip(verdict, own)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, rule, final], [*batch.schema.names, "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), final], [*batch.schema.names, "rule", "verdict"])
 
     schema = T.StructType([*parsed.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
     return parsed.mapInArrow(judge, schema).withColumnRenamed("id", id_col)
@@ -180,16 +207,21 @@ def join_rules(urls: DataFrame, rules: DataFrame, default: str = "allow", id_col
     """As ``apply_rules``, for rules in a table (verdict, host, path) of any size.
 
     Candidate keys meet the rules in an equi-join; only urls with a hit are
-    grouped, by their own columns.
+    grouped, by their own columns. The shapes of the rules are one row.
     """
     host, path = host_and_path(F.col(url_col))
     parsed = urls.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    keys = parsed.filter("host <> ''").distinct().select("host", "path", F.explode(domains).alias("domain")).select("host", "path", "domain", F.explode(prefixes).alias("prefix"))
-    known = rules.select(F.col("verdict").alias("rule_verdict"), F.col("host").alias("domain"), F.col("path").alias("prefix"))
-    hit = keys.join(known, ["domain", "prefix"]).withColumn("rule", F.concat("domain", "prefix"))
+
+    def labels(c: str) -> Column:
+        return F.length(c) - F.length(F.replace(F.col(c), F.lit("."), F.lit(""))) + 1
+
+    known = rules.select(F.concat("host", "path").alias("rule"), labels("host").alias("labels"), F.length("path").alias("size"), "verdict")
+    shapes = known.agg(F.collect_set(F.struct("labels", "size")).alias("shapes"))
+    own = parsed.filter("host <> ''").distinct().join(shapes).withColumn("n", labels("host"))
+    fits = F.filter("shapes", lambda s: (s["labels"] <= F.col("n")) & (s["size"] <= F.length("path")))
+    keys = own.select("host", "path", F.explode(fits).alias("s")).withColumn("rule", F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -F.col("s.labels")), F.substring("path", F.lit(1), F.col("s.size"))))
+    hit = keys.select("host", "path", "rule").join(known.select("rule", F.col("verdict").alias("rule_verdict")), "rule")
+    # The longest, then the greatest; block comes after allow.
     best = hit.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "rule_verdict")).alias("best"))
     out = parsed.join(best, ["host", "path"], "left")
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
