@@ -1,19 +1,28 @@
 """Matching an answer's graph against the graph of its source.
 
-Entities go through a cascade of tiers - equal, contained, similar - as joins
-inside a source, each tier only with what the one before left over. Results
-are per (source_id, norm), the distinct normalised names of a source's
-answers, so equal names are matched once.
+Entities go through a cascade of tiers - equal, contained, similar - inside a
+source, each tier only with what the one before left over. Results are per
+(source_id, norm), the distinct normalised names of a source's answers, so
+equal names are matched once. Names and references of a source meet in tiles
+(``tiles``), which are worked out once, whatever the tiers need of them: equal
+and contained names in one pass by automata, similar ones by vectors in blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import MatchSettings
+from plumbline.functions.contain import contained
 from plumbline.functions.embed import Embedder
-from plumbline.functions.text import contains_at_boundary, cosine, guarded_containment, normalize, words
+from plumbline.functions.near import Blocks
+from plumbline.functions.text import cosine, normalize
+from plumbline.operators import tiles
 
 
 def reference_entities(entities: DataFrame) -> DataFrame:
@@ -32,51 +41,89 @@ def match_exact(names: DataFrame, refs: DataFrame) -> DataFrame:
     return names.join(refs, (names["source_id"] == refs["source_id"]) & (names["norm"] == refs["ref"]), "left_semi")
 
 
-def match_contained(names: DataFrame, refs: DataFrame, settings: MatchSettings) -> DataFrame:
-    """(source_id, norm, ref) pairs of which one contains the other at word
-    boundaries.
-
-    Candidates share a word: every word of the shorter name is one of the
-    longer, so its first word leads to all that may contain it. Names without
-    any word character go by a join on the source alone.
-    """
-    n = names.select("source_id", "norm").withColumn("n_words", words(F.col("norm")))
-    r = refs.select("source_id", "ref").withColumn("r_words", words(F.col("ref")))
-
-    def allowed(c: str) -> Column:
-        return (F.length(c) >= settings.min_substring_chars) & ~F.col(c).isin(*settings.stopwords)
-
-    n_short, r_short = n.filter(allowed("norm")), r.filter(allowed("ref"))
-    n_head = n_short.filter(F.size("n_words") > 0).select("source_id", "norm", F.col("n_words")[0].alias("word"))
-    r_head = r_short.filter(F.size("r_words") > 0).select("source_id", "ref", F.col("r_words")[0].alias("word"))
-    n_each = n.select("source_id", "norm", F.explode(F.array_distinct("n_words")).alias("word"))
-    r_each = r.select("source_id", "ref", F.explode(F.array_distinct("r_words")).alias("word"))
-    # The plain search spares most pairs the pattern.
-    norm_in_ref = (F.length("norm") <= F.length("ref")) & F.contains(F.col("ref"), F.col("norm")) & contains_at_boundary(F.col("ref"), F.col("norm"))
-    ref_in_norm = (F.length("ref") < F.length("norm")) & F.contains(F.col("norm"), F.col("ref")) & contains_at_boundary(F.col("norm"), F.col("ref"))
-    columns = ["source_id", "norm", "ref"]
-    parts = [
-        n_head.join(r_each, ["source_id", "word"]).filter(norm_in_ref),
-        r_head.join(n_each, ["source_id", "word"]).filter(ref_in_norm),
-        n_short.filter(F.size("n_words") == 0).join(r, "source_id").filter(norm_in_ref),
-        r_short.filter(F.size("r_words") == 0).join(n, "source_id").filter(ref_in_norm),
-    ]
-    found = parts[0].select(*columns)
-    for part in parts[1:]:
-        found = found.unionByName(part.select(*columns))
-    return found
+def _texts(df: DataFrame, column: str, *more: str) -> DataFrame:
+    return df.select("source_id", F.col(column).alias("text"), *more)
 
 
-def nearest(names: DataFrame, refs: DataFrame, vectors: DataFrame) -> DataFrame:
+def match_contained(names: DataFrame, refs: DataFrame, settings: MatchSettings, tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
+    """(source_id, norm, ref) pairs of which one contains the other at word
+    boundaries: an automaton of a tile's names runs over its references, and one
+    of its references over its names, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for source, n, r in tiles.groups(batches):
+            pairs = list(contained(*(x.column("text").to_pylist() for x in (n, r)), settings.min_substring_chars, settings.stopwords))
+            for start in range(0, len(pairs), 10_000):
+                yield _rows([source], zip(*pairs[start : start + 10_000]), ["norm", "ref"])
+
+    return tiles.dealt(_texts(names, "norm"), _texts(refs, "ref"), tile_rows).mapInArrow(run, "source_id string, norm string, ref string")
+
+
+def _rows(source: list[str], columns: Iterable, names: list[str]) -> pa.RecordBatch:
+    arrays = [pa.array(c) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(source * len(arrays[0])), *arrays], ["source_id", *names])
+
+
+def match_named(names: DataFrame, refs: DataFrame, settings: MatchSettings, tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
+    """(source_id, norm, ref, method) of the first two tiers, in one pass: names that are references
+    themselves, and of the others those with a contained one, the first in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for source, n, r in tiles.groups(batches):
+            own, known = n.column("text").to_pylist(), r.column("text").to_pylist()
+            whole = set(known)
+            found = {x: (0, x) for x in own if x in whole}
+            if settings.allow_substring:
+                for name, ref in contained([x for x in own if x not in found], known, settings.min_substring_chars, settings.stopwords):
+                    found[name] = min(found.get(name, (1, ref)), (1, ref))
+            if found:
+                tier, ref = zip(*found.values())
+                yield _rows([source], (list(found), ref, pa.array(tier, pa.int32())), ["norm", "ref", "tier"])
+
+    found = tiles.dealt(_texts(names, "norm"), _texts(refs, "ref"), tile_rows).mapInArrow(run, "source_id string, norm string, ref string, tier int")
+    # What other tiles of the source found counts as well.
+    best = found.groupBy("source_id", "norm").agg(F.min(F.struct("tier", "ref")).alias("b"))
+    method = F.when(F.col("b.tier") == 0, "exact").otherwise("substring")
+    return best.select("source_id", "norm", F.col("b.ref").alias("ref"), method.alias("method"))
+
+
+def _similar(names: DataFrame, refs: DataFrame, vectors: DataFrame, threshold: float | None, tile_rows: int) -> DataFrame:
+    """(source_id, norm, ref, sim): the most similar references of a tile, or all of at least a threshold."""
+    left = _texts(names, "norm").join(vectors.select("text", "embedding"), "text")
+    right = _texts(refs, "ref").join(vectors.select("text", "embedding"), "text")
+
+    def vecs(x: pa.Table) -> np.ndarray:
+        flat = x.column("embedding").combine_chunks().flatten()
+        return flat.to_numpy(zero_copy_only=False).reshape(x.num_rows, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for source, n, r in tiles.groups(batches):
+            blocks, known = Blocks(vecs(r)), r.column("text").to_pylist()
+            rows = []
+            for name, query in zip(n.column("text").to_pylist(), vecs(n)):
+                some = blocks.nearest(query) if threshold is None else blocks.within(query, threshold)
+                rows += [(name, known[i], s) for i, s in some]
+            for start in range(0, len(rows), 10_000):
+                yield _rows([source], zip(*rows[start : start + 10_000]), ["norm", "ref", "sim"])
+
+    columns = ["source_id", "text", "embedding"]
+    tiled = tiles.dealt(left.select(columns), right.select(columns), tile_rows)
+    return tiled.mapInArrow(run, "source_id string, norm string, ref string, sim double")
+
+
+def nearest(names: DataFrame, refs: DataFrame, vectors: DataFrame, tile_rows: int = tiles.TILE_ROWS // 4) -> DataFrame:
     """(source_id, norm, ref, sim): the most similar reference; of equals the
-    first in order. ``vectors`` holds (text, embedding) of all names."""
-    left = names.select("source_id", "norm").join(vectors.select(F.col("text").alias("norm"), F.col("embedding").alias("e1")), "norm")
-    right = refs.select("source_id", "ref").join(vectors.select(F.col("text").alias("ref"), F.col("embedding").alias("e2")), "ref")
-    pairs = left.join(right, "source_id").select("source_id", "norm", "ref", cosine(F.col("e1"), F.col("e2")).alias("sim"))
-    best = pairs.groupBy("source_id", "norm").agg(F.min(F.struct((-F.col("sim")).alias("d"), "ref")).alias("b"))
+    first in order. ``vectors`` holds (text, embedding) of all names, of one
+    size and with no null in them."""
+    best = _similar(names, refs, vectors, None, tile_rows).groupBy("source_id", "norm").agg(F.min(F.struct((-F.col("sim")).alias("d"), "ref")).alias("b"))
     return best.select("source_id", "norm", F.col("b.ref").alias("ref"), (-F.col("b.d")).alias("sim"))
 
 
+def near_pairs(names: DataFrame, refs: DataFrame, vectors: DataFrame, threshold: float, tile_rows: int = tiles.TILE_ROWS // 4) -> DataFrame:
+    """(source_id, norm, ref, sim): all pairs of at least a similarity."""
+    return _similar(names, refs, vectors, threshold, tile_rows)
+
+
 def embed_names(embedder: Embedder, *columns: tuple[DataFrame, str]) -> DataFrame:
     """Embeddings of the distinct texts of some columns."""
     texts = None
@@ -92,27 +139,25 @@ def match_entities(names: DataFrame, refs: DataFrame, settings: MatchSettings |
     order."""
     settings = settings or MatchSettings()
     keys = names.select("source_id", "norm").filter("norm <> ''").distinct()
-    exact = match_exact(keys, refs).select("source_id", "norm", F.col("norm").alias("ref"), F.lit("exact").alias("method"))
-    found = exact
-    if settings.allow_substring:
-        rest = keys.join(exact, ["source_id", "norm"], "left_anti")
-        contained = match_contained(rest, refs, settings).groupBy("source_id", "norm").agg(F.min("ref").alias("ref"))
-        found = found.unionByName(contained.withColumn("method", F.lit("substring")))
+    found = match_named(keys, refs, settings)
     if vectors is not None:
+        found = tiles.written(found, "named")
         rest = keys.join(found, ["source_id", "norm"], "left_anti")
         similar = nearest(rest, refs, vectors).filter(F.col("sim") >= settings.entity_threshold)
         found = found.unionByName(similar.select("source_id", "norm", "ref", F.lit("embedding").alias("method")))
     return found
 
 
-def same_thing(a: str, b: str, settings: MatchSettings, similarity: Column | None = None) -> Column:
-    """Whether a triple's end is the same as a reference's: equal, contained or similar."""
-    same = F.col(a) == F.col(b)
+def same_ends(ends: DataFrame, ref_ends: DataFrame, settings: MatchSettings, vectors: DataFrame | None = None) -> DataFrame:
+    """(source_id, end, ref_end): which ends of triples are the same thing as which of the
+    references': equal, contained or similar. Each pair once."""
+    n, r = ends.select("source_id", F.col("end").alias("norm")), ref_ends.select("source_id", F.col("ref_end").alias("ref"))
+    pairs = n.join(r.withColumn("norm", F.col("ref")), ["source_id", "norm"]).select("source_id", "norm", "ref")
     if settings.allow_substring:
-        same = same | guarded_containment(F.col(a), F.col(b), settings.min_substring_chars, settings.stopwords)
-    if similarity is not None:
-        same = same | (similarity >= settings.entity_threshold)
-    return same
+        pairs = pairs.unionByName(match_contained(n, r, settings))
+    if vectors is not None:
+        pairs = pairs.unionByName(near_pairs(n, r, vectors, settings.entity_threshold).drop("sim"))
+    return pairs.distinct().select("source_id", F.col("norm").alias("end"), F.col("ref").alias("ref_end"))
 
 
 def align_relations(triples: DataFrame, ref_triples: DataFrame, matches: DataFrame, settings: MatchSettings | None = None, vectors: DataFrame | None = None) -> DataFrame:
@@ -125,33 +170,43 @@ def align_relations(triples: DataFrame, ref_triples: DataFrame, matches: DataFra
     triple with the same or a similar predicate must have the same ends, in
     order (forward) or, if the settings accept it, swapped (inverse). The first
     reference triple in order counts, forward before inverse.
+
+    Ends come first: which of them are the same thing is found once for each two
+    names, and triples are joined by it, so that candidates are as many as ends
+    that match and not as triples with one predicate.
     """
     settings = settings or MatchSettings()
     keys = triples.select("source_id", "s", "p", "o").filter("s <> '' and o <> ''").distinct()
     known = matches.select("source_id", F.col("norm").alias("gate"))
     for end in "so":
         keys = keys.withColumn("gate", normalize(F.col(end))).join(known, ["source_id", "gate"], "left_semi").drop("gate")
+    keys, ref_triples = tiles.written(keys, "triples"), tiles.written(ref_triples, "references")
+    ends = keys.select("source_id", F.explode(F.array("s", "o")).alias("end")).distinct()
+    ref_ends = ref_triples.select("source_id", F.explode(F.array("s2", "o2")).alias("ref_end")).distinct()
+    same = tiles.written(same_ends(ends, ref_ends, settings, vectors), "ends")
+
+    def as_ends(a: str, b: str) -> DataFrame:
+        return same.select("source_id", F.col("end").alias(a), F.col("ref_end").alias(b))
+
+    def candidates(first: str, second: str, way: int) -> DataFrame:
+        """Triples whose subject is the ``first`` end of a reference, and whose object the ``second``."""
+        met = keys.join(as_ends("s", first), ["source_id", "s"]).join(ref_triples, ["source_id", first])
+        return met.join(as_ends("o", second), ["source_id", "o", second], "left_semi").select("source_id", "s", "p", "o", "s2", "p2", "o2", F.lit(way).alias("way"))
+
+    pairs = candidates("s2", "o2", 0)
+    if settings.accepts_inverse:
+        pairs = pairs.unionByName(candidates("o2", "s2", 1))
     if vectors is None:
-        pairs = keys.withColumn("p2", F.col("p")).join(ref_triples, ["source_id", "p2"])
-        sim = dict.fromkeys(("ss", "oo", "so", "os"))
+        held = pairs.filter("p = p2")
     else:
-        predicates = keys.select("source_id", "p").distinct().join(ref_triples.select("source_id", "p2").distinct(), "source_id").select("p", "p2").distinct()
 
         def vec(c: str) -> DataFrame:
             return vectors.select(F.col("text").alias(c), F.col("embedding").alias(f"e_{c}"))
 
-        close = predicates.join(vec("p"), "p", "left").join(vec("p2"), "p2", "left")
+        pairs = tiles.written(pairs, "pairs")
+        close = pairs.select("p", "p2").distinct().join(vec("p"), "p", "left").join(vec("p2"), "p2", "left")
         close = close.filter((F.col("p") == F.col("p2")) | F.coalesce(cosine(F.col("e_p"), F.col("e_p2")) >= settings.relation_threshold, F.lit(False))).select("p", "p2")
-        pairs = keys.join(close, "p").join(ref_triples, ["source_id", "p2"])
-        for c in ("s", "o", "s2", "o2"):
-            pairs = pairs.join(vec(c), c, "left")
-        sim = {f"{a}{b}": F.coalesce(cosine(F.col(f"e_{a}"), F.col(f"e_{b}2")), F.lit(-1.0)) for a in "so" for b in "so"}
-    forward = same_thing("s", "s2", settings, sim["ss"]) & same_thing("o", "o2", settings, sim["oo"])
-    way = F.when(forward, F.lit(0))
-    if settings.accepts_inverse:
-        inverse = same_thing("s", "o2", settings, sim["so"]) & same_thing("o", "s2", settings, sim["os"])
-        way = way.when(inverse, F.lit(1))
-    held = pairs.withColumn("way", way).filter("way is not null")
+        held = pairs.join(close, ["p", "p2"])
     best = held.groupBy("source_id", "s", "p", "o").agg(F.min(F.struct("s2", "p2", "o2", "way")).alias("b"))
     method = F.when(F.col("b.way") == 0, "forward").otherwise("inverse")
     return best.select("source_id", "s", "p", "o", F.col("b.s2").alias("ref_s"), F.col("b.p2").alias("ref_p"), F.col("b.o2").alias("ref_o"), method.alias("method"))
