@@ -23,6 +23,7 @@ from plumbline.functions.embed import Embedder
 from plumbline.functions.near import Blocks
 from plumbline.functions.text import cosine, normalize
 from plumbline.operators import tiles
+from plumbline.sources.store import written
 
 
 def reference_entities(entities: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def match_entities(names: DataFrame, refs: DataFrame, settings: MatchSettings |
     keys = names.select("source_id", "norm").filter("norm <> ''").distinct()
     found = match_named(keys, refs, settings)
     if vectors is not None:
-        found = tiles.written(found, "named")
+        found = written(found, "named")
         rest = keys.join(found, ["source_id", "norm"], "left_anti")
         similar = nearest(rest, refs, vectors).filter(F.col("sim") >= settings.entity_threshold)
         found = found.unionByName(similar.select("source_id", "norm", "ref", F.lit("embedding").alias("method")))
@@ -180,10 +181,10 @@ def align_relations(triples: DataFrame, ref_triples: DataFrame, matches: DataFra
     known = matches.select("source_id", F.col("norm").alias("gate"))
     for end in "so":
         keys = keys.withColumn("gate", normalize(F.col(end))).join(known, ["source_id", "gate"], "left_semi").drop("gate")
-    keys, ref_triples = tiles.written(keys, "triples"), tiles.written(ref_triples, "references")
+    keys, ref_triples = written(keys, "triples"), written(ref_triples, "references")
     ends = keys.select("source_id", F.explode(F.array("s", "o")).alias("end")).distinct()
     ref_ends = ref_triples.select("source_id", F.explode(F.array("s2", "o2")).alias("ref_end")).distinct()
-    same = tiles.written(same_ends(ends, ref_ends, settings, vectors), "ends")
+    same = written(same_ends(ends, ref_ends, settings, vectors), "ends")
 
     def as_ends(a: str, b: str) -> DataFrame:
         return same.select("source_id", F.col("end").alias(a), F.col("ref_end").alias(b))
@@ -203,7 +204,7 @@ def align_relations(triples: DataFrame, ref_triples: DataFrame, matches: DataFra
         def vec(c: str) -> DataFrame:
             return vectors.select(F.col("text").alias(c), F.col("embedding").alias(f"e_{c}"))
 
-        pairs = tiles.written(pairs, "pairs")
+        pairs = written(pairs, "pairs")
         close = pairs.select("p", "p2").distinct().join(vec("p"), "p", "left").join(vec("p2"), "p2", "left")
         close = close.filter((F.col("p") == F.col("p2")) | F.coalesce(cosine(F.col("e_p"), F.col("e_p2")) >= settings.relation_threshold, F.lit(False))).select("p", "p2")
         held = pairs.join(close, ["p", "p2"])

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.sources.store import written
+
 OVERALL = "OVERALL"
 
 
@@ -46,6 +48,7 @@ def ranged(counts: DataFrame, by: Sequence[str] = (), buckets: int = BUCKETS) ->
     """``counts`` (by.., h, pos, neg, ..) with ``score_range``, the range of each score, and of the
     group: ``pos_before`` and ``neg_before`` in lower ranges, ``h_before``, the last score of
     those, and ``pos_all`` and ``neg_all``."""
+    counts = written(counts, "scores")  # what comes before them is worked out once
     used = F.when(F.col("pos") + F.col("neg") > 0, F.col("h"))
     edges = counts.agg(F.percentile_approx(used, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 100 * buckets).alias("edges"))
     # One row: the ranges of all groups have the same ends.
@@ -169,7 +172,7 @@ def numbered(df: DataFrame, key: str, seed: int, by: str) -> DataFrame:
     hold, so that a value is never one task.
     """
     order = hash_order(F.col(key), seed)
-    ranged = df.withColumn("part", F.coalesce(F.substring(order, 1, 3), F.lit("")))
+    ranged = written(df.withColumn("part", F.coalesce(F.substring(order, 1, 3), F.lit(""))), "numbered")
     held = ranged.groupBy(by, "part").agg(F.count("*").alias("c"))  # 4,096 rows for each value
     ahead = F.sum("c").over(Window.partitionBy(by).orderBy("part")) - F.col("c")
     parts = held.select(F.col(by).alias("v"), F.col("part").alias("in"), ahead.alias("ahead"), F.sum("c").over(Window.partitionBy(by)).alias("of"))

@@ -8,7 +8,6 @@ through one task as a stream, in one exchange, without a call for each source.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,19 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.store import written
+
 #: Names, and references, of a tile; a tile has about as many.
 TILE_ROWS = 20_000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the store that all executors share, and read again: it is worked out once."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.scratch"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dealt(names: DataFrame, refs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(source_id, i, j, is_ref, text, ..) of both tables (source_id, text, ..), whose tiles are whole in
     one partition and stand together, references first. Rows without a source meet nothing and are left out."""
