@@ -5,10 +5,13 @@ form a set that is broadcast. Tasks scan all n-gram windows of the documents
 against it, with array operations on the bytes, and confirm each hit on the
 words themselves.
 
-What is broadcast has a checked size: a block of items has about
-``block_bytes`` bytes of text at most. A larger benchmark makes several blocks:
-each in its turn is collected, scanned against all documents, its hits written,
-and dropped, so that the driver holds one; then hits are united by document.
+What is broadcast has a measured size. Items of up to ``block_bytes`` of text in
+all are the set itself. A larger benchmark stays a table: its n-grams are made in
+tasks, item by item and long items piece by piece, and what is broadcast is one
+bit for each upper part of a hash, ``FILTER_BITS`` of them at most. One scan of
+the documents lets the windows pass whose bit is set; those meet the n-grams in
+an equi-join on hash and words, which confirms them, and are united by text. So
+the documents are read twice, however large the benchmark is.
 
 Nulls and odd input: a null text has no words and is clean. An item without
 words has no windows; an item shorter than n is one window. Null item ids are
@@ -21,7 +24,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,12 @@ from pyspark.sql import functions as F
 from plumbline.llm import kernel as K
 from plumbline.llm.common import fresh, text_key, written
 
-#: Bytes of item texts in one broadcast block.
+#: Bytes of item texts whose set is broadcast.
 BLOCK_BYTES = 16 << 20
+#: Bits of a broadcast filter at most: 128 MB.
+FILTER_BITS = 1 << 30
+#: Bytes of a long item that are cut into n-grams at once.
+PIECE_BYTES = 1 << 20
 
 
 class Windows:
@@ -100,13 +106,95 @@ class Windows:
         return n_words, froms, tos, items
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, str]]]]:
-    """How many blocks, and their items, each collected when it is asked for; an item's block is a hash of it."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null").distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    count = 1 + size // max(1, block_bytes // 2)  # half as large on average: blocks are uneven
-    parts = [items] if count == 1 else [items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == b) for b in range(count)]
-    return count, ([tuple(r) for r in part.collect()] for part in parts)
+def _pieces(data: np.ndarray, n: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``limit`` bytes that end between words and hold every run of ``n`` words."""
+    at, size = 0, limit
+    while at < len(data):
+        end = at + size
+        if end < len(data):
+            gap = np.flatnonzero(~K.ALNUM[data[end : end + limit]])
+            if not len(gap):  # within a very long word
+                size += limit
+                continue
+            end += int(gap[0])
+        if end >= len(data):
+            yield at, len(data)
+            return
+        starts, _, _ = K.words(data[at:end], np.array([0, end - at]), K.ALNUM)
+        if len(starts) < 2 * n:  # too few words to go on from
+            size += limit
+            continue
+        yield at, end
+        at, size = at + int(starts[len(starts) - n + 1]), limit
+
+
+def grams(benchmark: DataFrame, n: int, id_col: str, text_col: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """(hash, size, gram, item) of every window of every item, each once."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                whole = K.lower_ascii(np.frombuffer(text.as_py().encode(), dtype=np.uint8))
+                for a, b in _pieces(whole, n, piece_bytes):
+                    data = whole[a:b]
+                    starts, ends, _ = K.words(data, np.array([0, len(data)]), K.ALNUM)
+                    size = min(n, len(starts))
+                    if size:
+                        hashes = K.window_hash(K.word_hash(data, starts, ends), size).view(np.int64)
+                        own = [data[x:y].tobytes() for x, y in zip(starts, ends)]
+                        keys = [b" ".join(own[i : i + size]) for i in range(len(hashes))]
+                        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array([size] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array([item] * len(keys))], ["hash", "size", "gram", "item"])
+
+    return _items(benchmark, id_col, text_col).mapInArrow(cut, "hash long, size int, gram binary, item string").distinct()
+
+
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null").distinct()
+
+
+class Filter:
+    """A bit for each upper part of the hashes that n-grams have."""
+
+    def __init__(self, known: DataFrame):
+        facts = known.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
+        self.sizes = sorted(facts.sizes)
+        self.log = min(FILTER_BITS.bit_length() - 1, max(15, (16 * facts.n).bit_length()))
+        place = F.shiftrightunsigned("hash", 64 - self.log)
+        bits = known.groupBy(F.expr(f"shiftrightunsigned(hash, {64 - self.log}) div 32768").alias("part")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(32768))).alias("bits"))
+        self.bits = np.zeros(1 << (self.log - 3), dtype=np.uint8)
+        for r in bits.toLocalIterator():  # 4,096 bytes each, FILTER_BITS in all
+            self.bits[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bits, dtype=np.uint8)
+
+    def passing(self, hashes: np.ndarray) -> np.ndarray:
+        place = (hashes >> np.uint64(64 - self.log)).astype(np.int64)
+        return np.flatnonzero((self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+
+
+def _passing_windows(docs: DataFrame, text_col: str, sent: Broadcast) -> DataFrame:
+    """(key, at, size, hash, gram) of the windows of ``docs`` that the filter lets pass."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Filter = sent.value
+        for batch in batches:
+            keys = batch.column(0)
+            for part in K.slices(batch.column(1)):
+                data = K.lower_ascii(part.data)
+                starts, ends, first = K.words(data, part.offsets, K.ALNUM)
+                hashes = K.word_hash(data, starts, ends)
+                for size in known.sizes:
+                    windows = K.window_hash(hashes, size)
+                    at = known.passing(windows) if len(windows) else np.zeros(0, dtype=np.int64)
+                    text = np.searchsorted(first, at, side="right") - 1
+                    inside = at + size <= first[text + 1]
+                    at, text = at[inside], text[inside]
+                    for a in range(0, len(at), 4096):
+                        some, own = at[a : a + 4096], text[a : a + 4096]
+                        words = [b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(i, i + size)) for i in some.tolist()]
+                        columns = [keys.take(pa.array(part.first + own)), pa.array(some - first[own], pa.int32()), pa.array([size] * len(words), pa.int32()), pa.array(windows[some].view(np.int64)), pa.array(words, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, ["key", "at", "size", "hash", "gram"])
+
+    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
+    return texts.mapInArrow(scan, "key binary, at int, size int, hash long, gram binary")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[str]]:
@@ -128,21 +216,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str
         return docs.mapInArrow(scan, schema)
 
     context = docs.sparkSession.sparkContext
-    count, blocks = _blocks(benchmark, item_id, item_text, block_bytes)
-    if count == 1:
-        return scanned(context.broadcast(Windows(next(blocks), n))), names
-    # Each block adds its hits; they are united by text, and joined with the documents again.
+    items_table = _items(benchmark, item_id, item_text)
+    if items_table.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] <= block_bytes:
+        return scanned(context.broadcast(Windows([tuple(r) for r in items_table.collect()], n))), names
     n_words, lo, hi, items = names
     (key,) = fresh(docs.select("*", *(F.lit(0).alias(c) for c in names)), "key")
-    runs = F.arrays_zip(F.col(lo).alias("lo"), F.col(hi).alias("hi"))
-    parts = []
-    for block in blocks:
-        sent = context.broadcast(Windows(block, n))
-        hits = scanned(sent).filter(F.size(items) > 0)
-        parts.append(written(hits.select(text_key(F.col(text_col)).alias(key), runs.alias("runs"), F.col(items).alias("found")), "hits"))
-        sent.destroy()
-    some = reduce(DataFrame.unionAll, parts)
-    merged = some.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias(items))
+    known = written(grams(benchmark, n, item_id, item_text), "grams")
+    hits = _passing_windows(docs, text_col, context.broadcast(Filter(known))).join(known, ["hash", "size", "gram"])
+    hits = written(hits.select("key", "at", "size", "item").distinct(), "hits")
+    runs = F.array_sort(F.collect_set(F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("size")).alias("hi"))))
+    merged = hits.groupBy(F.col("key").alias(key)).agg(runs.alias("runs"), F.array_sort(F.collect_set("item")).alias(items))
     # Overlapping and adjacent runs become one.
     step = "aggregate(runs, cast(array() as array<struct<lo:int,hi:int>>), (a, r) -> if(size(a) > 0 and element_at(a, -1).hi >= r.lo, concat(slice(a, 1, size(a) - 1), array(named_struct('lo', element_at(a, -1).lo, 'hi', greatest(element_at(a, -1).hi, r.hi)))), concat(a, array(r))))"
     merged = merged.withColumn("runs", F.expr(step))
