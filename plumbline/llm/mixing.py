@@ -22,7 +22,8 @@ chunks as a chunk has documents.
 Nulls and odd input: a null source is a source of its own, a null text has
 size one, like an empty one. A text larger than a block fills several slots.
 Repeated rows keep their number, in any order among themselves. Sources
-without a target weight take the least weight given. An empty table gives an
+without a target weight take the least weight given; a weight of zero or below,
+or one that is not a number, is an error. An empty table gives an
 empty result. Extra columns pass through ``mix_documents``.
 """
 
@@ -40,8 +41,6 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import fresh, text_key
 
-#: Slots of a period in ``phases``, which plans with whole shares; the operator does not.
-PERIOD = 4096
 #: Size of a block in code points.
 BLOCK_CHARS = 100_000
 #: Blocks whose slots make a row.
@@ -50,64 +49,6 @@ PART = 1024
 BROADCAST_BLOCKS = 1_000_000
 
 
-def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole shares of the period, one at least each, nearest to the weights."""
-    total = math.fsum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    spare = period - sum(out.values())
-    by_rest = sorted(exact, key=lambda s: (out[s] - exact[s], s))
-    while spare:
-        for s in by_rest if spare > 0 else reversed(by_rest):
-            if not spare:
-                break
-            if spare > 0 or out[s] > 1:
-                out[s] += 1 if spare > 0 else -1
-                spare += -1 if spare > 0 else 1
-    return out
-
-
-def schedule_period(share: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period, by earliest deadline first."""
-    period = sum(share.values())
-    jobs = sorted((i * period // a, -(-(i + 1) * period // a), s) for s, a in share.items() for i in range(a))
-    out: dict[str, list[int]] = {s: [] for s in share}
-    ready: list[tuple[int, str]] = []
-    at = 0
-    for slot in range(period):
-        while at < len(jobs) and jobs[at][0] <= slot:
-            heapq.heappush(ready, jobs[at][1:])
-            at += 1
-        due, s = heapq.heappop(ready)
-        assert due > slot
-        out[s].append(slot)
-    return out
-
-
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[tuple[int, dict[str, int], dict[str, list[int]]]]:
-    """(first slot, blocks each source has had before, its slots in a period)
-    of each stretch in which no source runs out."""
-    left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    start, out = 0, []
-    while left:
-        size = max(period, 4 * len(left))
-        slots = schedule_period(shares({s: weights[s] for s in left}, size))
-        # The first source to place its last block ends the phase.
-        last = {s: (n - 1) // len(slots[s]) * size + slots[s][(n - 1) % len(slots[s])] for s, n in left.items()}
-        length = min(last.values()) + 1
-        out.append((start, dict(done), slots))
-        for s in list(left):
-            full, rest = divmod(length, size)
-            had = full * len(slots[s]) + sum(x < rest for x in slots[s])
-            done[s] += had
-            left[s] -= had
-            if not left[s]:
-                del left[s]
-        start += length
-    return out
-
-
 def schedule(blocks: Sequence[int], weights: Sequence[float]) -> Iterator[tuple[int, int]]:
     """(source, block) of each slot, by earliest deadline first with exact weights."""
     exact = [Fraction(w) for w in weights]
@@ -168,9 +109,13 @@ def _slots(totals: DataFrame, given: Mapping[str, float] | None, block_chars: in
     return totals.repartition(1).mapInArrow(plan, "p_pool string, p_part long, p_slots array<long>")
 
 
-def tempered(sizes: Mapping[str, int], power: float = 0.7) -> dict[str, float]:
-    """Target weights that flatten the sources' sizes."""
-    return {s: float(n) ** power for s, n in sizes.items()}
+def checked(weights: Mapping[str | None, float]) -> dict[str, float]:
+    """Target weights by pool. A source that is to be left out has to be left
+    out of the documents: a weight that is not above zero is an error."""
+    bad = {s: w for s, w in weights.items() if not (math.isfinite(w) and w > 0)}
+    if bad:
+        raise ValueError(f"weights must be finite and above zero: {bad}")
+    return {"null" if s is None else f"s:{s}": float(w) for s, w in weights.items()}
 
 
 def _scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None, block_chars: int, source_col: str, text_col: str, id_col: str, seed: int) -> tuple[DataFrame, dict[str, str]]:
@@ -187,7 +132,7 @@ def _scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None, bloc
     bits = max(1, math.ceil(math.log2(max(2, most or 0)) / 2))
     df = df.withColumn(chunk, F.shiftrightunsigned(F.col(order), 64 - bits))
 
-    given = None if weights is None else {"null" if s is None else f"s:{s}": float(w) for s, w in weights.items() if w > 0}
+    given = None if weights is None else checked(weights)
 
     chunks = df.groupBy(pool, chunk).agg(F.sum(size).alias(c_total))
     running = F.expr(f"sum(`{c_total}`) over (partition by `{pool}` order by `{chunk}`) - `{c_total}`")

@@ -1,10 +1,12 @@
 """The ten operators against brute force, and on nulls, ties, long and empty texts."""
 
 import hashlib
+import math
 import random
 import re
 import time
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -260,6 +262,23 @@ def test_hits_are_those_of_brute_force(spark, docs, texts, block_bytes):
     assert again.count() == len(texts)
 
 
+def test_long_items_are_cut_in_pieces(spark, monkeypatch):
+    """A benchmark that is no block: an item of many pieces, passages across their ends, items with one gram."""
+    rng = random.Random(8)
+    long = words(rng, 3000, 5000)
+    own = long.split()
+    assert all(any(a <= len(" ".join(own[:i]) + " ") and len(" ".join(own[: i + 10])) <= b for a, b in decontaminate._pieces(np.frombuffer(long.encode(), dtype=np.uint8), 10, 700)) for i in range(1, len(own) - 10))
+    wide = b"w" * 5000 + b" " + b"v" * 3000 + b" a b"
+    assert list(decontaminate._pieces(np.frombuffer(wide, dtype=np.uint8), 10, 100)) == [(0, len(wide))] and list(decontaminate._pieces(np.zeros(0, dtype=np.uint8), 10, 100)) == []
+    items = [(7, long), (8, " ".join(own[200:215])), (9, "zero"), (11, long.upper())]
+    rows = [(i, words(rng, 30) + " " + " ".join(own[p : p + 12]) + " " + words(rng, 9)) for i, p in enumerate(range(0, 2900, 60))] + [(90, "zero"), (91, long), (92, long), (93, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate.grams, "__defaults__", (700,))
+    found, (n_words, lo, hi, its) = decontaminate.find_hits(docs, bench, block_bytes=1000)
+    got = [(r.doc_id, r[n_words], sum(b - a for a, b in zip(r[lo], r[hi])), r[its]) for r in found.collect()]
+    assert sorted(got, key=repr) == brute_hits(rows, items)
+
+
 def test_decontamination_of_and_by_nothing(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.remove_documents(docs, none).count() == docs.count()
@@ -503,28 +522,48 @@ def test_hot_anchors_are_split(spark, keep):
 # -- 8 mixing -----------------------------------------------------------------
 
 
+def earliest_deadline_first(blocks, weights):
+    """The schedule in exact fractions, slot by slot, as the definition has it."""
+    exact = [Fraction(w) for w in weights]
+
+    def passed(v):
+        return sum(min(w * v, n) for w, n in zip(exact, blocks))
+
+    windows = {(s, i): (math.floor(passed(i / exact[s])), math.ceil(passed((i + 1) / exact[s]))) for s, n in enumerate(blocks) for i in range(n)}
+    out, done = [], [0] * len(blocks)
+    for slot in range(sum(blocks)):
+        ready = [(windows[s, done[s]][1], s, done[s]) for s, n in enumerate(blocks) if done[s] < n and windows[s, done[s]][0] <= slot]
+        due, s, i = min(ready)
+        assert due > slot
+        done[s] += 1
+        out.append((s, i))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_schedule_is_earliest_deadline_first(seed):
+    rng = random.Random(seed)
+    n = rng.randrange(1, 7)
+    blocks = [rng.choice([0, 1, 3, 17, 60]) for _ in range(n)]
+    weights = [rng.choice([0.1, 0.25, 1.0, 3.7, 10.0, 1e-3]) for _ in range(n)]
+    assert list(mixing.schedule(blocks, weights)) == earliest_deadline_first(blocks, weights)
+
+
 def test_schedule_is_less_than_a_block_off():
-    weights = {f"s{i}": w for i, w in enumerate((50, 20, 9, 9, 5, 3, 2, 1, 1))}
-    share = mixing.shares(weights, 512)
-    assert sum(share.values()) == 512
-    slots = mixing.schedule_period(share)
-    assert sorted(x for s in slots.values() for x in s) == list(range(512))
-    for s, own in slots.items():
-        for t in range(513):
-            assert abs(sum(x < t for x in own) - t * share[s] / 512) < 1
-
-
-def test_phases_place_every_block_once():
-    blocks = {"a": 1000, "b": 7, "c": 130}
-    plan = mixing.phases(blocks, {"a": 0.2, "b": 0.5, "c": 0.3}, 64)
-    taken = []
-    for n, (start, had, slots) in enumerate(plan):
-        size = sum(map(len, slots.values()))
-        after = plan[n + 1][1] if n + 1 < len(plan) else blocks
-        for s in slots:
-            for i in range(after[s] - had[s]):
-                taken.append(start + i // len(slots[s]) * size + slots[s][i % len(slots[s])])
-    assert sorted(taken) == list(range(sum(blocks.values())))
+    weights = (50, 20, 9, 9, 5, 3, 2, 1, 1)
+    order = [s for s, _ in mixing.schedule([10 * w for w in weights], weights)]
+    for s, w in enumerate(weights):
+        had = 0
+        for t, x in enumerate(order, 1):
+            had += x == s
+            assert abs(had - t * w / 100) < 1
+
+
+@pytest.mark.parametrize("bad", [0, -1, float("nan"), float("inf")])
+def test_weights_have_to_be_above_zero(spark, bad):
+    docs = spark.createDataFrame([(1, "x", "a"), (2, "y", "b")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="above zero"):
+        mixing.mixture_order(docs, {"a": 1.0, "b": bad})
 
 
 def test_order_follows_the_weights(spark):
