@@ -23,11 +23,14 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--stage", choices=[*pipeline.STAGES, "all"], default="all", help="one stage, after those before it; default: all")
     p.add_argument("--embed", action="store_true", help="use the offline embedder")
     p.add_argument("--no-audit", action="store_true")
+    p.add_argument("--audit-files", action="store_true", help="a file for each answer, and not a data set of all")
+    p.add_argument("--bad-lines", choices=["fail", "aside"], default="fail", help="what a line that is no JSON object does: end the job, or stand with the failures")
     a = p.parse_args(args)
     settings = config.load(a.config) if a.config else config.Settings()
     spark = SparkSession.builder.appName("plumbline").getOrCreate()
-    instances = records.load_instances(spark, a.data, exclude_implicit_true=settings.exclude_implicit_true, limit=a.limit)
-    result = pipeline.run(instances, a.out, settings, embedder=HashEmbedder() if a.embed else None, cache_path=a.cache, audit=not a.no_audit, stage=a.stage)
+    instances = records.load_instances(spark, a.data, exclude_implicit_true=settings.exclude_implicit_true, limit=a.limit, on_bad=a.bad_lines)
+    bad = records.bad_records(spark, a.data) if a.bad_lines == "aside" else None
+    result = pipeline.run(instances, a.out, settings, embedder=HashEmbedder() if a.embed else None, cache_path=a.cache, audit=False if a.no_audit else "files" if a.audit_files else True, stage=a.stage, bad=bad)
     if result is not None:
         print(json.dumps(evaluate.short(result.summary).first().asDict(), indent=2))
 

@@ -11,8 +11,9 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from plumbline.functions.text import unit
 
@@ -42,6 +43,32 @@ class HashEmbedder:
         return texts.select("text", unit(drawn).alias("embedding"))
 
 
+class StoredEmbedder:
+    """An embedder whose vectors are kept in a table, by a hash of the text: each
+    text is embedded once, however often and in however many plans it is asked
+    for. Only texts that the table lacks go to the inner embedder, and what it
+    gives is read from the table from then on."""
+
+    def __init__(self, inner: Embedder, path: str):
+        self.inner, self.path = inner, path
+
+    def _stored(self, spark: SparkSession) -> DataFrame:
+        try:
+            return spark.read.schema("key binary, embedding array<float>").parquet(self.path)
+        except AnalysisException:  # nothing was embedded yet
+            return spark.createDataFrame([], "key binary, embedding array<float>")
+
+    def embed(self, texts: DataFrame) -> DataFrame:
+        key = F.unhex(F.md5("text"))
+        asked = texts.select("text").filter("text IS NOT NULL").distinct()
+        new = asked.withColumn("key", key).join(self._stored(texts.sparkSession), "key", "left_anti").select("text")
+        made = self.inner.embed(new).select(key.alias("key"), F.col("embedding").cast("array<float>").alias("embedding"))
+        made.write.mode("append").option("compression", "zstd").parquet(self.path)
+        # Two writers at once leave equal rows.
+        known = self._stored(texts.sparkSession).dropDuplicates(["key"])
+        return asked.withColumn("key", key).join(known, "key").select("text", "embedding")
+
+
 class ModelEmbedder:
     """A user's model: ``load()`` runs once in each Python worker and returns a
     function from a list of texts to an array (n, d)."""

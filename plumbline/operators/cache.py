@@ -31,7 +31,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.store import Store
+from plumbline.sources.store import Store, arrow_path
 
 LINE = "cache_key string, body string, crc bigint, damaged string"
 
@@ -60,7 +60,7 @@ class Portions:
     def __init__(self, path: str, run: str, task: int):
         from pyarrow import fs
 
-        self._fs, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        self._fs, root = arrow_path(path)
         self.run, self._folder = run, f"{root}/log/{run}/{task}"
         self._types = fs.FileType, fs.FileSelector
 
@@ -133,14 +133,8 @@ class GraphCache:
 
     def portions(self, run: str) -> Callable[[int], Portions] | None:
         """How the workers of a run commit, or None where they can't reach the store."""
-        from pyarrow import fs
-
         path = self.path
-        try:
-            fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-        except Exception:  # noqa: BLE001  an address, or a library, that Arrow does not have
-            return None
-        return lambda task: Portions(path, run, task)
+        return None if arrow_path(path) is None else lambda task: Portions(path, run, task)
 
     def compact(self) -> int:
         """Merge base and log into a new base; its number."""

@@ -17,7 +17,7 @@ from typing import Any, Protocol, TypeVar
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import ExtractionSettings
@@ -44,6 +44,12 @@ class Extractor(Protocol):
         """From (cache_key, text) to (cache_key, entities, relations, error, seconds) and the columns of ``USED``."""
 
 
+def chained(entities: str) -> Column:
+    """Relations of each entity with the next."""
+    pairs = F.zip_with(entities, F.slice(entities, 2, MAX_ENTITIES), lambda a, b: F.struct(a.alias("s"), F.lit(CO_OCCURS).alias("p"), b.alias("o")))
+    return F.slice(pairs, 1, F.greatest(F.size(entities) - 1, F.lit(0)))
+
+
 class OfflineExtractor:
     """A toy graph without a model, in built-in functions: the first distinct
     tokens are entities, each related to the next."""
@@ -53,9 +59,7 @@ class OfflineExtractor:
 
     def extract(self, texts: DataFrame) -> DataFrame:
         found = texts.withColumn("entities", F.slice(F.array_distinct(tokens(F.col("text"))), 1, MAX_ENTITIES))
-        pairs = F.zip_with("entities", F.slice("entities", 2, MAX_ENTITIES), lambda a, b: F.struct(a.alias("s"), F.lit(CO_OCCURS).alias("p"), b.alias("o")))
-        relations = F.slice(pairs, 1, F.greatest(F.size("entities") - 1, F.lit(0)))
-        return found.withColumns({"relations": relations, "error": F.lit(None).cast("string"), "seconds": F.lit(0.0), **{c: F.lit(0).cast(t) for c, t in USED.items()}}).drop("text")
+        return found.withColumns({"relations": chained("entities"), "error": F.lit(None).cast("string"), "seconds": F.lit(0.0), **{c: F.lit(0).cast(t) for c, t in USED.items()}}).drop("text")
 
 
 def in_flight(items: Iterable[A], work: Callable[[A], B], window: int) -> Iterator[B]:

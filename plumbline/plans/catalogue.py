@@ -11,10 +11,10 @@ from plumbline.config import EvalSettings, ExtractionSettings, MatchSettings, Se
 from plumbline.functions import text
 from plumbline.functions.embed import HashEmbedder
 from plumbline.functions.serialize import business_text, flat_facts
-from plumbline.operators import graph, match, score, stats
+from plumbline.operators import dialog, graph, match, score, stats
 from plumbline.plans import evaluate, pipeline, tune
 from plumbline.sources import records, sinks
-from plumbline.sources.views import dialogs, split_documents, table
+from plumbline.sources.views import split_documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -211,7 +211,7 @@ ent AS (SELECT source_id, kind, w AS entity, row_number() OVER (PARTITION BY sou
 
 @query(f"WITH {_DIALOG} SELECT DISTINCT source_id, entity FROM ent WHERE kind <> 'answer'")
 def graph_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = pipeline.extract_graphs(dialogs(spark, sf_dir)).sources.select("kind", F.col("source_id").alias("owner"), "entities", "relations")
+    g = dialog.dialog_graphs(table(spark, sf_dir, "conversations"))[0].select("kind", F.col("source_id").alias("owner"), "entities", "relations")
     both = graph.union(graph.entities_of(g.filter("kind = 'context'")), graph.entities_of(g.filter("kind = 'query'")))
     return both.withColumnRenamed("owner", "source_id")
 
@@ -222,8 +222,8 @@ s AS (SELECT a.source_id, count(*) AS va, count(r.entity) AS n FROM ent a LEFT J
 SELECT k.source_id AS response_id, coalesce(va, 0) AS "Va", CAST(n AS DOUBLE) / va AS "EG" FROM (SELECT source_id FROM kinds WHERE kind = 'answer') k LEFT JOIN s USING (source_id)
 """)
 def dialog_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = pipeline.extract_graphs(dialogs(spark, sf_dir))
-    return score.score(g.answers, g.sources).select("response_id", "Va", "EG")
+    sources, answers = dialog.dialog_graphs(table(spark, sf_dir, "conversations"))
+    return score.score(answers, sources).select("response_id", "Va", "EG")
 
 
 # -- matching -----------------------------------------------------------------

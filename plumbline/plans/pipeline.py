@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import MatchSettings, Settings
-from plumbline.functions.embed import Embedder
+from plumbline.functions.embed import Embedder, StoredEmbedder
 from plumbline.operators import graph, score
 from plumbline.plans import evaluate, tune
 
@@ -69,7 +70,7 @@ STAGES = ("extract", "score", "tune", "evaluate")
 
 def run(
     instances: DataFrame, out: str, settings: Settings | None = None, extractor: graph.Extractor | None = None, embedder: Embedder | None = None,
-    cache_path: str | None = None, audit: bool = True, with_sweep: bool = True, stage: str = "all",
+    cache_path: str | None = None, audit: bool | str = True, with_sweep: bool = True, stage: str = "all", bad: DataFrame | None = None,
 ) -> evaluate.Evaluation | None:
     """All stages, or one of ``STAGES``, their results under ``out``.
 
@@ -77,7 +78,9 @@ def run(
     ``evaluate`` go on from an earlier run; they fail if it left none. Graphs
     are kept in the cache, by default ``out``/cache if a single stage runs: the
     stages that need them (all but ``evaluate``) call the backend for new texts
-    only. The result is that of ``evaluate``, if it runs.
+    only. ``bad`` are input lines that were set aside, which stand with the
+    failures. ``audit="files"`` writes a file for each answer. The result is that
+    of ``evaluate``, if it runs.
     """
     from plumbline.sources import sinks
 
@@ -85,12 +88,15 @@ def run(
         raise ValueError(f"unknown stage: {stage}")
     settings = settings or Settings()
     spark = instances.sparkSession
+    if embedder is not None:
+        # Scores and sweep share what is embedded; later runs too, where the embedder has a name.
+        embedder = StoredEmbedder(embedder, f"{out}/vectors/{getattr(embedder, 'name', None) or uuid.uuid4().hex}")
     todo = STAGES if stage == "all" else (stage,)
     graphs, n_failed, calls = None, 0, None
     if todo != ("evaluate",):
         graphs = extract_graphs(instances, extractor, settings, cache_path or (None if stage == "all" else f"{out}/cache"))
     if "extract" in todo:
-        sinks.write_failures(graphs.failures, f"{out}/failures")
+        sinks.write_failures(graphs.failures if bad is None else graphs.failures.unionByName(bad), f"{out}/failures")
         sinks.write_usage(graphs.log, f"{out}/usage")
     if "score" in todo:
         sinks.write_scored(instances, score.score(graphs.answers, graphs.sources, settings.matching, embedder), f"{out}/scored")
@@ -116,7 +122,8 @@ def run(
     sinks.write_csv(result.summary, f"{out}/summary")
     sinks.write_csv(result.histogram, f"{out}/histogram")
     traces = {"alpha": tuning.select(F.inline("alpha_cv")), "thresholds": tuning.select(F.inline("tau_sweep"))}
-    sinks.write_report(sinks.report(result, settings, traces, calls), f"{out}/report.md")
+    sinks.write_report(spark, sinks.report(result, settings, traces, calls), f"{out}/report.md")
     if audit:
-        sinks.write_audit(score.audit_records(instances, scores_only, chosen["alpha"], settings.metrics.impute_h), f"{out}/audit")
+        records = score.audit_records(instances, scores_only, chosen["alpha"], settings.metrics.impute_h)
+        sinks.write_audit(records, f"{out}/audit", one_file_each=audit == "files")
     return result

@@ -10,6 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
 from plumbline.functions.serialize import business_text
@@ -34,15 +35,55 @@ def with_place(raw: DataFrame) -> DataFrame:
     return raw.withColumn("place", F.struct(meta["file_path"], meta["file_block_start"], F.monotonically_increasing_id()))
 
 
-def read_sources(spark: SparkSession, path: str) -> DataFrame:
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records with their ``place``, ``unreadable``, the text of a line that does not fit the schema,
+    and ``wrong`` where such a line is no JSON object."""
+    fields = f"{schema}, unreadable string"
+    try:
+        raw = spark.read.schema(fields).option("columnNameOfCorruptRecord", "unreadable").json(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"{path} is missing: a folder of records has source_info.jsonl and response.jsonl") from e
+    # A field of another type is null, as in a record without it; the line as a whole is right.
+    object_like = F.startswith(stripped(F.col("unreadable")), F.lit("{")) & F.try_parse_json("unreadable").isNotNull()
+    return with_place(raw).withColumn("wrong", F.col("unreadable").isNotNull() & ~object_like)
+
+
+def read_records(spark: SparkSession, path: str, schema: str, on_bad: str = "fail") -> DataFrame:
+    """Records of a file with their ``place``. A line that is no JSON object is an
+    error, or, with ``on_bad="aside"``, left to ``bad_records``. Blank lines and a
+    bare ``null`` say nothing; objects in one list on a line are so many records."""
+    if on_bad not in ("fail", "aside"):
+        raise ValueError(f"on_bad is fail or aside, not {on_bad}")
+    lines = _parsed(spark, path, schema)
+    if on_bad == "fail":
+        stop = F.raise_error(F.concat(F.lit("no JSON object in "), F.col("place.file_path"), F.lit(": "), F.substring("unreadable", 1, 200)))
+        rows = lines.filter(F.when(F.col("wrong"), stop.cast("boolean")).otherwise(F.lit(True)))
+    else:
+        rows = lines.filter(~F.col("wrong"))
+    return rows.drop("unreadable", "wrong")
+
+
+def bad_records(spark: SparkSession, folder: str) -> DataFrame:
+    """(stage, id, error) of the lines that ``on_bad="aside"`` leaves out, for the failure sink: the id is the file's."""
+    told = []
+    for name, schema in (("source_info.jsonl", SOURCE), ("response.jsonl", RESPONSE)):
+        lines = _parsed(spark, f"{folder}/{name}", schema)
+        # Always so; a scan has to read a field besides the text of unreadable lines.
+        read = F.hash(*(c for c in lines.columns if c not in ("unreadable", "wrong", "place"))) >= -(1 << 31)
+        told.append(lines.filter(F.col("wrong") & read).select(F.lit("read").alias("stage"), F.col("place.file_path").alias("id"), F.concat(F.lit("no JSON object: "), F.substring("unreadable", 1, 200)).alias("error")))
+    return told[0].unionByName(told[1])
+
+
+def read_sources(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFrame:
     """Source records; of those with one id, the last in file order."""
-    latest = with_place(spark.read.schema(SOURCE).json(path))
+    latest = read_records(spark, path, SOURCE, on_bad)
     last = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("place")))
     return latest.withColumn("last", last).filter("last = 1").drop("last", "place")
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESPONSE).json(path)
+def read_responses(spark: SparkSession, path: str, on_bad: str = "fail") -> DataFrame:
+    """Response records, with their place in the file."""
+    return read_records(spark, path, RESPONSE, on_bad)
 
 
 def context_and_query(sources: DataFrame) -> DataFrame:
@@ -86,15 +127,15 @@ def build_instances(responses: DataFrame, sources: DataFrame, splits: Iterable[s
     )
 
 
-def load_instances(spark: SparkSession, folder: str, splits: Iterable[str] | None = None, exclude_implicit_true: bool = False, limit: int | None = None) -> DataFrame:
+def load_instances(spark: SparkSession, folder: str, splits: Iterable[str] | None = None, exclude_implicit_true: bool = False, limit: int | None = None, on_bad: str = "fail") -> DataFrame:
     """Instances of ``source_info.jsonl`` and ``response.jsonl`` in a folder;
     with ``limit``, of the first so many answers that have a source."""
-    responses, sources = read_responses(spark, f"{folder}/response.jsonl"), read_sources(spark, f"{folder}/source_info.jsonl")
+    responses, sources = read_responses(spark, f"{folder}/response.jsonl", on_bad), read_sources(spark, f"{folder}/source_info.jsonl", on_bad)
     if limit:
-        known = with_place(responses).join(sources.select("source_id"), "source_id", "left_semi")
+        known = responses.join(sources.select("source_id"), "source_id", "left_semi")
         if splits is not None:
             known = known.filter(F.coalesce("split", F.lit("")).isin(*splits))
-        responses = known.orderBy("place").limit(limit).drop("place")
+        responses = known.orderBy("place").limit(limit)
     return build_instances(responses, sources, splits, exclude_implicit_true)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
+import uuid
 from collections.abc import Iterator
 from typing import Any
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,7 @@ from pyspark.sql.window import Window
 from plumbline.config import Settings
 from plumbline.operators.graph import TRIPLE
 from plumbline.operators.score import SIZES
+from plumbline.sources.store import Store, arrow_path
 
 SCORE = ", ".join(f"{s}:bigint" for s in SIZES) + (
     ", EG:double, RP:double, RP_defined:boolean, unscorable:boolean, ref_empty:boolean, matched_entities:array<struct<v:string,ref:string,method:string>>, "
@@ -80,13 +84,36 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_audit(records: DataFrame, path: str, one_file_each: bool = False) -> None:
-    """Audit records as a JSON data set; or also one file for each answer, in a
-    folder that all executors share."""
+    """Audit records as a JSON data set; or as one file for each answer, with its
+    id as the name, written by the tasks to the run's own store."""
     if not one_file_each:
         records.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
         return
+    place = arrow_path(path)
+    if place is None:
+        raise ValueError(f"files of {path} can't be written from tasks; write records instead")
     lines = records.select("response_id", F.to_json(F.struct(*records.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
-    lines.write.mode("overwrite").partitionBy("response_id").text(path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = arrow_path(path)
+        fs.create_dir(root, recursive=True)
+        n = 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                new = f"{root}/_{uuid.uuid4().hex}"
+                with fs.open_output_stream(new) as f:
+                    f.write(text.encode() + b"\n")
+                fs.move(new, f"{root}/{file_name(name)}.json")  # a task that runs again puts the same in its place
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    lines.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
+def file_name(key: str | None) -> str:
+    """A key as the name of a file; of 200 bytes at most, with a digest of what is longer."""
+    name = quote(key or "", safe="").replace(".", "%2E")
+    return name if len(name) <= 200 else f"{name[:150]}-{hashlib.sha256(name.encode()).hexdigest()[:40]}"
 
 
 def markdown(frame: pd.DataFrame) -> str:
@@ -142,7 +169,7 @@ def report(evaluation, settings: Settings, tuning: dict[str, DataFrame] | None =
     return "\n\n".join(sections()) + "\n"
 
 
-def write_report(text: str, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+def write_report(spark: SparkSession, text: str, path: str) -> None:
+    """The report, on the store that the path names."""
+    folder, _, name = path.rpartition("/")
+    Store(spark, folder or ".").write_text(name, text)

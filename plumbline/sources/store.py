@@ -63,6 +63,16 @@ class Store:
             raise OSError(f"{self.root}/{name} could not be written")
 
 
+def arrow_path(path: str):
+    """Arrow's file system and path of an address, for what tasks write themselves; None where Arrow has none."""
+    from pyarrow import fs
+
+    try:
+        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    except Exception:  # noqa: BLE001  an address, or a library, that Arrow does not have
+        return None
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the store that all executors share, and read again: it is worked out once."""
     spark = df.sparkSession
