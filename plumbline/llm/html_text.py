@@ -10,13 +10,16 @@ by an empty line, numbers and indents lists, keeps ``pre`` as it stands, and
 sets tables with columns aligned by the width that characters take.
 
 Time and output grow with the page and not with its square, whatever the page:
-indents end at ``MAX_INDENT``, padding in a table's line at ``MAX_PADDING``, a
-column's width at ``MAX_WIDTH`` (longer cells push the rest of their line), and
-tables within ``MAX_TABLES`` others are shown as blocks. No text is lost by it.
+by a ``Layout``, indents, the padding in a table's line, a column's width (longer
+cells push the rest of their line), the columns that cells span, and how deep
+tables stand within tables (deeper ones are shown as blocks) have an end. No
+text is lost by it, and the ends are the caller's.
 
 Invisible are the head, comments, scripts, styles, templates, media with their
 fallbacks, inputs, any element with ``hidden`` or ``display:none``, and what has
-``visibility:hidden``, but for parts of it made visible again. MathML and the
+``visibility:hidden``, but for parts of it made visible again. Both are read from
+attributes and from the page's own style sheets, as far as ``html_style`` does,
+for the elements that follow a sheet. MathML and the
 text of SVG are visible, without annotations and titles, descriptions,
 definitions and metadata; so are a textarea's content and the options a select
 shows: the selected ones, else the first unless it is a list box (``multiple``
@@ -39,12 +42,15 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.html_style import Styles, is_sheet
+
 #: A whole tag as most are, from its name on; others go attribute by attribute.
 TAG = re.compile(r"([a-zA-Z][^\s/>]*+)((?:\s++[^\s\"'>/=]++(?:=(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>=<`]++))?)*+)\s*+(/?)>")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -55,8 +61,6 @@ EQUALS = re.compile(r"\s*=\s*")
 BARE = re.compile(r"[^\s>]*")
 END_SELECT = re.compile(r"</?select(?=[\s/>])", re.I)
 SPACE = re.compile(r"[ \t\n\f\r]+")
-GONE_STYLE = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.I)
-VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)\s*(?:!important\s*)?(?:;|$)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -91,11 +95,16 @@ ONLY_TABLE = frozenset(["table"])
 CELLS = frozenset("td th table caption".split())
 #: Start tags that may stand in a head; any other ends it.
 HEAD_TAGS = frozenset("html head title base link meta style script template noscript noframes".split())
-LIMIT_SPAN = 1000
-MAX_INDENT = 40
-MAX_PADDING = 1000
-MAX_WIDTH = 120
-MAX_TABLES = 16
+
+
+class Layout(NamedTuple):
+    """Where the growth of a layout ends."""
+
+    indent: int = 40
+    padding: int = 1000
+    column: int = 120
+    tables: int = 16
+    span: int = 1000
 
 
 def width(s: str) -> int:
@@ -227,7 +236,8 @@ class Sink:
 
 
 class Table:
-    def __init__(self) -> None:
+    def __init__(self, layout: Layout) -> None:
+        self.layout = layout
         self.rows: list[dict[int, list[str]]] = []
         self.taken: dict[int, int] = {}  # column -> the last row that a cell above reaches into
         self.column = 0
@@ -243,7 +253,7 @@ class Table:
         while self.taken.get(self.column, -1) >= at:
             self.column += 1
         self.rows[-1][self.column] = text.split("\n")
-        if self.column + across > LIMIT_SPAN:
+        if self.column + across > self.layout.span:
             across, down = 1, 1
         if down > 1:
             self.taken.update((c, at + down - 1) for c in range(self.column, self.column + across))
@@ -253,7 +263,7 @@ class Table:
         widths: dict[int, int] = {}
         for row in self.rows:
             for c, lines in row.items():
-                widths[c] = max(widths.get(c, 0), min(MAX_WIDTH, max(map(width, lines))))
+                widths[c] = max(widths.get(c, 0), min(self.layout.column, max(map(width, lines))))
         starts, at = {}, 0
         for c in sorted(widths):
             starts[c] = at
@@ -266,7 +276,7 @@ class Table:
                 for c, lines in cells:
                     text = lines[k] if k < len(lines) else ""
                     if text:
-                        gap = min(starts[c], MAX_PADDING) - used if starts[c] > used else 0
+                        gap = min(starts[c], self.layout.padding) - used if starts[c] > used else 0
                         gap = max(gap, 2 if used else 0)
                         parts.append(" " * gap + text)
                         used += gap + width(text)
@@ -277,7 +287,8 @@ class Table:
 class Page:
     """Builds the stack of open elements and renders as it goes."""
 
-    def __init__(self) -> None:
+    def __init__(self, layout: Layout) -> None:
+        self.layout, self.styles = layout, Styles()
         self.sink = Sink()
         self.open: list[tuple[str, bool, object, bool]] = []  # tag, whether it is gone, what its end undoes, hidden around it
         self.at: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open
@@ -315,8 +326,8 @@ class Page:
             self._close_within(*CLOSES[tag])
         if tag in BLOCK:
             self._close_within(ONLY_P, P_BORDERS)
-        style = values.get("style")
-        gone = tag in UNSEEN or foreign and tag in FOREIGN_UNSEEN or "hidden" in values or bool(style and GONE_STYLE.search(style))
+        said = self.styles.decide(tag, values) if self.styles.same or "style" in values else {}
+        gone = tag in UNSEEN or foreign and tag in FOREIGN_UNSEEN or said.get("display", "hidden" in values)
         if tag == "option" and self.options:
             n, shown = self.options[-1]
             self.options[-1] = (n + 1, shown)
@@ -336,8 +347,7 @@ class Page:
         if tag in VOID or foreign and closed:
             return False
         around = self.hidden
-        if style and (v := VISIBILITY.search(style)):
-            self.hidden = v[1].lower() in ("hidden", "collapse")
+        self.hidden = said.get("visibility", around)
         undo = self._enter(tag, values, count) if shows else None
         self.at[tag].append(len(self.open))
         self.open.append((tag, gone, undo, around))
@@ -358,7 +368,7 @@ class Page:
     def _indent(self, more: int) -> str:
         """Indent further, and return what it was."""
         before = self.sink.indent
-        if len(before) + more <= MAX_INDENT:
+        if len(before) + more <= self.layout.indent:
             self.sink.indent = before + " " * more
         return before
 
@@ -387,7 +397,7 @@ class Page:
             self.fresh_pre = True
         elif tag == "table":
             # One too deep is there, but not laid out.
-            self.tables.append((Table() if len(self.tables) < MAX_TABLES else None, self.sink))
+            self.tables.append((Table(self.layout) if len(self.tables) < self.layout.tables else None, self.sink))
         elif tag in ("tr", "td", "th") and self.tables and self.tables[-1][0] is None:
             self.sink.text(" ")
         elif tag == "tr" and self.tables:
@@ -395,7 +405,7 @@ class Page:
         elif tag in ("td", "th") and self.tables:
             self.sink = Sink()
             spans = [values.get(k, "1") for k in ("colspan", "rowspan")]
-            return tuple(min(LIMIT_SPAN, max(1, int(s))) if re.fullmatch(r"\d{1,9}", s) else 1 for s in spans), self.lists, self.pre
+            return tuple(min(self.layout.span, max(1, int(s))) if re.fullmatch(r"\d{1,9}", s) else 1 for s in spans), self.lists, self.pre
         elif tag == "q":
             self.text('"')
         return None
@@ -480,9 +490,9 @@ def _items_of_reversed(source: str) -> Iterator[int]:
     return (n for (n,) in counts)
 
 
-def render(page: str | None) -> str:
+def render(page: str | None, layout: Layout = Layout()) -> str:
     """All visible text of a page."""
-    out = Page()
+    out = Page(layout)
     source = page or ""
     if "reversed" in source:
         out.counts = _items_of_reversed(source)
@@ -510,7 +520,10 @@ def render(page: str | None) -> str:
                 out.select(values, source, stop, end.start() if end else len(source))
             if tag in RAW and opened:
                 end = _end_of(tag).search(source, stop)
-                out.text(source[stop : end.start() if end else len(source)])
+                inside = source[stop : end.start() if end else len(source)]
+                if tag == "style" and not (out.at["template"] or out.at["noscript"]) and is_sheet(values):
+                    out.styles.sheet(inside)
+                out.text(inside)
                 done = len(source)
                 if end and (close := source.find(">", end.end())) >= 0:
                     done = close + 1
@@ -526,13 +539,13 @@ def _end_of(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}(?=[\s/>])", re.I)
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", layout: Layout = Layout()) -> DataFrame:
     """``id_col`` and ``text``, what is visible of each page."""
     narrow = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
 
     def batch_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = (render(page) for page in (x.as_py() for x in batch.column(1)))
+            texts = (render(page, layout) for page in (x.as_py() for x in batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     schema = T.StructType([narrow.schema["id"], T.StructField("text", T.StringType())])
