@@ -31,6 +31,7 @@ class ExtractionSettings:
 
 @dataclass(frozen=True)
 class MatchSettings:
+    # Fixed values as well.
     entity_threshold: float = 0.90
     relation_threshold: float = 0.75
     allow_substring: bool = True
@@ -53,6 +54,7 @@ class MetricSettings:
 
 @dataclass(frozen=True)
 class EvalSettings:
+    # Seed, resamples, grids, sweeps, folds and edges are fixed values: they have to be the same for the same results.
     seed: int = 42
     n_bootstrap: int = 1000
     alpha_grid: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)

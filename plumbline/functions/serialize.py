@@ -2,7 +2,8 @@
 
 The depth of such a record has no bound, so this is the one place where JSON
 is walked in Python: a pandas UDF over the raw text, which keeps the order of
-keys and the spelling of numbers.
+keys and the spelling of numbers. The sentences' wording is fixed values: texts
+have to be the same for the same keys and graphs.
 """
 
 from __future__ import annotations

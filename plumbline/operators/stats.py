@@ -178,7 +178,7 @@ def numbered(df: DataFrame, key: str, seed: int, by: str) -> DataFrame:
     parts = held.select(F.col(by).alias("v"), F.col("part").alias("in"), ahead.alias("ahead"), F.sum("c").over(Window.partitionBy(by)).alias("of"))
     parts = parts.withColumn("least", F.min("of").over(Window.partitionBy()))
     within = F.row_number().over(Window.partitionBy(by, "part").orderBy(order, key)) - 1
-    return ranged.withColumn("own", within).join(F.broadcast(parts), F.col(by).eqNullSafe(F.col("v")) & (F.col("part") == F.col("in"))).select(*df.columns, (F.col("ahead") + F.col("own")).alias("r"), "least")
+    return ranged.withColumn("own", within).join(parts, F.col(by).eqNullSafe(F.col("v")) & (F.col("part") == F.col("in"))).select(*df.columns, (F.col("ahead") + F.col("own")).alias("r"), "least")
 
 
 def stratified_folds(df: DataFrame, key: str, folds: int, seed: int, label: str = "y") -> DataFrame:
@@ -276,7 +276,7 @@ def histogram(df: DataFrame, by: Sequence[str], bins: int = 20, score: str = "H"
     flat = F.col("a") == F.col("b")
     ends = ends.withColumns({"a": F.when(flat, F.col("a") - 0.5).otherwise(F.col("a")), "b": F.when(flat, F.col("b") + 0.5).otherwise(F.col("b"))})
     width = (F.col("b") - F.col("a")) / bins
-    placed = kept.join(F.broadcast(ends), list(by)).withColumn("bin", F.least(F.floor((F.col("h") - F.col("a")) / width).cast("int"), F.lit(bins - 1)))
+    placed = kept.join(ends, list(by)).withColumn("bin", F.least(F.floor((F.col("h") - F.col("a")) / width).cast("int"), F.lit(bins - 1)))
     counts = placed.groupBy(*by, "bin", "a", "b", "total").agg(F.count("*").alias("n"))
     return counts.select(*by, "bin", (F.col("a") + F.col("bin") * width).alias("lo"), (F.col("a") + (F.col("bin") + 1) * width).alias("hi"), "n", (F.col("n") / (F.col("total") * width)).alias("density"))
 
@@ -307,24 +307,26 @@ def with_p(tests: DataFrame) -> DataFrame:
 
 #: Up to this size of the smaller class, scores without ties get an exact p-value.
 EXACT_ROWS = 8
+#: Up to so many pairs of the classes, which take about ten seconds.
+EXACT_PAIRS = 5_000_000
 
 
 def rank_sum_p(u: float | None, n_pos: int, n_neg: int, ties: float) -> float | None:
-    """P(U or more) under no difference: exact for a small class without ties,
+    """P(U or more) under no difference: exact for a class of ``EXACT_ROWS`` without ties, up to ``EXACT_PAIRS``,
     else normal with corrections for ties and continuity."""
     if u is None or not n_pos or not n_neg:
         return None
-    if min(n_pos, n_neg) <= EXACT_ROWS and not ties:
-        # ways[k][v]: subsets of size k of the ranks so far that beat v negatives in all
-        ways = [[1] + [0] * (n_pos * n_neg)] + [[0] * (n_pos * n_neg + 1) for _ in range(n_pos)]
-        for rank in range(n_pos + n_neg):
-            for k in range(min(n_pos, rank + 1), 0, -1):
-                beaten = rank - (k - 1)
-                if beaten <= n_neg:
-                    row, less = ways[k], ways[k - 1]
-                    for v in range(n_pos * n_neg, beaten - 1, -1):
-                        row[v] += less[v - beaten]
-        return sum(ways[n_pos][math.ceil(u) :]) / math.comb(n_pos + n_neg, n_pos)
+    few, many = sorted((n_pos, n_neg))
+    if few <= EXACT_ROWS and not ties and few * many <= EXACT_PAIRS:
+        # How many arrangements have each U: the coefficients of a product over i of (1 - q^(many + i)) / (1 - q^i).
+        ways = np.zeros(few * many + 1, dtype=object)
+        ways[0] = 1
+        for i in range(1, few + 1):
+            if many + i <= few * many:
+                ways[many + i :] = ways[many + i :] - ways[: -(many + i)]
+            for r in range(i):
+                ways[r::i] = np.add.accumulate(ways[r::i])
+        return int(ways[math.ceil(u) :].sum()) / math.comb(few + many, few)
     n = n_pos + n_neg
     spread = math.sqrt(n_pos * n_neg / 12 * ((n + 1) - ties / (n * (n - 1))))
     if spread == 0:

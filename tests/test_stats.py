@@ -82,6 +82,13 @@ def test_rank_sum_p_values():
     assert stats.rank_sum_p(None, 0, 3, 0) is None
 
 
+def test_exact_p_values_have_no_limit_that_matters():
+    assert stats.rank_sum_p(8 * 1251 / 2, 8, 1251, 0) == pytest.approx(0.5, abs=1e-3)
+    for a, b in ((2, 3), (3, 2), (4, 4), (1, 6)):
+        us = [sum(p > q for p in c for q in set(range(a + b)) - set(c)) for c in itertools.combinations(range(a + b), a)]
+        assert [stats.rank_sum_p(float(u), a, b, 0) for u in range(a * b + 1)] == pytest.approx([sum(x >= u for x in us) / len(us) for u in range(a * b + 1)])
+
+
 def test_rank_sum_is_one_pass_over_counts(spark, rows):
     got = stats.with_p(stats.rank_sum(frame(spark, rows))).first()
     pos, neg = ([h for _, _, h, y in rows if h is not None and y == c] for c in (1, 0))
