@@ -27,6 +27,11 @@ those bytes join the anchor. What is still too large is split again; at the
 seventh step the anchor is the passage, and all its contexts are equal. So no
 task holds more than ``max_contexts`` contexts of one anchor.
 
+For a passage only whether it is matched in full counts, so common prefixes
+are told apart as ``length`` and less, and the arrays hold these two values.
+Contexts and texts that are equal as a whole do not go through the arrays: their
+digests say what the arrays would.
+
 Anchors go by 64-bit hashes: where two collide, contexts meet that have nothing
 in common. Texts and contexts are taken for equal by 128 bits (md5, xxh3).
 
