@@ -54,7 +54,8 @@ from pyspark.sql import types as T
 from plumbline.llm import kernel as K
 
 LENGTH = 1024
-ROWS_PER_SHARD = 16384
+#: Of 2 kB each; a reader of slots holds a shard as a whole.
+ROWS_PER_SHARD = 8192
 KEY = 20240229
 #: Parts in which shards are written; the files behind an exchange are dropped after each.
 WAVES = 4
