@@ -18,9 +18,9 @@ numbers rest on a table that no retry can change. The driver gets a count for
 each partition. Then each sequence moves once, to its shard, in a few waves of
 shards. A wave leaves a mark when it is whole; writing to the same path again
 goes on with what has no mark, the cut sequences first. It does so only for the
-same work: a fingerprint of all parameters, the vocabulary and the documents
-(their number and two sums of hashes of id and text, whatever their order) is
-written before anything else, and another one is refused.
+same work: a fingerprint of all parameters and the vocabulary is written before
+anything else, one of the documents (their number and two sums of hashes of id
+and text, whatever their order) with the cut sequences, and others are refused.
 
 Ids are those of a public tokenizer's ranks file; texts that spell special
 tokens are ordinary text. Words are encoded once per worker and kept, up to a
@@ -47,7 +47,7 @@ import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -249,28 +249,21 @@ def _indexed(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     return cut.join(offsets, "part").withColumn("index", F.col("first") + F.col("number")), total
 
 
-def _content(docs: DataFrame, id_col: str, text_col: str) -> dict[str, str]:
-    """What tells a table of documents from another, in one pass."""
+def _content(id_col: str, text_col: str) -> list[Column]:
+    """What tells a table of documents from another, whatever their order."""
     hashed = F.xxhash64(F.col(id_col), F.col(text_col))
-    r = docs.agg(F.count("*").alias("n"), F.sum(hashed.cast("decimal(38,0)")).alias("total"), F.bit_xor(hashed).alias("parity")).first()
-    return {"documents": str(r.n), "sum": str(r.total), "parity": str(r.parity), "types": f"{docs.schema[id_col].dataType.simpleString()}, {docs.schema[text_col].dataType.simpleString()}"}
+    return [F.count("*").cast("string").alias("documents"), F.sum(hashed.cast("decimal(38,0)")).cast("string").alias("sum"), F.bit_xor(hashed).cast("string").alias("parity")]
 
 
-def _claim(spark: SparkSession, path: str, work: dict) -> None:
-    """Leave the fingerprint of some work at ``path``, or check that it is there.
-
-    What is there without one was left by something else, and is refused too.
-    """
-    at = f"{path}/fingerprint"
+def _claim(spark: SparkSession, at: str, work: dict) -> None:
+    """Leave the fingerprint of some work at a path, or check that it is there."""
     if not _whole(spark, at):
-        if any(_whole(spark, f"{path}/{x}") for x in ("sequences", "shards/wave=0")):
-            raise ValueError(f"{path} holds shards of unknown origin")
         spark.createDataFrame([(json.dumps(work, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(at)
         return
     found = json.loads(spark.read.text(at).first()[0])
     other = sorted(k for k in work.keys() | found.keys() if work.get(k) != found.get(k))
     if other:
-        raise ValueError(f"{path} holds shards of other work: {', '.join(f'{k} is {found.get(k)!r} and not {work.get(k)!r}' for k in other)}")
+        raise ValueError(f"{at} is of other work: {', '.join(f'{k} is {found.get(k)!r} and not {work.get(k)!r}' for k in other)}")
 
 
 def write_shards(docs: DataFrame, path: str, ranks_file: str, length: int = LENGTH, rows_per_shard: int = ROWS_PER_SHARD, key: int = KEY, end_token: int = 50256, id_col: str = "doc_id", text_col: str = "text", waves: int = WAVES) -> Shards:
@@ -284,12 +277,20 @@ def write_shards(docs: DataFrame, path: str, ranks_file: str, length: int = LENG
     with open(ranks_file, "rb") as f:  # a vocabulary has a fixed size, about a megabyte
         lines = f.read()
     width = id_width(lines, end_token)
-    work = {"length": length, "width": width, "key": key, "rows_per_shard": rows_per_shard, "end_token": end_token, "waves": waves, "vocabulary": hashlib.sha256(lines).hexdigest()}
-    _claim(spark, path, work | _content(docs, id_col, text_col))
-    if not _whole(spark, f"{path}/sequences"):
-        narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        cut = _cut(narrow, spark.sparkContext.broadcast(lines), length, end_token, width)
+    types = f"{docs.schema[id_col].dataType.simpleString()}, {docs.schema[text_col].dataType.simpleString()}"
+    work = {"length": length, "width": width, "key": key, "rows_per_shard": rows_per_shard, "end_token": end_token, "waves": waves, "types": types, "vocabulary": hashlib.sha256(lines).hexdigest()}
+    if not _whole(spark, f"{path}/fingerprint") and any(_whole(spark, f"{path}/{x}") for x in ("sequences", "shards/wave=0")):
+        raise ValueError(f"{path} holds shards of unknown origin")
+    _claim(spark, f"{path}/fingerprint", work)
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not (_whole(spark, f"{path}/sequences") and _whole(spark, f"{path}/content")):
+        # What the documents are is summed up as they are cut; it stands before any shard does.
+        seen = Observation()
+        cut = _cut(narrow.observe(seen, *_content("id", "text")), spark.sparkContext.broadcast(lines), length, end_token, width)
         cut.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/sequences")
+        spark.createDataFrame([(json.dumps(seen.get, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/content")
+    else:
+        _claim(spark, f"{path}/content", narrow.agg(*_content("id", "text")).first().asDict())
     rows, total = _indexed(spark, path)
     out = Shards(spark, path, total, length, width, rows_per_shard, key)
     shards = -(-total // rows_per_shard)
