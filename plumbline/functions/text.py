@@ -3,23 +3,44 @@
 from __future__ import annotations
 
 import json
+import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.config import ExtractionSettings
 
-#: White space as Unicode text has it.
-_SPACES = r"[\t\n\x0B\f\r\x1c-\x1f\x85\p{Z}]+"
+#: Runs of white space as Unicode text has it, but for single spaces, which stay.
+_SPACES = r"(?: [\t\n\x0B\f\r\x1c-\x1f\x85\p{Z}]|[\t\n\x0B\f\r\x1c-\x1f\x85\p{Z}&&[^ ]])[\t\n\x0B\f\r\x1c-\x1f\x85\p{Z}]*"
 #: ASCII punctuation and white space, to be stripped from both ends.
-_EDGE = r"[!-/:-@\[-`{-~ \t\n\r]"
+_EDGE = string.punctuation + " \t\n\r"
 #: What counts as part of a word at a boundary.
 _WORD = r"[\p{L}\p{N}_]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it stands in there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def tokens(text: Column) -> Column:
     """ASCII words of four characters or more, lower-cased, in order."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 4)
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9]{3,}"), F.lit(0))
+
+
+#: Characters at the beginning of a text in which its first distinct tokens are looked for first.
+_HEAD = 512
+
+
+def first_tokens(text: Column, cap: int) -> Column:
+    """The first ``cap`` distinct tokens, in order: of the beginning, if that has more than these
+    (its last token may be cut), else of all the text."""
+
+    def first(t: Column) -> Column:
+        return F.array_distinct(tokens(t))
+
+    return let(first(F.substring(text, 1, _HEAD)), lambda head: F.slice(F.when(F.size(head) > cap, head).otherwise(first(text)), 1, cap))
 
 
 def normalize(name: Column) -> Column:
@@ -27,8 +48,7 @@ def normalize(name: Column) -> Column:
     leading article if something follows. Null becomes empty. Twice is not
     once: "the the x" loses an article each time."""
     s = F.regexp_replace(F.lower(F.coalesce(name.cast("string"), F.lit(""))), _SPACES, " ")
-    s = F.regexp_replace(s, f"^{_EDGE}+|{_EDGE}+$", "")
-    return F.trim(F.regexp_replace(s, "^(a|an|the) (?=.)", ""))
+    return F.trim(F.regexp_replace(F.btrim(s, F.lit(_EDGE)), "^(a|an|the) (?=.)", ""))
 
 
 def words(text: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.text import tokens
+from plumbline.functions.text import first_tokens
 from plumbline.operators.graph import MAX_ENTITIES, chained
 
 #: Turns of a conversation that are numbered together.
@@ -24,7 +24,7 @@ PART_TURNS = 1024
 
 
 def _own(text: Column, cap: int) -> Column:
-    return F.slice(F.array_distinct(tokens(F.coalesce(text, F.lit("")))), 1, cap)
+    return first_tokens(F.coalesce(text, F.lit("")), cap)
 
 
 def first_occurrences(turns: DataFrame, cap: int = MAX_ENTITIES) -> DataFrame:

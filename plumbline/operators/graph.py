@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import ExtractionSettings
-from plumbline.functions.text import cache_key, tokens
+from plumbline.functions.text import cache_key, first_tokens, let
 from plumbline.operators.cache import GraphCache, Portions, line
 
 A, B = TypeVar("A"), TypeVar("B")
@@ -44,7 +44,7 @@ class Extractor(Protocol):
         """From (cache_key, text) to (cache_key, entities, relations, error, seconds) and the columns of ``USED``."""
 
 
-def chained(entities: str) -> Column:
+def chained(entities: Column | str) -> Column:
     """Relations of each entity with the next."""
     pairs = F.zip_with(entities, F.slice(entities, 2, MAX_ENTITIES), lambda a, b: F.struct(a.alias("s"), F.lit(CO_OCCURS).alias("p"), b.alias("o")))
     return F.slice(pairs, 1, F.greatest(F.size(entities) - 1, F.lit(0)))
@@ -58,8 +58,9 @@ class OfflineExtractor:
     row_local = True
 
     def extract(self, texts: DataFrame) -> DataFrame:
-        found = texts.withColumn("entities", F.slice(F.array_distinct(tokens(F.col("text"))), 1, MAX_ENTITIES))
-        return found.withColumns({"relations": chained("entities"), "error": F.lit(None).cast("string"), "seconds": F.lit(0.0), **{c: F.lit(0).cast(t) for c, t in USED.items()}}).drop("text")
+        found = texts.withColumn("graph", let(first_tokens(F.col("text"), MAX_ENTITIES), lambda e: F.struct(e.alias("entities"), chained(e).alias("relations"))))
+        found = found.select(*texts.columns, "graph.*")
+        return found.withColumns({"error": F.lit(None).cast("string"), "seconds": F.lit(0.0), **{c: F.lit(0).cast(t) for c, t in USED.items()}}).drop("text")
 
 
 def in_flight(items: Iterable[A], work: Callable[[A], B], window: int) -> Iterator[B]:
@@ -176,7 +177,9 @@ def extract(texts: DataFrame, extractor: Extractor, settings: ExtractionSettings
     log gives to the first owner. With a cache path, what is new is appended
     there."""
     settings = settings or ExtractionSettings()
-    trimmed = texts.select("owner", F.regexp_replace(F.coalesce("text", F.lit("")), r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "").alias("text"))
+    text, space = F.coalesce("text", F.lit("")), r"[\s\x1c-\x1f\x85\p{Z}]"
+    bare = F.when(F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1))).rlike(space), F.regexp_replace(text, f"^{space}+|{space}+$", "")).otherwise(text)
+    trimmed = texts.select("owner", bare.alias("text"))
     keyed = trimmed.withColumn("cache_key", F.when(F.col("text") != "", cache_key(F.col("text"), settings)))
     if cache_path is None and getattr(extractor, "row_local", False):
         done = extractor.extract(keyed)

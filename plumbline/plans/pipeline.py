@@ -12,6 +12,7 @@ from plumbline.config import MatchSettings, Settings
 from plumbline.functions.embed import Embedder, StoredEmbedder
 from plumbline.operators import graph, score
 from plumbline.plans import evaluate, tune
+from plumbline.sources.store import written
 
 
 @dataclass(frozen=True)
@@ -25,21 +26,39 @@ class Graphs:
     log: DataFrame
 
 
+def _in_the_row(instances: DataFrame, extractor: graph.Extractor, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Graphs of sources (source_id, kind, ..) and answers (response_id, source_id, ..), written in one pass over the instances."""
+    texts = (F.struct(F.struct(F.lit(k).alias("kind"), "source_id", "response_id").alias("owner"), F.col(c).alias("text")) for k, c in (("context", "context"), ("query", "query"), ("answer", "response")))
+    graphs, _ = graph.extract(instances.select(F.explode(F.array(*texts)).alias("x")).select("x.*"), extractor, settings.extraction)
+    flat = written(graphs.select("owner.*", "entities", "relations", "error"), "graphs")
+    of_source = flat.filter("kind <> 'answer'").groupBy("source_id", "kind").agg(F.min(F.struct("response_id", "entities", "relations", "error")).alias("first"))
+    answers = flat.filter("kind = 'answer' AND response_id IS NOT NULL").select("response_id", "source_id", "entities", "relations", "error")
+    sources = of_source.select("source_id", "kind", "first.entities", "first.relations", "first.error")
+    if flat.filter("error IS NOT NULL").isEmpty():  # said in the plan, joins with what failed fall away
+        sources, answers = (x.withColumn("error", F.lit(None).cast("string")) for x in (sources, answers))
+    return sources, answers
+
+
 def extract_graphs(instances: DataFrame, extractor: graph.Extractor | None = None, settings: Settings | None = None, cache_path: str | None = None) -> Graphs:
     """Graphs of all texts. Each distinct text is extracted once; answers of a
-    source that failed are skipped and listed."""
+    source that failed are skipped and listed. An extractor that works within
+    the row takes all texts in one pass, and graphs are written; of the rows of
+    one source the one with the first response_id counts."""
     settings, extractor = settings or Settings(), extractor or graph.OfflineExtractor()
     texts = graph.graph_texts(instances.select("source_id", "context", "query"))
     of_source = texts.select(F.struct(F.lit("source").alias("of"), F.col("source_id").alias("id"), "kind").alias("owner"), "text")
     of_answer = instances.select(F.struct(F.lit("answer").alias("of"), F.col("response_id").alias("id"), F.lit("answer").alias("kind")).alias("owner"), F.col("response").alias("text"))
     graphs, log = graph.extract(of_source.unionByName(of_answer), extractor, settings.extraction, cache_path)
-    flat = graphs.select("owner.of", "owner.id", "owner.kind", "entities", "relations", "error")
-    all_sources = flat.filter("of = 'source'").withColumnRenamed("id", "source_id")
+    if cache_path is None and getattr(extractor, "row_local", False):
+        all_sources, all_answers = _in_the_row(instances, extractor, settings)
+    else:
+        flat = graphs.select("owner.of", "owner.id", "owner.kind", "entities", "relations", "error")
+        all_sources = flat.filter("of = 'source'").withColumnRenamed("id", "source_id")
+        all_answers = flat.filter("of = 'answer'").withColumnRenamed("id", "response_id").join(instances.select("response_id", "source_id"), "response_id")
     bad = all_sources.filter("error is not null").groupBy("source_id").agg(F.min("error").alias("error"))
     sources = all_sources.join(bad, "source_id", "left_anti").select("source_id", "kind", "entities", "relations")
-    answers = flat.filter("of = 'answer'").withColumnRenamed("id", "response_id").join(instances.select("response_id", "source_id"), "response_id")
-    skipped = answers.join(bad.select("source_id"), "source_id", "left_semi")
-    tried = answers.join(bad.select("source_id"), "source_id", "left_anti")
+    skipped = all_answers.join(bad.select("source_id"), "source_id", "left_semi")
+    tried = all_answers.join(bad.select("source_id"), "source_id", "left_anti")
     failures = bad.select(F.lit("reference").alias("stage"), F.col("source_id").alias("id"), "error")
     failures = failures.unionByName(tried.filter("error is not null").select(F.lit("response").alias("stage"), F.col("response_id").alias("id"), "error"))
     failures = failures.unionByName(skipped.select(F.lit("skipped").alias("stage"), F.col("response_id").alias("id"), F.lit("its reference failed").alias("error")))
