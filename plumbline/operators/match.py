@@ -10,7 +10,7 @@ and contained names in one pass by automata, similar ones by vectors in blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,34 +52,27 @@ def match_contained(names: DataFrame, refs: DataFrame, settings: MatchSettings,
     of its references over its names, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for source, n, r in tiles.groups(batches):
-            pairs = list(contained(*(x.column("text").to_pylist() for x in (n, r)), settings.min_substring_chars, settings.stopwords))
-            for start in range(0, len(pairs), 10_000):
-                yield _rows([source], zip(*pairs[start : start + 10_000]), ["norm", "ref"])
+        pairs = ((source, *pair) for source, n, r in tiles.texts(batches) for pair in contained(n, r, settings.min_substring_chars, settings.stopwords))
+        return tiles.batched(pairs, pa.schema([(c, pa.string()) for c in ("source_id", "norm", "ref")]))
 
     return tiles.dealt(_texts(names, "norm"), _texts(refs, "ref"), tile_rows).mapInArrow(run, "source_id string, norm string, ref string")
 
 
-def _rows(source: list[str], columns: Iterable, names: list[str]) -> pa.RecordBatch:
-    arrays = [pa.array(c) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(source * len(arrays[0])), *arrays], ["source_id", *names])
-
-
 def match_named(names: DataFrame, refs: DataFrame, settings: MatchSettings, tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
     """(source_id, norm, ref, method) of the first two tiers, in one pass: names that are references
     themselves, and of the others those with a contained one, the first in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for source, n, r in tiles.groups(batches):
-            own, known = n.column("text").to_pylist(), r.column("text").to_pylist()
+        return tiles.batched(tiers(batches), pa.schema([*((c, pa.string()) for c in ("source_id", "norm", "ref")), ("tier", pa.int32())]))
+
+    def tiers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for source, own, known in tiles.texts(batches):
             whole = set(known)
             found = {x: (0, x) for x in own if x in whole}
             if settings.allow_substring:
                 for name, ref in contained([x for x in own if x not in found], known, settings.min_substring_chars, settings.stopwords):
                     found[name] = min(found.get(name, (1, ref)), (1, ref))
-            if found:
-                tier, ref = zip(*found.values())
-                yield _rows([source], (list(found), ref, pa.array(tier, pa.int32())), ["norm", "ref", "tier"])
+            yield from ((source, name, ref, tier) for name, (tier, ref) in found.items())
 
     found = tiles.dealt(_texts(names, "norm"), _texts(refs, "ref"), tile_rows).mapInArrow(run, "source_id string, norm string, ref string, tier int")
     # What other tiles of the source found counts as well.
@@ -98,14 +91,14 @@ def _similar(names: DataFrame, refs: DataFrame, vectors: DataFrame, threshold: f
         return flat.to_numpy(zero_copy_only=False).reshape(x.num_rows, -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tiles.batched(near(batches), pa.schema([*((c, pa.string()) for c in ("source_id", "norm", "ref")), ("sim", pa.float64())]))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for source, n, r in tiles.groups(batches):
             blocks, known = Blocks(vecs(r)), r.column("text").to_pylist()
-            rows = []
             for name, query in zip(n.column("text").to_pylist(), vecs(n)):
                 some = blocks.nearest(query) if threshold is None else blocks.within(query, threshold)
-                rows += [(name, known[i], s) for i, s in some]
-            for start in range(0, len(rows), 10_000):
-                yield _rows([source], zip(*rows[start : start + 10_000]), ["norm", "ref", "sim"])
+                yield from ((source, name, known[i], s) for i, s in some)
 
     columns = ["source_id", "text", "embedding"]
     tiled = tiles.dealt(left.select(columns), right.select(columns), tile_rows)
@@ -139,9 +132,10 @@ def match_entities(names: DataFrame, refs: DataFrame, settings: MatchSettings |
     or embedding, the first tier that does, and in it the first reference in
     order."""
     settings = settings or MatchSettings()
-    keys = names.select("source_id", "norm").filter("norm <> ''").distinct()
-    found = match_named(keys, refs, settings)
+    keys = names.select("source_id", "norm").filter("norm <> ''")
+    found = match_named(keys, refs, settings)  # equal names are one in their tile
     if vectors is not None:
+        keys = keys.distinct()
         found = written(found, "named")
         rest = keys.join(found, ["source_id", "norm"], "left_anti")
         similar = nearest(rest, refs, vectors).filter(F.col("sim") >= settings.entity_threshold)

@@ -9,6 +9,8 @@ through one task as a stream, in one exchange, without a call for each source.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ def dealt(names: DataFrame, refs: DataFrame, tile_rows: int = TILE_ROWS) -> Data
     both = written(both.filter("source_id IS NOT NULL"), "tiles")
     sizes = both.groupBy("source_id").agg(*(F.ceil(F.count_if(c) / tile_rows).cast("int").alias(n) for n, c in (("rows", ~F.col("is_ref")), ("columns", F.col("is_ref")))))
     large = sizes.filter("rows > 1 OR columns > 1")
-    sized = both.join(large, "source_id", "left").fillna(1, ["rows", "columns"])
+    # There are fewer of them than rows by the size of a tile.
+    sized = both.join(F.broadcast(large), "source_id", "left").fillna(1, ["rows", "columns"])
     own = F.pmod(F.xxhash64("text"), F.when(F.col("is_ref"), F.col("columns")).otherwise(F.col("rows")).cast("bigint")).cast("int")
     other = F.when(F.col("is_ref"), F.col("rows")).otherwise(F.col("columns"))
     each = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(other, F.lit(1)) - 1)))
@@ -39,6 +42,23 @@ def dealt(names: DataFrame, refs: DataFrame, tile_rows: int = TILE_ROWS) -> Data
     return placed.select(*keys, "is_ref", "text", *extra).repartition(*keys).sortWithinPartitions(*keys, F.desc("is_ref"))
 
 
+def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], list[str]]]:
+    """(source_id, names, references) of each tile of such a stream that has both: their texts, each once."""
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("source_id", "i", "j", "is_ref", "text"))))
+    for (source, _, _), tile in groupby(rows, itemgetter(0, 1, 2)):
+        sides: tuple[dict[str, None], dict[str, None]] = ({}, {})
+        for *_, is_ref, text in tile:
+            sides[is_ref][text] = None
+        if all(sides):
+            yield source, *map(list, sides)
+
+
+def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Rows of any number of tiles as batches of a bounded size."""
+    while some := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), schema.types)], schema=schema)
+
+
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table, pa.Table]]:
     """(source_id, names, references) of each tile of such a stream that has both."""
     parts: list[pa.RecordBatch] = []
