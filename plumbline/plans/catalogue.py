@@ -14,6 +14,7 @@ from plumbline.functions.serialize import business_text, flat_facts
 from plumbline.operators import dialog, graph, match, score, stats
 from plumbline.plans import evaluate, pipeline, tune
 from plumbline.sources import records, sinks
+from plumbline.sources.store import written
 from plumbline.sources.views import split_documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,14 +110,15 @@ def _test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _phrases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Names of answers and references of sources: texts cut at punctuation."""
+    """Names of answers and references of sources: texts cut at punctuation, each once in its text."""
     instances = split_documents(spark, sf_dir, labelled=False)
 
-    def parts(column: str) -> DataFrame:
-        return instances.select("source_id", F.explode(F.split(column, r"[.,|\n]")).alias("entity"))
+    def parts(column: str, name: str) -> DataFrame:
+        own = F.array_remove(F.array_distinct(F.transform(F.split(column, r"[.,|\n]"), text.normalize)), "")
+        # Outer, as Spark else works out the arrays once more to see whether they are empty.
+        return instances.select("source_id", F.explode_outer(own).alias(name)).filter(f"{name} IS NOT NULL")
 
-    names = parts("response").select("source_id", text.normalize(F.col("entity")).alias("norm")).filter("norm <> ''").distinct()
-    return names, match.reference_entities(parts("context"))
+    return parts("response", "norm"), parts("context", "ref")
 
 
 def _as_response(df: DataFrame) -> DataFrame:
@@ -231,18 +233,20 @@ def dialog_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PHRASES} SELECT response_id, ref FROM refs")
 def ref_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_response(_phrases(spark, sf_dir)[1])
+    return _as_response(_phrases(spark, sf_dir)[1].distinct())
 
 
 @query(f"WITH {_PHRASES} SELECT response_id, norm FROM exact")
 def match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_response(match.match_exact(*_phrases(spark, sf_dir)))
+    names, refs = _phrases(spark, sf_dir)
+    return _as_response(match.match_exact(names.distinct(), refs))
 
 
 @query(f"WITH {_PHRASES} SELECT response_id, norm, ref FROM held")
 def match_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, refs = _phrases(spark, sf_dir)
-    rest = names.join(match.match_exact(names, refs), ["source_id", "norm"], "left_anti")
+    refs = written(refs, "references")
+    rest = names.join(refs.withColumnRenamed("ref", "norm"), ["source_id", "norm"], "left_anti")
     return _as_response(match.match_contained(rest, refs, MatchSettings()))
 
 
