@@ -11,11 +11,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from plumbline.functions.text import unit
+from plumbline.functions.text import let, unit
 
 
 class Embedder(Protocol):
@@ -32,11 +32,13 @@ class HashEmbedder:
 
     def embed(self, texts: DataFrame) -> DataFrame:
         # A byte of a digest for each dimension, around zero: other engines can do the same.
-        def variate(i: int):
-            digest = F.md5(F.concat(F.lit(f"{i // 16}:"), F.col("text")))
-            return F.conv(F.substring(digest, i % 16 * 2 + 1, 2), 16, 10).cast("double") - 127.5
+        def variates(digest: Column, n: int) -> Column:
+            return F.array(*(F.conv(F.substring(digest, i * 2 + 1, 2), 16, 10).cast("double") - 127.5 for i in range(n)))
 
-        drawn = F.array(*(variate(i) for i in range(self.dim)))
+        def some(block: int) -> Column:
+            return let(F.md5(F.concat(F.lit(f"{block}:"), F.col("text"))), lambda digest: variates(digest, min(16, self.dim - 16 * block)))
+
+        drawn = F.concat(*(some(block) for block in range(-(-self.dim // 16))))
         if self.known:
             given = F.create_map(*(x for t, v in self.known.items() for x in (F.lit(t), F.array(*(F.lit(float(y)) for y in v)))))
             drawn = F.coalesce(F.element_at(given, F.col("text")), drawn)

@@ -79,8 +79,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """The vector divided by its norm; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return F.transform(vector, lambda x: F.coalesce(F.try_divide(x, norm), x).cast("float"))
+
+    def divided(v: Column, norm: Column) -> Column:
+        return F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), x).cast("float"))
+
+    return let(vector, lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x)), lambda norm: divided(v, norm)))
 
 
 def cache_key(text: Column, settings: ExtractionSettings) -> Column:

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from plumbline.config import MatchSettings
 from plumbline.functions import text
-from plumbline.operators import match, tiles
+from plumbline.functions.embed import HashEmbedder
+from plumbline.operators import match, score, tiles
 from plumbline.plans import catalogue, pipeline
 from plumbline.sources.views import split_documents
 
@@ -53,3 +54,11 @@ def test_tiles_take_equal_names_once_and_pass_one_exchange(spark):
     assert plan(dealt).count("strategy=broadcast") == 1
     sizes = [b.num_rows for b in tiles.batched(((str(i),) for i in range(25)), pa.schema([("x", pa.string())]), 10)]
     assert sizes == [10, 10, 5]
+
+
+def test_names_are_normalised_and_digested_once(spark, data):
+    graphs = pipeline.extract_graphs(split_documents(spark, data, labelled=False))
+    refs, ref_triples = score.reference_graphs(graphs.sources)
+    assert plan(refs).count("lower(") == 1 and plan(ref_triples).count("lower(") == 3
+    assert plan(HashEmbedder().embed(spark.createDataFrame([("a",)], "text string"))).count("md5(") == 1
+    assert "lower(" not in plan(catalogue.score_with_embeddings(spark, data))
