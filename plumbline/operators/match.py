@@ -26,17 +26,6 @@ from plumbline.operators import tiles
 from plumbline.sources.store import written
 
 
-def reference_entities(entities: DataFrame) -> DataFrame:
-    """(source_id, ref): distinct normalised names, without empty ones."""
-    return entities.select("source_id", normalize(F.col("entity")).alias("ref")).filter("ref <> ''").distinct()
-
-
-def reference_relations(relations: DataFrame) -> DataFrame:
-    """(source_id, s2, p2, o2): distinct normalised triples without an empty part."""
-    normal = relations.select("source_id", *(normalize(F.col(c)).alias(f"{c}2") for c in "spo"))
-    return normal.filter("s2 <> '' and p2 <> '' and o2 <> ''").distinct()
-
-
 def match_exact(names: DataFrame, refs: DataFrame) -> DataFrame:
     """(source_id, norm) found as they are."""
     return names.join(refs, (names["source_id"] == refs["source_id"]) & (names["norm"] == refs["ref"]), "left_semi")
