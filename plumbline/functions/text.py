@@ -17,6 +17,8 @@ _SPACES = r"(?: [\t\n\x0B\f\r\x1c-\x1f\x85\p{Z}]|[\t\n\x0B\f\r\x1c-\x1f\x85\p{Z}
 _EDGE = string.punctuation + " \t\n\r"
 #: What counts as part of a word at a boundary.
 _WORD = r"[\p{L}\p{N}_]"
+#: One lower-case ASCII word: as it is when normalised, and with no boundary inside.
+_PLAIN = r"\A[a-z0-9]+\z"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -48,7 +50,13 @@ def normalize(name: Column) -> Column:
     leading article if something follows. Null becomes empty. Twice is not
     once: "the the x" loses an article each time."""
     s = F.regexp_replace(F.lower(F.coalesce(name.cast("string"), F.lit(""))), _SPACES, " ")
-    return F.trim(F.regexp_replace(F.btrim(s, F.lit(_EDGE)), "^(a|an|the) (?=.)", ""))
+    whole = F.trim(F.regexp_replace(F.btrim(s, F.lit(_EDGE)), "^(a|an|the) (?=.)", ""))
+    return F.when(is_plain(name.cast("string")), name.cast("string")).otherwise(whole)
+
+
+def is_plain(name: Column) -> Column:
+    """One lower-case ASCII word: of two such names that differ, none stands in the other at word boundaries."""
+    return name.rlike(_PLAIN)
 
 
 def words(text: Column) -> Column:

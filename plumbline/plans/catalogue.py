@@ -260,11 +260,7 @@ def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _aligned(spark: SparkSession, sf_dir: str, settings: MatchSettings) -> DataFrame:
     _, g = _graphs(spark, sf_dir)
-    refs, ref_triples = score.reference_graphs(g.sources)
-    own = written(g.answers.select("source_id", F.array_distinct(score.normal_triples("relations")).alias("t")), "normal")
-    triples = own.select("source_id", F.explode("t").alias("t")).select("source_id", "t.*")
-    ends = own.select("source_id", F.explode(F.array_distinct(F.concat("t.s", "t.o"))).alias("norm"))
-    aligned = match.align_relations(triples, ref_triples, match.match_entities(ends, refs, settings), settings)
+    aligned = score.align(g.answers, g.sources, settings)
     return _as_response(aligned.select("source_id", "s", "p", "o", "method"))
 
 

@@ -31,9 +31,12 @@ def _in_the_row(instances: DataFrame, extractor: graph.Extractor, settings: Sett
     texts = (F.struct(F.struct(F.lit(k).alias("kind"), "source_id", "response_id").alias("owner"), F.col(c).alias("text")) for k, c in (("context", "context"), ("query", "query"), ("answer", "response")))
     graphs, _ = graph.extract(instances.select(F.explode(F.array(*texts)).alias("x")).select("x.*"), extractor, settings.extraction)
     flat = written(graphs.select("owner.*", "entities", "relations", "error"), "graphs")
-    of_source = flat.filter("kind <> 'answer'").groupBy("source_id", "kind").agg(F.min(F.struct("response_id", "entities", "relations", "error")).alias("first"))
+    # By the source alone: what is then done for each source needs no exchange of its own.
+    row = F.struct("response_id", "kind", "entities", "relations", "error")
+    firsts = flat.filter("kind <> 'answer'").groupBy("source_id").agg(*(F.min(F.when(F.col("kind") == k, row)).alias(k) for k in ("context", "query")))
+    of_source = firsts.select("source_id", F.explode(F.array("context", "query")).alias("first"))
     answers = flat.filter("kind = 'answer' AND response_id IS NOT NULL").select("response_id", "source_id", "entities", "relations", "error")
-    sources = of_source.select("source_id", "kind", "first.entities", "first.relations", "first.error")
+    sources = of_source.select("source_id", "first.kind", "first.entities", "first.relations", "first.error")
     if flat.filter("error IS NOT NULL").isEmpty():  # said in the plan, joins with what failed fall away
         sources, answers = (x.withColumn("error", F.lit(None).cast("string")) for x in (sources, answers))
     return sources, answers

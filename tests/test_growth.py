@@ -1,12 +1,15 @@
 """Work that is done once: texts go through extraction and cutting in one pass, and tiles in one exchange."""
 
+import random
+
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.config import MatchSettings
 from plumbline.functions import text
 from plumbline.functions.embed import HashEmbedder
-from plumbline.operators import match, score, tiles
+from plumbline.operators import graph, match, score, tiles
 from plumbline.plans import catalogue, pipeline
 from plumbline.sources.views import split_documents
 
@@ -62,3 +65,41 @@ def test_names_are_normalised_and_digested_once(spark, data):
     assert plan(refs).count("lower(") == 1 and plan(ref_triples).count("lower(") == 3
     assert plan(HashEmbedder().embed(spark.createDataFrame([("a",)], "text string"))).count("md5(") == 1
     assert "lower(" not in plan(catalogue.score_with_embeddings(spark, data))
+
+
+def test_sources_are_brought_together_once(spark, data):
+    graphs = pipeline.extract_graphs(split_documents(spark, data, labelled=False))
+    for df in (score.references(graphs.sources), *score.reference_graphs(graphs.sources)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_graphs_are_aligned_in_one_join(spark, data):
+    for query in (catalogue.align_forward, catalogue.align_inverse):
+        assert plan(query(spark, data)).count("Join") == 1 and "MapInArrow" not in plan(query(spark, data))
+
+
+@pytest.mark.parametrize("settings", [MatchSettings(), MatchSettings(inverse_edges=True), MatchSettings(inverse_edges=True, allow_substring=False)])
+def test_alignment_in_rows_is_that_of_long_tables(spark, settings):
+    rng = random.Random(3)
+    ends = ["ab", "Ab c", "c", "x y", "zz", "zz q", "the zz", "The", "a.b", "", None, "é ab", "zz\n"]
+    triples = f"array<{graph.TRIPLE}>"
+
+    def made(n):
+        entities = [rng.choice(ends) for _ in range(n)]
+        return entities, [(rng.choice(entities), rng.choice(["is", "Was", "", None]), rng.choice(entities)) for _ in range(n)]
+
+    sources = spark.createDataFrame([(s, k, *made(6)) for s in (*map(str, range(12)), None) for k in ("context", "query")], f"source_id string, kind string, entities array<string>, relations {triples}")
+    answers = spark.createDataFrame([(s, *made(9)) for s in (*map(str, range(14)), None) for _ in "ab"], f"source_id string, entities array<string>, relations {triples}")
+    refs, ref_triples = score.reference_graphs(sources)
+    own = answers.select("source_id", F.inline(score.normal_triples("relations"))).distinct()
+    gates = own.select("source_id", F.explode(F.array(*(text.normalize(F.col(c)) for c in "so"))).alias("norm"))
+    wanted = match.align_relations(own, ref_triples, match.match_entities(gates, refs, settings), settings).collect()
+    got = score.align(answers, sources, settings)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted)) and got.columns == list(wanted[0].asDict())
+    assert {r.method for r in wanted} == ({"forward", "inverse"} if settings.inverse_edges else {"forward"})
+
+
+def test_plain_words_are_as_they_are_when_normalised(spark):
+    rows = spark.createDataFrame([(x,) for x in ("ab1", "the", "ab\n", "Ab", "a b", "_a", "é", "", None)], "x string")
+    got = rows.select(text.is_plain(F.col("x")), text.normalize(F.col("x"))).collect()
+    assert [tuple(r) for r in got] == [(True, "ab1"), (True, "the"), (False, "ab"), (False, "ab"), (False, "b"), (False, "a"), (False, "é"), (False, ""), (None, "")]
