@@ -6,6 +6,8 @@ vectors. It is called once for each distinct text of a job.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
@@ -30,19 +32,43 @@ class HashEmbedder:
     def __init__(self, known: Mapping[str, Sequence[float]] | None = None, dim: int = 16):
         self.known, self.dim = dict(known or {}), dim
 
-    def embed(self, texts: DataFrame) -> DataFrame:
+    #: Costs less than bringing equal texts together, so vectors can be drawn where texts are.
+    row_local = True
+
+    def vector(self, text: Column) -> Column:
+        """The vector of a text."""
+
         # A byte of a digest for each dimension, around zero: other engines can do the same.
         def variates(digest: Column, n: int) -> Column:
-            return F.array(*(F.conv(F.substring(digest, i * 2 + 1, 2), 16, 10).cast("double") - 127.5 for i in range(n)))
+            fours = F.array(*(F.conv(F.substring(digest, i * 2 + 1, 8), 16, 10).cast("long") for i in range(0, n, 4)))
+            return let(fours, lambda x: F.array(*(F.shiftright(x[i // 4], 24 - i % 4 * 8).bitwiseAND(255).cast("double") - 127.5 for i in range(n))))
 
         def some(block: int) -> Column:
-            return let(F.md5(F.concat(F.lit(f"{block}:"), F.col("text"))), lambda digest: variates(digest, min(16, self.dim - 16 * block)))
+            return let(F.md5(F.concat(F.lit(f"{block}:"), text)), lambda digest: variates(digest, min(16, self.dim - 16 * block)))
 
         drawn = F.concat(*(some(block) for block in range(-(-self.dim // 16))))
         if self.known:
             given = F.create_map(*(x for t, v in self.known.items() for x in (F.lit(t), F.array(*(F.lit(float(y)) for y in v)))))
-            drawn = F.coalesce(F.element_at(given, F.col("text")), drawn)
-        return texts.select("text", unit(drawn).alias("embedding"))
+            drawn = F.coalesce(F.try_element_at(given, text), drawn)
+        return unit(drawn)
+
+    def draw(self, texts: Sequence[str]) -> np.ndarray:
+        """The same vectors as ``vector`` has, for texts in a task."""
+
+        def one(text: str) -> np.ndarray:
+            if text in self.known:
+                return np.array(self.known[text], dtype=np.float64)
+            digests = (hashlib.md5(f"{block}:{text}".encode()).digest() for block in range(-(-self.dim // 16)))
+            return np.frombuffer(b"".join(digests)[: self.dim], dtype=np.uint8) - 127.5
+
+        def unit(v: np.ndarray) -> np.ndarray:
+            norm = math.sqrt(sum(x * x for x in v.tolist()))
+            return (v / norm if norm else v).astype(np.float32)
+
+        return np.array([unit(one(t)) for t in texts])
+
+    def embed(self, texts: DataFrame) -> DataFrame:
+        return texts.select("text", self.vector(F.col("text")).alias("embedding"))
 
 
 class StoredEmbedder:

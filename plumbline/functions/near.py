@@ -12,12 +12,15 @@ summed exactly, so equal vectors tie whatever their place.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Rounding that bounds allow for, in distances of vectors whose length is about one.
 ROOM = 1e-6
+#: Products that are held at once where sums run in order.
+PRODUCTS = 1 << 21
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> float:
@@ -94,3 +97,31 @@ class Blocks:
         some = [(r, exact(query, self.vectors[r])) for d, r in near if d <= best + ROOM]
         top = max(s for _, s in some)
         return [(r, s) for r, s in some if s == top]
+
+
+def nearest_in_rows(queries: pa.Array, known: pa.Array, draw: Callable[[list[str]], np.ndarray] | None = None) -> pa.Array:
+    """Of each row's query vectors, the place of the most similar one of the row's known vectors, the first
+    of equals, and the similarity, which is -inf if there is none. Vectors are of one size; sums run in order.
+    With ``draw``, rows hold texts, whose vectors it makes, once for each text of the batch."""
+
+    def flat(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        own, ends = rows.flatten(), np.concatenate([[0], np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        if not len(own):
+            return np.empty((0, 0)), ends.astype(np.int32)
+        if draw:
+            texts = own.dictionary_encode()
+            vectors = np.asarray(draw(texts.dictionary.to_pylist()), dtype=np.float64)[texts.indices.to_numpy(zero_copy_only=False)]
+        else:
+            vectors = own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+        return vectors, ends.astype(np.int32)
+
+    (q, at), (k, to) = flat(queries), flat(known)
+    place, best = np.zeros(len(q), dtype=np.int32), np.full(len(q), -np.inf)
+    for a, b, c, d in zip(at, at[1:], to, to[1:]):
+        if a < b and c < d:
+            step = max(1, PRODUCTS // max(1, (d - c) * q.shape[1]))
+            for e in range(a, b, step):
+                own = slice(e, min(e + step, b))
+                sims = np.cumsum(q[own, None, :] * k[c:d], axis=2)[:, :, -1]
+                place[own], best[own] = sims.argmax(axis=1), sims.max(axis=1)
+    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(place), pa.array(best)], ["i", "sim"]))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.config import MatchSettings
 from plumbline.functions import text
 from plumbline.functions.embed import HashEmbedder
+from plumbline.functions.near import nearest_in_rows
 from plumbline.operators import graph, match, score, tiles
 from plumbline.plans import catalogue, pipeline
 from plumbline.sources.views import split_documents
@@ -103,3 +105,38 @@ def test_plain_words_are_as_they_are_when_normalised(spark):
     rows = spark.createDataFrame([(x,) for x in ("ab1", "the", "ab\n", "Ab", "a b", "_a", "é", "", None)], "x string")
     got = rows.select(text.is_plain(F.col("x")), text.normalize(F.col("x"))).collect()
     assert [tuple(r) for r in got] == [(True, "ab1"), (True, "the"), (False, "ab"), (False, "ab"), (False, "b"), (False, "a"), (False, "é"), (False, ""), (None, "")]
+
+
+def test_vectors_of_texts_are_drawn_where_they_are_needed(spark, data):
+    assert "Join" not in plan(catalogue.score_with_embeddings(spark, data))
+    embedder, texts = HashEmbedder({"given": [0.0] * 16}), ["a", "é b", "", "given", "x" * 99]
+    stored = {r.text: r.embedding for r in embedder.embed(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert all(stored[t] == v for t, v in zip(texts, embedder.draw(texts).tolist()))
+    assert HashEmbedder(dim=20).draw(["a"]).tolist()[0] == HashEmbedder(dim=20).embed(spark.createDataFrame([("a",)], "text string")).first().embedding
+
+
+def test_nearest_in_rows_takes_the_first_of_equals():
+    kind = pa.list_(pa.list_(pa.float32()))
+    queries = pa.array([[[9, 9]], [[1, 0], [0, 1]], [], None, [[1, 1]]], kind).slice(1)
+    known = pa.array([[[9, 9]], [[0, 1], [1, 0], [1, 0]], [[1, 0]], [[1, 0]], []], kind).slice(1)
+    got = nearest_in_rows(queries, known).to_pylist()
+    assert got == [[{"i": 1, "sim": 1.0}, {"i": 0, "sim": 1.0}], [], [], [{"i": 0, "sim": -np.inf}]]
+    assert nearest_in_rows(pa.array([["b"]]), pa.array([["a", "b"]]), HashEmbedder().draw).to_pylist()[0][0]["i"] == 1
+
+
+def test_scores_are_the_same_with_drawn_and_with_stored_vectors(spark):
+    class Stored(HashEmbedder):
+        row_local = False
+
+    rng, triples = random.Random(8), f"array<{graph.TRIPLE}>"
+    words = [f"w{i}" for i in range(60)] + ["w1 w2", "The w3", "", "w4."]
+
+    def made(n):
+        entities = [rng.choice(words) for _ in range(n)]
+        return entities, [(rng.choice(entities), rng.choice(["is", "was"]), rng.choice(entities)) for _ in range(n)]
+
+    sources = spark.createDataFrame([(str(i), "context", *made(12)) for i in range(30)] + [("none", "context", [], [])], f"source_id string, kind string, entities array<string>, relations {triples}")
+    answers = spark.createDataFrame([(f"{s}{i}", s, *made(8)) for s in (*map(str, range(30)), "none") for i in "ab"], f"response_id string, source_id string, entities array<string>, relations {triples}")
+    settings = MatchSettings(entity_threshold=0.4, relation_threshold=0.4, inverse_edges=True)
+    drawn, stored = (sorted(map(tuple, score.score(answers, sources, settings, e).collect())) for e in (HashEmbedder(), Stored()))
+    assert drawn == stored and any(x["method"] == "embedding" for r in score.score(answers, sources, settings, HashEmbedder()).collect() for x in r.matched_entities)
