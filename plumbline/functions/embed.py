@@ -7,7 +7,6 @@ vectors. It is called once for each distinct text of a job.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
@@ -55,17 +54,17 @@ class HashEmbedder:
     def draw(self, texts: Sequence[str]) -> np.ndarray:
         """The same vectors as ``vector`` has, for texts in a task."""
 
-        def one(text: str) -> np.ndarray:
+        blocks = -(-self.dim // 16)
+        digests = b"".join(hashlib.md5(f"{block}:{text}".encode()).digest() for text in texts for block in range(blocks))
+        raw = np.frombuffer(digests, dtype=np.uint8).reshape(len(texts), 16 * blocks)[:, : self.dim] - 127.5
+        for i, text in enumerate(texts if self.known else ()):
             if text in self.known:
-                return np.array(self.known[text], dtype=np.float64)
-            digests = (hashlib.md5(f"{block}:{text}".encode()).digest() for block in range(-(-self.dim // 16)))
-            return np.frombuffer(b"".join(digests)[: self.dim], dtype=np.uint8) - 127.5
-
-        def unit(v: np.ndarray) -> np.ndarray:
-            norm = math.sqrt(sum(x * x for x in v.tolist()))
-            return (v / norm if norm else v).astype(np.float32)
-
-        return np.array([unit(one(t)) for t in texts])
+                raw[i] = self.known[text]
+        squares = np.zeros(len(texts))
+        for x in raw.T:  # in order
+            squares += x * x
+        norms = np.where(squares == 0, 1.0, np.sqrt(squares))
+        return (raw / norms[:, None]).astype(np.float32)
 
     def embed(self, texts: DataFrame) -> DataFrame:
         return texts.select("text", self.vector(F.col("text")).alias("embedding"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 
 #: Rounding that bounds allow for, in distances of vectors whose length is about one.
 ROOM = 1e-6
-#: Products that are held at once where sums run in order.
+#: Numbers that are held at once where sums run in order.
 PRODUCTS = 1 << 21
 
 
@@ -102,26 +102,38 @@ class Blocks:
 def nearest_in_rows(queries: pa.Array, known: pa.Array, draw: Callable[[list[str]], np.ndarray] | None = None) -> pa.Array:
     """Of each row's query vectors, the place of the most similar one of the row's known vectors, the first
     of equals, and the similarity, which is -inf if there is none. Vectors are of one size; sums run in order.
-    With ``draw``, rows hold texts, whose vectors it makes, once for each text of the batch."""
+    With ``draw``, rows hold texts, whose vectors it makes, once for each text of the batch. Rows that have
+    as many vectors each are compared together."""
 
-    def flat(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def flat(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different vectors as columns, which of them each item has, and where rows begin and end."""
         own, ends = rows.flatten(), np.concatenate([[0], np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
         if not len(own):
-            return np.empty((0, 0)), ends.astype(np.int32)
-        if draw:
+            vectors, which = np.empty((0, 0)), np.empty(0, dtype=np.int64)
+        elif draw:
             texts = own.dictionary_encode()
-            vectors = np.asarray(draw(texts.dictionary.to_pylist()), dtype=np.float64)[texts.indices.to_numpy(zero_copy_only=False)]
+            vectors, which = np.asarray(draw(texts.dictionary.to_pylist()), dtype=np.float64), texts.indices.to_numpy(zero_copy_only=False)
         else:
-            vectors = own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-        return vectors, ends.astype(np.int32)
-
-    (q, at), (k, to) = flat(queries), flat(known)
-    place, best = np.zeros(len(q), dtype=np.int32), np.full(len(q), -np.inf)
-    for a, b, c, d in zip(at, at[1:], to, to[1:]):
-        if a < b and c < d:
-            step = max(1, PRODUCTS // max(1, (d - c) * q.shape[1]))
-            for e in range(a, b, step):
-                own = slice(e, min(e + step, b))
-                sims = np.cumsum(q[own, None, :] * k[c:d], axis=2)[:, :, -1]
-                place[own], best[own] = sims.argmax(axis=1), sims.max(axis=1)
+            vectors, which = own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1), np.arange(len(own))
+        return np.ascontiguousarray(vectors.T), which, ends.astype(np.int32)
+
+    (q, q_of, at), (k, k_of, to) = flat(queries), flat(known)
+    place, best = np.zeros(len(q_of), dtype=np.int32), np.full(len(q_of), -np.inf)
+    shapes, shape_of = np.unique(np.stack([np.diff(at), np.diff(to)]), axis=1, return_inverse=True)
+    shape_of = shape_of.reshape(-1)
+    by_shape = np.split(np.argsort(shape_of, kind="stable"), np.cumsum(np.bincount(shape_of, minlength=shapes.shape[1]))[:-1])
+    for (n, m), alike in zip(shapes.T.tolist(), by_shape):
+        if n and m:
+            # Rows at once, and of each row some queries, if it is that large.
+            step = max(1, PRODUCTS // (n * m + len(k) * (n + m)))
+            part = max(1, min(n, PRODUCTS // (m + len(k))))
+            for some in (alike[i : i + step] for i in range(0, len(alike), step)):
+                theirs = k[:, k_of[to[some] + np.arange(m)[:, None]]]
+                for first in range(0, n, part):
+                    items = at[some] + np.arange(first, min(n, first + part))[:, None]
+                    own, sims = q[:, q_of[items]], np.zeros((len(items), m, len(some)))
+                    for x, y in zip(own, theirs):
+                        sims += x[:, None, :] * y
+                    top = sims.argmax(axis=1)
+                    place[items], best[items] = top, np.take_along_axis(sims, top[:, None, :], axis=1)[:, 0, :]
     return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(place), pa.array(best)], ["i", "sim"]))

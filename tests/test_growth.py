@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.config import MatchSettings
-from plumbline.functions import text
+from plumbline.functions import near, text
 from plumbline.functions.embed import HashEmbedder
 from plumbline.functions.near import nearest_in_rows
 from plumbline.operators import graph, match, score, tiles
@@ -140,3 +140,26 @@ def test_scores_are_the_same_with_drawn_and_with_stored_vectors(spark):
     settings = MatchSettings(entity_threshold=0.4, relation_threshold=0.4, inverse_edges=True)
     drawn, stored = (sorted(map(tuple, score.score(answers, sources, settings, e).collect())) for e in (HashEmbedder(), Stored()))
     assert drawn == stored and any(x["method"] == "embedding" for r in score.score(answers, sources, settings, HashEmbedder()).collect() for x in r.matched_entities)
+
+
+def test_rows_of_one_shape_are_compared_together(monkeypatch):
+    rng, words = random.Random(4), [f"w{i}" for i in range(300)]
+    queries, known = ([[rng.choice(words) for _ in range(rng.choice(sizes))] for _ in range(200)] for sizes in ((0, 3, 3, 7), (0, 5, 5, 9)))
+    vectors, got, calls = dict(zip(words, HashEmbedder().draw(words).astype(float).tolist())), [], []
+    cumsum = np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda *a, **b: (calls.append(a), cumsum(*a, **b))[1])
+    for room in (near.PRODUCTS, 40):
+        monkeypatch.setattr(near, "PRODUCTS", room)
+        got.append(near.nearest_in_rows(pa.array(queries), pa.array(known), HashEmbedder().draw).to_pylist())
+    assert len(calls) < 20  # not one for each row
+    assert got[0] == got[1]
+    for names, refs, found in zip(queries, known, got[0]):
+        for name, x in zip(names, found):
+            sims = []
+            for ref in refs:
+                total = 0.0
+                for a, b in zip(vectors[name], vectors[ref]):
+                    total += a * b
+                sims.append(total)
+            best = max(sims, default=-np.inf)
+            assert (x["i"], x["sim"]) == (sims.index(best) if sims else 0, best)
