@@ -19,6 +19,8 @@ _EDGE = string.punctuation + " \t\n\r"
 _WORD = r"[\p{L}\p{N}_]"
 #: One lower-case ASCII word: as it is when normalised, and with no boundary inside.
 _PLAIN = r"\A[a-z0-9]+\z"
+#: Also with low lines inside: as it is when normalised.
+_AS_IS = r"\A(?!_)[a-z0-9_]+(?<!_)\z"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -32,7 +34,7 @@ def tokens(text: Column) -> Column:
 
 
 #: Characters at the beginning of a text in which its first distinct tokens are looked for first.
-_HEAD = 512
+_HEADS = (256, 1024)
 
 
 def first_tokens(text: Column, cap: int) -> Column:
@@ -42,7 +44,10 @@ def first_tokens(text: Column, cap: int) -> Column:
     def first(t: Column) -> Column:
         return F.array_distinct(tokens(t))
 
-    return let(first(F.substring(text, 1, _HEAD)), lambda head: F.slice(F.when(F.size(head) > cap, head).otherwise(first(text)), 1, cap))
+    def of(heads: tuple[int, ...]) -> Column:
+        return let(first(F.substring(text, 1, heads[0])), lambda head: F.when(F.size(head) > cap, head).otherwise(of(heads[1:]))) if heads else first(text)
+
+    return F.slice(of(_HEADS), 1, cap)
 
 
 def normalize(name: Column) -> Column:
@@ -51,7 +56,7 @@ def normalize(name: Column) -> Column:
     once: "the the x" loses an article each time."""
     s = F.regexp_replace(F.lower(F.coalesce(name.cast("string"), F.lit(""))), _SPACES, " ")
     whole = F.trim(F.regexp_replace(F.btrim(s, F.lit(_EDGE)), "^(a|an|the) (?=.)", ""))
-    return F.when(is_plain(name.cast("string")), name.cast("string")).otherwise(whole)
+    return F.when(name.cast("string").rlike(_AS_IS), name.cast("string")).otherwise(whole)
 
 
 def is_plain(name: Column) -> Column:

@@ -353,8 +353,8 @@ sc AS (SELECT t.tau_e, resp.*, coalesce("Va", 0) AS "Va", coalesce("Ea", 0) AS "
 @query(f'WITH {_embedded(_ALL_GRAPH, "[0.6]::DOUBLE[]")} SELECT response_id, "Va", "Ea", "EG", "RP" FROM sc')
 def score_with_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole cascade with vectors from digests of the names."""
-    _, g = _graphs(spark, sf_dir)
-    scored = score.score(g.answers, g.sources, MatchSettings(entity_threshold=0.6, relation_threshold=0.6), HashEmbedder())
+    pairs = pipeline.paired_graphs(split_documents(spark, sf_dir, labelled=False))
+    scored = score.score_pairs(pairs, MatchSettings(entity_threshold=0.6, relation_threshold=0.6), HashEmbedder())
     return scored.select("response_id", "Va", "Ea", "EG", "RP")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import MatchSettings, Settings
@@ -26,14 +26,24 @@ class Graphs:
     log: DataFrame
 
 
-def _in_the_row(instances: DataFrame, extractor: graph.Extractor, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Graphs of sources (source_id, kind, ..) and answers (response_id, source_id, ..), written in one pass over the instances."""
+def _flat(instances: DataFrame, extractor: graph.Extractor, settings: Settings) -> DataFrame:
+    """A row for each text of each instance: (kind, source_id, response_id, entities, relations, error)."""
     texts = (F.struct(F.struct(F.lit(k).alias("kind"), "source_id", "response_id").alias("owner"), F.col(c).alias("text")) for k, c in (("context", "context"), ("query", "query"), ("answer", "response")))
     graphs, _ = graph.extract(instances.select(F.explode(F.array(*texts)).alias("x")).select("x.*"), extractor, settings.extraction)
-    flat = written(graphs.select("owner.*", "entities", "relations", "error"), "graphs")
-    # By the source alone: what is then done for each source needs no exchange of its own.
+    return graphs.select("owner.*", "entities", "relations", "error")
+
+
+def _firsts() -> dict[str, Column]:
+    """Of the rows of a source, the context and the query of the first."""
     row = F.struct("response_id", "kind", "entities", "relations", "error")
-    firsts = flat.filter("kind <> 'answer'").groupBy("source_id").agg(*(F.min(F.when(F.col("kind") == k, row)).alias(k) for k in ("context", "query")))
+    return {k: F.min(F.when(F.col("kind") == k, row)) for k in ("context", "query")}
+
+
+def _in_the_row(instances: DataFrame, extractor: graph.Extractor, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Graphs of sources (source_id, kind, ..) and answers (response_id, source_id, ..), written in one pass over the instances."""
+    flat = written(_flat(instances, extractor, settings), "graphs")
+    # By the source alone: what is then done for each source needs no exchange of its own.
+    firsts = flat.filter("kind <> 'answer'").groupBy("source_id").agg(*(first.alias(k) for k, first in _firsts().items()))
     of_source = firsts.select("source_id", F.explode(F.array("context", "query")).alias("first"))
     answers = flat.filter("kind = 'answer' AND response_id IS NOT NULL").select("response_id", "source_id", "entities", "relations", "error")
     sources = of_source.select("source_id", "first.kind", "first.entities", "first.relations", "first.error")
@@ -42,6 +52,19 @@ def _in_the_row(instances: DataFrame, extractor: graph.Extractor, settings: Sett
     return sources, answers
 
 
+def paired_graphs(instances: DataFrame, extractor: graph.Extractor | None = None, settings: Settings | None = None) -> DataFrame:
+    """(response_id, source_id, entities, relations, context, query): answers beside the graphs of their source.
+
+    The same graphs as of ``extract_graphs``, without those that failed, for an extractor that works within
+    the row: texts of a source meet in one exchange, with no join, and nothing is written before.
+    """
+    flat = _flat(instances, extractor or graph.OfflineExtractor(), settings or Settings()).filter("source_id IS NOT NULL")
+    of_source = Window.partitionBy("source_id")
+    beside = flat.select("*", *(first.over(of_source).alias(k) for k, first in _firsts().items()))
+    sound = beside.filter("kind = 'answer' AND response_id IS NOT NULL AND error IS NULL AND context.error IS NULL AND query.error IS NULL")
+    return sound.select("response_id", "source_id", "entities", "relations", *(F.struct(f"{k}.entities", f"{k}.relations").alias(k) for k in ("context", "query")))
+
+
 def extract_graphs(instances: DataFrame, extractor: graph.Extractor | None = None, settings: Settings | None = None, cache_path: str | None = None) -> Graphs:
     """Graphs of all texts. Each distinct text is extracted once; answers of a
     source that failed are skipped and listed. An extractor that works within

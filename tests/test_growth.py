@@ -163,3 +163,28 @@ def test_rows_of_one_shape_are_compared_together(monkeypatch):
                 sims.append(total)
             best = max(sims, default=-np.inf)
             assert (x["i"], x["sim"]) == (sims.index(best) if sims else 0, best)
+
+
+def test_answers_stand_beside_their_sources_in_one_exchange(spark):
+    rng, words = random.Random(5), ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
+
+    def made():
+        return rng.choice([None, "", *(" ".join(rng.choice(words) for _ in range(5)) for _ in range(8))])
+
+    rows = [(rng.choice([None, f"r{i}", f"r{i % 7}"]), rng.choice([None, "s", "t", *map(str, range(12))]), made(), made(), made()) for i in range(80)]
+    instances = spark.createDataFrame(rows, "response_id string, source_id string, context string, query string, response string")
+    pairs = pipeline.paired_graphs(instances)
+    assert plan(pairs).count("Join") == 0 and pairs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    graphs = pipeline.extract_graphs(instances)
+    for embedder in (None, HashEmbedder()):
+        wanted, got = score.score(graphs.answers, graphs.sources, None, embedder), score.score_pairs(pairs, None, embedder)
+        assert got.columns == wanted.columns and sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+    assert got.filter("Vq > 0 AND RP > 0").count()
+
+
+def test_low_lines_inside_words_need_no_normalising(spark):
+    wanted = {"co_occurs_with": "co_occurs_with", "a__b": "a__b", "_a": "a", "a_": "a", "_": "", "a_\n": "a", "A_b": "a_b", "the_x": "the_x", "the a_b": "a_b"}
+    rows = spark.createDataFrame([(x,) for x in wanted], "x string")
+    assert {r.x: r.n for r in rows.select("x", text.normalize(F.col("x")).alias("n")).collect()} == wanted
+    as_is = rows.filter(F.col("x").rlike(text._AS_IS))
+    assert {r.x for r in as_is.collect()} == {"co_occurs_with", "a__b", "the_x"}
